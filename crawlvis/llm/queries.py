@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlvis.llm import attribution, codec, packing, topk, warc
+from crawlvis.llm import attribution, codec, licenses, packing, quality, topk, warc
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -26,6 +26,11 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY), 2048)
 
 
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    book = quality.judged(quality.ledger(table(spark, sf_dir, "documents")))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
@@ -34,6 +39,10 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), frequent=20_000)
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -41,10 +50,36 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
     "op7_bpe_round_trip": op7_bpe_round_trip,
+    "op9_license_scan": op9_license_scan,
     "op10_warc_round_trip": op10_warc_round_trip,
 }
+def licenses_sql() -> str:
+    """The license scan without filters: every line against every template, every phrase at every word."""
+    templates = ", ".join(f"('{t.label}', [{', '.join(repr(w) for w in t.words)}], {t.least(licenses.THRESHOLD)})" for t in licenses.templates_of())
+    phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split())}], '{label}')" for p, label in licenses.PHRASES)
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+WITH t(label, words, least) AS (VALUES {templates}), p(words, label) AS (VALUES {phrases}),
+d AS (SELECT doc_id, {lower} AS s FROM documents),
+w AS (SELECT doc_id, s, regexp_extract_all(s, '{word}') AS w FROM d),
+b AS (SELECT doc_id, label, len(w) - len(words) AS back, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(words)] = words)) AS place FROM w, p
+      WHERE len(w) >= len(words) AND list_has_all(w, words)),
+c AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS names FROM b GROUP BY doc_id),
+l AS (SELECT doc_id, unnest(list_transform(string_split(s, chr(10)), lambda x: list_distinct(regexp_extract_all(x, '{word}')))) AS l FROM d),
+m AS (SELECT doc_id, label, len(list_intersect(words, l)) AS o, least, len(words) AS n FROM l, t WHERE len(list_intersect(words, l)) >= least),
+f AS (SELECT doc_id, list_distinct(list(label)) AS found, max(o / n) AS most FROM m GROUP BY doc_id)
+SELECT w.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  array_to_string(list_sort(coalesce(names, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(names, []), coalesce(found, [])))), ',') AS labels,
+  CASE WHEN n_base > 0 THEN 1.0 ELSE CAST(coalesce(most, 0) AS DOUBLE) END AS score
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN f USING (doc_id)
+"""
+
+
 OP1_SQL = """
 WITH v AS (
   SELECT CAST(vec_id AS BIGINT) AS id, list_transform(embedding, lambda x: floor(CAST(x AS DOUBLE) * 64)) AS v FROM embeddings
@@ -66,4 +101,30 @@ SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest,
 FROM m
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op10_warc_round_trip": OP10_SQL}
+OP4_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d
+),
+m AS (
+  SELECT doc_id, t, w, len(w) AS n, l,
+    CASE WHEN len(w) < 3 THEN [] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END AS g FROM w
+),
+e AS (SELECT doc_id, unnest(g) AS g, unnest(range(len(g))) AS p FROM m),
+r AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, g) AS c FROM e) WHERE c > 1),
+k AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest([p, p + 1, p + 2]) AS q FROM r) GROUP BY doc_id),
+f AS (
+  SELECT m.doc_id, n AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, len(l) AS n_lines,
+    len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words
+  FROM m LEFT JOIN k USING (doc_id)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+  n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR (n_words > 0 AND n_symbols >= 2 * n_words) OR 10 * n_dup_lines > 3 * n_lines
+    OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words))) AS kept
+FROM f
+"""
+
+ORACLE_SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_license_scan": licenses_sql(), "op10_warc_round_trip": OP10_SQL}
