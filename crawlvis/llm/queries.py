@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from crawlvis.llm import attribution, codec, language, licenses, near_duplicates, packing, quality, topk, warc
+from crawlvis.llm import attribution, codec, extraction, language, licenses, near_duplicates, packing, quality, topk, warc
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -39,6 +39,10 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extracted(table(spark, sf_dir, "pages"))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_VOCABULARY), frequent=20_000)
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_quality_rules": op4_quality_rules,
     "op5_token_counts": op5_token_counts,
+    "op6_html_extraction": op6_html_extraction,
     "op7_bpe_round_trip": op7_bpe_round_trip,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scan": op9_license_scan,
