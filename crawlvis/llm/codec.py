@@ -9,6 +9,7 @@ from __future__ import annotations
 import hashlib
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlvis.llm.bpe import Vocabulary
+from crawlvis.llm.store import written
 from crawlvis.llm.transducer import Transducer, compile_words, save
 
 
@@ -49,14 +51,15 @@ def frequent_words(docs: DataFrame, most: int, *, text_col: str = "text") -> lis
     """The ``most`` frequent words of all texts, in lower case, ties to the smaller word. Counted map-side first."""
     word = F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("w")
     counts = docs.select(word).where("w != ''").groupBy("w").agg(F.count("*").alias("n"))
-    return [r["w"] for r in counts.orderBy(F.desc("n"), "w").limit(most).collect()]
+    # Written before it is collected, the limit is taken by a task and not from every partition's rows on the driver.
+    return [r["w"] for r in written(counts.orderBy(F.desc("n"), "w").limit(most), "frequent").collect()]
 
 
 def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, frequent: list[str] = ()) -> str:
     """Compiles the lexicon, hands the file to every executor, and gives its name there."""
     folder = tempfile.mkdtemp(prefix="lexicon-")
     arrays = compile_words(lexicon_words(vocabulary, frequent))
-    name = "lexicon-" + hashlib.sha256(b"".join(a.tobytes() for a in arrays.values())).hexdigest()[:24]
+    name = f"lexicon-{uuid.uuid4().hex}"  # Spark refuses a file of a name that it has met
     save(arrays, os.path.join(folder, name))
     docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
     return name

@@ -1,40 +1,5 @@
-"""Intermediate tables in the folder that the whole cluster shares.
+"""Intermediate tables of this subpackage's operators, in the folder that the whole cluster shares."""
 
-Expensive results that are read more than once, or between rounds of an iteration, are written as
-Parquet below ``spark.checkpoint.dir``: the lineage ends there, so a lost executor costs a reread.
-"""
+from crawlvis.sources.shared import new_path, shared_folder, written
 
-from __future__ import annotations
-
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own: list[str] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; where it is unset, in local runs only, a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    if not _own:
-        _own.append(tempfile.mkdtemp(prefix="crawlvis-"))
-        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
-    return f"file://{_own[0]}"
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df``, computed once, written to the shared folder and read from there."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["new_path", "shared_folder", "written"]
