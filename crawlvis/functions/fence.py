@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,3 +17,8 @@ def fenced(df: DataFrame, columns: dict[str, Column] | None = None, *, drop: tup
     columns = columns or {}
     kept = [F.col(f"`{c}`") for c in df.columns if c not in columns and c not in drop]
     return df.select(F.inline(F.array(F.struct(*kept, *[c.alias(n) for n, c in columns.items()]))))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value computed once, however often the result refers to it."""
+    return F.element_at(F.transform(F.array(value), then), 1)

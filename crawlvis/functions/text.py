@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlvis.functions.fence import let
+
 # White space, the shortest text that is compared by shingles, and their length.
 WS = r"[\t-\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 SHINGLE_SIZE, SHORT_TOKENS = 6, 12
@@ -117,7 +119,6 @@ def matched(needles: Column, hay: Column) -> Column:
     Sets are met by hashing; only needles that repeat are counted one by one, against the smaller of what is
     there and what is missing.
     """
-    let = lambda value, then: F.element_at(F.transform(F.array(value), then), 1)  # noqa: E731  a lambda would compute what it names for each element
     size = F.size(needles)
 
     def count(there: Column, missing: Column) -> Column:

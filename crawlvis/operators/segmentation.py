@@ -34,7 +34,7 @@ class Page:
         self.at = {n: i for i, n in enumerate(self.ids)}
         self.tag = [t.lower() for t in nodes.tag]
         self.parent = [self.at.get(p, -1) for p in nodes.parent_id]
-        self.attrs = [dict(a) if a is not None else {} for a in nodes.attrs]
+        self.attrs = [dict(a) if a is not None else {} for a in nodes["attrs"]]
         self.box = list(zip(nodes.x.astype(float), nodes.y.astype(float), nodes.width.astype(float), nodes.height.astype(float), strict=True))
         self.text = [t or "" for t in nodes.text]
         self.hidden = nodes.hidden.fillna(False).astype(bool).tolist()

@@ -227,18 +227,13 @@ def _names(a: str, b: str) -> str:
     return f"{common}::DOUBLE / (len({x}) + len({y}) - {common})"
 
 
-def _containment(t: str, c: str) -> str:
-    by_word = f"CASE WHEN len({t}) = 0 THEN 1.0 ELSE {share(t, c)} END"
-    by_shingle = f"CASE WHEN len({shing(t)}) = 0 THEN 1.0 ELSE len(list_filter({shing(t)}, lambda n: list_contains({shing(c)}, n)))::DOUBLE / len({shing(t)}) END"
-    return f"CASE WHEN len({t}) < 12 OR len({c}) < 12 THEN {by_word} ELSE {by_shingle} END"
-
-
 BOT = f"""
 WITH p AS (SELECT page_id AS scan_id, url, html, page_id % 5 AS k, CASE WHEN page_id % 11 = 10 THEN 500 ELSE 200 END AS cs, octet_length(encode(html)) AS cb FROM pages),
 c AS (SELECT *, CASE k WHEN 1 THEN 'Forbidden' WHEN 2 THEN '<html><body><h1>Just a moment...</h1><p>Checking your browser</p></body></html>'
   WHEN 3 THEN '<html><body><p>' || substring({raw_text('html')}, 1, 60) || '</p></body></html>' ELSE html END AS body, CASE k WHEN 1 THEN 403 ELSE 200 END AS s FROM p),
 w AS (SELECT *, octet_length(encode(body)) AS b, {toks(raw_text('body'))} AS t, {toks(raw_text('html'))} AS ct FROM c),
-n AS (SELECT *, CASE WHEN s BETWEEN 200 AND 299 AND len(ct) >= 50 THEN {_containment('ct', 't')} END AS cont FROM w),
+ws AS (SELECT *, {shing('ct')} AS cg, list_distinct({shing('t')}) AS g, list_distinct(t) AS dt FROM w),
+n AS (SELECT *, CASE WHEN s BETWEEN 200 AND 299 AND len(ct) >= 50 THEN CASE WHEN len(ct) < 12 OR len(t) < 12 THEN {share('ct', 'dt')} ELSE {share('cg', 'g')} END END AS cont FROM ws),
 r AS (SELECT *, CASE WHEN cs NOT BETWEEN 200 AND 299 THEN NULL WHEN s IN (401, 403, 429) THEN 'status'
   WHEN regexp_matches(body, {q(responses.CHALLENGE)}) AND NOT regexp_matches(html, {q(responses.CHALLENGE)}) AND len(t) <= 300 THEN 'challenge' WHEN cont < 0.4 THEN 'divergence' END AS blocked_reason FROM n),
 v AS (SELECT *, CASE blocked_reason {' '.join(f"WHEN {q(k)} THEN {filled(x, status='s', bytes='b', control_status='cs', control_bytes='cb', words='len(t)', control_words='len(ct)', containment='CAST(floor(cont * 100 + 0.5) AS BIGINT)')}" for k, x in W.BLOCKED_EVIDENCE.items())} END AS blocked_evidence FROM r)
@@ -277,7 +272,7 @@ _v4 = " OR ".join(f"n BETWEEN {a} AND {b}" for a, b in ((0, 16777215), (21307064
 
 def _placed(high: str, wide: str, least: str) -> str:
     return f"""{FULL}, h AS (SELECT scan_id, region_ord, region_ord * 400 AS y, region_ord * 100 AS tall, CAST({high} AS DOUBLE) AS h FROM rk)
-SELECT scan_id, region_ord, 0.0 AS left_percent, round(y / h * 100, 6) AS top_percent, 100.0 AS width_percent, round(greatest({least}, least(tall, h - y)) / h * 100, 6) AS height_percent FROM h WHERE y < h - {wide}"""
+SELECT scan_id, region_ord, CAST(0 AS DOUBLE) AS left_percent, round(CAST(y AS DOUBLE) / h * 100, 6) AS top_percent, CAST(100 AS DOUBLE) AS width_percent, round(greatest(CAST({least} AS DOUBLE), least(CAST(tall AS DOUBLE), h - y)) / h * 100, 6) AS height_percent FROM h WHERE y < h - {wide}"""
 
 
 SQL: dict[str, str] = {

@@ -88,11 +88,15 @@ def jpeg_size(data: bytes | None) -> tuple[int, int] | None:
     return None
 
 
-@F.pandas_udf("struct<width:int,height:int>")
-def jpeg_dimensions(files: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+def jpeg_dimensions(data: Column) -> Column:
     """struct<width, height> of JPEG files; nulls where a file isn't one."""
-    for some in files:
-        yield pd.DataFrame([jpeg_size(x) or (None, None) for x in some], columns=["width", "height"]).astype("Int32")
+
+    @F.pandas_udf("struct<width:int,height:int>")
+    def read(files: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for some in files:
+            yield pd.DataFrame([jpeg_size(x) or (None, None) for x in some], columns=["width", "height"]).astype("Int32")
+
+    return read(data)
 
 
 def screenshots(spark: SparkSession, folder: str) -> DataFrame:
