@@ -1,8 +1,9 @@
-"""Connected components of a graph held in tables, by hooking to the least neighbour and jumping.
+"""Connected components of a graph held in tables, by hooking to the least neighbour and contraction.
 
-Each round gives every node the least label among its neighbours, then the label of its label.
-Both joins read written tables, so that a node with very many edges, or a label that very many
-nodes share, is split over tasks; the number of rounds grows with the logarithm of a component.
+Each round gives every node its least neighbour as parent, jumps from parent to parent until every
+node points at a root, and replaces edges by those between roots. Edges shrink from round to round,
+and the rounds grow with the logarithm of a component's size. Joins read written tables on either
+side, so that a node with very many edges, or a root of very many nodes, is split over tasks.
 """
 
 from __future__ import annotations
@@ -13,22 +14,34 @@ from pyspark.sql import functions as F
 from crawlvis.llm.store import written
 
 
-def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, label for each node of ``edges`` (u, v): label is the least struct(rank, node) of its component.
+def _roots(edges: DataFrame) -> DataFrame:
+    """node, root: the root of each node of ``edges`` when all nodes hang on their least neighbour, if that is less than they."""
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    near = both.groupBy("u").agg(F.min("v").alias("near"))
+    roots = written(near.select(F.col("u").alias("node"), F.least("u", "near").alias("root")), "roots")
+    while True:
+        over = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        moved = written(roots.join(over, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
+        roots = moved.select("node", "root")
+        if not moved.where("moved").take(1):
+            return roots
+
 
-    nodes: node, rank of all that edges may name, each once. An edge from a node to itself gives that node alone.
+def components(edges: DataFrame) -> DataFrame:
+    """node, label for each node of ``edges`` (u, v): label is the least node of its component.
+
+    Nodes may be of any type that has an order. Repeated edges and those from a node to itself do no harm.
     """
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
-    both = written(both, "edges")
-    seen = both.select(F.col("u").alias("node")).distinct()
-    own = F.struct("rank", "node").alias("label")
-    labels = written(nodes.join(seen, "node", "left_semi").select("node", own), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        hooked = labels.join(near.withColumnRenamed("u", "node"), "node").select("node", F.col("label").alias("before"), F.least("label", "near").alias("label"))
-        hooked = written(hooked.withColumn("of", F.col("label.node")), "hooked")
-        over = hooked.select(F.col("node").alias("of"), F.col("label").alias("next"))
-        labels = written(hooked.join(over, "of").select("node", F.least("label", "next").alias("label"), (F.least("label", "next") != F.col("before")).alias("moved")), "labels")
-        if not labels.where("moved").take(1):
-            return labels.select("node", "label")
-        labels = labels.select("node", "label")
+    edges = written(edges.select("u", "v").distinct(), "edges")
+    labels = None
+    while labels is None or edges.take(1):
+        roots = _roots(edges)
+        if labels is None:
+            labels = roots.withColumnRenamed("root", "label")
+        else:
+            over = roots.select(F.col("node").alias("label"), F.col("root").alias("next"))
+            labels = written(labels.join(over, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+        left = edges.join(roots.select(F.col("node").alias("u"), F.col("root").alias("a")), "u")
+        between = left.join(roots.select(F.col("node").alias("v"), F.col("root").alias("b")), "v").where("a != b")
+        edges = written(between.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+    return labels

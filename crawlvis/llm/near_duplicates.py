@@ -71,7 +71,7 @@ def shingle_hashes(texts: list[str], words: int = WORDS) -> Iterator[tuple[int,
         total = np.zeros(len(hashed), dtype=np.uint64)
         for k in range(words):
             part = np.zeros_like(total)
-            part[: len(hashed) - k] = hashed[k:]
+            part[: max(len(hashed) - k, 0)] = hashed[k:]
             total = total * ODD + np.where(left > k, part, np.uint64(k))
         yield begin, end, mixed(total[opens]), np.concatenate(([0], np.cumsum(np.bincount(owner[opens], minlength=end - begin))))
 
@@ -115,17 +115,18 @@ def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, node = batch.column(0).to_numpy(), batch.column(1)
         start = np.concatenate(([open_key is None or key[0] != open_key], key[1:] != key[:-1]))
         centre = np.maximum.accumulate(np.where(start, np.arange(n), -1))
-        pool = pa.concat_arrays([pa.array([open_node], node.type), node])
+        pool = pa.concat_arrays([node.slice(0, 1) if open_node is None else open_node, node])
         u, v = node.filter(pa.array(~start)), pool.take(pa.array(centre[~start] + 1))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(u), pa.int64()), u, v], names=names)
         if first_row is None:
-            first_row = (int(key[0]), node[0].as_py())
+            first_row = (int(key[0]), node.slice(0, 1))
         if start.any():
             last = int(np.flatnonzero(start)[-1])
-            open_key, open_node = int(key[last]), node[last].as_py()
+            open_key, open_node = int(key[last]), node.slice(last, 1)
     if first_row is not None:
-        outer = {first_row, (open_key, open_node)}
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in outer], pa.int64()), pa.array([x for _, x in outer], pa.binary()), pa.nulls(len(outer), pa.binary())], names=names)
+        keys = [first_row[0]] + [open_key] * (open_key != first_row[0])
+        nodes = pa.concat_arrays([first_row[1], open_node][: len(keys)])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), nodes, pa.nulls(len(keys), nodes.type)], names=names)
 
 
 def candidate_edges(texts: DataFrame) -> DataFrame:
@@ -135,9 +136,9 @@ def candidate_edges(texts: DataFrame) -> DataFrame:
     """
     spark = texts.sparkSession
     rows = texts.select(F.explode("keys").alias("key"), "node")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts, kind = int(spark.conf.get("spark.sql.shuffle.partitions")), rows.schema["node"].dataType.simpleString()
     ranged = rows.repartitionByRange(parts, "key", "node").sortWithinPartitions("key", "node")
-    found = written(ranged.mapInArrow(_together, "key long, u binary, v binary"), "together")
+    found = written(ranged.mapInArrow(_together, f"key long, u {kind}, v {kind}"), "together")
     outer = found.where("key is not null")
     across = outer.join(outer.groupBy("key").agg(F.min("u").alias("least")), "key").select("u", F.col("least").alias("v"))
     return found.where("key is null").select("u", "v").union(across).where("u != v").distinct()
@@ -213,8 +214,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = docs.select(F.unhex(F.md5(text.cast("binary"))).alias("node"), F.col(id_col).alias("rank"), text.alias("text"))
     signed = rows.mapInArrow(lambda batches: _signed(batches, words, trees, depth), f"node binary, rank {kind}, keys array<long>")
     texts = written(signed.groupBy("node").agg(F.min("rank").alias("rank"), F.count("*").alias("n"), F.first("keys").alias("keys")), "texts")
-    found = components(candidate_edges(texts), texts.select("node", "rank"))
-    families = written(found.select("node", F.col("label.node").alias("family")), "families")
+    node = F.struct("rank", "node")
+    found = components(candidate_edges(texts.select(node.alias("node"), "keys")))
+    families = written(found.select("node.node", F.col("label.node").alias("family")), "families")
     sizes = written(families.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "sizes")
     members = texts.select("node", "rank", "n").join(families.join(sizes, "family"), "node")
     first = rows.alias("r").join(members.alias("m"), (F.col("r.node") == F.col("m.node")) & F.col("r.rank").eqNullSafe(F.col("m.rank"))).select("r.node", "m.family", "m.blocks", "m.n", "r.text")
@@ -224,7 +226,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     dealt = shingled.select("node", "family", "n", "shingles", "blocks", block).select("node", "family", "n", "shingles", "block", other)
     dealt = dealt.select("node", "family", "n", "shingles", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
     links = written(dealt.groupBy("family", "a", "b").applyInArrow(lambda t: _verified(t, similarity), "node binary, root binary, texts long, documents long"), "links")
-    joined = components(links.select(F.col("node").alias("u"), F.col("root").alias("v")), texts.select("node", "rank"))
+    least = written(links.select("node", "root").join(texts.select("node", "rank"), "node").select(node.alias("u"), "root"), "linked")
+    joined = components(least.join(texts.select(F.col("node").alias("root"), node.alias("v")), "root").select("u", "v")).select("node.node", "label")
     counts = links.groupBy("node").agg(F.sum("texts").alias("texts"), F.sum("documents").alias("documents"))
     zero = F.lit(0).cast("long")
     table = texts.select("node", "rank", "n").join(joined, "node", "left").join(counts, "node", "left").select(
