@@ -195,7 +195,7 @@ SELECT raw.scan_id, '# Crawler visibility fix plan — ' || url || {NL} || {NL}
 FROM raw LEFT JOIN sc USING (scan_id) LEFT JOIN bd USING (scan_id)"""
 
 _rate = """
-WITH RECURSIVE e AS (SELECT event_type AS ip, event_id AS req_id, epoch_ms(CAST(ts AS TIMESTAMP)) AS ts_ms, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+WITH RECURSIVE e AS (SELECT event_type AS ip, event_id AS req_id, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ts_ms, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
 f AS (
   SELECT ip, n, req_id, ts_ms, TRUE AS allowed, CAST(0 AS BIGINT) AS retry_after, [ts_ms] AS kept FROM e WHERE n = 1
   UNION ALL
@@ -313,7 +313,7 @@ SELECT address, coalesce({_v4}, FALSE) AS is_private FROM n""",
     "robots_grid": _grid(),
     "llms_check": rows([(r[0], *r[5:]) for r in X.LLMS], "scan_id, present, links_to_path", "CAST(scan_id AS BIGINT) AS scan_id, present, links_to_path"),
     "scan_history_delta": f"WITH {SCANS} SELECT scan_id, lag(scan_id) OVER w AS prev_scan_id, lag(score) OVER w AS prev_score, score - lag(score) OVER w AS score_delta FROM sn WHERE status = 'done' WINDOW w AS (PARTITION BY normalized_url ORDER BY finished_at, scan_id)",
-    "dedupe_cached": """WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS normalized_url, epoch_ms(CAST(ts AS TIMESTAMP)) AS ms, ts FROM events),
+    "dedupe_cached": """WITH e AS (SELECT event_id, CAST(user_id AS VARCHAR) AS normalized_url, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ms, ts FROM events),
 d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY normalized_url, ts ORDER BY event_id DESC) AS k FROM e WHERE event_id % 3 <> 0) WHERE k = 1)
 SELECT a.event_id AS req_id, a.normalized_url, CASE WHEN a.event_id % 2 <> 0 AND a.ms - d.ms < 600000 THEN d.event_id END AS cached_scan_id, CASE WHEN a.event_id % 2 <> 0 AND a.ms - d.ms < 600000 THEN CAST(floor((a.ms - d.ms) / 1000.0 + 0.5) AS BIGINT) END AS age_seconds
 FROM (SELECT * FROM e WHERE event_id % 3 = 0) a ASOF LEFT JOIN d ON a.normalized_url = d.normalized_url AND a.ts >= d.ts""",
@@ -329,7 +329,7 @@ SELECT a.pair_id, a.region_ord AS prev_ord, b.region_ord AS next_ord FROM a JOIN
     "finished_events": f"WITH {SCANS} SELECT scan_id AS client_id, scan_id, scan_id % 4 + 1 AS seq, status, score FROM sn",
     "rate_limit": _rate,
     "queue_positions": "WITH s AS (SELECT event_id AS scan_id, CASE WHEN event_id % 100 < 2 THEN 'running' WHEN event_id % 100 < 50 THEN 'waiting' ELSE 'done' END AS state, ts FROM events) SELECT scan_id, state, CASE state WHEN 'running' THEN 0 WHEN 'waiting' THEN row_number() OVER (PARTITION BY state ORDER BY ts, scan_id) END AS position FROM s",
-    "boot_sweep": f"WITH s AS (SELECT event_id AS scan_id, {_status7}[event_id % 7 + 1] AS status, epoch_ms(CAST(ts AS TIMESTAMP)) AS ms FROM events) SELECT scan_id, CASE WHEN status IN {_in_flight} THEN 'error' ELSE status END AS status, CASE WHEN status IN {_in_flight} THEN {q(W.SWEPT[0])} END AS error_type, CASE WHEN status IN {_in_flight} THEN {q(W.SWEPT[1])} END AS error_message, CASE WHEN status IN {_in_flight} THEN {_now} ELSE ms END AS finished_ms FROM s",
+    "boot_sweep": f"WITH s AS (SELECT event_id AS scan_id, {_status7}[event_id % 7 + 1] AS status, epoch_us(CAST(ts AS TIMESTAMP)) // 1000 AS ms FROM events) SELECT scan_id, CASE WHEN status IN {_in_flight} THEN 'error' ELSE status END AS status, CASE WHEN status IN {_in_flight} THEN {q(W.SWEPT[0])} END AS error_type, CASE WHEN status IN {_in_flight} THEN {q(W.SWEPT[1])} END AS error_message, CASE WHEN status IN {_in_flight} THEN {_now} ELSE ms END AS finished_ms FROM s",
     "blob_cap": f"WITH t AS (SELECT doc_id, CASE WHEN length(text) > 2000 THEN substring(text, 1, 2000) || {q(W.TRUNCATED)} ELSE text END AS t FROM documents) SELECT doc_id, length(t) AS n_chars, md5(t) AS text_md5 FROM t",
     "new_scans": rows([(c[0], c[1], "queued" if c[1] else "error", None if c[1] else "invalid_url") for c in X.URL_CASES], "input_url, normalized_url, status, error_type"),
     "latest_rows": "SELECT user_id AS scan_id, max(event_id) AS version, arg_max(event_type, event_id) AS status FROM events GROUP BY user_id",

@@ -7,9 +7,11 @@ Parquet below ``spark.checkpoint.dir``: the lineage ends there, so a lost execut
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,3 +40,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless the environment lets them import it from where it is."""
+    package = Path(__file__).resolve().parents[1]
+    if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_crawlvis_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="crawlvis-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/crawlvis-code", "zip", package.parent, package.name))
+    spark.sparkContext._crawlvis_shipped = True
