@@ -13,6 +13,8 @@ from crawlvis.functions import urls
 
 # Requests per window and address, and scans that run at once.
 LIMIT, WINDOW_MS, SLOTS = 10, 60_000, 2
+#: Pieces of a log that one call folds.
+PIECES = 512
 
 
 def admit(stamps: list[int], now: int, limit: int = LIMIT, window_ms: int = WINDOW_MS) -> tuple[bool, int]:
@@ -32,12 +34,13 @@ def rate_limited(requests: DataFrame) -> DataFrame:
     """ip, req_id, ts_ms, allowed, retry_after of requests (req_id, ip, ts), in order of time and id.
 
     Each decision depends on the ones before, so requests are folded in order. After a window without requests nothing
-    is left to remember: an address's log is cut there, and its pieces are folded by different tasks.
+    is left to remember: an address's log is cut there, and runs of its pieces are folded by different tasks.
     """
     rows = requests.select("ip", "req_id", F.unix_millis("ts").alias("ts_ms"))
     order = Window.partitionBy("ip").orderBy("ts_ms", "req_id")
     apart = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) >= WINDOW_MS, F.lit(True))
-    pieces = rows.withColumn("piece", F.sum(apart.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    piece = F.sum(apart.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    pieces = rows.withColumn("run", F.floor(piece / PIECES))
     ip, req = (dict(rows.dtypes)[c] for c in ("ip", "req_id"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -46,7 +49,7 @@ def rate_limited(requests: DataFrame) -> DataFrame:
         decided = [admit(stamps, int(t)) for t in group.ts_ms]
         return group[["ip", "req_id", "ts_ms"]].assign(allowed=[a for a, _ in decided], retry_after=[w for _, w in decided])
 
-    return pieces.groupBy("ip", "piece").applyInPandas(fold, f"ip {ip}, req_id {req}, ts_ms long, allowed boolean, retry_after long")
+    return pieces.groupBy("ip", "run").applyInPandas(fold, f"ip {ip}, req_id {req}, ts_ms long, allowed boolean, retry_after long")
 
 
 def simulate(arrivals: list[tuple[int, int]], slots: int = SLOTS) -> list[tuple[int, int, int]]:

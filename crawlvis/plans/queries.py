@@ -450,13 +450,13 @@ def node_table(spark, sf_dir):
 @query
 def stream_event_log(spark, sf_dir):
     rows = streams.table_stream(spark, sf_dir, "events").select(F.col("user_id").alias("scan_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("status"))
-    return streams.completed(streams.event_log(rows), "event-log")
+    return streams.completed(streams.event_log(rows, forget=False), "event-log")
 
 
 @query
 def stream_rate_limit(spark, sf_dir):
     rows = streams.table_stream(spark, sf_dir, "events").select(F.col("event_id").alias("req_id"), F.col("event_type").alias("ip"), F.col("ts").cast("timestamp").alias("ts"))
-    return streams.completed(streams.rate_limited(rows), "rate-limit")
+    return streams.completed(streams.rate_limited(rows, forget=False), "rate-limit")
 
 
 @query

@@ -15,10 +15,15 @@ from crawlvis.operators.history import cached_scans
 from crawlvis.sources.shared import new_path
 
 
-def event_log(events: DataFrame) -> DataFrame:
+def _clock(forget: bool) -> str:
+    return GroupStateTimeout.ProcessingTimeTimeout if forget else GroupStateTimeout.NoTimeout
+
+
+def event_log(events: DataFrame, *, forget: bool = True) -> DataFrame:
     """scan_id, event_id, ts_ms, status, seq of a stream of events (scan_id, event_id, ts, status): numbered from 1 in each scan.
 
-    A scan's count is forgotten some minutes after it ends, when no event of it comes any more.
+    A scan's count is forgotten some minutes after it ends, when no event of it comes any more. Such clocks keep a query
+    running batches, so one that is to end with its input must not ``forget``.
     """
     rows = events.select("scan_id", "event_id", F.unix_millis("ts").alias("ts_ms"), "status")
     kind = dict(rows.dtypes)["scan_id"]
@@ -31,14 +36,14 @@ def event_log(events: DataFrame) -> DataFrame:
         some = pd.concat(list(batches)).sort_values(["ts_ms", "event_id"])
         out = some.assign(seq=range(seq + 1, seq + 1 + len(some)))
         state.update((seq + len(some),))
-        if some.status.isin(TERMINAL).any():
+        if forget and some.status.isin(TERMINAL).any():
             state.setTimeoutDuration(KEPT_MS)
         yield out
 
-    return rows.groupBy("scan_id").applyInPandasWithState(number, f"scan_id {kind}, event_id long, ts_ms long, status string, seq long", "seq long", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("scan_id").applyInPandasWithState(number, f"scan_id {kind}, event_id long, ts_ms long, status string, seq long", "seq long", "append", _clock(forget))
 
 
-def rate_limited(requests: DataFrame) -> DataFrame:
+def rate_limited(requests: DataFrame, *, forget: bool = True) -> DataFrame:
     """ip, req_id, ts_ms, allowed, retry_after of a stream of requests (req_id, ip, ts). The state of an address is the times that passed, ten at most."""
     rows = requests.select("ip", "req_id", F.unix_millis("ts").alias("ts_ms"))
     kind = dict(rows.dtypes)["ip"]
@@ -51,10 +56,11 @@ def rate_limited(requests: DataFrame) -> DataFrame:
         some = pd.concat(list(batches)).sort_values(["ts_ms", "req_id"])
         decided = [admit(stamps, int(t)) for t in some.ts_ms]
         state.update((stamps,))
-        state.setTimeoutDuration(WINDOW_MS)
+        if forget:
+            state.setTimeoutDuration(WINDOW_MS)
         yield some.assign(allowed=[a for a, _ in decided], retry_after=[w for _, w in decided])
 
-    return rows.groupBy("ip").applyInPandasWithState(decide, f"ip {kind}, req_id long, ts_ms long, allowed boolean, retry_after long", "stamps array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("ip").applyInPandasWithState(decide, f"ip {kind}, req_id long, ts_ms long, allowed boolean, retry_after long", "stamps array<long>", "append", _clock(forget))
 
 
 def queued(requests: DataFrame) -> DataFrame:
