@@ -11,9 +11,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +28,8 @@ LEAST_BYTES = 1000
 #: Rows of equal payload are dealt over so many groups.
 SALTS = 64
 RECORDS_PER_FILE = 4000
+LENGTH = re.compile(rb"(?i)\r\nContent-Length:[ \t]*(\d{1,15})[ \t]*\r\n")
+CANDIDATE = (("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("size", pa.int64()), ("head_size", pa.int64()), ("declared", pa.int64()), ("head", pa.string()), ("digest", pa.string()), ("value", pa.string()))
 ID_PREFIX = "urn:page:"
 
 
@@ -74,24 +78,39 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
     rows.select(text.alias("value")).write.option("lineSep", BREAK).option("compression", compression).option("maxRecordsPerFile", records_per_file).text(path)
 
 
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidates of one task's splits, in order. Beyond ``horizon`` no candidate so far reaches, nor can one of an earlier split."""
+    split, at, horizon = None, 0, 0.0
+    for batch in batches:
+        file, block, seq, value = (c.to_pylist() for c in batch.columns)
+        rows = []
+        for f, b, n, text in zip(file, block, seq, value, strict=True):
+            if (f, b) != split:
+                split, at, horizon = (f, b), 0, float("inf") if b else 0.0
+            raw = text.encode()
+            head = raw.partition(BREAK.encode())[0]
+            found = LENGTH.search(b"\r\n" + head + b"\r\n")
+            declared, head_size = int(found[1]) if found else None, len(head) + len(BREAK)
+            end = head_size + (declared or 0) + len(BREAK)
+            exact, inside = declared is not None and len(raw) == end, at < horizon
+            if declared is not None and not exact:
+                horizon = max(horizon, at + end)
+            digest = hashlib.sha1(raw[head_size : head_size + declared]).hexdigest() if exact else None
+            rows.append((f, b, n, len(raw), head_size, declared, None if declared is None else head.decode(), digest, text if inside or not exact else None))
+            at += len(raw) + len(MAGIC)
+        columns = list(zip(*rows, strict=True)) or [()] * len(CANDIDATE)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(columns, CANDIDATE, strict=True)], names=[name for name, _ in CANDIDATE])
+
+
 def candidates(archives: DataFrame) -> DataFrame:
-    """What follows each version line, in the order of each file: place, head, declared length, and what a whole record's payload is.
+    """What follows each version line, in the order of each file: place, sizes, head, declared length, digest, and text where it may be needed.
 
-    archives: as ``read_text`` gives it. A candidate whose declared end is where the next version line stands holds its payload
-    already, and goes on with its digest alone; of others the text goes along.
+    archives: as ``read_text`` gives it. A candidate that ends where the next version line stands, and that lies in no longer
+    one's declared payload, goes on with its payload's digest alone. In later splits of a file that can't be told, so there the
+    text always goes along.
     """
-    value = F.col("value")
-    head = F.substring_index(value, BREAK, 1)
-    length = F.coalesce(F.regexp_extract(F.concat(F.lit("\r\n"), head, F.lit("\r\n")), r"(?i)\r\nContent-Length:[ \t]*(\d{1,15})[ \t]*\r\n", 1), F.lit(""))
-    parsed = archives.select("file", "block", "seq", "value", head.alias("head"), F.when(length != "", length.cast("long")).alias("declared"))
-    size = F.octet_length("value").cast("long")
-    head_size = (F.octet_length("head") + len(BREAK)).cast("long")
-    exact = F.coalesce(size == head_size + F.col("declared") + len(BREAK), F.lit(False))
-    payload = F.expr(f"substring(value, length(head) + {len(BREAK) + 1}, length(value) - length(head) - {2 * len(BREAK)})")
-    return parsed.select(
-        "file", "block", "seq", size.alias("size"), head_size.alias("head_size"), "declared", F.when(F.col("declared").isNotNull(), F.col("head")).alias("head"),
-        F.when(exact, F.sha1(payload.cast("binary"))).alias("digest"), F.when(~exact, F.col("value")).alias("value"),
-    )
+    schema = "file string, block long, seq long, size long, head_size long, declared long, head string, digest string, value string"
+    return archives.select("file", "block", "seq", "value").mapInArrow(_parsed, schema)
 
 
 def read_text(spark, path: str) -> DataFrame:
