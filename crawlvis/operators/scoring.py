@@ -116,11 +116,11 @@ def evidence() -> Column:
     return chosen({issue: filled(text, **values) for issue, text in W.EVIDENCE.items()}, F.col("issue_type"))
 
 
-def classified(regions: DataFrame, probe_clears: Column | None = None) -> DataFrame:
-    """Regions with issue_type, status and evidence; empty shells are dropped first. Needs word_count, flags, links, container, coverage."""
+def classified(regions: DataFrame, probe_clears: Column | None = None, *, told: bool = True) -> DataFrame:
+    """Regions with issue_type, status and, if it is to be ``told``, evidence; empty shells are dropped first. Needs word_count, flags, links, container, coverage."""
     kept = regions.where(~is_empty_shell())
     named = fenced(kept, {"issue_type": issue_type(F.lit(False) if probe_clears is None else probe_clears)})
-    return fenced(named, {"status": looked_up(W.VERDICT_OF, F.col("issue_type")), "evidence": evidence()})
+    return fenced(named, {"status": looked_up(W.VERDICT_OF, F.col("issue_type"))} | ({"evidence": evidence()} if told else {}))
 
 
 def probe_outcomes_joined(regions: DataFrame, probes: DataFrame, base: str = "url") -> DataFrame:

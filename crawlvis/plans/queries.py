@@ -29,8 +29,8 @@ def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.rendered_regions(scan.raw_and_rendered(table(spark, sf_dir, "pages")))
 
 
-def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.region_results(_captures(spark, sf_dir))
+def _results(spark: SparkSession, sf_dir: str, *, told: bool = False) -> DataFrame:
+    return scan.region_results(_captures(spark, sf_dir), told=told)
 
 
 @query
@@ -176,20 +176,20 @@ def screenshot_placement(spark, sf_dir):
 
 @query
 def fix_prompts(spark, sf_dir):
-    return scan.with_prompts(_results(spark, sf_dir)).select("scan_id", "region_ord", "fix_prompt")
+    return scan.with_prompts(_results(spark, sf_dir, told=True)).select("scan_id", "region_ord", "fix_prompt")
 
 
 @query
 def fix_plan(spark, sf_dir):
     heads = scan.raw_and_rendered(table(spark, sf_dir, "pages"))
-    docs = scan.scan_documents(heads, scan.with_prompts(_results(spark, sf_dir)))
+    docs = scan.scan_documents(heads, scan.with_prompts(_results(spark, sf_dir, told=True)))
     return docs.select("scan_id", reporting.fix_plan().alias("markdown"), reporting.attachment_name(F.col("url"), F.col("scanned_at"), F.col("scanned_at"), ".md").alias("file_name"))
 
 
 @query
 def html_report(spark, sf_dir):
     heads = scan.raw_and_rendered(table(spark, sf_dir, "pages"))
-    docs = scan.scan_documents(heads, scan.with_prompts(_results(spark, sf_dir)))
+    docs = scan.scan_documents(heads, scan.with_prompts(_results(spark, sf_dir, told=True)))
     return docs.select("scan_id", F.length(reporting.html_report()).cast("long").alias("n_chars"), F.md5(reporting.html_report()).alias("html_md5"))
 
 

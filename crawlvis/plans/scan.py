@@ -59,9 +59,9 @@ def raw_and_rendered(pages: DataFrame) -> DataFrame:
     return fenced(pages.select(F.col("page_id").alias("scan_id"), "url", "html"), {"raw_html": thinned(F.col("html"), F.col("scan_id"))})
 
 
-def region_results(captures: DataFrame) -> DataFrame:
-    """Captures beside their haystacks → regions with coverage, class, evidence, weight and rank."""
-    rows = scoring.weighed(scoring.classified(scoring.diffed(captures)))
+def region_results(captures: DataFrame, *, told: bool = True) -> DataFrame:
+    """Captures beside their haystacks → regions with coverage, class, evidence (if ``told``), weight and rank."""
+    rows = scoring.weighed(scoring.classified(scoring.diffed(captures), told=told))
     return scoring.issue_order(rows)
 
 
