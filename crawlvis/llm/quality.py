@@ -31,10 +31,12 @@ RULES = (
     Rule("symbols", 2, "n_symbols >= 2 * n_words AND n_words > 0"),
     Rule("repeated_lines", 3, "10 * n_dup_lines > 3 * n_lines"),
     Rule("word_length", 4, "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words)"),
+    Rule("symbol_ratio", 5, "5 * n_symbols > n_words AND n_words > 0"),
 )
-#: Rejecting rules by policy version. Version 1 has the base rules alone.
-POLICIES = {1: ("few_words", "repeated_windows"), 2: tuple(r.name for r in RULES)}
-BASE = 1
+#: Rejecting rules by policy version. Version 1 has the base rules alone, version 2 those of op4's SQL, version 3 also
+#: rejects texts with a symbol in more than a fifth of their words, as menus with bars between their words have.
+POLICIES = {1: ("few_words", "repeated_windows"), 2: tuple(r.name for r in RULES if r.bit < 5), 3: tuple(r.name for r in RULES)}
+BASE, CURRENT = 1, 3
 
 
 def mask(version: int) -> int:
@@ -105,13 +107,13 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     return measured.withColumn("failures", bits.cast("long"))
 
 
-def judged(book: DataFrame, version: int = 2) -> DataFrame:
+def judged(book: DataFrame, version: int = CURRENT) -> DataFrame:
     """The ledger with base_failed, and kept: no rule of the policy fails and none of the base policy."""
     fails = lambda m: F.col("failures").bitwiseAND(F.lit(m)) != 0
     return book.withColumns({"base_failed": fails(mask(BASE)), "kept": ~fails(mask(BASE) | mask(version))})
 
 
-def ablations(book: DataFrame, version: int = 2) -> DataFrame:
+def ablations(book: DataFrame, version: int = CURRENT) -> DataFrame:
     """One row per rule of the policy: how many documents it fails, and how many only it rejects. One aggregation over the bits."""
     m = F.lit(mask(version))
     failed = F.col("failures").bitwiseAND(m)
@@ -126,6 +128,6 @@ def ablations(book: DataFrame, version: int = 2) -> DataFrame:
     )
 
 
-def kept_documents(docs: DataFrame, version: int = 2, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def kept_documents(docs: DataFrame, version: int = CURRENT, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that the policy keeps, with their own columns."""
     return judged(ledger(docs, id_col=id_col, text_col=text_col, keep=tuple(docs.columns)), version).where("kept").select("row.*")

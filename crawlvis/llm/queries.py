@@ -31,7 +31,7 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.judged(quality.ledger(table(spark, sf_dir, "documents")))
+    book = quality.judged(quality.ledger(table(spark, sf_dir, "documents")), 2)
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
