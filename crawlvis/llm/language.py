@@ -3,7 +3,9 @@
 A word known from the training rows scores its log frequency in each language. An unseen word falls
 back to its character n-grams, with a mark at either end: the longest length of which any n-gram is
 known gives the mean of their log frequencies, and shorter ones are tried in turn. A text's language
-is the one with the largest sum over all of its words.
+is the one with the largest sum over all of its words. That sum tells languages apart, but grows with
+the text whatever the language; whether a text is in a language at all is told by the share of its
+words that the model knows in it, against the share that new texts of the language are expected to have.
 
 The model is fit on a bounded sample of the labelled rows, given by ``MAX_TRAINING_ROWS``, and keeps a
 bounded number of words and n-grams per language, so that it may be broadcast.
@@ -28,6 +30,8 @@ LENGTHS = (5, 4, 3, 2, 1)
 #: Log frequency of what a language lacks while another has it.
 MISSING = 0.5
 MIN_SCORE = 0.5
+#: Part of a language's expected share of known words that a text must reach to be kept.
+MIN_KNOWN = 0.5
 UNKNOWN = "und"
 #: Unseen words whose scores a worker remembers at most; beyond it the memory starts anew.
 REMEMBERED = 200_000
@@ -45,6 +49,8 @@ class Model:
     languages: list[str]
     words: dict[str, np.ndarray]
     grams: dict[str, np.ndarray]
+    lacking: np.ndarray | None = None  # the score, by language, of words that it lacks
+    expected: np.ndarray | None = None  # the share of known words, by language, that new texts of it should have
 
     def unseen(self, word: str) -> np.ndarray:
         marked = f"\x02{word}\x03"
@@ -60,17 +66,22 @@ class Model:
 
     def predict(self, texts: list[str], memory: dict[str, np.ndarray] | None = None) -> list[tuple[str, float]]:
         """The language and the share of it in the posterior over languages, for each whole text; ``und`` and 0 without letters."""
+        return [(lang, score) for lang, score, _ in self.judged(texts, memory)]
+
+    def judged(self, texts: list[str], memory: dict[str, np.ndarray] | None = None) -> list[tuple[str, float, bool]]:
+        """As ``predict``, and whether the text is in the language: any of its words or n-grams is known, and of its words
+        no less than ``MIN_KNOWN`` of the expected share, less a standard error, which matters in short texts."""
         memory = {} if memory is None else memory
         out = []
         for begin, end, scan in scans([t.lower() for t in texts]):
             n = end - begin
             if not self.languages:
-                out += [(UNKNOWN, 0.0)] * n
+                out += [(UNKNOWN, 0.0, False)] * n
                 continue
             start, _ = scan.runs()
             cuts = np.concatenate((np.flatnonzero(start), [len(scan.points)]))
             totals = np.zeros((n, len(self.languages)))
-            count = np.zeros(n, dtype=np.int64)
+            count, known, seen = (np.zeros(n, dtype=np.int64) for _ in range(3))
             if len(cuts) > 1:
                 pieces = scan.strings(cuts).dictionary_encode()
                 codes = pieces.indices.to_numpy()
@@ -78,8 +89,10 @@ class Model:
                 used = np.zeros(len(pieces.dictionary), dtype=bool)
                 used[codes[lettered]] = True
                 table = np.zeros((len(used), len(self.languages)))
+                whole = np.zeros(len(used), dtype=bool)
                 for i, word in zip(np.flatnonzero(used).tolist(), pieces.dictionary.filter(pa.array(used)).to_pylist(), strict=True):
                     row = self.words.get(word)
+                    whole[i] = row is not None
                     if row is None:
                         row = memory.get(word)
                         if row is None:
@@ -92,9 +105,17 @@ class Model:
                 count = np.bincount(owner, minlength=n)
                 for k in range(len(self.languages)):
                     totals[:, k] = np.bincount(owner, weights=table[chosen, k], minlength=n)
+                seen = np.bincount(owner, weights=table.any(axis=1)[chosen], minlength=n)
+                if self.lacking is not None:
+                    has = whole[:, None] & (table > self.lacking + 0.1)
+                    known = np.bincount(owner, weights=has[chosen, totals.argmax(axis=1)[owner]], minlength=n)
             best = totals.argmax(axis=1)
+            fits = seen > 0
+            if self.lacking is not None:
+                some = np.maximum(count, 1)
+                fits &= known / some + 0.5 / np.sqrt(some) >= MIN_KNOWN * self.expected[best]
             share = 1 / np.exp(totals - totals.max(axis=1, keepdims=True)).sum(axis=1)
-            out += [(self.languages[b], float(s)) if c else (UNKNOWN, 0.0) for b, s, c in zip(best, share, count, strict=True)]
+            out += [(self.languages[b], float(s), bool(f)) if c else (UNKNOWN, 0.0, False) for b, s, c, f in zip(best, share, count, fits, strict=True)]
         return out
 
 
@@ -111,7 +132,7 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     words = sample.select(F.col(lang_col).alias("lang"), word.alias("w")).where("w != ''").groupBy("lang", "w").agg(F.count("*").alias("c"))
     marked = F.concat(F.lit("\x02"), "w", F.lit("\x03"))
     grams = F.flatten(F.array(*[F.when(F.length(marked) >= n, F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))).otherwise(F.array().cast("array<string>")) for n in LENGTHS]))
-    counted = words.select("lang", "c", F.explode(grams).alias("w")).groupBy("lang", "w").agg(F.sum("c").alias("c"))
+    counted = words.select("lang", "c", F.explode(grams).alias("w")).where(~F.col("w").isin("\x02", "\x03")).groupBy("lang", "w").agg(F.sum("c").alias("c"))  # every word has both marks
 
     def most(table: DataFrame, limit: int, *by: str) -> list:
         rank = F.row_number().over(Window.partitionBy("lang", *by).orderBy(F.desc("c"), "w"))
@@ -123,10 +144,15 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     languages = sorted({r["lang"] for r in known})
     place = {lang: i for i, lang in enumerate(languages)}
     size = {r["lang"]: r["total"] for r in known}
-    return Model(languages, _scores(known, place, [size[lang] for lang in languages]), _gram_scores(parts, place))
+    totals = np.array([size[lang] for lang in languages], dtype=float)
+    # As many of a new text's words are unknown as words that occur once are of the sample's.
+    again = np.zeros(len(languages))
+    for r in known:
+        again[place[r["lang"]]] += r["c"] if r["c"] > 1 else 0
+    return Model(languages, _scores(known, place, totals), _gram_scores(parts, place), np.log(MISSING) - np.log(totals + 1), again / np.maximum(totals, 1))
 
 
-def _scores(rows: list, place: dict[str, int], totals: list[int]) -> dict[str, np.ndarray]:
+def _scores(rows: list, place: dict[str, int], totals: list[int] | np.ndarray) -> dict[str, np.ndarray]:
     counts: dict[str, np.ndarray] = {}
     for r in rows:
         counts.setdefault(r["w"], np.full(len(place), MISSING))[place[r["lang"]]] = r["c"]
@@ -162,14 +188,14 @@ def predictions(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_c
 
 
 def kept_documents(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = MIN_SCORE) -> DataFrame:
-    """The rows of ``docs`` whose text has a language by the model, with a score of at least ``least``."""
+    """The rows of ``docs`` whose text is in a language of the model, with a score of at least ``least``."""
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memory: dict[str, np.ndarray] = {}
         for batch in batches:
-            found = shared.value.predict([t or "" for t in batch.column(at).to_pylist()], memory)
-            yield batch.filter(pa.array([lang != UNKNOWN and score >= least for lang, score in found], pa.bool_()))
+            found = shared.value.judged([t or "" for t in batch.column(at).to_pylist()], memory)
+            yield batch.filter(pa.array([fits and score >= least for _, score, fits in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 
