@@ -6,6 +6,9 @@ have them, rarest first. A matching block must have a word of the template's pre
 enough words (length filter), and enough words left where the first shared one stands in either
 order (positional filter); pairs that pass are verified. Only words of templates can be shared, so
 blocks are cut down to those first. Beside it, phrases are found where their words stand in a row.
+
+``across_lines`` adds blocks that cross line breaks, so that wrapped notices are found: windows of words, each
+overlapping the next by the longest template. The SQL of op9_license_scan has lines alone, so its query leaves it off.
 """
 
 from __future__ import annotations
@@ -109,7 +112,7 @@ def block_matches(blocks: DataFrame, templates: list[Template], threshold: float
     return checked.select("key", "label", "containment")
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, notices=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, notices=TEMPLATES, threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, for every row.
 
     score: the largest containment of a template in a block, 1 where a phrase is found, 0 without either. A null
@@ -123,6 +126,13 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     known = F.array(*[F.lit(w) for w in universe])
     shortest = min(t.least(threshold) for t in templates)
     blocks = F.filter(F.transform(F.split("t", "\n"), lambda line: F.array_intersect(F.split(line, BETWEEN), known)), lambda b: F.size(b) >= shortest)
+    if across_lines:
+        step = max(len(text.split()) for text, _ in notices)
+        words = F.split(F.trim("s"), " ")
+        starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - step, F.lit(1)), F.lit(step))
+        spaced = fenced(spaced, ["doc_id", "t", "s"], ws=words)
+        windows = F.transform(starts, lambda i: F.array_intersect(F.slice("ws", i, F.lit(2 * step)), known))
+        blocks = F.concat(blocks, F.filter(windows, lambda b: F.size(b) >= shortest))
     n_words = F.when(F.col("s") == "  ", F.lit(0)).otherwise(F.length("s") - F.length(F.replace(F.col("s"), F.lit(" "), F.lit(""))) - 1)
     measured = spaced.select("doc_id", F.monotonically_increasing_id().alias("row"), n_words.cast("long").alias("n_words"), phrase_places(F.col("s"), phrases).alias("places"), blocks.alias("blocks"))
     book = written(measured, "licenses")  # one pass over the texts; what follows reads small columns, and row numbers hold
