@@ -8,7 +8,9 @@ order (positional filter); pairs that pass are verified. Only words of templates
 blocks are cut down to those first. Beside it, phrases are found where their words stand in a row.
 
 ``across_lines`` adds blocks that cross line breaks, so that wrapped notices are found: windows of words, each
-overlapping the next by the longest template. The SQL of op9_license_scan has lines alone, so its query leaves it off.
+overlapping the next by the longest template. The SQL of op9_license_scan has lines alone, so its query leaves it off. ``exclusive`` tells notices apart that differ by less
+than the threshold lets pass: a block must have the words that do so, and a template contained in another that the
+block matches gives way to it. The SQL doesn't do that either.
 """
 
 from __future__ import annotations
@@ -55,6 +57,12 @@ class Template:
         return max(1, math.ceil(threshold * len(self.words) - 1e-9))
 
 
+def telling(t: Template, templates: list[Template], threshold: float) -> list[str]:
+    """Words of ``t`` that notices of other labels lack which would otherwise pass for it."""
+    near = [set(u.words) for u in templates if u.label != t.label and len(set(t.words) & set(u.words)) >= t.least(threshold)]
+    return [w for w in t.words if any(w not in u for u in near)]
+
+
 def templates_of(notices=TEMPLATES) -> list[Template]:
     return [Template(i, label, tuple(dict.fromkeys(text.split()))) for i, (text, label) in enumerate(notices)]
 
@@ -90,7 +98,7 @@ def frequencies(blocks: DataFrame, words: list[str]) -> dict[str, int]:
     return {w: 0 for w in words} | {r["w"]: r["n"] for r in counts}
 
 
-def block_matches(blocks: DataFrame, templates: list[Template], threshold: float, counts: dict[str, int]) -> DataFrame:
+def block_matches(blocks: DataFrame, templates: list[Template], threshold: float, counts: dict[str, int], exclusive: bool = False) -> DataFrame:
     """block key ``key`` and the matches: array<struct<label, containment>>, for blocks that match any template.
 
     blocks: key, and b, the distinct template words of a block. counts: the words' frequencies in all blocks.
@@ -108,11 +116,22 @@ def block_matches(blocks: DataFrame, templates: list[Template], threshold: float
     able = (F.size("r") >= F.col("least")) & (1 + F.least(F.col("n") - F.col("at") - 1, F.size("r") - F.col("pos") - 1) >= F.col("least"))
     pairs = probes.join(F.broadcast(shared), "rank").where(able)
     overlap = F.size(F.array_intersect("r", "tr"))
+    if exclusive:
+        ranked_words = lambda words: F.array(*[F.lit(order[w]) for w in words]).cast("array<int>")
+        holds = lambda words: F.size(F.array_intersect("r", ranked_words(words))) == len(words)
+        matched = {t.number: (F.size(F.array_intersect("r", ranked_words(t.words))) >= t.least(threshold)) & holds(telling(t, templates, threshold)) for t in templates}
+        for t in templates:
+            must, fuller = telling(t, templates, threshold), [u for u in templates if set(t.words) < set(u.words)]
+            wins = holds(must)
+            for u in fuller:
+                wins &= ~matched[u.number]
+            if must or fuller:
+                pairs = pairs.where((F.col("t") != t.number) | wins)
     checked = pairs.select("key", "t", "label", (overlap / F.col("n")).alias("containment"), (overlap >= F.col("least")).alias("good")).where("good")
     return checked.select("key", "label", "containment")
 
 
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, notices=TEMPLATES, threshold: float = THRESHOLD, across_lines: bool = False) -> DataFrame:
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, notices=TEMPLATES, threshold: float = THRESHOLD, across_lines: bool = False, exclusive: bool = False) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, for every row.
 
     score: the largest containment of a template in a block, 1 where a phrase is found, 0 without either. A null
@@ -137,7 +156,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     measured = spaced.select("doc_id", F.monotonically_increasing_id().alias("row"), n_words.cast("long").alias("n_words"), phrase_places(F.col("s"), phrases).alias("places"), blocks.alias("blocks"))
     book = written(measured, "licenses")  # one pass over the texts; what follows reads small columns, and row numbers hold
     each = book.select(F.struct("row").alias("key"), F.explode("blocks").alias("b"))
-    matches = block_matches(each, templates, threshold, frequencies(each, universe))
+    matches = block_matches(each, templates, threshold, frequencies(each, universe), exclusive)
     found = matches.groupBy(F.col("key.row").alias("row")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
     named = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     is_base = F.size("places") > 0
