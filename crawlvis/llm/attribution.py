@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlvis.llm.bpe import Vocabulary
+from crawlvis.llm.scan import ranges
 
 RULES = ("majority", "start")
 
@@ -33,9 +34,12 @@ def attribute(starts: np.ndarray, widths: np.ndarray, rule: str = "majority") ->
     last = np.maximum(np.searchsorted(starts, end, side="left") - 1, first)
     to, crossing = first.copy(), np.flatnonzero(last > first)
     if rule == "majority":
-        for i in crossing:
-            edges = np.clip(np.append(starts[first[i] : last[i] + 1], end[i]), begin[i], end[i])
-            to[i] = first[i] + np.diff(edges).argmax()
+        # A row for each section that a crossing token touches: the most bytes win, then the earlier section.
+        touched = last[crossing] - first[crossing] + 1
+        token, section = np.repeat(crossing, touched), ranges(first[crossing], touched)
+        shared = np.minimum(end[token], np.append(starts[1:], end[-1:])[section]) - np.maximum(begin[token], starts[section])
+        order = np.lexsort((section, -shared, token))
+        to[crossing] = section[order][np.cumsum(touched) - touched]
     return np.bincount(to, minlength=n), np.bincount(to[crossing], minlength=n)
 
 
@@ -43,8 +47,8 @@ def section_tokens(docs: DataFrame, vocabulary_path: str, *, id_col: str = "doc_
     """One row per section of each document: doc_id, section (from 0), char_start, char_end, n_tokens, n_crossing, doc_tokens.
 
     Sections are the lines of the text, each with its line feed, so they cover it. A null or empty text has
-    one empty section without tokens. Rows that repeat give their sections again. A special token's own
-    string in a text counts as that token.
+    one empty section without tokens; an empty table gives an empty result. Rows that repeat give their sections again, a
+    null id stays null, other columns are ignored whatever their names. A special token's own string in a text counts as that token.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

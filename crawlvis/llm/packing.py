@@ -2,9 +2,10 @@
 
 Only how many pieces there are of each length matters for the plan, and there are at most
 ``capacity`` lengths: the plan is made on the driver from that bounded histogram, whatever the
-number of documents. For each length, longest first, the remaining gap is looked up among the
-single lengths, then the sums of two, then of three available lengths; combinations that fill it
-exactly are consumed as often as the counts allow. What is left is packed best-fit decreasing,
+number of documents. The sums of one, two and three lengths are indexed once, by sum
+(``Combinations``). For each length, longest first, the remaining gap is looked up there: a single
+length first, then pairs, then triples; those that fill it exactly are consumed as often as the
+counts allow. What is left is packed best-fit decreasing,
 all pieces of a length at a time. Pieces are then numbered within their length, in salted groups
 so that a common length is spread over many tasks, and the plan's intervals give each its place.
 """
@@ -33,8 +34,8 @@ def token_pieces(docs: DataFrame, vocabulary_path: str, capacity: int = 2048, *,
 
     A document's ids are those of its whole text (null: empty) and then ``end_id``. Only documents of
     more than ``capacity`` ids are cut, from the end, so that at most the first piece is shorter.
-    A repeated row gives its pieces again; a null id stays null; other columns are ignored.
-    """
+    A repeated row gives its pieces again; a null id stays null; other columns, whatever their names, are ignored.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(Vocabulary.read(vocabulary_path))
     kind = dict(docs.dtypes)[id_col]
@@ -87,31 +88,61 @@ class Plan:
         return sum(times for _, times in self.patterns)
 
 
-def _filling(free: np.ndarray, gap: int, top: int) -> tuple[int, ...] | None:
-    """One, two or three available lengths, none above ``top``, that add up to ``gap``. free: counts by length."""
-    if gap <= top and free[gap] > 0:
-        return (gap,)
-    there = free > 0
-    there[top + 1 :] = False
-
-    def pair(total: int, largest: int) -> tuple[int, int] | None:
-        high = np.arange(min(total - 1, largest), (total - 1) // 2, -1)
-        low = total - high
-        good = there[high] & there[low] & ((high != low) | (free[high] > 1))
-        return (int(high[good.argmax()]), int(low[good.argmax()])) if good.any() else None
-
-    if gap > 1 and (found := pair(gap, top)):
-        return found
-    for largest in range(min(gap - 2, top), (gap + 2) // 3 - 1, -1):
-        if there[largest]:
-            free[largest] -= 1
-            there[largest] = free[largest] > 0
-            found = pair(gap - largest, largest)
-            free[largest] += 1
-            there[largest] = True
-            if found:
-                return (largest, *found)
-    return None
+class Combinations:
+    """Sums of one, two and three of the available lengths, hashed by sum, under availability counts.
+
+    The index is built once from the lengths that occur. For each sum up to the capacity it lists the pairs (high, low),
+    and the triples as (length, sum of a pair), the largest length first. Counts only ever fall, so an entry whose lengths
+    have run out is passed over for good. It takes about two entries of four bytes for each two of the capacity's lengths.
+    """
+
+    def __init__(self, free: np.ndarray):
+        self.free, self.capacity = free, len(free) - 1
+        lengths = np.flatnonzero(free)
+        self.high, self.pair_ends = self._hashed(lengths, lengths, both=False)
+        sums = np.flatnonzero(np.diff(self.pair_ends))  # that some pair has
+        self.first, self.triple_ends = self._hashed(lengths, sums, both=True)
+        self.pair_at, self.triple_at = self.pair_ends[:-1].copy(), self.triple_ends[:-1].copy()
+
+    def _hashed(self, a: np.ndarray, b: np.ndarray, *, both: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The larger part ``a`` of each sum with a part of ``b``, by sum and then downwards, and where each sum's entries begin."""
+        parts, counts = [], np.zeros(self.capacity + 1, dtype=np.int64)
+        for x in a[::-1]:
+            sums = x + (b[b <= self.capacity - x] if both else b[b <= min(x, self.capacity - x)])
+            parts.append((np.full(len(sums), x, dtype=np.int32), sums.astype(np.int32)))
+            counts[sums] += 1
+        if not parts:
+            return np.zeros(0, dtype=np.int32), np.zeros(self.capacity + 2, dtype=np.int64)
+        larger, total = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return larger[np.argsort(total, kind="stable")], np.concatenate(([0], np.cumsum(counts)))
+
+    def has(self, *lengths: int) -> bool:
+        return all(self.free[n] >= lengths.count(n) for n in lengths)
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.free[total] > 0 else None
+
+    def pair(self, total: int, beside: tuple[int, ...] = ()) -> tuple[int, ...] | None:
+        """The pair of that sum with the largest length, while the lengths ``beside`` are taken too."""
+        for i in range(self.pair_at[total], self.pair_ends[total + 1]):
+            high = int(self.high[i])
+            if self.has(high, total - high, *beside):
+                return high, total - high
+            if not self.has(high, total - high) and i == self.pair_at[total]:
+                self.pair_at[total] += 1
+        return None
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        while (i := self.triple_at[total]) < self.triple_ends[total + 1]:
+            first = int(self.first[i])
+            if self.free[first] > 0 and (rest := self.pair(total - first, (first,))):
+                return (first, *rest)
+            self.triple_at[total] += 1
+        return None
+
+    def filling(self, total: int) -> tuple[int, ...] | None:
+        """One, two or three available lengths that add up to ``total``."""
+        return self.single(total) or self.pair(total) or self.triple(total)
 
 
 def plan(counts: dict[int, int], capacity: int) -> Plan:
@@ -119,12 +150,12 @@ def plan(counts: dict[int, int], capacity: int) -> Plan:
     free = np.zeros(capacity + 1, dtype=np.int64)
     for length, n in counts.items():
         free[length] = n
-    patterns, residue = [], {}
+    patterns, residue, index = [], {}, Combinations(free)
     for length in range(capacity, 0, -1):
         while free[length] > 0:
             gap = capacity - length
             free[length] -= 1
-            filling = _filling(free, gap, length) if gap else ()
+            filling = index.filling(gap) if gap else ()
             free[length] += 1
             if filling is None:
                 residue[length] = int(free[length])

@@ -33,8 +33,8 @@ RULES = (
     Rule("word_length", 4, "n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words)"),
     Rule("symbol_ratio", 5, "5 * n_symbols > n_words AND n_words > 0"),
 )
-#: Rejecting rules by policy version. Version 1 has the base rules alone, version 2 those of op4's SQL, version 3 also
-#: rejects texts with a symbol in more than a fifth of their words, as menus with bars between their words have.
+#: Rejecting rules by policy version. Version 1 has the base rules alone, version 2 judges symbols by two to a word,
+#: version 3 also rejects texts with more than one symbol to five words, as menus with bars between their words have.
 POLICIES = {1: ("few_words", "repeated_windows"), 2: tuple(r.name for r in RULES if r.bit < 5), 3: tuple(r.name for r in RULES)}
 BASE, CURRENT = 1, 3
 

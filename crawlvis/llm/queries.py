@@ -31,8 +31,8 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = quality.judged(quality.ledger(table(spark, sf_dir, "documents")), 2)
-    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    book = quality.judged(quality.ledger(table(spark, sf_dir, "documents")))
+    return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +137,10 @@ f AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR (n_words > 0 AND n_symbols >= 2 * n_words) OR 10 * n_dup_lines > 3 * n_lines
-    OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words))) AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR (n_words > 0 AND 5 * n_symbols > n_words) OR 10 * n_dup_lines > 3 * n_lines
+    OR (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words))) AS kept,
+  CAST((n_words < 50)::INT + 2 * (100 * n_repeat_words > 50 * n_words)::INT + 4 * (n_words > 0 AND n_symbols >= 2 * n_words)::INT + 8 * (10 * n_dup_lines > 3 * n_lines)::INT
+    + 16 * (n_words > 0 AND (word_chars < 2 * n_words OR word_chars > 40 * n_words))::INT + 32 * (n_words > 0 AND 5 * n_symbols > n_words)::INT AS BIGINT) AS failures
 FROM f
 """
 

@@ -79,7 +79,11 @@ def write_archives(pages: DataFrame, path: str, *, id_col: str = "page_id", url_
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of one task's splits, in order. Beyond ``horizon`` no candidate so far reaches, nor can one of an earlier split."""
+    """Candidates of one task's splits, in order.
+
+    ``horizon`` is the end of the last candidate that lies in no earlier one's payload, so what a payload declares doesn't
+    move it. In a file's later splits it can't be told, since a record of an earlier split may reach into them.
+    """
     split, at, horizon = None, 0, 0.0
     for batch in batches:
         file, block, seq, value = (c.to_pylist() for c in batch.columns)
@@ -93,8 +97,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             declared, head_size = int(found[1]) if found else None, len(head) + len(BREAK)
             end = head_size + (declared or 0) + len(BREAK)
             exact, inside = declared is not None and len(raw) == end, at < horizon
-            if declared is not None and not exact:
-                horizon = max(horizon, at + end)
+            if declared is not None and not inside:
+                horizon = at + end
             digest = hashlib.sha1(raw[head_size : head_size + declared]).hexdigest() if exact else None
             rows.append((f, b, n, len(raw), head_size, declared, None if declared is None else head.decode(), digest, text if inside or not exact else None))
             at += len(raw) + len(MAGIC)
@@ -187,7 +191,12 @@ def read_archives(spark, path: str) -> DataFrame:
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of all pages, written to archives in the shared folder and read back."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of all pages, written to archives in the shared folder and read back.
+
+    A null payload is an empty response, a null page_id stays null, and rows that repeat are each written and read. Rows
+    without an id are responses. An empty table gives an empty result; other columns
+    are ignored whatever their names.
+    """
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_archives(pages, path)

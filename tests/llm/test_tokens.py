@@ -1,6 +1,7 @@
 """Encoding, packing and attribution against the tokenizers library and plain restatements."""
 
 import hashlib
+import itertools
 import random
 import zlib
 
@@ -125,12 +126,31 @@ def test_exact_complements_are_found(counts, sequences):
     assert packing.plan(counts, 40).sequences == sequences
 
 
+def test_index_finds_what_a_search_of_all_combinations_finds():
+    r = random.Random(11)
+    for _ in range(300):
+        free = np.zeros(31, dtype=np.int64)
+        for _ in range(r.randrange(8)):
+            free[r.randint(1, 30)] = r.randint(1, 3)
+        index = packing.Combinations(free)
+        for _ in range(12):  # counts only fall between lookups
+            total = r.randint(1, 30)
+            held = [n for n in range(31) for _ in range(free[n])]
+            want = next((k for k in (1, 2, 3) if any(sum(c) == total for c in itertools.combinations(held, k))), None)
+            found = index.filling(total)
+            assert (found and len(found)) == want
+            if found:
+                assert sum(found) == total and all(free[n] >= found.count(n) for n in found)
+                for n in found:
+                    free[n] -= 1
+
+
 def test_packed_documents(spark):
     path = public_tokenizers.path(FILES[0])
     library = Tokenizer.from_file(path)
     r = random.Random(3)
     texts = [" ".join(r.choice(("alpha", "be", "gamma,", "it's", "été")) for _ in range(r.choice((0, 3, 3, 3, 40, 90)))) for _ in range(150)] + [None, "same", "same"]
-    rows = [(i if i < 152 else 151, t) for i, t in enumerate(texts)]
+    rows = [(i if i < 152 else 151, t) for i, t in enumerate(texts)] + [(None, "no id"), (None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' as length", "2 as offset", "3 as row")
     got = packing.packed_documents(df, path, capacity=64).collect()
     expected = []
@@ -140,7 +160,7 @@ def test_packed_documents(spark):
         cuts = [0, *range(first, len(ids) + 1, 64)]
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
             expected.append((i, k, a, b - a, zlib.crc32(np.array(ids[a:b], dtype="<u4").tobytes())))
-    assert sorted(tuple(x)[:5] for x in got) == sorted(expected)
+    assert sorted(map(str, (tuple(x)[:5] for x in got))) == sorted(map(str, expected))
     places = {}
     for x in got:
         places.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
@@ -179,8 +199,12 @@ def test_section_tokens_add_up(spark):
     path = public_tokenizers.path(FILES[0])
     library = Tokenizer.from_file(path)
     texts = ["one line", "two\nlines é\n", "a\n\n\n  b\r\nc\x0bd", "", None, "\n", "x" * 3000, "é\né"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("*", "0 as section")
-    got = attribution.section_tokens(df, path).collect()
+    rows = [*enumerate(texts), (0, texts[0]), (None, "no id\nat all")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "0 as section", "'x' as n_tokens")
+    every = attribution.section_tokens(df, path).collect()
+    assert sum(x["doc_id"] == 0 for x in every) == 2 and sorted(x["section"] for x in every if x["doc_id"] is None) == [0, 1]
+    assert attribution.section_tokens(df.limit(0), path).count() == 0
+    got = [x for x in every if x["doc_id"] not in (0, None)] + [x for x in every if x["doc_id"] == 0][:1]
     for i, t in enumerate(texts):
         mine = sorted((x for x in got if x["doc_id"] == i), key=lambda x: x["section"])
         n = len(library.encode(t or "", add_special_tokens=False).ids)
@@ -189,3 +213,26 @@ def test_section_tokens_add_up(spark):
         assert all((t or "")[x["char_start"] : x["char_end"]].count("\n") <= 1 for x in mine)
     with pytest.raises(ValueError, match="rule"):
         attribution.section_tokens(df, path, rule="none")
+
+
+@pytest.mark.parametrize("rule", attribution.RULES)
+def test_section_tokens_equal_the_librarys_offsets(spark, rule):
+    path = public_tokenizers.path(FILES[0])
+    library = Tokenizer.from_file(path)
+    r = random.Random(21)
+    texts = ["".join(r.choice(("a", "é", "\n", "\n\n", " \n", "\n ", "word", " the", "漢", "\t")) for _ in range(r.randrange(40))) for _ in range(120)]
+    got = {(x["doc_id"], x["section"]): (x["n_tokens"], x["n_crossing"]) for x in attribution.section_tokens(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), path, rule=rule).collect()}
+    want = {}
+    for i, t in enumerate(texts):
+        lines = [x + "\n" for x in t.split("\n")[:-1]] + [x for x in t.split("\n")[-1:] if x] or [""]
+        of = [k for k, line in enumerate(lines) for _ in line.encode()]  # the section of each byte
+        for k in range(len(lines)):
+            want[i, k] = [0, 0]
+        at = 0
+        for token in library.encode(t, add_special_tokens=False).tokens:
+            held = of[at : at + len(token)]  # a byte-level token has one character for each byte
+            at += len(token)
+            to = held[0] if rule == "start" else max(sorted(set(held)), key=held.count)
+            want[i, to][0] += 1
+            want[i, to][1] += len(set(held)) > 1
+    assert got == {k: tuple(v) for k, v in want.items()}
