@@ -39,7 +39,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df``, computed once, written to the shared folder and read from there."""
     path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._crawlvis_path = path
+    return table
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Deletes what ``written`` wrote for the tables themselves, once nothing that is still to be computed reads them. Others are left alone."""
+    for table in tables:
+        if path := getattr(table, "_crawlvis_path", None):
+            spark = table.sparkSession
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def ship(spark: SparkSession) -> None:
