@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlvis.llm.store import written
+from crawlvis.llm.store import dropped, written
 
 
 def _roots(edges: DataFrame) -> DataFrame:
@@ -22,7 +22,8 @@ def _roots(edges: DataFrame) -> DataFrame:
     while True:
         over = roots.select(F.col("node").alias("root"), F.col("root").alias("next"))
         moved = written(roots.join(over, "root").select("node", F.col("next").alias("root"), (F.col("next") != F.col("root")).alias("moved")), "roots")
-        roots = moved.select("node", "root")
+        dropped(roots)
+        roots = moved
         if not moved.where("moved").take(1):
             return roots
 
@@ -37,11 +38,14 @@ def components(edges: DataFrame) -> DataFrame:
     while labels is None or edges.take(1):
         roots = _roots(edges)
         if labels is None:
-            labels = roots.withColumnRenamed("root", "label")
+            labels = written(roots.select("node", F.col("root").alias("label")), "labels")
         else:
             over = roots.select(F.col("node").alias("label"), F.col("root").alias("next"))
-            labels = written(labels.join(over, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            old, labels = labels, written(labels.join(over, "label", "left").select("node", F.coalesce("next", "label").alias("label")), "labels")
+            dropped(old)
         left = edges.join(roots.select(F.col("node").alias("u"), F.col("root").alias("a")), "u")
         between = left.join(roots.select(F.col("node").alias("v"), F.col("root").alias("b")), "v").where("a != b")
-        edges = written(between.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        old, edges = edges, written(between.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct(), "edges")
+        dropped(old, roots)
+    dropped(edges)
     return labels

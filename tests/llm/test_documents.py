@@ -5,6 +5,8 @@ import re
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,8 +194,92 @@ def test_near_duplicates_edges(spark, nasty):
     assert sum(x["doc_id"] == 5 for x in kept) == 1 and sum(x["doc_id"] is None for x in kept) == 1
 
 
-def test_prefix_depth_meets_the_recall():
-    depth = near_duplicates.prefix_depth()
-    chance = lambda d: 1 - (1 - near_duplicates.SIMILARITY**d) ** near_duplicates.TREES
-    assert chance(depth) >= near_duplicates.RECALL > chance(depth + 1)
-    assert near_duplicates.prefix_depth(recall=1.0) == 1
+def forest_edges(rows, batch, similarity=0.8, trees=32):
+    """What a single task reads off sorted rows (tree, hi, lo, node, sketch…), in batches of a size."""
+    sketch = trees * near_duplicates.LEVELS // 64
+    schema = pa.schema([("tree", pa.int32()), ("hi", pa.int64()), ("lo", pa.int64()), ("node", pa.binary()), *[(f"s{k}", pa.int64()) for k in range(sketch)]])
+    rows = sorted(rows)
+    parts = [pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows[i : i + batch]], schema=schema) for i in range(0, len(rows), batch)]
+    return [r for b in near_duplicates._forest(iter(parts), similarity, trees) for r in b.to_pylist()]
+
+
+@pytest.mark.parametrize("batch", [1, 3, 7, 1000])
+@pytest.mark.parametrize("run", [2, 5, 256])
+def test_the_tries_connect_what_shares_a_prefix(monkeypatch, batch, run):
+    monkeypatch.setattr(near_duplicates, "RUN", run)
+    r = random.Random(batch * run)
+    near, far = [0, 0, 0, 0], [-1, -1, -1, -1]
+    level = lambda: r.choice((1, 1, 2))
+    rows = []
+    for n in range(120):
+        levels = [level() for _ in range(8)]
+        key = [sum(v << (48 - 16 * k) for k, v in enumerate(part)) for part in (levels[:4], levels[4:])]
+        rows.append((n % 3, *key, f"{n:04}".encode(), *(near if n % 2 else far)))
+    out = forest_edges(rows, batch)
+    prefix = {x[3]: (x[0], *(x[1 + k // 4] >> (48 - 16 * (k % 4)) & 0xFFFF for k in range(8))) for x in rows}
+    sketch = {x[3]: x[4] for x in rows}
+    for depth in range(near_duplicates.LEAST_DEPTH, near_duplicates.LEVELS + 1):
+        root = {x: x for x in prefix}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for e in out:
+            if e["v"] is not None and e["depth"] >= depth:
+                assert prefix[e["u"]][: e["depth"] + 1] == prefix[e["v"]][: e["depth"] + 1]
+                root[find(e["u"])] = find(e["v"])
+        for a in prefix:
+            for b in prefix:
+                if prefix[a][: depth + 1] == prefix[b][: depth + 1] and sketch[a] == sketch[b]:
+                    assert find(a) == find(b)
+    ends = [x for x in out if x["hi"] is not None]
+    assert {x["u"] for x in ends} >= {min(rows)[3]} and {x["depth"] for x in ends} == set(range(4, 9))
+    if run == 256:  # all pairs of runs inside the task were looked at: no edge joins texts whose sketches differ
+        inner = [e for e in out if e["v"] is not None and len({prefix[min(rows)[3]][:5], prefix[max(rows)[3]][:5], prefix[e["u"]][:5]}) == 3]
+        assert all(sketch[e["u"]] == sketch[e["v"]] for e in inner)
+
+
+def test_the_matched_prefix_is_shortened_until_the_recall():
+    met, missed = [100.0, 90.0, 80.0, 70.0, 60.0], [0.0, 0.001, 0.1, 1.0, 5.0]
+    at = lambda recall: near_duplicates.matched_depth(met, missed, recall)
+    assert (at(0.5), at(0.98), at(0.99), at(0.9999), at(1.0)) == (8, 7, 6, 5, 4)
+    assert near_duplicates.matched_depth([0.0] * 5, [0.0] * 5) == near_duplicates.LEVELS
+
+
+def test_the_measured_recall_is_that_of_the_tries():
+    """Pairs of known similarity: the measure, made from what is met, against the pairs that are met in no tree."""
+    r, trees = np.random.default_rng(3), 32
+    for s in (0.8, 0.9):
+        rows, n = [], 3000
+        shares = r.random((n, trees, near_duplicates.LEVELS)) < s
+        for i in range(n):
+            bits = r.integers(0, 2, 256)
+            twin = np.where(shares[i].ravel(), bits, r.integers(0, 2, 256))
+            for half, of in ((0, bits), (1, twin)):
+                words = np.packbits(of.astype(np.uint8)).view(np.int64).tolist()
+                for t in range(2):  # two of the trees speak for all
+                    lv = [i >> 8, i & 255, 7, 7, 7, 7, 7, 7]
+                    for k in np.flatnonzero(~shares[i, t]):
+                        lv[k] = lv[k] + 1000 * half
+                    key = [sum(int(v) << (48 - 16 * k) for k, v in enumerate(p)) for p in (lv[:4], lv[4:])]
+                    rows.append((t, *key, f"{i:05}{half}".encode(), *words))
+        out = forest_edges(rows, 5000)[-1]
+        for k, depth in enumerate(range(near_duplicates.LEAST_DEPTH, near_duplicates.LEVELS + 1)):
+            real = (1 - s**depth) ** trees
+            assert out["met"][k] == pytest.approx(n * 2 / trees, rel=0.4)
+            assert real / 8 <= out["missed"][k] / out["met"][k] <= 3 * (1 - 0.8**depth) ** trees + 1e-6
+
+
+def test_chance_candidates_do_not_chain(spark):
+    """A long chain of texts that share a third of their shingles with the next: no family of the whole chain, and true links are all found."""
+    words = [f"w{i}" for i in range(4200)]
+    rows = [(i, " ".join(words[i * 20 : i * 20 + 44])) for i in range(200)]
+    rows += [(1000 + i, rows[i][1] + " end") for i in range(0, 200, 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["class_id"], x["n_links"]) for x in near_duplicates.members(df).collect())
+    assert got == expected_classes(rows)
+    signed = df.select(F.unhex(F.md5("text")).alias("node"), "doc_id", "text").mapInArrow(lambda b: near_duplicates._signed(b, 5, 32), "node binary, rank long, signature array<long>")
+    sizes = components(near_duplicates.candidate_edges(signed, recall=1.0)).groupBy("label").count().collect()
+    assert max(x["count"] for x in sizes) <= 20
