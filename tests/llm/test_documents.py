@@ -1,7 +1,9 @@
 """Language, quality, licenses and near duplicates against plain restatements, with edge cases."""
 
+import math
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
 
@@ -106,9 +108,63 @@ def test_language_backoff_and_edges(spark, nasty):
     assert language.identified(nasty.limit(0)).count() == 0
 
 
-def test_language_unseen_words_use_the_longest_known_gram():
-    model = language.Model(["a", "b"], {}, {"xy": [1.0, 2.0], "x": [9.0, 9.0], "\x02xy": [3.0, 5.0]})
-    assert model.unseen("xyz").tolist() == [3.0, 5.0] and model.unseen("wxy").tolist() == [1.0, 2.0] and model.unseen("x").tolist() == [9.0, 9.0] and model.unseen("q").tolist() == [0.0, 0.0]
+def restated(train, texts):
+    """Word-first backoff in plain dictionaries: language and score of each text."""
+    langs = sorted({lang for _, lang in train})
+    words = {lang: Counter(w for t, x in train if x == lang for w in re.findall(r"[^\W\d_]+", t.lower())) for lang in langs}
+    grams = {}
+    for n in language.LENGTHS:
+        for lang in langs:
+            count = grams[n, lang] = Counter()
+            for w, c in words[lang].items():
+                m = f"\x02{w}\x03"
+                for i in range(len(m) - n + 1):
+                    if m[i : i + n] not in "\x02\x03":
+                        count[m[i : i + n]] += c
+    log = lambda count, x: math.log(count.get(x, 0.5)) - math.log(sum(count.values()) + 1)
+
+    def score(word, lang):
+        if any(word in words[x] for x in langs):
+            return log(words[lang], word)
+        m = f"\x02{word}\x03"
+        for n in language.LENGTHS:
+            known = [m[i : i + n] for i in range(len(m) - n + 1) if any(m[i : i + n] in grams[n, x] for x in langs)]
+            if known:
+                return sum(log(grams[n, lang], g) for g in known) / len(known)
+        return 0.0
+
+    out = []
+    for t in texts:
+        found = re.findall(r"[^\W\d_]+", (t or "").lower())
+        totals = [sum(score(w, lang) for w in found) for lang in langs]
+        best = max(range(len(langs)), key=lambda k: (totals[k], -k)) if langs else None
+        out.append((langs[best], 1 / sum(math.exp(x - totals[best]) for x in totals)) if found and langs else ("und", 0.0))
+    return out
+
+
+def test_language_equals_a_plain_restatement(spark):
+    r = random.Random(5)
+    vocabulary = {"en": "the cat and dog runs over hill with words of joy".split(), "de": "der hund und die katze über den hügel läuft größe".split(), "fr": "le chat et chien sur la colline avec joie été".split(), "rare": "qwx zzt vvk".split()}
+    rows = []
+    for i in range(240):
+        lang = r.choice(("en", "de", "fr", "fr")) if i % 40 else "rare"
+        rows.append((i, " ".join(r.choice(vocabulary[lang]) + r.choice(("", "", "s", "en")) for _ in range(r.randrange(12))) + r.choice(("", ". 12!", "_x")), lang if r.random() < 0.8 else None))
+    rows += [(None, "nonono", "none"), (900, None, "en"), (901, "漢字 dog", None), (902, "Ωmega dogcat hundkatze " * 50, None), (5, rows[5][1], rows[5][2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").selectExpr("*", "1 as score", "'x' as w")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    train = [(t or "", lang) for i, t, lang in rows if lang and i is not None and not held(i)]
+    train = [x for x in train if x[1] in {lang for t, lang in train if re.search(r"[^\W\d_]", t)}]
+    want = sorted((str(i), held(i), p, round(s, 9)) for (i, _, _), (p, s) in zip(rows, restated(train, [t for _, t, _ in rows]), strict=True))
+    assert sorted((str(x["doc_id"]), x["held_out"], x["lang_pred"], round(x["score"], 9)) for x in language.identified(df).collect()) == want
+
+
+def test_language_sample_keeps_rare_languages_whole(spark):
+    rows = [(i, f"w{i}", "many" if i % 50 else "few") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample, languages = language.training_sample(df, max_rows=300)
+    count = Counter(x["lang"] for x in sample.collect())
+    free = [lang for i, _, lang in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert languages == ["few", "many"] and count["few"] == free.count("few") and 200 < count["many"] < 400
 
 
 @pytest.mark.skipif(not DATA.exists(), reason="needs the driver's tables")
