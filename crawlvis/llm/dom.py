@@ -13,9 +13,12 @@ from dataclasses import dataclass, field
 import numpy as np
 
 # HTML elements by how they are parsed.
-RAW = ("script", "style", "noscript", "template", "iframe", "object", "svg", "canvas", "math", "textarea", "title", "head", "select", "button", "audio", "video")
+RAW = ("script", "style", "template", "iframe", "textarea", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var center nobr".split())
+# Elements of formulas and drawings are inline: their text belongs to the block that they stand in.
+FORMULA = "math mi mo mn ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup munder mover munderover mtable mtr mtd mstyle mpadded mphantom merror menclose semantics annotation"
+DRAWING = "svg g path circle rect ellipse line polyline polygon text tspan textpath defs use symbol lineargradient radialgradient stop clippath mask pattern marker filter foreignobject desc"
+INLINE = frozenset(f"{FORMULA} {DRAWING} canvas object audio video picture map output meter progress a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q ruby rb rp rt s samp small span strike strong sub sup time tt u var center nobr head".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 # Which open elements an opening tag ends.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th", "tr"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("td", "th", "tr", "thead", "tbody"), "tfoot": ("td", "th", "tr", "thead", "tbody")}
@@ -33,7 +36,7 @@ SEPARATOR = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
 # Attribute words that features count, by what they tell of an element.
 ATTRIBUTE_WORDS = {
-    "main": "article articlebody body content entry hentry main maincontent post postcontent primary story text blog page".split(),
+    "main": "quote pullquote epigraph article articlebody body content entry hentry main maincontent post postcontent primary story text blog page".split(),
     "menu": "nav navbar navigation menu breadcrumb breadcrumbs pagination pager tabs toc links skip toolbar".split(),
     "edge": "header masthead footer foot footnote colophon copyright topbar bottom logo site legal".split(),
     "side": "sidebar aside side rail widget widgets related recommended recommendations trending popular more tags tagcloud".split(),
@@ -44,7 +47,7 @@ ATTRIBUTE_WORDS = {
     "form": "form search searchbox login register input".split(),
 }
 WORD_KIND = {w: i for i, words in enumerate(ATTRIBUTE_WORDS.values()) for w in words}
-TAG_KINDS = {t: i for i, tags in enumerate((("html", "body"), ("article",), ("main",), ("section",), ("div",), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "menu", "dl"), ("li", "dt", "dd"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog"), ("table", "tbody", "thead", "tfoot", "tr", "td", "th"), ("figure", "figcaption", "details", "summary", "address"))) for t in tags}
+TAG_KINDS = {t: i for i, tags in enumerate((("html", "body"), ("article",), ("main",), ("section",), ("div",), ("p", "blockquote", "pre"), ("h1", "h2", "h3", "h4", "h5", "h6"), ("ul", "ol", "menu", "dl"), ("li", "dt", "dd"), ("nav",), ("header",), ("footer",), ("aside",), ("form", "fieldset", "dialog", "button", "select", "option", "optgroup", "datalist"), ("table", "tbody", "thead", "tfoot", "tr", "td", "th"), ("figure", "figcaption", "details", "summary", "address"))) for t in tags}
 ROLES = {"main": "main", "article": "main", "navigation": "menu", "banner": "edge", "contentinfo": "edge", "complementary": "side", "search": "form", "form": "form", "dialog": "notice", "alert": "notice", "alertdialog": "notice", "menu": "menu", "menubar": "menu"}
 KINDS = list(ATTRIBUTE_WORDS)
 N_TAGS = max(TAG_KINDS.values()) + 2
@@ -64,7 +67,12 @@ class Node:
 
 
 def parse(page: str) -> list[Node]:
-    """The page's nodes in page order; the first is the root. Never fails: what can't be a tag is text."""
+    """The page's nodes in page order; the first is the root. Never fails: what can't be a tag is text.
+
+    A button or list of options that a page leaves open ends at the next block.
+    """
+    small = page.lower()
+    left_open = tuple(t for t in ("button", "select") if small.count(f"<{t}") > small.count(f"</{t}"))
     nodes = [Node("html", -1, 0, ())]
     stack, in_link, at = [(0, "html")], 0, 0
 
@@ -112,6 +120,8 @@ def parse(page: str) -> list[Node]:
         else:
             in_link = 0
             if name in CLOSES_P:
+                if left_open:
+                    end(left_open, ())
                 end(("p",), ("td", "th", "li", "div", "section", "article", "body", "blockquote", "table"))
                 if re.fullmatch("h[1-6]", name):
                     end(("h1", "h2", "h3", "h4", "h5", "h6"), tuple(t for _, t in stack[-1:] if not re.fullmatch("h[1-6]", t)))

@@ -57,6 +57,8 @@ def _boilerplate(r: random.Random) -> dict[str, str]:
         "notice": _element(r, "div div section aside dialog p", "cookie-notice cookie-banner consent newsletter subscribe notice gdpr popup alert", item() + ("<button>OK</button>" if r.random() < 0.5 else "")),
         "form": _element(r, "form form div", "search-form login signup contact-form searchbox", f"<form {MARK}=1><label>{_words(r, 1, 3)}</label> <input name=q> {_words(r, 0, 6)}<p {MARK}=1>{_words(r, 0, 9)}</p></form>"),
         "reader": _element(r, "section div div ol", "comments comment-list reader-comments discussion responses disqus reviews", f"<h3>{_words(r, 1, 3)}</h3>" * (r.random() < 0.6) + "".join(_element(r, "div li article", "comment reply comment-body", f"<p>{_sentences(r, 1, 5)}</p>", bad=True) for _ in range(r.randint(1, 6)))),
+        "script": f"<noscript {MARK}=1>{r.choice(('Please enable JavaScript.', 'This site needs JavaScript to work.', f'<p>{_sentences(r, 1, 2)}</p>'))}</noscript>",
+        "choice": f"<{r.choice(('div', 'p'))}><select {MARK}=1>" + "".join(f"<option {MARK}=1>{_words(r, 1, 2)}</option>" for _ in range(r.randint(2, 6))) + f"</select> <button {MARK}=1>{_words(r, 1, 2)}</button></div>",
         "share": _element(r, "div ul p", "share social-share follow share-buttons byline author meta tags", _links(r)),
     }
 
@@ -80,12 +82,16 @@ def _article(r: random.Random) -> str:
             parts.append("<table>" + "".join(f"<tr><td>{_words(r, 1, 4)}</td><td>{_words(r, 1, 4)}</td></tr>" for _ in range(r.randint(2, 6))) + "</table>")
         elif kind < 0.95:
             parts.append(f"<div>{_sentences(r, 1, 6)}</div>")
-        elif kind < 0.97:
+        elif kind < 0.955:
+            parts.append(_element(r, "aside aside div blockquote", "pullquote pull-quote quote", r.choice((_sentences(r, 1, 2), f"<p>{_sentences(r, 1, 2)}</p>")), bad=False, named=1.0) if r.random() < 0.5 else f"<aside class='{r.choice(('pullquote', 'pull-quote', 'quote', 'epigraph'))}'>{_sentences(r, 1, 2)}</aside>")
+        elif kind < 0.965:
+            parts.append(f"<noscript><p>{_sentences(r, 1, 4)}</p></noscript>" if r.random() < 0.6 else f"<noscript>{_sentences(r, 1, 3)}</noscript>")
+        elif kind < 0.98:
             parts.append(f"<p>{_sentences(r, 1, 3)} <a href='/y'>{_words(r, 1, 5)}</a> {_sentences(r, 1, 2)}</p>")
         else:
             parts.append(f"<figure><img src=x><figcaption>{_words(r, 3, 12)}</figcaption></figure>")
         if r.random() < 0.06:
-            parts.append(junk[r.choice(("advert", "notice", "side", "share", "form", "menu"))])
+            parts.append(junk[r.choice(("advert", "notice", "side", "share", "form", "menu", "choice"))])
     if r.random() < 0.12:
         parts.append(junk["reader"])
     body = "".join(parts)
@@ -101,7 +107,11 @@ def sample_page(seed: int) -> str:
         content = _element(r, "main div div", "main page content container wrapper", content + (b["reader"] if r.random() < 0.3 else ""), bad=False, named=0.6)
     before = [b[k] for k in ("notice", "header", "menu", "form", "advert", "side") if r.random() < (0.3, 0.55, 0.7, 0.15, 0.5, 0.15)[("notice", "header", "menu", "form", "advert", "side").index(k)]]
     after = [b[k] for k in ("share", "reader", "side", "advert", "form", "notice", "footer") if r.random() < (0.15, 0.3, 0.4, 0.2, 0.15, 0.15, 0.8)[("share", "reader", "side", "advert", "form", "notice", "footer").index(k)]]
+    if r.random() < 0.1:
+        before, after = [], []
     r.shuffle(before)
+    if r.random() < 0.15:
+        before.insert(0, b["script"])
     body = "".join(before) + content + "".join(after)
     if r.random() < 0.25:
         body = f"<div class='{r.choice(('wrapper', 'page', 'container', 'site', 'x1'))}'>{body}</div>"
@@ -159,7 +169,10 @@ def extracted(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     """page_id, url, text, n_chars of every page, from its whole html.
 
     Null html is empty; a page without main text has an empty text. Null ids and urls stay, rows that repeat are
-    extracted again.
+    extracted again, an empty table gives an empty result, other columns are ignored whatever their names.
+
+    Scripts, styles, templates, frames, titles and what is typed into forms go while parsing. Formulas, drawings, captions
+    of media and what stands for scripts that don't run are text like any other.
     """
     shared = pages.sparkSession.sparkContext.broadcast(model())
     ids, urls = dict(pages.dtypes)[id_col], dict(pages.dtypes)[url_col]
