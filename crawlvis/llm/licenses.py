@@ -1,70 +1,77 @@
-"""License scans by an exact set-similarity join of text blocks with notice templates, in DataFrame functions only.
-
-A block is a line of a text, as its set of words. It matches a template if it holds at least a
-threshold of the template's words. Template words are ordered by how many blocks of the whole corpus
-have them, rarest first. A matching block must have a word of the template's prefix (prefix filter),
-enough words (length filter), and enough words left where the first shared one stands in either
-order (positional filter); pairs that pass are verified. Only words of templates can be shared, so
-blocks are cut down to those first. Beside it, phrases are found where their words stand in a row.
-
-``across_lines`` adds blocks that cross line breaks, so that wrapped notices are found: windows of words, each
-overlapping the next by the longest template. The SQL of op9_license_scan has lines alone, so its query leaves it off. ``exclusive`` tells notices apart that differ by less
-than the threshold lets pass: a block must have the words that do so, and a template contained in another that the
-block matches gives way to it. The SQL doesn't do that either.
+"""License scans by an exact set-similarity join of text blocks with license texts, in DataFrame functions only.
+
+Templates are notices of a sentence and whole license texts. Their tokens are the three words in a row that they hold, so
+that the order of words counts. A block is a window of a text's words, whatever its lines; windows are twice as long as the
+templates of their size and overlap by half, so whatever is no longer than that lies in one window as a whole. A block
+matches a template if it holds at least a threshold of the template's tokens.
+
+A text none of whose templates can be there is passed over: it must have one of the tokens that no match can do without.
+Tokens are ordered by how many blocks of the whole corpus have them, rarest first. A matching block must have a token of the
+template's prefix (prefix filter), enough tokens (length filter), and enough tokens left where the first shared one stands in
+either order (positional filter); pairs that pass are verified. Templates that differ by less than the threshold lets pass
+are told apart: a block must have half of the tokens that do so, and a template contained in another that the block matches gives
+way to it. Beside it, phrases are found where their words stand in a row.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlvis.llm.quality import fenced
+from crawlvis.llm.license_texts import NOTICES, TEXTS
+from crawlvis.llm.quality import fenced, three_in_a_row
 from crawlvis.llm.store import written
 
 # Phrases that name a license, and their labels.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
-# Notices, and the labels of blocks that contain them.
-TEMPLATES = (
-    ("licensed under the apache license version 2 0", "apache-2"),
-    ("released under the mit license", "mit"),
-    ("licensed under cc by nc 4 0", "cc-by-nc"),
-    ("licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc"),
-    ("licensed under a creative commons attribution 4 0 international license", "cc-by"),
-    ("licensed under a creative commons attribution sharealike 4 0 international license", "cc-by-sa"),
-    ("licensed under the gnu general public license version 3", "gpl-3"),
-    ("licensed under the gnu general public license version 2", "gpl-2"),
-    ("licensed under the gnu lesser general public license", "lgpl"),
-    ("licensed under the bsd 3 clause license", "bsd-3"),
-    ("subject to the terms of the mozilla public license v 2 0", "mpl-2"),
-    ("all rights reserved", "all-rights-reserved"),
-)
 THRESHOLD = 0.9
 #: Characters between words, and between words of a text whose capitals still stand.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words of a token; and sizes of templates in words, each of which has windows of its own.
+TOKEN, SIZES = 3, (16, 64, 512)
+#: What a text may have more of than its template, and still lies in one window for sure.
+ROOM = 1.25
 
 
 @dataclass(frozen=True)
 class Template:
     number: int
     label: str
-    words: tuple[str, ...]  # distinct
+    tokens: tuple[str, ...]  # distinct, in order
+    size: int  # of SIZES
 
     def least(self, threshold: float) -> int:
-        """Words that a block must share."""
-        return max(1, math.ceil(threshold * len(self.words) - 1e-9))
+        """Tokens that a block must share."""
+        return max(1, math.ceil(threshold * len(self.tokens) - 1e-9))
 
 
-def telling(t: Template, templates: list[Template], threshold: float) -> list[str]:
-    """Words of ``t`` that notices of other labels lack which would otherwise pass for it."""
-    near = [set(u.words) for u in templates if u.label != t.label and len(set(t.words) & set(u.words)) >= t.least(threshold)]
-    return [w for w in t.words if any(w not in u for u in near)]
+def templates_of(texts=NOTICES + TEXTS) -> list[Template]:
+    """Templates of texts and their labels. A text has at least three words and at most the largest size's, less some room."""
+    out = []
+    for i, (text, label) in enumerate(texts):
+        words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
+        size = next((n for n in SIZES if n >= ROOM * len(words)), None)
+        if size is None or len(words) < TOKEN:
+            raise ValueError(f"a template must have from {TOKEN} to {int(SIZES[-1] / ROOM)} words")
+        out.append(Template(i, label, tuple(dict.fromkeys(" ".join(words[k : k + TOKEN]) for k in range(len(words) - TOKEN + 1))), size))
+    return out
 
 
-def templates_of(notices=TEMPLATES) -> list[Template]:
-    return [Template(i, label, tuple(dict.fromkeys(text.split()))) for i, (text, label) in enumerate(notices)]
+def telling(t: Template, templates: list[Template], threshold: float) -> list[tuple[str, ...]]:
+    """For each template of another label that would otherwise pass for ``t`` and doesn't contain it: the tokens of ``t`` that it lacks. A block must have half of them."""
+    near = [u for u in templates if u.label != t.label and u not in fuller(t, templates, threshold) and len(set(t.tokens) & set(u.tokens)) >= t.least(threshold)]
+    return [tuple(w for w in t.tokens if w not in u.tokens) for u in near]
+
+
+def fuller(t: Template, templates: list[Template], threshold: float) -> list[Template]:
+    """Templates of other labels and the same size that pass for ``t``, while it doesn't pass for them."""
+    shared = lambda u: len(set(t.tokens) & set(u.tokens))
+    return [u for u in templates if u.label != t.label and u.size == t.size and shared(u) >= t.least(threshold) and shared(u) < u.least(threshold)]
 
 
 def _lower(text: Column) -> Column:
@@ -92,71 +99,106 @@ def phrase_places(words: Column, phrases=PHRASES) -> Column:
     return F.array_compact(F.array(*[place(*p) for p in phrases]))
 
 
-def frequencies(blocks: DataFrame, words: list[str]) -> dict[str, int]:
-    """How many blocks have each of ``words``. blocks: arrays of distinct template words, ``b``. Counted map-side first."""
-    counts = blocks.select(F.explode("b").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # a row per template word at most
-    return {w: 0 for w in words} | {r["w"]: r["n"] for r in counts}
+def candidates(s: str, templates: list[Template], threshold: float) -> Column:
+    """Whether a text can match any template at all: of each one's tokens at most so many may be missing, so of one more than that any must be there.
+
+    s: the column of the text's words, with a blank around each. The tokens with the most letters are asked for, which are rare.
+    """
+    some = {w for t in templates for w in sorted(t.tokens, key=lambda w: (-len(w), w))[: len(t.tokens) - t.least(threshold) + 1]}
+    return F.expr(" OR ".join(f"contains({s}, ' {w} ')" for w in sorted(some)))
+
+
+def blocks_of(templates: list[Template], threshold: float) -> Column:
+    """array<struct<size, b>>: the windows of the words in a row ``tri`` that are long enough for a template of their size, as the template tokens that they hold."""
+    parts = []
+    for size in SIZES:
+        mine = [t for t in templates if t.size == size]
+        if not mine:
+            continue
+        known, least = F.expr("array(" + ", ".join(f"'{w}'" for w in sorted({w for t in mine for w in t.tokens})) + ")"), min(t.least(threshold) for t in mine)
+        starts = F.sequence(F.lit(1), F.greatest(F.size("tri") + TOKEN - 1 - size, F.lit(1)), F.lit(size))
+        held = _held(starts, 2 * size - TOKEN + 1, known)
+        parts.append(F.transform(F.filter(held, _at_least(least)), _sized(size)))
+    return F.concat(*parts)
+
+
+def _held(starts: Column, length: int, known: Column) -> Column:
+    return F.transform(starts, lambda i: F.array_intersect(F.slice("tri", i, F.lit(length)), known))
+
 
+def _at_least(least: int):
+    return lambda b: F.size(b) >= least
 
-def block_matches(blocks: DataFrame, templates: list[Template], threshold: float, counts: dict[str, int], exclusive: bool = False) -> DataFrame:
-    """block key ``key`` and the matches: array<struct<label, containment>>, for blocks that match any template.
 
-    blocks: key, and b, the distinct template words of a block. counts: the words' frequencies in all blocks.
+def _sized(size: int):
+    return lambda b: F.struct(F.lit(size).alias("size"), b.alias("b"))
+
+
+def frequencies(blocks: DataFrame, tokens: list[str]) -> dict[str, int]:
+    """How many blocks have each of ``tokens``. blocks: arrays of distinct template tokens, ``b``. Counted map-side first."""
+    counts = blocks.select(F.explode("b").alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect()  # a row per template token at most
+    return {w: 0 for w in tokens} | {r["w"]: r["n"] for r in counts}
+
+
+def block_matches(blocks: DataFrame, templates: list[Template], threshold: float, counts: dict[str, int]) -> DataFrame:
+    """key, label, containment of the blocks and the templates that they match.
+
+    blocks: key, size, and b, the distinct template tokens of a block. counts: the tokens' frequencies in all blocks.
     """
     order = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
-    ranks = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
-    prefixes = [F.struct(F.lit(order[w]).alias("rank"), F.lit(at).alias("at"), F.lit(t.number).alias("t")) for t in templates for at, w in enumerate(sorted(t.words, key=order.get)[: len(t.words) - t.least(threshold) + 1])]
-    shortest = min(t.least(threshold) for t in templates)
-    ranked = fenced(blocks.where(F.size("b") >= shortest), ["key"], r=F.sort_array(F.transform("b", lambda w: F.element_at(ranks, w))))
-    table = blocks.sparkSession.range(1).select(F.explode(F.array(*prefixes)).alias("p")).select("p.*")
-    facts = blocks.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(t.number).alias("t"), F.lit(t.label).alias("label"), F.lit(t.least(threshold)).alias("least"), F.lit(len(t.words)).alias("n"), F.array(*[F.lit(i) for i in sorted(order[w] for w in t.words)]).alias("tr")) for t in templates])).alias("f")).select("f.*")
-    shared = table.join(F.broadcast(facts), "t")  # templates only, whose number and length the code fixes
-    own_prefix = F.slice("r", F.lit(1), F.size("r") - shortest + 1)
-    probes = ranked.select("key", "r", F.posexplode(own_prefix).alias("pos", "rank"))
-    able = (F.size("r") >= F.col("least")) & (1 + F.least(F.col("n") - F.col("at") - 1, F.size("r") - F.col("pos") - 1) >= F.col("least"))
-    pairs = probes.join(F.broadcast(shared), "rank").where(able)
+    ranks = F.expr("map(" + ", ".join(f"'{w}', {i}" for w, i in order.items()) + ")")
+    array = lambda tokens: "array(" + ", ".join(str(i) for i in sorted(order[w] for w in tokens)) + ")"
+    ranked_tokens = lambda tokens: F.expr(array(tokens))
+    prefixes = [f"({order[w]}, {at}, {t.number})" for t in templates for at, w in enumerate(sorted(t.tokens, key=order.get)[: len(t.tokens) - t.least(threshold) + 1])]
+    facts = [f"({t.number}, '{t.label}', {t.size}, {t.least(threshold)}, {len(t.tokens)}, {array(t.tokens)})" for t in templates]
+    listed = lambda rows, names: blocks.sparkSession.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS x({names})")
+    shared = listed(prefixes, "rank, at, t").join(F.broadcast(listed(facts, "t, label, of_size, least, n, tr")), "t")  # templates only, whose number and length the code fixes
+    ranked = fenced(blocks, ["key", "size"], r=F.sort_array(F.transform("b", lambda w: F.element_at(ranks, w))))
+    shortest = F.create_map(*[F.lit(x) for size in sorted({t.size for t in templates}) for x in (size, min(t.least(threshold) for t in templates if t.size == size))])
+    own_prefix = F.slice("r", F.lit(1), F.size("r") - F.element_at(shortest, F.col("size")) + 1)
+    probes = ranked.select("key", "size", "r", F.posexplode(own_prefix).alias("pos", "rank"))
+    able = (F.col("size") == F.col("of_size")) & (F.size("r") >= F.col("least")) & (1 + F.least(F.col("n") - F.col("at") - 1, F.size("r") - F.col("pos") - 1) >= F.col("least"))
+    pairs = probes.join(F.broadcast(shared), "rank").where(able).dropDuplicates(["key", "t"])
     overlap = F.size(F.array_intersect("r", "tr"))
-    if exclusive:
-        ranked_words = lambda words: F.array(*[F.lit(order[w]) for w in words]).cast("array<int>")
-        holds = lambda words: F.size(F.array_intersect("r", ranked_words(words))) == len(words)
-        matched = {t.number: (F.size(F.array_intersect("r", ranked_words(t.words))) >= t.least(threshold)) & holds(telling(t, templates, threshold)) for t in templates}
-        for t in templates:
-            must, fuller = telling(t, templates, threshold), [u for u in templates if set(t.words) < set(u.words)]
-            wins = holds(must)
-            for u in fuller:
-                wins &= ~matched[u.number]
-            if must or fuller:
-                pairs = pairs.where((F.col("t") != t.number) | wins)
-    checked = pairs.select("key", "t", "label", (overlap / F.col("n")).alias("containment"), (overlap >= F.col("least")).alias("good")).where("good")
-    return checked.select("key", "label", "containment")
-
-
-def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, notices=TEMPLATES, threshold: float = THRESHOLD, across_lines: bool = False, exclusive: bool = False) -> DataFrame:
+
+    def holds(told: list[tuple[str, ...]]) -> Column:
+        good = F.lit(True)
+        for tokens in told:
+            good &= 2 * F.size(F.array_intersect("r", ranked_tokens(tokens))) >= len(tokens)
+        return good
+
+    passes = lambda t: (F.size(F.array_intersect("r", ranked_tokens(t.tokens))) >= t.least(threshold)) & holds(telling(t, templates, threshold))
+    for t in templates:
+        must, over = telling(t, templates, threshold), fuller(t, templates, threshold)
+        wins = holds(must)
+        for u in over:
+            wins &= ~passes(u)
+        if must or over:
+            pairs = pairs.where((F.col("t") != t.number) | wins)
+    return pairs.where(overlap >= F.col("least")).select("key", "label", (overlap / F.col("n")).alias("containment"))
+
+
+def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phrases=PHRASES, texts=NOTICES + TEXTS, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, for every row.
 
     score: the largest containment of a template in a block, 1 where a phrase is found, 0 without either. A null
-    or empty text has no words, empty labels and null places. Rows that repeat are scanned again.
+    or empty text has no words, empty labels and null places. Rows that repeat are scanned again, a null id stays null, an
+    empty table gives an empty result, other columns are ignored whatever their names.
     """
-    templates = templates_of(notices)
-    universe = sorted({w for t in templates for w in t.words})
+    templates = templates_of(texts)
+    universe = sorted({w for t in templates for w in t.tokens})
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), _lower(text).alias("t"))
-    spaced = fenced(base, ["doc_id", "t"], s=F.concat(F.lit(" "), F.trim(F.regexp_replace("t", BETWEEN, " ")), F.lit(" ")))
-    known = F.array(*[F.lit(w) for w in universe])
-    shortest = min(t.least(threshold) for t in templates)
-    blocks = F.filter(F.transform(F.split("t", "\n"), lambda line: F.array_intersect(F.split(line, BETWEEN), known)), lambda b: F.size(b) >= shortest)
-    if across_lines:
-        step = max(len(text.split()) for text, _ in notices)
-        words = F.split(F.trim("s"), " ")
-        starts = F.sequence(F.lit(1), F.greatest(F.size("ws") - step, F.lit(1)), F.lit(step))
-        spaced = fenced(spaced, ["doc_id", "t", "s"], ws=words)
-        windows = F.transform(starts, lambda i: F.array_intersect(F.slice("ws", i, F.lit(2 * step)), known))
-        blocks = F.concat(blocks, F.filter(windows, lambda b: F.size(b) >= shortest))
+    spaced = fenced(base, ["doc_id"], s=F.concat(F.lit(" "), F.trim(F.regexp_replace("t", BETWEEN, " ")), F.lit(" ")))
+    none = F.array().cast("array<string>")
+    words = fenced(spaced, ["doc_id", "s"], w=F.when(candidates("s", templates, threshold), F.split(F.trim("s"), " ")).otherwise(none))
+    split = fenced(words, ["doc_id", "s"], tri=F.when(F.size("w") > 0, three_in_a_row("w")).otherwise(none))
+    blocks = F.when(F.size("tri") > 0, blocks_of(templates, threshold)).otherwise(F.array().cast("array<struct<size:int,b:array<string>>>"))
     n_words = F.when(F.col("s") == "  ", F.lit(0)).otherwise(F.length("s") - F.length(F.replace(F.col("s"), F.lit(" "), F.lit(""))) - 1)
-    measured = spaced.select("doc_id", F.monotonically_increasing_id().alias("row"), n_words.cast("long").alias("n_words"), phrase_places(F.col("s"), phrases).alias("places"), blocks.alias("blocks"))
+    measured = split.select("doc_id", F.monotonically_increasing_id().alias("row"), n_words.cast("long").alias("n_words"), phrase_places(F.col("s"), phrases).alias("places"), blocks.alias("blocks"))
     book = written(measured, "licenses")  # one pass over the texts; what follows reads small columns, and row numbers hold
-    each = book.select(F.struct("row").alias("key"), F.explode("blocks").alias("b"))
-    matches = block_matches(each, templates, threshold, frequencies(each, universe), exclusive)
+    each = book.select("row", F.posexplode("blocks").alias("block", "x")).select(F.struct("row", "block").alias("key"), "x.size", "x.b")
+    matches = block_matches(each, templates, threshold, frequencies(each, universe))
     found = matches.groupBy(F.col("key.row").alias("row")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
     named = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     is_base = F.size("places") > 0

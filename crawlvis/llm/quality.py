@@ -49,8 +49,8 @@ def fenced(df: DataFrame, keep: list[str], **columns: Column) -> DataFrame:
     return df.select(F.inline(F.array(row)))
 
 
-def _windows(w: str) -> Column:
-    """Every three words in a row of the array ``w``, joined by blanks, which no word has."""
+def three_in_a_row(w: Column | str) -> Column:
+    """Every three words in a row of the array ``w``, joined by blanks, which no word has; none if there are fewer."""
     n = F.size(w)
     part = lambda at: F.slice(w, F.lit(at), F.greatest(n - 2, F.lit(0)))
     zipped = F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("c"))
@@ -95,7 +95,7 @@ def ledger(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", k
     held += ["n_symbols"]
     wide = fenced(
         split, held, n_words=F.size("w").cast("long"), word_chars=F.length(F.array_join("w", "")).cast("long"), n_lines=F.size("l").cast("long"), n_dup_lines=(F.size("l") - F.size(F.array_distinct("l"))).cast("long"),
-        windows=F.when(F.size("w") > 3, _windows("w")).otherwise(F.array().cast("array<string>")),
+        windows=F.when(F.size("w") > 3, three_in_a_row("w")).otherwise(F.array().cast("array<string>")),
     )
     held += ["n_words", "word_chars", "n_lines", "n_dup_lines"]
     repeats = F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.lit(0)).otherwise(_covered("windows"))

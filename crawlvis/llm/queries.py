@@ -72,21 +72,29 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_round_trip": op10_warc_round_trip,
 }
 def licenses_sql() -> str:
-    """The license scan without filters: every line against every template, every phrase at every word."""
-    templates = ", ".join(f"('{t.label}', [{', '.join(repr(w) for w in t.words)}], {t.least(licenses.THRESHOLD)})" for t in licenses.templates_of())
+    """The license scan without filters: every window against every template, every phrase at every word."""
+    least, templates = licenses.THRESHOLD, licenses.templates_of()
+    strings = lambda tokens: f"CAST([{', '.join(map(repr, tokens))}] AS VARCHAR[])"
+    rows = ", ".join(
+        f"({t.number}, '{t.label}', {t.size}, {strings(t.tokens)}, {t.least(least)}, CAST([{', '.join(strings(x) for x in licenses.telling(t, templates, least))}] AS VARCHAR[][]), CAST([{', '.join(str(u.number) for u in licenses.fuller(t, templates, least))}] AS INTEGER[]))"
+        for t in templates
+    )
+    sizes = ", ".join(f"({n})" for n in licenses.SIZES)
     phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split())}], '{label}')" for p, label in licenses.PHRASES)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-WITH t(label, words, least) AS (VALUES {templates}), p(words, label) AS (VALUES {phrases}),
-d AS (SELECT doc_id, {lower} AS s FROM documents),
-w AS (SELECT doc_id, s, regexp_extract_all(s, '{word}') AS w FROM d),
-b AS (SELECT doc_id, label, len(w) - len(words) AS back, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(words)] = words)) AS place FROM w, p
+WITH t(number, label, size, tokens, least, telling, fuller) AS (VALUES {rows}), z(size) AS (VALUES {sizes}), p(words, label) AS (VALUES {phrases}),
+w AS (SELECT doc_id, regexp_extract_all({lower}, '{word}') AS w FROM documents),
+b AS (SELECT doc_id, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(words)] = words)) AS place FROM w, p
       WHERE len(w) >= len(words) AND list_has_all(w, words)),
 c AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_distinct(list(label)) AS names FROM b GROUP BY doc_id),
-l AS (SELECT doc_id, unnest(list_transform(string_split(s, chr(10)), lambda x: list_distinct(regexp_extract_all(x, '{word}')))) AS l FROM d),
-m AS (SELECT doc_id, label, len(list_intersect(words, l)) AS o, least, len(words) AS n FROM l, t WHERE len(list_intersect(words, l)) >= least),
-f AS (SELECT doc_id, list_distinct(list(label)) AS found, max(o / n) AS most FROM m GROUP BY doc_id)
+g AS (SELECT doc_id, w, list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) AS g FROM w WHERE len(w) > 2),
+l AS (SELECT doc_id, size, unnest(list_transform(range(1, 1 + greatest(len(w) - size, 1), size), lambda i: g[i:i + 2 * size - 3])) AS g, unnest(range(1, 1 + greatest(len(w) - size, 1), size)) AS place FROM g, z),
+m AS (SELECT doc_id, place, l.size, number, label, fuller, len(list_intersect(tokens, g)) / len(tokens) AS share FROM l JOIN t USING (size)
+      WHERE list_has_any(tokens, g) AND len(list_intersect(tokens, g)) >= least AND len(list_filter(telling, lambda x: 2 * len(list_intersect(x, g)) < len(x))) = 0),
+k AS (SELECT doc_id, place, size, list(number) AS numbers FROM m GROUP BY ALL),
+f AS (SELECT doc_id, list_distinct(list(label)) AS found, max(share) AS most FROM m JOIN k USING (doc_id, place, size) WHERE NOT list_has_any(fuller, numbers) GROUP BY doc_id)
 SELECT w.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(names, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(names, []), coalesce(found, [])))), ',') AS labels,

@@ -74,21 +74,47 @@ def license_of(text):
         hits = [i for i in range(len(words) - len(p) + 1) if words[i : i + len(p)] == p]
         places += hits
         labels |= {label} if hits else set()
-    base = set(labels)
-    for line in (text or "").split("\n"):
-        have = set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), line)))
-        for t in licenses.templates_of():
-            share = len(have & set(t.words)) / len(t.words)
-            if share >= licenses.THRESHOLD:
-                labels.add(t.label)
-                score = max(score, share)
+    base, templates = set(labels), licenses.templates_of()
+    for size in licenses.SIZES:
+        for start in range(0, max(len(words) - size, 1), size):
+            window = words[start : start + 2 * size]
+            have = {" ".join(window[i : i + 3]) for i in range(len(window) - 2)}
+            share = {t: len(have & set(t.tokens)) / len(t.tokens) for t in templates if t.size == size}
+            good = {t for t in share if share[t] >= licenses.THRESHOLD - 1e-9 and all(2 * len(have & set(x)) >= len(x) for x in licenses.telling(t, templates, licenses.THRESHOLD))}
+            for t in good:
+                if not good & set(licenses.fuller(t, templates, licenses.THRESHOLD)):
+                    labels.add(t.label)
+                    score = max(score, share[t])
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if places else score
 
 
+def test_license_texts_and_look_alikes(spark):
+    r = random.Random(3)
+    whole = dict(zip([label for _, label in licenses.TEXTS], [t for t, _ in licenses.TEXTS], strict=True))
+    filler = lambda n: " ".join(f"w{r.randrange(900)}" for _ in range(n))
+    rows, want = [], {}
+    for label, text in whole.items():
+        for n in (0, 3, 70, 300, 511, 512, 900):
+            words = text.split()
+            words[-5] += " Inc"  # as a name that was put in
+            rows.append((f"{label}-{n}", f"{filler(n)}\n" + "\n".join(" ".join(words[i : i + 9]) for i in range(0, len(words), 9)) + f"\n{filler(n)}"))
+            want[rows[-1][0]] = {label}
+    rows += [("reserved", "the rights of all are reserved to nobody"), ("v3", "This work is licensed under the GNU General Public License, version 3. It is no longer version 2 of it."), ("half", " ".join(whole["mit"].split()[:60]))]
+    want |= {"reserved": set(), "v3": {"gpl-3"}, "half": set()}
+    got = {x["doc_id"]: set(filter(None, x["labels"].split(","))) for x in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    for name, labels in want.items():
+        assert labels <= got[name] and got[name] - labels <= {"apache-2", "mpl-2"} - labels, name
+
+
 def test_license_scan(spark, nasty):
     r = random.Random(4)
     bits = ["Licensed under CC BY-NC 4.0.", "cc by nc cc by nc", "Released under the MIT License.", "Apache License, Version 2.0", "All rights\nreserved", "All rights reserved.", "words the of to", "licensed under the gnu general public license v 3", "\n", "under  THE mit-license", "xunder the mit license", "version 3", "é", "license"]
     extra = [(100 + i, " ".join(r.choice(bits) for _ in range(r.randrange(8)))) for i in range(200)]
+    for i in range(120):  # whole texts, some with words changed, put in or left out
+        words = [w for _ in range(r.choice((1, 1, 2))) for w in r.choice(licenses.TEXTS)[0].split()]
+        for _ in range(r.choice((0, 0, 1, 3, 6))):
+            words[r.randrange(len(words))] = r.choice(("", "new", "a b", "VERSION"))
+        extra.append((400 + i, "x " * r.choice((0, 30, 500)) + " ".join(words) + " y" * r.choice((0, 40))))
     df = nasty.select("doc_id", "text", "n_words").unionByName(spark.createDataFrame(extra, "doc_id long, text string").withColumn("n_words", F.lit("")))
     got = [tuple(x) for x in licenses.scan(df).collect()]
     assert sorted(map(str, got)) == sorted(str((i, *license_of(t))) for i, t in NASTY + extra)

@@ -16,5 +16,5 @@ WRAPPED = (
 
 def test_wrapped_notices_are_found_wherever_they_stand(spark):
     rows = [(f"{i}-{n}", ("x " * n + t if n else t) if t else t) for i, (t, _) in enumerate(WRAPPED) for n in (0, 1, 7, 10, 11, 12, 23, 100)]
-    got = {x["doc_id"]: x["labels"] for x in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string"), across_lines=True).collect()}
+    got = {x["doc_id"]: x["labels"] for x in licenses.scan(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
     assert got == {i: WRAPPED[int(i.split("-")[0])][1] for i, _ in rows}
