@@ -1,6 +1,7 @@
 """Top-k search, HTML extraction and WARC archives against brute force and round trips."""
 
 import hashlib
+import math
 import random
 from html.parser import HTMLParser
 from pathlib import Path
@@ -15,18 +16,17 @@ from crawlvis.llm.dom import blocks, parse
 from crawlvis.llm.store import new_path
 
 
+def clamped(x):
+    return min(max(x, -(2**63)), 2**63 - 1)
+
+
 def brute(rows, k):
-    good = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    good = [(i, [clamped(math.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
     for q in sorted({i for i, _ in good if i % 20 == 0}):
-        best = {}
-        for i, v in good:
-            if i != q:
-                for p, w in good:
-                    if p == q and len(w) == len(v):
-                        s = sum(a * b for a, b in zip(v, w, strict=True))
-                        best[i] = max(best.get(i, s), s)
-        out += [(q, n, i, s) for n, (s, i) in enumerate(sorted(((s, i) for i, s in best.items()), key=lambda x: (-x[0], x[1]))[:k], 1)]
+        own = [w for p, w in good if p == q]
+        scores = [(max(clamped(sum(a * b for a, b in zip(v, w, strict=True))) for w in own if len(w) == len(v)), i) for i, v in good if i != q and any(len(w) == len(v) for w in own)]
+        out += [(q, n, i, s) for n, (s, i) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:k], 1)]
     return out
 
 
@@ -39,15 +39,41 @@ def test_top_k(spark, monkeypatch):
     common = [0.5] * 10
     rows = [(i, common if r.random() < 0.3 else [r.uniform(-1, 1) for _ in range(10)]) for i in range(300)]
     rows += [(400, None), (420, [None] * 10), (440, [float("nan")] * 10), (460, [float("inf")] + [0.0] * 9), (None, common), (40, common), (41, [1.0] * 10), (500, [0.1, 0.2]), (501, [0.3, 0.4])]
+    rows += [(41, common), (40, [0.9] * 10), (502, []), (520, []), (503, [1e18] * 10), (504, [-1e18, 1e18] * 5), (505, [3e7] * 10), (560, [2e17] + [0.0] * 9), (580, [5e7, -1.0] * 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 as score", "'a' as id")
     exact = [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
     vectors = topk.quantized(df, 64)
     for k in (1, 20, 1000):
         got = sorted(map(tuple, topk.top_k(vectors.where("id % 20 = 0"), vectors, k).collect()))
         assert got == sorted(brute(exact, k))
+    some = [x for x in exact if x[0] != 40]  # also with all in one cell
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 5000)
+    vectors = vectors.where("id != 40")
+    assert sorted(map(tuple, topk.top_k(vectors.where("id % 20 = 0"), vectors, 7).collect())) == sorted(brute(some, 7))
     assert topk.top_k(vectors.limit(0), vectors, 3).count() == 0 and topk.top_k(vectors, vectors.limit(0), 3).count() == 0
 
 
+def test_bounds_leave_few_candidates_of_skewed_vectors():
+    """Vectors with most of their mass in some dimensions: what share of all pairs is left after each step, and the same answer as without bounds."""
+    r = np.random.default_rng(2)
+    n, d, k = 4000, 64, 20
+    c = np.floor(64 * r.normal(size=(n, d)) * 0.85 ** np.arange(d)).astype(np.int64)[:, r.permutation(d)]
+    ids = np.arange(n)
+    q = np.flatnonzero(ids % 20 == 0)
+    seen = []
+    found = topk.search_block(q, c[q], ids, c, k, seen=seen)
+    left = {b: np.mean([share for at, share in seen if at == b]) for b in {at for at, _ in seen}}
+    assert left[8] < 0.2 and max(left) <= 16  # then every query goes on with its own few
+    score = c[q] @ c.T
+    score[np.arange(len(q)), q] = -(2**60)
+    want = [sorted(zip(-row, ids, strict=True))[:k] for row in score]
+    assert list(zip(-found[2], found[1], strict=True)) == [x for row in want for x in row]
+    floor = np.array([-row[-1][0] for row in want], dtype=float)
+    carried = []
+    again = topk.search_block(q, c[q], ids, c, k, floor=floor, seen=carried)
+    assert all((a == b).all() for a, b in zip(found, again, strict=True)) and np.mean([x for at, x in carried if at == 8]) <= left[8]
+
+
 ARTICLE = "<html><head><title>T</title></head><body><nav><a href=/>Home</a> <a href=/a>About</a></nav><article><h1>Title here</h1><p>Some first paragraph of it.</p>{}</article><footer>&copy; x</footer></body></html>"
 HAND = (
     ("<html><body><nav><a href=/>Home</a></nav><main><article><h1>Title &amp; more</h1><p>First  paragraph\n here.<p>Second <b>bold</b> one.</article></main><footer>&copy; x</footer>", "Title & more\nFirst paragraph here.\nSecond bold one."),
