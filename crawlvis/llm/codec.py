@@ -6,8 +6,10 @@ vocabulary's own whole words. Words outside it are merged exactly. Lexicon or no
 
 from __future__ import annotations
 
+import atexit
 import hashlib
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlvis.llm.bpe import Vocabulary
-from crawlvis.llm.store import written
+from crawlvis.llm.store import dropped, written
 from crawlvis.llm.transducer import Transducer, compile_words, save
 
 
@@ -48,16 +50,29 @@ def lexicon_words(vocabulary: Vocabulary, frequent: list[str] = ()) -> dict[byte
 
 
 def frequent_words(docs: DataFrame, most: int, *, text_col: str = "text") -> list[str]:
-    """The ``most`` frequent words of all texts, in lower case, ties to the smaller word. Counted map-side first."""
+    """The most frequent words of all texts, in lower case, by frequency and then by word: ``most`` at most.
+
+    Counted map-side first. Where to cut is told by a histogram of the logarithms of the counts, of some hundred rows, so
+    that nothing but the words above comes together; words of the interval of counts that would go beyond ``most`` are left out.
+    """
     word = F.explode(F.split(F.lower(F.col(text_col)), r"[^\p{L}]+")).alias("w")
-    counts = docs.select(word).where("w != ''").groupBy("w").agg(F.count("*").alias("n"))
-    # Written before it is collected, the limit is taken by a task and not from every partition's rows on the driver.
-    return [r["w"] for r in written(counts.orderBy(F.desc("n"), "w").limit(most), "frequent").collect()]
+    level = F.floor(F.log("n") * 64).cast("int").alias("level")
+    counts = written(docs.select(word).where("w != ''").groupBy("w").agg(F.count("*").alias("n")).select("w", "n", level), "words")
+    cut, total = None, 0
+    for row in counts.groupBy("level").agg(F.count("*").alias("c")).orderBy(F.desc("level")).collect():
+        total += row["c"]
+        if total > most:
+            break
+        cut = row["level"]
+    found = [] if cut is None else counts.where(F.col("level") >= cut).select("w", "n").collect()
+    dropped(counts)
+    return [r["w"] for r in sorted(found, key=lambda r: (-r["n"], r["w"]))]
 
 
 def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, frequent: list[str] = ()) -> str:
     """Compiles the lexicon, hands the file to every executor, and gives its name there."""
-    folder = tempfile.mkdtemp(prefix="lexicon-")
+    folder = tempfile.mkdtemp(prefix="lexicon-")  # from which the driver hands it out as long as it runs
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     arrays = compile_words(lexicon_words(vocabulary, frequent))
     name = f"lexicon-{uuid.uuid4().hex}"  # Spark refuses a file of a name that it has met
     save(arrays, os.path.join(folder, name))

@@ -1,8 +1,10 @@
 """Encoding, packing and attribution against the tokenizers library and plain restatements."""
 
+import collections
 import hashlib
 import itertools
 import random
+import re
 import zlib
 
 import numpy as np
@@ -236,3 +238,15 @@ def test_section_tokens_equal_the_librarys_offsets(spark, rule):
             want[i, to][0] += 1
             want[i, to][1] += len(set(held)) > 1
     assert got == {k: tuple(v) for k, v in want.items()}
+
+
+def test_frequent_words_are_the_most_frequent(spark):
+    r = random.Random(4)
+    texts = [" ".join(f"w{chr(97 + min(r.randrange(26), r.randrange(26)))}" for _ in range(60)) for _ in range(40)] + [None, "", "ÉTÉ été 12"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    count = collections.Counter(w for t in texts for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
+    for most in (0, 1, 5, 12, 100):
+        got = codec.frequent_words(df, most)
+        assert len(got) <= most and got == sorted(count, key=lambda w: (-count[w], w))[: len(got)]
+    assert len(codec.frequent_words(df, 100)) == len(count) and len(codec.frequent_words(df, 12)) >= 10
+    assert codec.frequent_words(df.limit(0), 5) == []
