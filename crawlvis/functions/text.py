@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,15 +19,20 @@ STOPWORDS = (
 ).split()
 # Elements that break lines, and elements whose content isn't text.
 BLOCK_TAGS = "p|h[1-6]|li|ul|ol|div|section|article|aside|header|footer|nav|main|table|tr|td|th|caption|blockquote|pre|figure|figcaption|dl|dt|dd|br|hr"
-SILENT_TAGS = ("script", "style", "noscript", "template", "head")
-# Character references that the fast reader decodes; the ampersand's is last.
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&mdash;", "—"), ("&ndash;", "–"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&amp;", "&"))
-
-COMMENT = r"(?s)<!--.*?-->"
-SILENT = "(?is)" + "|".join(rf"<{t}\b[^>]*>.*?</{t}\s*>" for t in SILENT_TAGS)
-BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})\b[^>]*>"
-TAG = r"</?[a-zA-Z!][^>]*>"
-SCRIPT = r"(?is)<script\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(.*?)</script\s*>"
+SILENT_TAGS = ("script", "style", "noscript", "template", "head", "title")
+#: Characters by the names of HTML's references, as text that Spark turns into one constant map.
+NAMED = "\x01".join(f"{name[:-1]}\x02{text}" for name, text in sorted(html5.items()) if name.endswith(";"))
+#: What references to the control characters from 128 on have always stood for.
+WINDOWS = {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
+REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
+
+#: What stands in a tag after its name: quoted values may hold what else would end it.
+INSIDE = r"(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*)"
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+SILENT = "(?is)" + "|".join(rf"<{t}\b{INSIDE}>.*?</{t}\s*>" for t in SILENT_TAGS)
+BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})\b{INSIDE}>"
+TAG = rf"</?[a-zA-Z!]{INSIDE}>"
+SCRIPT = rf"(?is)<script\b({INSIDE})>(.*?)</script\s*>"
 
 
 def trimmed(x: Column) -> Column:
@@ -73,9 +80,30 @@ def collapse_blocks(x: Column) -> Column:
 
 
 def decoded(x: Column) -> Column:
-    for reference, character in REFERENCES:
-        x = F.replace(x, F.lit(reference), F.lit(character))
-    return x
+    """Text with its character references resolved: named, decimal and hexadecimal ones that end in a semicolon. Unknown names stay."""
+    names = F.str_to_map(F.lit(NAMED), F.lit("\x01"), F.lit("\x02"))
+    controls = F.array(*[F.lit(c) for c in WINDOWS.values()])
+
+    def point(digits: Column, base: int) -> Column:
+        def character(n: Column) -> Column:
+            there = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
+            return F.when(n.between(0x80, 0x9F), F.get(controls, (n - 0x80).cast("int"))).when(there, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
+
+        return let(F.conv(digits, base, 10).cast("long"), character)
+
+    def one(reference: Column) -> Column:
+        name = F.substring(reference, F.lit(2), F.length(reference) - 2)
+        return (
+            F.when(F.rlike(name, F.lit("^#[xX]")), point(F.substring(name, F.lit(3), F.length(name)), 16))
+            .when(F.startswith(name, F.lit("#")), point(F.substring(name, F.lit(2), F.length(name)), 10))
+            .otherwise(F.coalesce(F.try_element_at(names, name), reference))
+        )
+
+    def whole(x: Column) -> Column:
+        found = F.concat(F.transform(F.regexp_extract_all(x, F.lit(f"({REFERENCE})"), F.lit(1)), one), F.array(F.lit("")))
+        return F.array_join(F.zip_with(F.split(x, REFERENCE), found, lambda a, b: F.concat(a, b)), "")
+
+    return let(x, lambda t: F.when(F.contains(t, F.lit("&")), whole(t)).otherwise(t))
 
 
 def raw_text(html: Column) -> Column:
@@ -98,7 +126,12 @@ def inline_scripts(html: Column) -> Column:
 
 
 def unescaped(script: Column) -> Column:
-    r"""Script text with its escapes resolved: \uXXXX (surrogates in pairs), then \n, \t, \/, and quotes and backslashes."""
+    r"""Script text with its escapes resolved: \uXXXX (surrogates in pairs), then \n, \t, \/, and quotes and backslashes.
+
+    A surrogate without its other half becomes U+FFFD, since no text can hold it.
+    """
+    high, low = r"\\u[dD][89abAB][0-9a-fA-F]{2}", r"\\u[dD][c-fC-F][0-9a-fA-F]{2}"
+    script = F.regexp_replace(script, f"{high}(?!{low})|(?<!{high}){low}", r"\\ufffd")
     units = r"((?:\\u[0-9a-fA-F]{4})+)"
     parts = F.split(F.regexp_replace(script, units, "\x00$1\x00"), "\x00")
     point = lambda p: F.when(F.rlike(p, F.lit(rf"^{units}$")), F.decode(F.unhex(F.regexp_replace(p, r"\\u", "")), "UTF-16BE")).otherwise(p)

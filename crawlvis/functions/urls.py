@@ -20,28 +20,53 @@ def with_scheme(url: Column) -> Column:
 
 
 def is_valid(url: Column) -> Column:
-    return F.rlike(with_scheme(url), F.lit(PARTS)) & ~F.rlike(with_scheme(url), F.lit(r"^[^/]*//[^/?#]*[\s<>^|%]"))
+    return F.rlike(with_scheme(url), F.lit(PARTS)) & ~F.rlike(with_scheme(url), F.lit(r"^[^/]*//(?:[^/?#@]*@)?[^/?#]*[\s<>^|%]"))
+
+
+def _encoded(text: Column, characters: str) -> Column:
+    """Text with ``characters``, and all beyond ASCII, in percent-encoding. What is encoded already stays."""
+    for c in characters:
+        text = F.replace(text, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    beyond = r"[^\x00-\x7f]+"
+    found = F.concat(F.transform(F.regexp_extract_all(text, F.lit(f"({beyond})"), F.lit(1)), F.url_encode), F.array(F.lit("")))
+    return F.when(F.rlike(text, F.lit(beyond)), F.array_join(F.zip_with(F.split(text, beyond), found, lambda a, b: F.concat(a, b)), "")).otherwise(text)
+
+
+def _steps(path: Column) -> Column:
+    """A path without dot segments, of which the last leaves its slash."""
+    steps = F.split(F.regexp_replace(path, r"(?i)(?<=/)(?:\.|%2e)(?:/(?:\.|%2e)(?=/|$))*(?:/|$)", ""), "/")
+    none = F.array().cast("array<string>")
+    dots = lambda s: F.rlike(s, F.lit(r"(?i)^(?:\.|%2e){2}$"))
+    kept = F.aggregate(F.slice(steps, F.lit(2), F.greatest(F.size(steps) - 1, F.lit(0))), none, lambda a, s: F.when(dots(s), F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(s))))
+    end = F.when(dots(F.element_at(steps, -1)) & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.when(F.rlike(path, F.lit(r"(?i)/(?:\.|%2e){1,2}(?:/|$)")), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
 
 
 def normalized(url: Column) -> Column:
     """The key under which scans of a URL are kept; null where it can't be parsed.
 
     Scheme and host in lower case, no default port, fragment or tracking parameter, the other parameters sorted by
-    name, and no slash at the end of a path but the root's. A parameter without ``=`` gets one.
+    name, and no slash at the end of a path but the root's. Names and values of parameters are decoded and encoded anew as
+    a form does, a parameter without ``=`` gets one. Paths lose their dot segments and have blanks and other letters
+    encoded. Hosts beyond ASCII are taken as they are, in lower case.
     """
-    x = with_scheme(url)
-    scheme, host, port = F.lower(part(x, 1)), F.lower(part(x, 2)), part(x, 3)
+    x = F.regexp_replace(F.replace(F.regexp_replace(with_scheme(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")), r"[\t\n\r]", ""), F.lit("\\"), F.lit("/")), r"^([a-zA-Z][a-zA-Z0-9+.-]*:)/{3,}", "$1//")
+    scheme, host = F.lower(part(x, 1)), F.lower(part(x, 2))
+    user = F.regexp_replace(F.regexp_extract(x, r"^[^/]*//([^/?#@]*@)", 1), "^:?@$", "")
+    port = F.regexp_replace(part(x, 3), "^0+(?=[0-9])", "")
     shown = F.when((port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80")), F.lit("")).otherwise(F.concat(F.lit(":"), port))
     pairs = F.filter(F.split(part(x, 5), "&"), lambda p: p != "")
+    plain = lambda p: F.try_url_decode(F.regexp_replace(p, "%(?![0-9a-fA-F]{2})", "%25"))
     name = lambda p: F.substring_index(p, "=", 1)
-    kept = F.filter(pairs, lambda p: ~F.rlike(name(p), F.lit(TRACKING)))
-    value = lambda p: F.when(F.contains(p, F.lit("=")), p).otherwise(F.concat(p, F.lit("=")))
-    placed = F.array_sort(F.transform(kept, lambda p, i: F.struct(F.lower(name(p)).alias("l"), name(p).alias("n"), i.alias("i"), value(p).alias("p"))))
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substring(p, F.length(name(p)) + 2, F.length(p))).otherwise(F.lit(""))
+    read = F.transform(pairs, lambda p: F.struct(plain(name(p)).alias("n"), plain(value(p)).alias("v")))
+    kept = F.filter(read, lambda p: ~F.rlike(p["n"], F.lit(TRACKING)))
+    placed = F.array_sort(F.transform(kept, lambda p, i: F.struct(F.lower(p["n"]).alias("l"), p["n"].alias("n"), i.alias("i"), F.concat(F.url_encode(p["n"]), F.lit("="), F.url_encode(p["v"])).alias("p"))))
     query = F.array_join(F.transform(placed, lambda s: s["p"]), "&")
-    path = part(x, 4)
+    path = _steps(_encoded(part(x, 4), ' "<>`{}'))
     path = F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
     path = F.when(path == "", F.lit("/")).otherwise(path)
-    whole = F.concat(scheme, F.lit("://"), host, shown, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    whole = F.concat(scheme, F.lit("://"), user, host, shown, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
     return F.when(is_valid(url), whole)
 
 

@@ -92,7 +92,7 @@ def queue_positions(scans: DataFrame) -> DataFrame:
 
 def valid_requests(requests: DataFrame) -> DataFrame:
     """Requests whose trimmed url has 1 to 2048 characters, with force false where it is not given."""
-    url = F.trim("url")
+    url = T.trimmed(F.col("url"))
     return requests.where(F.coalesce(F.length(url).between(1, 2048), F.lit(False))).withColumns({"url": url, "force": F.coalesce("force", F.lit(False))})
 
 

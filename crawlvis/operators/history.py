@@ -158,7 +158,7 @@ def new_scans(requests: DataFrame) -> DataFrame:
     """Rows to insert for requests that pass: status queued, the trimmed input and its key. Invalid ones have an error instead."""
     from crawlvis.functions import urls
 
-    url = F.trim("url")
+    url = T.trimmed(F.col("url"))
     good = F.length(url).between(1, 2048) & urls.normalized(url).isNotNull()
     return requests.select(F.col("req_id").alias("scan_id"), url.alias("input_url"), urls.normalized(url).alias("normalized_url"), F.when(good, F.lit("queued")).otherwise(F.lit("error")).alias("status"), F.when(~good, F.lit("invalid_url")).alias("error_type"), F.col("ts").alias("created_at"))
 

@@ -1,11 +1,10 @@
-"""What a page's source tells of it: its stack, page-level checks, static regions and selectors."""
+"""What a page's source tells of it: its stack and page-level checks."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from crawlvis.functions import text as T
 from crawlvis.functions import urls
 
 # Markers of stacks, in the order in which the first names the stack.
@@ -54,26 +53,3 @@ def llms_check(content: Column, final_url: Column) -> Column:
     path = urls.pathname(final_url)
     links = F.contains(content, final_url) | ((path != "/") & F.contains(content, path))
     return F.struct(content.isNotNull().alias("present"), F.when(content.isNotNull(), links).alias("links_to_path"))
-
-
-# The static regions of a page: name, selector and where they stand.
-REGIONS = (
-    ("Navigation", "body > nav", r"(?is)<nav\b[^>]*>(.*?)</nav\s*>"),
-    ("Section 2", "body > div.ad", r"(?is)<div class=\"ad\"[^>]*>(.*?)</div\s*>"),
-    ("Article", "body > article", r"(?is)<article\b[^>]*>(.*?)</article\s*>"),
-    ("Footer", "body > footer", r"(?is)<footer\b[^>]*>(.*?)</footer\s*>"),
-)
-
-
-def static_regions(pages: DataFrame, html: str = "html") -> DataFrame:
-    """One row per region that stands in a page's source: region_ord, selector, name, inner_html, beside the page's columns."""
-    found = F.array(*[F.struct(F.lit(i + 1).cast("long").alias("region_ord"), F.lit(s).alias("selector"), F.lit(n).alias("name"), F.regexp_extract(F.col(html), p, 1).alias("inner_html")) for i, (n, s, p) in enumerate(REGIONS)])
-    there = F.filter(found, lambda r: r["inner_html"] != "")
-    return pages.select("*", F.explode(there).alias("_region")).select(*pages.columns, "_region.*")
-
-
-def links_of(inner_html: Column) -> Column:
-    """The first 60 links, each with whether only script can follow it."""
-    href = r"(?is)<a\b[^>]*?\bhref=\"([^\"]*)\""
-    found = F.slice(F.regexp_extract_all(inner_html, F.lit(href), F.lit(1)), 1, 60)
-    return F.transform(found, lambda h: F.struct(T.decoded(h).alias("href"), urls.is_client_route(T.decoded(h)).alias("is_client_route")))

@@ -1,7 +1,7 @@
 """Coverage, classification, weights and scores of page regions.
 
-Regions come as an array column beside the page's text wherever a page is one row, so that a page
-is analyzed without any shuffle; the same rules also apply to regions as rows (``region_rows``).
+Regions come as an array column beside the page's text wherever a page is one row (``measured``): a page is compared with
+its own text without a shuffle, and its text is not copied to its regions. ``diffed`` does the same to regions as rows.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from crawlvis.functions import text as T
 from crawlvis.functions import urls
 from crawlvis.functions import wording as W
-from crawlvis.functions.fence import fenced
+from crawlvis.functions.fence import fenced, let
 from crawlvis.functions.template import chosen, filled, looked_up
 
 # Limits of the classes, the share of routes and least links that make a menu of routes, and probes per region.
@@ -60,6 +60,47 @@ def diffed(regions: DataFrame, text: str = "text") -> DataFrame:
     return fenced(rows, measured, drop=("_words", "_told", "_shingles", "_raw", "_raw_shingles", "_script", "_script_shingles"))
 
 
+def _measured(text: Column, raw: Column, raw_shingles: Column, script: Column, script_shingles: Column) -> Column:
+    """struct<coverage, found_in_scripts> of a text. What is used more than once is bound once."""
+    def of(words: Column, needles: Column) -> Column:
+        told = F.when(F.size(needles) == 0, words).otherwise(needles)
+        both = let(F.struct(T.shingles(words).alias("s"), told.alias("t")), lambda n: F.struct(
+            coverage_of(words, n["t"], n["s"], raw, raw_shingles).alias("coverage"), coverage_of(words, n["t"], n["s"], script, script_shingles).alias("found_in_scripts"),
+        ))
+        return both
+
+    return let(T.tokens(text), lambda words: let(T.distinctive(words), lambda needles: of(words, needles)))
+
+
+def measured(pages: DataFrame) -> DataFrame:
+    """Pages of raw_text, scripts, and arrays ``regions`` and ``hidden``, with the arrays ``found`` (struct<coverage, found_in_scripts>) and ``hidden_found`` in the same order.
+
+    The words and shingles of a page are made once and looked up from within its arrays; they don't leave the page's row.
+    """
+    hay = [F.col(c) for c in ("_raw", "_raw_shingles", "_script", "_script_shingles")]
+    found = F.transform("regions", lambda r: _measured(r["text"], *hay))
+    hidden = F.transform("hidden", lambda r: _measured(r["text"], *hay)["coverage"])
+    return fenced(with_haystacks(pages), {"found": found, "hidden_found": hidden}, drop=("raw_text", "scripts", "_raw", "_raw_shingles", "_script", "_script_shingles"))
+
+
+def region_rows(pages: DataFrame) -> DataFrame:
+    """One row for each region, and after them one for each hidden block with words whose text the raw page has, beside the page's other columns.
+
+    pages: as ``measured`` gives them. Hidden blocks have ``is_hidden``, no box, flags, links or container.
+    """
+    one = lambda r, m: F.struct(*[r[n].alias(n) for n in ("region_ord", "selector", "name", "text", "word_count", "box", "flags", "links", "container", "outer_html")], m["coverage"].alias("coverage"), m["found_in_scripts"].alias("found_in_scripts"), F.lit(False).alias("is_hidden"))
+    none = F.lit(None)
+    block = lambda h, c: F.struct(
+        (F.size("regions") + h["block_ord"]).cast("long").alias("region_ord"), h["selector"].alias("selector"), filled(W.HIDDEN_NAME, selector=h["selector"]).alias("name"), h["text"].alias("text"), h["word_count"].alias("word_count"),
+        no_box().alias("box"), no_flags().alias("flags"), F.array().cast(LINKS).alias("links"), none.cast("struct<present:boolean,empty:boolean,words:bigint>").alias("container"), none.cast("string").alias("outer_html"),
+        c.alias("coverage"), F.lit(0.0).alias("found_in_scripts"), F.lit(True).alias("is_hidden"),
+    )
+    present = F.filter(F.arrays_zip(F.col("hidden").alias("h"), F.col("hidden_found").alias("c")), lambda x: (x["h"]["word_count"] > 0) & (x["c"] >= NEARLY_ALL))
+    every = F.concat(F.zip_with("regions", "found", one), F.transform(present, lambda x: block(x["h"], x["c"])))
+    kept = [c for c in pages.columns if c not in ("regions", "found", "hidden", "hidden_found")]
+    return pages.select(*kept, F.explode(every).alias("_r")).select(*kept, "_r.*")
+
+
 def is_empty_shell() -> Column:
     """Nothing to see: no words, no medium that carries content, no links."""
     f = F.col("flags")
@@ -117,9 +158,10 @@ def evidence() -> Column:
 
 
 def classified(regions: DataFrame, probe_clears: Column | None = None, *, told: bool = True) -> DataFrame:
-    """Regions with issue_type, status and, if it is to be ``told``, evidence; empty shells are dropped first. Needs word_count, flags, links, container, coverage."""
-    kept = regions.where(~is_empty_shell())
-    named = fenced(kept, {"issue_type": issue_type(F.lit(False) if probe_clears is None else probe_clears)})
+    """Regions with issue_type, status and, if it is to be ``told``, evidence; empty shells are dropped first; hidden blocks (``is_hidden``) have the last class. Needs word_count, flags, links, container, coverage."""
+    is_hidden = F.col("is_hidden") if "is_hidden" in regions.columns else F.lit(False)
+    kept = regions.where(is_hidden | ~is_empty_shell())
+    named = fenced(kept, {"issue_type": F.when(is_hidden, F.lit("hidden_but_present")).otherwise(issue_type(F.lit(False) if probe_clears is None else probe_clears))})
     return fenced(named, {"status": looked_up(W.VERDICT_OF, F.col("issue_type"))} | ({"evidence": evidence()} if told else {}))
 
 
@@ -134,6 +176,17 @@ def probe_outcomes_joined(regions: DataFrame, probes: DataFrame, base: str = "ur
     return regions.join(clears, ["scan_id", "region_ord"], "left").withColumn("probe_clears", F.coalesce("probe_clears", F.lit(False)))
 
 
+def probed(probes: DataFrame, pages: DataFrame) -> DataFrame:
+    """scan_id, url, distinct_content of probes (scan_id, url, status) of pages (scan_id, url): what a route serves of its own.
+
+    A route that differs from the page by its fragment alone is the same document; others must have answered with success.
+    """
+    document = lambda url: F.substring_index(url, "#", 1)
+    rows = probes.select("scan_id", "url", "status").join(pages.select("scan_id", F.col("url").alias("_page")), "scan_id")
+    same = document(F.col("url")) == document(F.col("_page"))
+    return rows.select("scan_id", "url", F.coalesce(~same & F.col("status").between(200, 299), F.lit(False)).alias("distinct_content"))
+
+
 def hidden_blocks(blocks: DataFrame) -> DataFrame:
     """Hidden blocks, beside their page's haystacks, as regions of the last class: those with words whose text the raw page has."""
     rows = fenced(blocks, {"word_count": T.word_count(F.col("text"))}).where("word_count > 0")

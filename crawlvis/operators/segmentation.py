@@ -1,11 +1,24 @@
-"""Regions of rendered pages from a table of their nodes."""
+"""Regions of pages: from tables of rendered nodes, and from the source of pages of which nothing but that is there.
+
+A page's nodes stand in document order, so what is below a node is an interval, and that nothing of a set contains a node or
+lies in it is told by running maxima and prefix sums. A page fits one task, and is read without a shuffle where it is one row.
+
+Where no boxes were captured, a node's place and length in the source, in characters, stand for its place and height in
+pixels, at the full width. Then weights follow the shares of the source, and whatever the source hides counts as hidden.
+"""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from crawlvis.sources.html import SILENT, Tree, count_words
 
 # Elements by their part in a page, least heights, and how much is kept.
 SEMANTIC = frozenset("header nav footer aside article section table form figure ul ol".split())
@@ -18,64 +31,93 @@ TALL_CONTAINER, TALL_SEMANTIC, MOST_REGIONS, MOST_DESCENTS, FEW_REGIONS = 80, 40
 CANVAS_SHARE, IFRAME_SHARE, IMAGE_SHARE = 0.4, 0.5, 0.5
 MOST_LINKS, MOST_HIDDEN, MOST_VISITED, HIDDEN_WORDS, NAME_LENGTH, CHAIN = 60, 8, 5000, 30, 60, 8
 
-OUT = (
-    "kind string, region_ord long, selector string, name string, text string, box struct<x:long,y:long,width:long,height:long>, "
-    "flags struct<has_canvas:boolean,canvas_dominant:boolean,has_iframe:boolean,iframe_dominant:boolean,iframe_src:string,has_table:boolean,img_count:long,img_without_alt_count:long,image_dominant:boolean>, "
-    "links array<struct<href:string,is_client_route:boolean>>"
-)
+BOX = "struct<x:bigint,y:bigint,width:bigint,height:bigint>"
+FLAGS = "struct<has_canvas:boolean,canvas_dominant:boolean,has_iframe:boolean,iframe_dominant:boolean,iframe_src:string,has_table:boolean,img_count:bigint,img_without_alt_count:bigint,image_dominant:boolean>"
+LINKS = "array<struct<href:string,is_client_route:boolean>>"
+OUT = f"kind string, region_ord long, selector string, name string, text string, box {BOX}, flags {FLAGS}, links {LINKS}"
+#: The width of a page without captured boxes.
+WIDTH = 1280
 
 
 class Page:
-    """A rendered page: nodes in document order, with boxes, rendered text and whether style hides them."""
+    """Nodes in document order: tags, parents, the last node below each, attributes, boxes (x, y, width, height), and whether style hides them."""
 
-    def __init__(self, nodes: pd.DataFrame):
-        nodes = nodes.sort_values("node_id")
-        self.ids = nodes.node_id.tolist()
-        self.at = {n: i for i, n in enumerate(self.ids)}
-        self.tag = [t.lower() for t in nodes.tag]
-        self.parent = [self.at.get(p, -1) for p in nodes.parent_id]
-        self.attrs = [dict(a) if a is not None else {} for a in nodes["attrs"]]
-        self.box = list(zip(nodes.x.astype(float), nodes.y.astype(float), nodes.width.astype(float), nodes.height.astype(float), strict=True))
-        self.text = [t or "" for t in nodes.text]
-        self.hidden = nodes.hidden.fillna(False).astype(bool).tolist()
-        self.children: list[list[int]] = [[] for _ in self.ids]
-        for i, p in enumerate(self.parent):
-            if p >= 0:
-                self.children[p].append(i)
-        named: dict[str, int] = {}
-        for a in self.attrs:
+    def __init__(self, tags: list[str], parents: list[int], last: list[int], attributes: list[dict], boxes: np.ndarray, hidden: np.ndarray):
+        self.tags, self.parents, self.last, self.attributes, self.hidden = tags, np.asarray(parents, dtype=np.int64), np.asarray(last, dtype=np.int64), attributes, hidden
+        self.x, self.y, self.width, self.height = boxes.T if len(boxes) else np.zeros((4, 0))
+        self.area, self.shown = self.width * self.height, (self.width > 0) & (self.height > 0)
+        self.node = np.arange(len(tags))
+        self.count: dict[str, int] = {}
+        for a in attributes:
             if a.get("id"):
-                named[a["id"]] = named.get(a["id"], 0) + 1
-        self.by_id = named
-        self.body = self.tag.index("body") if "body" in self.tag else 0
+                self.count[a["id"]] = self.count.get(a["id"], 0) + 1
+        self.body = tags.index("body") if "body" in tags else 0
+
+    def text(self, i: int) -> str:
+        """The text that shows of a node, with what is below."""
+        raise NotImplementedError
+
+    def hidden_text(self, i: int) -> str:
+        return self.text(i).strip()
 
-    def contains(self, a: int, b: int) -> bool:
-        """Whether b is a or below it."""
-        while b > a:
-            b = self.parent[b]
-        return a == b
+    def tagged(self, names) -> np.ndarray:
+        return np.array([t in names for t in self.tags], dtype=bool)
 
-    def below(self, i: int, tags) -> list[int]:
-        return [j for j in range(i + 1, len(self.ids)) if self.tag[j] in tags and self.contains(i, j)]
+    def outermost(self, chosen: np.ndarray) -> np.ndarray:
+        """Those of ``chosen`` that no other of them contains."""
+        reach = np.maximum.accumulate(np.where(chosen, self.last, -1))
+        return chosen & (np.concatenate(([-1], reach[:-1])) < self.node)
 
-    def area(self, i: int) -> float:
-        return self.box[i][2] * self.box[i][3]
+    def apart(self, others: np.ndarray) -> np.ndarray:
+        """Nodes that neither are, nor contain, nor lie in one of ``others``."""
+        reach = np.maximum.accumulate(np.where(others, self.last, -1))
+        before = np.concatenate(([0], np.cumsum(others)))
+        return (reach < self.node) & (before[self.last + 1] == before[:-1])
 
-    def visible(self, i: int) -> bool:
-        return self.box[i][2] > 0 and self.box[i][3] > 0
+    def children(self, i: int) -> np.ndarray:
+        return np.flatnonzero(self.parents == i)
 
-    def candidate(self, i: int) -> bool:
-        tag, height = self.tag[i], self.box[i][3]
-        if tag in SKIPPED or not self.visible(i):
-            return False
-        if tag in SEMANTIC:
-            return height >= TALL_SEMANTIC
-        return height >= TALL_CONTAINER and (tag in CONTAINERS or bool(self.text[i].strip()))
+    def below(self, i: int, names) -> list[int]:
+        return [j for j in range(i + 1, int(self.last[i]) + 1) if self.tags[j] in names]
+
+    def candidates(self) -> np.ndarray:
+        """Nodes that are tall enough to be a region of their own."""
+        able = self.shown & ~self.tagged(SKIPPED)
+        semantic, container = self.tagged(SEMANTIC), self.tagged(CONTAINERS)
+        good = able & np.where(semantic, self.height >= TALL_SEMANTIC, self.height >= TALL_CONTAINER)
+        for i in np.flatnonzero(good & ~semantic & ~container):
+            good[i] = bool(self.text(i).strip())
+        return good
+
+    def regions(self) -> list[int]:
+        """The elements to report, outermost ones only, in reading order."""
+        if not self.tags:
+            return []
+        main = self.tags.index("main") if "main" in self.tags else self.body
+        within = (self.node >= main) & (self.node <= self.last[main]) if main != self.body else np.zeros(len(self.node), dtype=bool)
+        landmarks = self.outermost(self.tagged(LANDMARKS) & self.shown & ~within)
+        free = self.candidates() & self.apart(landmarks)
+        parts = lambda i: [c for c in self.children(i) if free[c]]
+        parent_of = set(self.parents.tolist())
+        content = parts(main)
+        for _ in range(MOST_DESCENTS):
+            wide = [c for c in content if c in parent_of and self.area[c] > 0]
+            opened = max(wide, key=lambda c: self.area[c]) if wide else None if content else main
+            found = parts(opened) if len(content) < FEW_REGIONS and opened is not None else []
+            if not found:
+                break
+            content = [c for c in content if c != opened] + found
+        order = list(dict.fromkeys([*np.flatnonzero(landmarks), *content]))
+        every = np.zeros(len(self.node), dtype=bool)
+        every[order] = True
+        outer = self.outermost(every)
+        largest = sorted((i for i in order if outer[i]), key=lambda i: -self.area[i])[:MOST_REGIONS]
+        return [int(i) for i in sorted(largest, key=lambda i: (self.y[i], self.x[i], order.index(i)))]
 
     def own_id(self, i: int) -> str | None:
-        name = self.attrs[i].get("id", "")
+        name = self.attributes[i].get("id", "")
         plain = name[:1].isascii() and name[:1].isalpha() and all(c.isascii() and (c.isalnum() or c in "_-") for c in name)
-        return f"#{name}" if plain and self.by_id[name] == 1 else None
+        return f"#{name}" if plain and self.count[name] == 1 else None
 
     def selector(self, i: int) -> str:
         """An id that only one element has, or the way down from one or from the body, of a few steps at most."""
@@ -84,95 +126,176 @@ class Page:
             name = self.own_id(i)
             if name:
                 return " > ".join([name, *steps])
-            same = [j for j in self.children[self.parent[i]] if self.tag[j] == self.tag[i]] if self.parent[i] >= 0 else [i]
-            steps.insert(0, f"{self.tag[i]}:nth-of-type({same.index(i) + 1})" if len(same) > 1 else self.tag[i])
-            i = self.parent[i]
+            same = [j for j in self.children(self.parents[i]) if self.tags[j] == self.tags[i]] if self.parents[i] >= 0 else [i]
+            steps.insert(0, f"{self.tags[i]}:nth-of-type({same.index(i) + 1})" if len(same) > 1 else self.tags[i])
+            i = self.parents[i]
         return " > ".join(["body", *steps] if i == self.body else steps)
 
     def name(self, i: int, number: int) -> str:
-        label = self.attrs[i].get("aria-label", "").strip()
-        if not label and self.attrs[i].get("aria-labelledby"):
-            wanted = self.attrs[i]["aria-labelledby"].split()[:1]
-            label = next((self.text[j].strip() for j, a in enumerate(self.attrs) if wanted and a.get("id") == wanted[0]), "")
-        for tags in (HEADINGS, CAPTIONS):
-            found = [] if label else self.below(i, tags)[:1]
-            label = label or (self.text[found[0]].strip() if found else "")
-        return label[:NAME_LENGTH] if label else NAMES.get(self.tag[i], f"Section {number}")
-
-    def regions(self) -> list[int]:
-        """The elements to report, outermost ones only, in reading order."""
-        main = self.tag.index("main") if "main" in self.tag else self.body
-        apart = lambda i, others: not any(self.contains(o, i) or self.contains(i, o) for o in others)
-        landmarks: list[int] = []
-        for i, tag in enumerate(self.tag):
-            if tag in LANDMARKS and not (main != self.body and self.contains(main, i)) and apart(i, landmarks) and self.visible(i):
-                landmarks.append(i)
-        inner = lambda root: [c for c in self.children[root] if self.candidate(c) and apart(c, landmarks)]
-        content = inner(main)
-        for _ in range(MOST_DESCENTS):
-            if len(content) >= FEW_REGIONS:
-                break
-            wide = [c for c in content if self.children[c] and self.area(c) > 0]
-            opened = max(wide, key=self.area) if wide else None if content else main
-            parts = inner(opened) if opened is not None else []
-            if not parts:
-                break
-            content = [c for c in content if c != opened] + parts
-        every = list(dict.fromkeys(landmarks + content))
-        outer = [i for i in every if not any(o != i and self.contains(o, i) for o in every)]
-        largest = sorted(outer, key=lambda i: -self.area(i))[:MOST_REGIONS]
-        return sorted(largest, key=lambda i: (self.box[i][1], self.box[i][0]))
+        label = self.attributes[i].get("aria-label", "").strip()
+        if not label and self.attributes[i].get("aria-labelledby"):
+            wanted = self.attributes[i]["aria-labelledby"].split()[:1]
+            label = next((self.text(j).strip() for j, a in enumerate(self.attributes) if wanted and a.get("id") == wanted[0]), "")
+        for names in (HEADINGS, CAPTIONS):
+            found = [] if label else self.below(i, names)[:1]
+            label = label or (self.text(found[0]).strip() if found else "")
+        return label[:NAME_LENGTH] if label else NAMES.get(self.tags[i], f"Section {number}")
 
     def flags(self, i: int) -> dict:
-        whole = max(1.0, self.area(i))
-        canvas = max((self.area(c) for c in self.below(i, ("canvas",))), default=0.0)
+        whole = max(1.0, self.area[i])
+        canvas = max((self.area[c] for c in self.below(i, ("canvas",))), default=0.0)
         frames = self.below(i, ("iframe",))
-        frame = max(frames, key=self.area) if frames else None
-        frame_area = self.area(frame) if frame is not None else 0.0
+        frame = max(frames, key=lambda j: self.area[j]) if frames else None
+        frame_area = self.area[frame] if frame is not None else 0.0
         images = self.below(i, ("img",))
 
-        def side(j: int, n: int, attribute: str) -> float:
-            given = self.attrs[j].get(attribute, "")
-            return self.box[j][n] or (float(given) if given.replace(".", "", 1).isdigit() else 0.0)
+        def side(j: int, captured: np.ndarray, attribute: str) -> float:
+            given = self.attributes[j].get(attribute, "")
+            return captured[j] or (float(given) if given.replace(".", "", 1).isdigit() else 0.0)
 
-        painted = sum(side(j, 2, "width") * side(j, 3, "height") for j in images)
+        painted = sum(side(j, self.width, "width") * side(j, self.height, "height") for j in images)
         return {
-            "has_canvas": canvas > 0, "canvas_dominant": canvas / whole > CANVAS_SHARE, "has_iframe": frame_area > 0, "iframe_dominant": frame_area / whole > IFRAME_SHARE,
-            "iframe_src": self.attrs[frame].get("src") if frame_area > 0 else None, "has_table": bool(self.below(i, ("table",))), "img_count": len(images),
-            "img_without_alt_count": sum(not self.attrs[j].get("alt", "").strip() for j in images), "image_dominant": painted / whole > IMAGE_SHARE,
+            "has_canvas": bool(canvas > 0), "canvas_dominant": bool(canvas / whole > CANVAS_SHARE), "has_iframe": bool(frame_area > 0), "iframe_dominant": bool(frame_area / whole > IFRAME_SHARE),
+            "iframe_src": self.attributes[frame].get("src") if frame_area > 0 else None, "has_table": bool(self.below(i, ("table",))), "img_count": len(images),
+            "img_without_alt_count": sum(not self.attributes[j].get("alt", "").strip() for j in images), "image_dominant": bool(painted / whole > IMAGE_SHARE),
         }
 
     def links(self, i: int) -> list[dict]:
-        found = [self.attrs[j]["href"] for j in self.below(i, ("a",)) if "href" in self.attrs[j]][:MOST_LINKS]
+        found = [self.attributes[j]["href"] for j in self.below(i, ("a",)) if "href" in self.attributes[j]][:MOST_LINKS]
         return [{"href": h, "is_client_route": h.startswith("#/") or h.lower().startswith("javascript:")} for h in found]
 
     def hidden_blocks(self) -> list[int]:
         """Elements that style hides and that hold a good deal of text, outermost first."""
         found: list[int] = []
-        for i in range(self.body + 1, min(len(self.ids), self.body + 1 + MOST_VISITED)):
+        end = min(int(self.last[self.body]) if self.tags else 0, self.body + MOST_VISITED)
+        for i in range(self.body + 1, end + 1):
             if len(found) >= MOST_HIDDEN:
                 break
-            if self.hidden[i] and self.tag[i] not in SKIPPED and self.tag[i] != "head" and not any(self.contains(f, i) for f in found) and len(self.text[i].split()) >= HIDDEN_WORDS:
+            if self.hidden[i] and self.tags[i] not in SKIPPED and self.tags[i] != "head" and not any(i <= self.last[f] for f in found) and len(self.hidden_text(i).split()) >= HIDDEN_WORDS:
                 found.append(i)
         return found
 
+    def box(self, i: int) -> dict:
+        return {n: math.floor(v[i] + 0.5) for n, v in (("x", self.x), ("y", self.y), ("width", self.width), ("height", self.height))}
 
-def segmented(nodes: DataFrame, key: str = "page_id") -> DataFrame:
-    """Regions (kind region) and hidden blocks (kind hidden) of each page.
+    def rows(self) -> tuple[list[dict], list[dict]]:
+        """Regions and hidden blocks, in order."""
+        shown = [{"region_ord": n, "selector": self.selector(i), "name": self.name(i, n), "text": " ".join(self.text(i).lower().split()), "box": self.box(i), "flags": self.flags(i), "links": self.links(i)} for n, i in enumerate(self.regions(), 1)]
+        return shown, [{"block_ord": n, "selector": self.selector(i), "text": self.hidden_text(i)} for n, i in enumerate(self.hidden_blocks(), 1)]
 
-    nodes: key, node_id in document order, parent_id, tag, attrs, x, y, width, height, text (as rendered, with what is below), hidden.
-    A page's nodes fit one task, and pages are dealt over all.
-    """
+
+class RenderedPage(Page):
+    """A page of captured nodes: node_id in document order, parent_id, tag, attrs, x, y, width, height, text (as rendered, with what is below), hidden."""
+
+    def __init__(self, nodes: pd.DataFrame):
+        nodes = nodes.sort_values("node_id")
+        at = {n: i for i, n in enumerate(nodes.node_id.tolist())}
+        parents = [at.get(p, -1) for p in nodes.parent_id]
+        last = list(range(len(parents)))
+        for i in range(len(parents) - 1, -1, -1):
+            if parents[i] >= 0:
+                last[parents[i]] = max(last[parents[i]], last[i])
+        boxes = nodes[["x", "y", "width", "height"]].to_numpy(dtype=np.float64)
+        super().__init__([t.lower() for t in nodes.tag], parents, last, [dict(a) if a is not None else {} for a in nodes["attrs"]], boxes, nodes.hidden.fillna(False).astype(bool).to_numpy())
+        self.texts = [t or "" for t in nodes.text]
+
+    def text(self, i: int) -> str:
+        return self.texts[i]
+
+
+class SourcePage(Page):
+    """A page of which only the source is there."""
+
+    def __init__(self, tree: Tree):
+        self.tree = tree
+        spans = np.array(tree.spans, dtype=np.float64)
+        boxes = np.column_stack((np.zeros(len(spans)), spans[:, 0], np.full(len(spans), float(WIDTH)), spans[:, 1] - spans[:, 0]))
+        styles = [a.get("style", "").replace(" ", "").lower() for a in tree.attributes]
+        gone = np.array(["hidden" in a or "display:none" in s for a, s in zip(tree.attributes, styles, strict=True)], dtype=bool)
+        for i in np.flatnonzero(gone | np.array([t in SILENT or t == "head" for t in tree.tags])):
+            boxes[i : tree.last[i] + 1, 2:] = 0
+        self.gone = frozenset(np.flatnonzero(gone).tolist())
+        super().__init__(tree.tags, tree.parents, tree.last, tree.attributes, boxes, gone | np.array(["visibility:hidden" in s for s in styles], dtype=bool))
+
+    def text(self, i: int) -> str:
+        return self.tree.shown(i, self.gone)
+
+    def hidden_text(self, i: int) -> str:
+        return self.tree.text_of(i).strip()
+
+
+def segmented(nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """Regions (kind region) and hidden blocks (kind hidden) of each page of captured nodes: key and the columns of ``RenderedPage``."""
     kind = dict(nodes.dtypes)[key]
 
     def segment(group: pd.DataFrame) -> pd.DataFrame:
-        page, rows = Page(group), []
-        half_up = lambda v: math.floor(v + 0.5)
-        for n, i in enumerate(page.regions(), 1):
-            box = dict(zip(("x", "y", "width", "height"), map(half_up, page.box[i]), strict=True))
-            rows.append((group[key].iloc[0], "region", n, page.selector(i), page.name(i, n), " ".join(page.text[i].lower().split()), box, page.flags(i), page.links(i)))
-        for n, i in enumerate(page.hidden_blocks(), 1):
-            rows.append((group[key].iloc[0], "hidden", n, page.selector(i), None, page.text[i].strip(), None, None, None))
-        return pd.DataFrame(rows, columns=[key, "kind", "region_ord", "selector", "name", "text", "box", "flags", "links"])
+        shown, hidden = RenderedPage(group).rows()
+        rows = [{"kind": "region", **r} for r in shown] + [{"kind": "hidden", "region_ord": r.pop("block_ord"), **r} for r in hidden]
+        names = ("kind", "region_ord", "selector", "name", "text", "box", "flags", "links")
+        return pd.DataFrame([(group[key].iloc[0], *(r.get(n) for n in names)) for r in rows], columns=[key, *names], dtype=object)
 
     return nodes.groupBy(key).applyInPandas(segment, f"{key} {kind}, {OUT}")
+
+
+CONTAINER = "struct<present:boolean,empty:boolean,words:bigint>"
+REGIONS = f"array<struct<region_ord:bigint,selector:string,name:string,text:string,word_count:bigint,box:{BOX},flags:{FLAGS},links:{LINKS},container:{CONTAINER},outer_html:string>>"
+HIDDEN = "array<struct<block_ord:bigint,selector:string,text:string,word_count:bigint>>"
+READ = f"raw_text string, scripts string, regions {REGIONS}, hidden {HIDDEN}"
+
+
+def with_containers(regions: list[dict], raw: Tree) -> list[dict]:
+    """Regions with their words and with what the raw response holds at their selector."""
+    out = []
+    for r in regions:
+        held = raw.container(r["selector"])
+        out.append({**r, "word_count": count_words(r["text"]), "outer_html": held.pop("outer_html"), "container": held})
+    return out
+
+
+def read_pages(pages: DataFrame, *, html: str = "html", raw: str = "raw_html") -> DataFrame:
+    """``pages`` and what a parser reads of them, once: raw_text and scripts of the raw response, regions and hidden blocks of the rendered page.
+
+    Each region comes with what the raw response holds at its selector. Null sources are empty pages. A page is one row in
+    and one row out.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    columns = [c for c in pages.columns if c not in ("raw_text", "scripts", "regions", "hidden")]
+    rows = pages.select(*columns)
+    schema = rows.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("raw_text", "string"), ("scripts", "string"), ("regions", REGIONS), ("hidden", HIDDEN))]).schema
+    kinds = list(to_arrow_schema(schema))[len(columns) :]
+    at = (columns.index(html), columns.index(raw))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: tuple[list, list, list, list] = ([], [], [], [])
+            for rendered, source in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                tree = Tree(source or "")
+                shown, hidden = SourcePage(tree if rendered == source else Tree(rendered or "")).rows()
+                parts = (tree.raw_text(), tree.inline_scripts(), with_containers(shown, tree), [{**h, "word_count": count_words(h["text"])} for h in hidden])
+                for held, part in zip(found, parts, strict=True):
+                    held.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(held, k.type) for held, k in zip(found, kinds, strict=True)]], names=[*columns, "raw_text", "scripts", "regions", "hidden"])
+
+    return rows.mapInArrow(read, schema)
+
+
+def containers(captures: DataFrame, *, raw: str = "raw_html", regions: str = "regions") -> DataFrame:
+    """Pages (one row each) whose captured ``regions`` get what the raw response holds at their selectors."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    others = [c for c in captures.columns if c not in (regions, "raw_text", "scripts")]
+    rows = captures.select(*others, regions)
+    schema = rows.select(*others, *[F.lit(None).cast(t).alias(n) for n, t in (("raw_text", "string"), ("scripts", "string"), (regions, REGIONS))]).schema
+    kinds = list(to_arrow_schema(schema))[-3:]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: tuple[list, list, list] = ([], [], [])
+            for source, shown in zip(batch.column(others.index(raw)).to_pylist(), batch.column(len(others)).to_pylist(), strict=True):
+                tree = Tree(source or "")
+                for held, part in zip(found, (tree.raw_text(), tree.inline_scripts(), with_containers(shown or [], tree)), strict=True):
+                    held.append(part)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(others)], *[pa.array(held, k.type) for held, k in zip(found, kinds, strict=True)]], names=[*others, "raw_text", "scripts", regions])
+
+    return rows.mapInArrow(read, schema)

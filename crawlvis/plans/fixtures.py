@@ -22,12 +22,28 @@ URL_CASES = (
     ("https://example.com/p?utm_source=x&b=2&a=1&fbclid=abc&gclid=1#section", "https://example.com/p?a=1&b=2", False),
     ("https://example.com/#/route", "https://example.com/", True),
     ("ht tp://nope", None, False),
+    ("https://Me:Pw@example.com/a", "https://Me:Pw@example.com/a", False),
+    ("https://example.com:0443/a", "https://example.com/a", False),
+    ("http://example.com:08080/a", "http://example.com:8080/a", False),
+    ("https://example.com/a/./b/../c", "https://example.com/a/c", False),
+    ("https://example.com/../a/..", "https://example.com/", False),
+    ("https://example.com/a/%2E%2e/b/.", "https://example.com/b", False),
+    ("https://example.com/a..b/.c/...", "https://example.com/a..b/.c/...", False),
+    ("https://example.com/a b/é", "https://example.com/a%20b/%C3%A9", False),
+    ("https://example.com/?q=a%20b&é=1", "https://example.com/?q=a+b&%C3%A9=1", False),
+    ("https://example.com/?b=100%&a=x+y&c", "https://example.com/?a=x+y&b=100%25&c=", False),
+    ("https://example.com/?z=1&utm%5Fsource=x&y=~", "https://example.com/?y=%7E&z=1", False),
+    ("  https://example.com/a\n  ", "https://example.com/a", False),
+    ("https:\\\\example.com\\a", "https://https//example.com/a", False),
+    ("https://example.com/a//", "https://example.com/a", False),
 )
 ESCAPED = (
     (r"say \"hi\" \u0026 wave\n", 'say "hi" & wave\n'),
     (r"a\/b", "a/b"),
     (r"it\u2019s \ud83d\ude00", "it’s 😀"),
     (r"tab\there", "tab here"),
+    (r"a\ud83d b \ude00\ud83d\ud83d\ude00\ude00 c\uD83D", "a\ufffd b \ufffd\ufffd😀\ufffd c\ufffd"),
+    (r"\u00e9\\u0041 \u12", "é\\A \\u12"),
     ("plain", "plain"),
 )
 V4 = tuple((a, True) for a in ("127.0.0.1", "127.255.255.255", "10.0.0.1", "172.16.0.1", "172.31.255.255", "192.168.1.1", "169.254.169.254", "0.0.0.0")) + tuple((a, False) for a in ("172.32.0.1", "8.8.8.8", "93.184.216.34", "1.2.3", "1.2.3.256"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlvis.functions import net, urls
 from crawlvis.functions import text as T
-from crawlvis.operators import admission, events, history, pages, reporting, responses, robots, scoring
+from crawlvis.operators import admission, events, history, pages, reporting, responses, robots, scoring, segmentation
 from crawlvis.plans import fixtures, oracle, scan
 from crawlvis.sources import html as trees
 from crawlvis.sources.tables import table
@@ -25,12 +25,19 @@ def query(function: Query) -> Query:
     return function
 
 
-def _captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.rendered_regions(scan.raw_and_rendered(table(spark, sf_dir, "pages")))
 
 
 def _results(spark: SparkSession, sf_dir: str, *, told: bool = False) -> DataFrame:
-    return scan.region_results(_captures(spark, sf_dir), told=told)
+    return scan.region_results(_regions(spark, sf_dir), told=told)
+
+
+def _prompted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The pages, and their regions with prompts."""
+    heads = scan.raw_and_rendered(table(spark, sf_dir, "pages"))
+    regions = scan.rendered_regions(scan.fingerprinted(heads), keep=("stack_found",))
+    return heads, scan.with_prompts(scan.region_results(regions))
 
 
 @query
@@ -50,9 +57,15 @@ def url_cases(spark, sf_dir):
     return fixtures.url_cases(spark).select("input", urls.normalized(F.col("input")).alias("normalized_url"), urls.requires_js_routing(F.col("input")).alias("requires_js_routing"))
 
 
+def _segmented(spark, sf_dir):
+    """A row for each region of each page's source."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return segmentation.read_pages(rows, raw="html").select("page_id", "url", F.explode("regions").alias("r"))
+
+
 @query
 def resolved_links(spark, sf_dir):
-    rows = pages.static_regions(table(spark, sf_dir, "pages")).select("page_id", "url", "region_ord", F.posexplode(pages.links_of(F.col("inner_html"))).alias("link_ord", "link"))
+    rows = _segmented(spark, sf_dir).select("page_id", "url", "r.region_ord", F.posexplode("r.links").alias("link_ord", "link"))
     return rows.select("page_id", "region_ord", F.col("link_ord").cast("long").alias("link_ord"), F.col("link.href").alias("href"), urls.resolved(F.col("link.href"), F.col("url")).alias("resolved"), F.col("link.is_client_route").alias("is_client_route"))
 
 
@@ -103,21 +116,17 @@ def passage_coverage(spark, sf_dir):
 
 @query
 def static_regions(spark, sf_dir):
-    rows = pages.static_regions(table(spark, sf_dir, "pages"))
-    text = T.normalized(T.raw_text(F.col("inner_html")))
-    return rows.select("page_id", "region_ord", "selector", "name", text.alias("text"), T.word_count(text).alias("word_count"), F.size(pages.links_of(F.col("inner_html"))).cast("long").alias("n_links"))
+    return _segmented(spark, sf_dir).select("page_id", "r.region_ord", "r.selector", "r.name", "r.text", "r.word_count", F.col("r.box.y").alias("y"), F.col("r.box.height").alias("height"), F.size("r.links").cast("long").alias("n_links"))
 
 
 @query
 def region_coverage(spark, sf_dir):
-    rows = scoring.diffed(_captures(spark, sf_dir))
-    return rows.select("scan_id", "region_ord", F.round("coverage", 9).alias("coverage"), F.round("found_in_scripts", 9).alias("found_in_scripts"))
+    return _regions(spark, sf_dir).select("scan_id", "region_ord", F.round("coverage", 9).alias("coverage"), F.round("found_in_scripts", 9).alias("found_in_scripts"))
 
 
 @query
 def classify(spark, sf_dir):
-    rows = scoring.classified(scoring.diffed(_captures(spark, sf_dir)))
-    return rows.select("scan_id", "region_ord", "issue_type", "status", "evidence")
+    return scoring.classified(_regions(spark, sf_dir)).select("scan_id", "region_ord", "issue_type", "status", "evidence")
 
 
 @query
@@ -129,7 +138,7 @@ def classify_cases(spark, sf_dir):
 
 @query
 def weights(spark, sf_dir):
-    return _results(spark, sf_dir).select("scan_id", "region_ord", F.round("weight", 9).alias("weight"))
+    return _results(spark, sf_dir).select("scan_id", "region_ord", F.round(F.col("weight") + 1e-12, 9).alias("weight"))
 
 
 @query
@@ -176,23 +185,54 @@ def screenshot_placement(spark, sf_dir):
 
 @query
 def fix_prompts(spark, sf_dir):
-    return scan.with_prompts(_results(spark, sf_dir, told=True)).select("scan_id", "region_ord", "fix_prompt")
+    return _prompted(spark, sf_dir)[1].select("scan_id", "region_ord", "fix_prompt")
 
 
 @query
 def fix_plan(spark, sf_dir):
-    heads = scan.raw_and_rendered(table(spark, sf_dir, "pages"))
-    docs = scan.scan_documents(heads, scan.with_prompts(_results(spark, sf_dir, told=True)))
+    docs = scan.scan_documents(*_prompted(spark, sf_dir))
     return docs.select("scan_id", reporting.fix_plan().alias("markdown"), reporting.attachment_name(F.col("url"), F.col("scanned_at"), F.col("scanned_at"), ".md").alias("file_name"))
 
 
 @query
 def html_report(spark, sf_dir):
-    heads = scan.raw_and_rendered(table(spark, sf_dir, "pages"))
-    docs = scan.scan_documents(heads, scan.with_prompts(_results(spark, sf_dir, told=True)))
+    docs = scan.scan_documents(*_prompted(spark, sf_dir))
     return docs.select("scan_id", F.length(reporting.html_report()).cast("long").alias("n_chars"), F.md5(reporting.html_report()).alias("html_md5"))
 
 
+def _captured(spark, sf_dir):
+    """Tables of captured scans: the pages' raw responses; their regions with flags and routes by number; the first paragraph as a hidden block; probes."""
+    heads = scan.raw_and_rendered(table(spark, sf_dir, "pages"))
+    shown = segmentation.read_pages(heads.select("scan_id", "url", "html"), raw="html").select("scan_id", "url", F.explode("regions").alias("r")).select("scan_id", "url", "r.*")
+    kind = F.pmod(F.col("scan_id") * 7 + F.col("region_ord"), F.lit(5))
+    flags = F.struct(
+        (kind == 0).alias("has_canvas"), (kind == 0).alias("canvas_dominant"), (kind == 1).alias("has_iframe"), (kind == 1).alias("iframe_dominant"), F.when(kind == 1, F.lit("https://maps.example.com/embed")).alias("iframe_src"),
+        F.lit(False).alias("has_table"), F.when(kind == 2, F.lit(3)).otherwise(F.lit(0)).cast("long").alias("img_count"), F.when(kind == 2, F.lit(2)).otherwise(F.lit(0)).cast("long").alias("img_without_alt_count"), (kind == 2).alias("image_dominant"),
+    )
+    by_script = F.when((F.col("scan_id") % 6 == 0), F.lit("javascript:open")).otherwise(F.lit("#/start"))
+    routes = F.transform("links", lambda link, i: F.struct(F.when(i == 0, by_script).otherwise(F.concat(F.lit("#"), link["href"])).alias("href"), F.lit(True).alias("is_client_route")))
+    captures = shown.withColumns({"flags": flags, "links": F.when(F.col("scan_id") % 3 == 0, routes).otherwise(F.col("links"))})
+    paragraph = F.concat(F.lit("<p>"), F.get(F.split(F.regexp_extract("html", scan.ARTICLE, 2), "<p>"), 1))
+    hidden = heads.select("scan_id", F.lit(1).cast("long").alias("block_ord"), F.lit("#hidden").alias("selector"), T.raw_text(paragraph).alias("text"))
+    first = F.get("links", F.lit(0))["href"]
+    probes = captures.where(F.size("links") > 0).select("scan_id", urls.resolved(first, F.col("url")).alias("url"), F.lit(200).alias("status"))
+    return heads.select("scan_id", "url", F.col("raw_html").alias("html")), captures, hidden, probes
+
+
+@query
+def captured_scan(spark, sf_dir):
+    """Whole scans of captured tables: every class of the taxonomy can come up, and hidden blocks stand beside the regions."""
+    rows = scan.scanned(*_captured(spark, sf_dir))
+    return rows.select("scan_id", "region_ord", "selector", "issue_type", "status", "evidence", F.round(F.col("weight") + 1e-12, 9).alias("weight"), "rank")
+
+
+@query
+def probe_outcomes(spark, sf_dir):
+    """What the first route of each region serves of its own."""
+    heads, _, _, probes = _captured(spark, sf_dir)
+    return scoring.probed(probes, heads)
+
+
 def _responses(spark, sf_dir):
     """A crawler's and a browser's response for each page; every fifth crawler is refused, challenged, given half, or given another text."""
     rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("scan_id"), F.col("url").alias("requested_url"), "html")

@@ -9,13 +9,13 @@ from crawlvis.functions import text as T
 from crawlvis.functions import urls
 from crawlvis.functions.fence import fenced
 from crawlvis.operators import pages as P
-from crawlvis.operators import reporting, scoring
+from crawlvis.operators import reporting, scoring, segmentation
 
 ARTICLE = r"(?is)(<article\b[^>]*>)(.*?)(</article\s*>)"
 
 
 def thinned(html: Column, key: Column) -> Column:
-    """A raw response made from a rendered page, in four kinds by the key: whole, content in a script, empty, half.
+    """A raw response made from a rendered page, in four kinds by the key: whole, content in a script, empty, the first half of the paragraphs.
 
     Captured pairs of raw and rendered pages aren't among the tables; this gives every class of region something to find.
     """
@@ -25,53 +25,78 @@ def thinned(html: Column, key: Column) -> Column:
     before, after = F.substring_index(html, "<article>", 1), F.regexp_extract(html, r"(?is)</article\s*>(.*)$", 1)
     wrap = lambda x: F.concat(before, F.lit("<article>"), x, F.lit("</article>"))
     script = F.concat(F.lit('<script>var data = "'), quoted, F.lit('";</script>'))
+    parts = F.split(inner, "<p>")
+    half = F.array_join(F.slice(parts, F.lit(1), F.ceil(F.size(parts) / 2).cast("int")), "<p>")
     kind = F.pmod(key, F.lit(4))
     return (
         F.when(kind == 1, F.concat(wrap(F.lit("")), script, after))
         .when(kind == 2, F.concat(wrap(F.lit("")), after))
-        .when(kind == 3, F.concat(wrap(F.substring(inner, F.lit(1), F.floor(F.length(inner) / 2).cast("int"))), after))
+        .when(kind == 3, F.concat(wrap(half), after))
         .otherwise(html)
     )
 
 
-def rendered_regions(pages: DataFrame) -> DataFrame:
-    """Region captures of pages (scan_id, url, html, raw_html): what stands in the rendered page, beside the page's haystacks."""
-    read = fenced(pages, {"raw_text": T.raw_text(F.col("raw_html")), "scripts": T.inline_scripts(F.col("raw_html"))})
-    rows = P.static_regions(scoring.with_haystacks(read))
-    text = T.normalized(T.raw_text(F.col("inner_html")))
-    patterns = {name: pattern for name, _, pattern in P.REGIONS}
-    held = None
-    for name, pattern in patterns.items():
-        inner = F.regexp_extract("raw_html", pattern, 1)
-        state = F.struct(F.rlike("raw_html", F.lit(pattern)).alias("present"), (T.trimmed(inner) == "").alias("empty"), T.word_count(T.raw_text(inner)).alias("words"))
-        held = F.when(F.col("name") == name, state) if held is None else held.when(F.col("name") == name, state)
-    outer = None
-    for name, pattern in patterns.items():
-        whole = F.regexp_extract("raw_html", pattern, 0)
-        outer = F.when(F.col("name") == name, whole) if outer is None else outer.when(F.col("name") == name, whole)
-    box = F.struct(F.lit(0).cast("long").alias("x"), (F.col("region_ord") * 400).alias("y"), F.lit(1280).cast("long").alias("width"), (F.col("region_ord") * 100).alias("height"))
-    named = fenced(rows, {"text": text, "container": held, "outer_html": outer, "box": box, "flags": scoring.no_flags(), "links": P.links_of(F.col("inner_html"))}, drop=("inner_html", "html", "raw_text", "scripts"))
-    return fenced(named, {"word_count": T.word_count(F.col("text"))})
-
-
 def raw_and_rendered(pages: DataFrame) -> DataFrame:
     """scan_id, url, html (as rendered) and raw_html of the table of pages."""
     return fenced(pages.select(F.col("page_id").alias("scan_id"), "url", "html"), {"raw_html": thinned(F.col("html"), F.col("scan_id"))})
 
 
-def region_results(captures: DataFrame, *, told: bool = True) -> DataFrame:
-    """Captures beside their haystacks → regions with coverage, class, evidence (if ``told``), weight and rank."""
-    rows = scoring.weighed(scoring.classified(scoring.diffed(captures), told=told))
-    return scoring.issue_order(rows)
+def rendered_regions(pages: DataFrame, *, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Regions and hidden blocks, as rows with coverage, of pages (scan_id, url, html, raw_html) of which the rendered source is all there is.
+
+    A page's trees are built once, its text compared with its regions in its own row; no shuffle. keep: further columns of the pages.
+    """
+    read = segmentation.read_pages(pages.select("scan_id", "url", "html", "raw_html", *keep)).drop("html", "raw_html")
+    return scoring.region_rows(scoring.measured(read))
+
+
+def captured_regions(pages_raw: DataFrame, region_captures: DataFrame, hidden_blocks: DataFrame | None = None) -> DataFrame:
+    """Regions and hidden blocks, as rows with coverage, of captured scans.
+
+    pages_raw: scan_id, url, html (the raw response that is analyzed, one a scan). region_captures: scan_id, region_ord,
+    selector, name, text, box, flags, links. hidden_blocks: scan_id, block_ord, selector, text. A scan's captures, which
+    segmentation bounds, are gathered to its page; a scan without captures has no rows.
+    """
+    row = F.struct(*[F.col(c).alias(c) for c in ("region_ord", "selector", "name", "text", "box", "flags", "links")])
+    shown = region_captures.groupBy("scan_id").agg(F.collect_list(row).alias("regions"))
+    pages = pages_raw.select("scan_id", "url", F.col("html").alias("raw_html")).join(shown, "scan_id")
+    pages = pages.withColumn("regions", F.array_sort("regions", lambda a, b: F.signum(a["region_ord"] - b["region_ord"]).cast("int")))
+    if hidden_blocks is None:
+        pages = pages.withColumn("hidden", F.lit(None).cast(segmentation.HIDDEN))
+    else:
+        block = F.struct(F.col("block_ord").cast("long").alias("block_ord"), "selector", "text", T.word_count(F.col("text")).alias("word_count"))
+        pages = pages.join(hidden_blocks.groupBy("scan_id").agg(F.sort_array(F.collect_list(block)).alias("hidden")), "scan_id", "left")
+    pages = pages.withColumn("hidden", F.coalesce("hidden", F.array().cast(segmentation.HIDDEN)))
+    return scoring.region_rows(scoring.measured(segmentation.containers(pages).drop("raw_html")))
+
+
+def scanned(pages_raw: DataFrame, region_captures: DataFrame, hidden_blocks: DataFrame | None = None, probe_outcomes: DataFrame | None = None, *, told: bool = True) -> DataFrame:
+    """A whole scan of captured inputs: regions and hidden blocks with class, verdict, evidence, weight and rank.
+
+    probe_outcomes: scan_id, url, status of the routes that were asked for.
+    """
+    regions, clears = captured_regions(pages_raw, region_captures, hidden_blocks), None
+    if probe_outcomes is not None:
+        regions = scoring.probe_outcomes_joined(regions, scoring.probed(probe_outcomes, pages_raw))
+        clears = F.col("probe_clears")
+    return scoring.issue_order(scoring.weighed(scoring.classified(regions, clears, told=told)))
+
+
+def region_results(regions: DataFrame, *, told: bool = True) -> DataFrame:
+    """Region rows with coverage → regions with class, evidence (if ``told``), weight and rank."""
+    return scoring.issue_order(scoring.weighed(scoring.classified(regions, told=told)))
+
+
+def fingerprinted(pages: DataFrame) -> DataFrame:
+    """Pages with the struct ``stack_found`` of their raw response: stack and signals."""
+    return fenced(pages, {"stack_found": P.fingerprint(F.col("raw_html"))})
 
 
 def with_prompts(regions: DataFrame) -> DataFrame:
-    """Regions with their fix prompt. Needs raw_html, outer_html and url beside the region."""
-    print_ = P.fingerprint(F.col("raw_html"))
-    rows = fenced(regions, {"_fp": print_})
-    rows = fenced(rows, {"stack": F.col("_fp.stack"), "signals": F.col("_fp.signals"), "snippet": reporting.snippet(F.when(F.col("container.present"), F.col("outer_html")), F.col("selector"))})
+    """Regions with their fix prompt. Needs outer_html, url and stack_found beside the region."""
+    rows = fenced(regions, {"stack": F.col("stack_found.stack"), "signals": F.col("stack_found.signals"), "snippet": reporting.snippet(F.when(F.col("container.present"), F.col("outer_html")), F.col("selector"))}, drop=("stack_found",))
     prompt = F.when(F.col("issue_type") != "fully_visible", reporting.fix_prompt())
-    return rows.withColumn("fix_prompt", prompt).drop("_fp", "raw_html", "outer_html")
+    return rows.withColumn("fix_prompt", prompt).drop("outer_html")
 
 
 def scan_documents(pages: DataFrame, regions: DataFrame) -> DataFrame:

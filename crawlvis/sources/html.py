@@ -1,4 +1,4 @@
-"""Pages parsed to trees: for pages whose text a cascade of replacements can't read, and for selectors.
+"""Pages parsed to trees: their text, scripts, nodes and containers by selector.
 
 Arrow-batched; a page is parsed once whatever is asked of it.
 """
@@ -13,29 +13,35 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Elements without content, and which open elements a tag closes.
+# Elements without content; what a tag ends before it opens, and what it doesn't look beyond.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
+CLOSES = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)), "tr": (("tr",), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")),
+    "option": (("option",), ("select", "datalist")), "thead": (("thead", "tbody", "tfoot"), ("table",)), "tbody": (("thead", "tbody", "tfoot"), ("table",)), "tfoot": (("thead", "tbody", "tfoot"), ("table",)),
+}
+ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
+KEEPS_P = ("table", "td", "th", "caption", "button", "object", "template")
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li ul ol div section article aside header footer nav main table tr td th caption blockquote pre figure figcaption dl dt dd br hr".split())
 SILENT = frozenset(("script", "style", "noscript", "template"))
-SPACE = re.compile(r"[\t-\r \xa0  -     　﻿]+")
+SPACE = re.compile(r"[\t-\r \xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 
 
 class Tree(HTMLParser):
-    """Nodes of a page in order: tag, parent, attributes, where they stand in the source, and text by place."""
+    """Nodes of a page in order: tag, parent, last node below, attributes, where they stand in the source, and text by place."""
 
     def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
         self.page = page
         self.lines = [0, *(m.end() for m in re.finditer("\n", page))]
-        self.tags, self.parents, self.attributes, self.spans = ["#root"], [-1], [{}], [[0, len(page)]]
-        self.texts: list[tuple[int, str]] = []  # the node that holds it, and the text
+        self.tags, self.parents, self.last, self.attributes, self.spans = ["#root"], [-1], [0], [{}], [[0, len(page)]]
+        self.texts: list[str] = []
+        self.text_nodes: list[int] = []  # the node that holds each text
         self.events: list[tuple[str, int]] = []  # what opens and closes, and texts by number, in order
+        self.held: list[list[int]] = [[0, 0, 0, 0]]  # of each node, the range of its events and of its texts
         self.open = [0]
         self.feed(page)
         self.close()
-        while len(self.open) > 1:
+        while self.open:
             self._end(len(page))
 
     def _place(self) -> int:
@@ -46,27 +52,45 @@ class Tree(HTMLParser):
         node = self.open.pop()
         self.spans[node][1] = at
         self.events.append(("close", node))
+        self.held[node][1], self.held[node][3] = len(self.events), len(self.texts)
+        self.last[node] = len(self.tags) - 1
+
+    def _end_open(self, wanted: tuple[str, ...], bounds: tuple[str, ...], at: int) -> None:
+        for depth in range(len(self.open) - 1, 0, -1):
+            tag = self.tags[self.open[depth]]
+            if tag in wanted:
+                while len(self.open) > depth:
+                    self._end(at)
+                return
+            if tag in bounds:
+                return
 
     def handle_starttag(self, tag, attrs):
         at = self._place()
-        ends = CLOSES.get(tag, ()) + (("p",) if tag in ENDS_P else ())
-        while len(self.open) > 1 and self.tags[self.open[-1]] in ends:
-            self._end(at)
+        if tag in ("html", "body") and tag in self.tags:
+            return
+        if tag in CLOSES:
+            self._end_open(*CLOSES[tag], at)
+        if tag in ENDS_P:
+            self._end_open(("p",), KEEPS_P, at)
         node = len(self.tags)
         self.tags.append(tag)
         self.parents.append(self.open[-1])
-        self.attributes.append({k: v or "" for k, v in attrs})
+        self.attributes.append({k: v or "" for k, v in reversed(attrs)})
         self.spans.append([at, at + len(self.get_starttag_text() or "")])
+        self.held.append([len(self.events), 0, len(self.texts), 0])
         self.events.append(("open", node))
+        self.open.append(node)
+        self.last.append(node)
         if tag in VOID:
-            self.events.append(("close", node))
-        else:
-            self.open.append(node)
+            self._end(self.spans[node][1])
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
 
     def handle_endtag(self, tag):
+        if tag in ("html", "body"):
+            return
         for depth in range(len(self.open) - 1, 0, -1):
             if self.tags[self.open[depth]] == tag:
                 at = self._place()
@@ -77,18 +101,19 @@ class Tree(HTMLParser):
 
     def handle_data(self, data):
         self.events.append(("text", len(self.texts)))
-        self.texts.append((self.open[-1], data))
-
-    def within(self, node: int) -> set[int]:
-        inside = {node}
-        for i in range(node + 1, len(self.tags)):
-            if self.parents[i] in inside:
-                inside.add(i)
-        return inside
+        self.texts.append(data)
+        self.text_nodes.append(self.open[-1])
 
     def text_of(self, node: int) -> str:
-        inside = self.within(node)
-        return "".join(t for n, t in self.texts if n in inside)
+        """All text in the node, code and all."""
+        return "".join(self.texts[slice(*self.held[node][2:])])
+
+    def children(self, node: int) -> list[int]:
+        found, at = [], node + 1
+        while at <= self.last[node]:
+            found.append(at)
+            at = self.last[at] + 1
+        return found
 
     def find(self, selector: str) -> int | None:
         """The first node of a selector: ``#id``, ``tag``, ``tag.class``, ``tag:nth-of-type(n)``, joined by `` > ``. None if there is none or it can't be read."""
@@ -97,39 +122,50 @@ class Tree(HTMLParser):
             m = re.fullmatch(r"(?:#([\w-]+)|([a-zA-Z][\w-]*)(?:\.([\w-]+))?(?::nth-of-type\((\d+)\))?)", step.strip())
             if not m:
                 return None
-            nodes = range(1, len(self.tags)) if k == 0 else [i for i in range(1, len(self.tags)) if self.parents[i] in found]
+            nodes = range(1, len(self.tags)) if k == 0 else sorted({c for i in found for c in self.children(i)})
             if m[1]:
                 found = [i for i in nodes if self.attributes[i].get("id") == m[1]]
             else:
-                found = [i for i in nodes if self.tags[i] == m[2].lower() and (not m[3] or m[3] in self.attributes[i].get("class", "").split()) and (not m[4] or self._nth(i) == int(m[4]))]
+                found = [i for i in nodes if self.tags[i] == m[2].lower() and (not m[3] or m[3] in self.attributes[i].get("class", "").split()) and (not m[4] or self.nth(i) == int(m[4]))]
         return found[0] if found else None
 
-    def _nth(self, node: int) -> int:
-        return sum(1 for i in range(1, node + 1) if self.parents[i] == self.parents[node] and self.tags[i] == self.tags[node])
-
-    def raw_text(self) -> str:
-        """Text of the body outside code, one line for each block."""
-        root = next((i for i, t in enumerate(self.tags) if t == "body"), 0)
-        inside = self.within(root)
-        silent: set[int] = set()
-        for i in sorted(inside):
-            if self.tags[i] in SILENT or (root == 0 and self.tags[i] in ("head", "title")) or self.parents[i] in silent:
-                silent.add(i)
-        parts = []
-        for kind, i in self.events:
+    def nth(self, node: int) -> int:
+        """The node's place among its parent's children of its tag."""
+        return sum(1 for i in self.children(self.parents[node]) if i <= node and self.tags[i] == self.tags[node])
+
+    def shown(self, node: int, without: frozenset[int] = frozenset()) -> str:
+        """Text of the node outside code and the nodes ``without``, one line for each block, white space as single blanks."""
+        begin, end = self.held[node][:2]
+        parts, passed = [], begin  # events before ``passed`` are passed over
+        for at in range(begin, end):
+            kind, i = self.events[at]
+            if at < passed:
+                continue
             if kind == "text":
-                node, text = self.texts[i]
-                if node in inside and node not in silent:
-                    parts.append(text)
+                parts.append(self.texts[i])
+            elif kind == "open" and (self.tags[i] in SILENT or i in without or (node == 0 and self.tags[i] in ("head", "title"))):
+                passed = self.held[i][1]
             elif self.tags[i] in BLOCKS:
                 parts.append("\n")
         lines = (SPACE.sub(" ", line).strip(" ") for line in "".join(parts).split("\n"))
         return "\n".join(line for line in lines if line)
 
+    def raw_text(self) -> str:
+        """What a reader of the source sees: text of the body outside code."""
+        return self.shown(next((i for i, t in enumerate(self.tags) if t == "body"), 0))
+
     def inline_scripts(self) -> str:
-        held = ["".join(t for n, t in self.texts if n == i) for i, tag in enumerate(self.tags) if tag == "script" and "src" not in self.attributes[i]]
+        held = [self.text_of(i) for i, tag in enumerate(self.tags) if tag == "script" and "src" not in self.attributes[i]]
         return "\n".join(t for t in held if t.strip())
 
+    def container(self, selector: str) -> dict:
+        """What stands at a selector: whether anything does, whether it has neither text nor elements, its words, and its source."""
+        node = self.find(selector)
+        if node is None:
+            return {"present": False, "empty": True, "words": 0, "outer_html": None}
+        text = self.text_of(node).strip()
+        return {"present": True, "empty": not text and self.last[node] == node, "words": count_words(text), "outer_html": self.page[slice(*self.spans[node])]}
+
 
 def count_words(text: str) -> int:
     return len(re.findall(r"[^\W_]+", text))
@@ -147,12 +183,7 @@ def read_pages(html: Column, selectors: Column) -> Column:
             rows = []
             for page, names in zip(sources, wanted, strict=True):
                 tree = Tree(page or "")
-                held = []
-                for name in names if names is not None else ():
-                    node = tree.find(name)
-                    text = tree.text_of(node).strip() if node is not None else ""
-                    childless = node is not None and node not in tree.parents
-                    held.append({"selector": name, "present": node is not None, "empty": node is None or not text and childless, "words": count_words(text), "outer_html": None if node is None else page[slice(*tree.spans[node])]})
+                held = [{"selector": name, **tree.container(name)} for name in (names if names is not None else ())]
                 rows.append((tree.raw_text(), tree.inline_scripts(), held))
             yield pd.DataFrame(rows, columns=["raw_text", "scripts", "containers"])
 
@@ -169,7 +200,7 @@ def node_table(pages: DataFrame, key: str = "page_id", html: str = "html") -> Da
             for page_id, page in zip(batch[key], batch[html], strict=True):
                 tree = Tree(page or "")
                 own = [""] * len(tree.tags)
-                for node, text in tree.texts:
+                for node, text in zip(tree.text_nodes, tree.texts, strict=True):
                     own[node] += text
                 seen: dict[tuple[int, str], int] = {}
                 for i in range(1, len(tree.tags)):

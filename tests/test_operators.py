@@ -1,7 +1,9 @@
 """Operators on small cases."""
 
 import json
+import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -10,7 +12,8 @@ from crawlvis.functions import text as T
 from crawlvis.functions import urls
 from crawlvis.functions import wording as W
 from crawlvis.operators import admission, events, history, reporting, responses, scoring
-from crawlvis.operators.segmentation import segmented
+from crawlvis.operators.segmentation import SourcePage, segmented
+from crawlvis.plans import scan
 from crawlvis.sources.html import Tree
 from crawlvis.sources.tables import Settings, append, cli_json, jpeg_dimensions, jpeg_size, parsed_comparison, parsed_result
 from crawlvis.sources.web import GuardedHttp, fetch
@@ -222,3 +225,117 @@ def test_frames_go_over_the_wire(spark):
 def test_greedy_likeness_takes_the_first_of_equals():
     group = pd.DataFrame({"pair_id": 1, "prev_ord": [1, 2, 1], "next_ord": [1, 1, 2], "similarity": [0.7, 0.7, 0.9]})
     assert history._greedy(group)[["prev_ord", "next_ord"]].to_numpy().tolist() == [[1, 1]]
+
+
+PAGES = {
+    "several navs and nested articles": (
+        "<html><head><title>T</title></head><body><header id='top'><nav>" + "Home " * 20 + "</nav></header><nav aria-label='Second menu'>" + "Docs " * 20 + "</nav>"
+        "<main><article><h2>First story</h2><p>" + "alpha " * 40 + "</p><article><h3>Inner</h3>" + "beta " * 30 + "</article></article><article>" + "gamma " * 50 + "</article><section>" + "delta " * 30 + "</section>"
+        "<aside>" + "inside main " * 10 + "</aside></main><footer>© x</footer></body></html>",
+        [("#top", "Header"), ("body > nav", "Second menu"), ("body > main > article:nth-of-type(1)", "First story"), ("body > main > article:nth-of-type(2)", "Article"), ("body > main > section", "Section 5"), ("body > main > aside", "Sidebar"), ("body > footer", "Footer")],
+    ),
+    "one shell around all": (
+        "<body><div class='app'><div class='wrap'><section id='a'>" + "one " * 40 + "</section><section>" + "two " * 40 + "</section><div>" + "three " * 30 + "</div><div>low</div></div></div></body>",
+        [("#a", "Section 1"), ("body > div > div > section:nth-of-type(2)", "Section 2"), ("body > div > div > div:nth-of-type(1)", "Section 3")],
+    ),
+    "nothing": ("", []),
+    "text alone": ("just words " * 30, []),
+    "hidden parts": ("<body><div style='display: none'>" + "secret " * 40 + "</div><div>" + "shown " * 40 + "</div><p hidden>" + "more " * 40 + "</p></body>", [("body > div:nth-of-type(2)", "Section 1")]),
+}
+
+
+@pytest.mark.parametrize("name", PAGES)
+def test_source_pages_are_segmented(name):
+    page, want = PAGES[name]
+    shown, hidden = SourcePage(Tree(page)).rows()
+    assert [(r["selector"], r["name"]) for r in shown] == want
+    assert [h["selector"] for h in hidden] == (["body > div:nth-of-type(1)", "body > p"] if name == "hidden parts" else [])
+    assert all("secret" not in r["text"] for r in shown)
+    for r in shown:  # selectors lead back to where they were made
+        tree = Tree(page)
+        assert tree.spans[tree.find(r["selector"])][0] == r["box"]["y"]
+
+
+def test_regions_are_capped_by_area_and_follow_the_page():
+    page = "<body><main>" + "".join(f"<section>{'w' * (100 + 7 * ((i * 11) % 30))}</section>" for i in range(30)) + "</main></body>"
+    shown, _ = SourcePage(Tree(page)).rows()
+    assert len(shown) == 24 and [r["box"]["y"] for r in shown] == sorted(r["box"]["y"] for r in shown)
+    assert min(r["box"]["height"] for r in shown) > 100 + 7 * 5
+
+
+def random_page(r, depth=0):
+    tags = ("div", "section", "article", "nav", "aside", "header", "footer", "p", "ul", "span", "main", "table")
+    inner = "".join(random_page(r, depth + 1) for _ in range(r.choice((0, 1, 2, 3, 4) if depth < 4 else (0,))))
+    tag = r.choice(tags)
+    return f"<{tag}>{'x y ' * r.choice((0, 5, 30))}{inner}</{tag}>"
+
+
+def test_choosing_regions_equals_pairwise_tests():
+    """The interval tests against comparing every node with every other."""
+    r = random.Random(12)
+    for _ in range(150):
+        page = SourcePage(Tree("<body>" + "".join(random_page(r) for _ in range(r.randrange(6))) + "</body>"))
+        n = len(page.tags)
+        inside = lambda a, b, page=page: a <= b <= page.last[a]
+        chosen = np.array([r.random() < 0.3 for _ in range(n)])
+        assert page.outermost(chosen).tolist() == [bool(chosen[i]) and not any(chosen[j] and j != i and inside(j, i) for j in range(n)) for i in range(n)]
+        assert page.apart(chosen).tolist() == [not any(chosen[j] and (inside(j, i) or inside(i, j)) for j in range(n)) for i in range(n)]
+        found = page.regions()
+        assert not any(inside(a, b) for a in found for b in found if a != b) and all(page.shown[i] for i in found)
+
+
+def test_readers_of_sources(spark):
+    cases = [
+        ("<p title='a>b'>t</p>", "t"), ("<title>T</title><p>body", "body"), ("<p>caf&eacute; &#233;&#xE9; &#150; &notanentity; &amp;lt; a&b &#0;", "café éé – &notanentity; &lt; a&b �"),
+        ("<head><style>x</style></head><body>a<!-- > --><br>b<noscript>no</noscript>", "a\nb"), ("a<script>var x = '<p>';</script>b", "ab"), ("<div>a</div>tail<", "a\ntail<"), (None, ""), ("", ""),
+        ("x" * 200_000 + "<p " + "a='b' " * 2000 + ">y", "x" * 200_000 + "\ny"),
+    ]
+    df = spark.createDataFrame([(i, h) for i, (h, _) in enumerate(cases)], "i long, html string").select("i", T.raw_text(F.col("html")).alias("t"))
+    for row in df.collect():
+        assert row["t"] == cases[row["i"]][1]
+    for html, text in cases:
+        if html and "&#150" not in html:
+            assert Tree(html).raw_text() == text
+
+
+def test_bodies_are_cut_and_read_leniently(spark, monkeypatch):
+    cases = [(b"abcd\xc3\xa9", "abcd"), (b"ab", "ab"), (b"\xff\xfea", "��a"), (b"abc\xf0\x9f\x98\x80z", "abc"), ("abcé".encode(), "abcé"), (b"abc\xe2\x82", "abc�"), (None, None), (b"", "")]
+    monkeypatch.setattr(responses, "MAX_BODY_BYTES", 5)
+    df = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(cases)], "i long, body binary").select("i", responses.capped_body(F.col("body")).alias("r"))
+    for row in df.collect():
+        assert row["r"]["text"] == cases[row["i"]][1] and row["r"]["bytes"] == (None if cases[row["i"]][0] is None else min(5, len(cases[row["i"]][0])))
+
+
+def test_a_hostile_script_does_not_stop_a_scan(spark):
+    pages = spark.createDataFrame([(1, "http://a.example/", "<body><p>" + "word " * 40 + "</p></body>", r"<script>var a = 'a\ud83d b \uDC00';</script>")], "scan_id long, url string, html string, raw_html string")
+    rows = scan.region_results(scan.rendered_regions(pages)).collect()
+    assert [r["issue_type"] for r in rows] == ["js_rendered_content"]
+
+
+def test_captured_scans_reach_every_class(spark):
+    """One scan of captured inputs with a region of each class and a hidden block; expectations are the classes' definitions."""
+    words = lambda tag, n: " ".join(f"{tag}{i}" for i in range(n))
+    plain = dict(has_canvas=False, canvas_dominant=False, has_iframe=False, iframe_dominant=False, iframe_src=None, has_table=False, img_count=0, img_without_alt_count=0, image_dominant=False)
+    route = [("#/a", True), ("#/b", True)]
+    half = words("half", 20)
+    regions = [
+        ("#frame", words("frame", 20), {**plain, "iframe_dominant": True, "iframe_src": "https://x.example/"}, [], "iframe_embed"), ("#canvas", words("canvas", 20), {**plain, "canvas_dominant": True}, [], "canvas_or_image_data"),
+        ("#script", words("script", 20), plain, [], "data_in_script_variable"), ("#late", words("late", 20), plain, [], "js_rendered_content"), ("#menu", words("menu", 20), plain, route, "client_side_routes"),
+        ("#seen", words("seen", 20), plain, [], "fully_visible"), ("#half", half, plain, [], "partial_content"), ("#empty", "", plain, [], None),
+    ]
+    raw = f"<body><div id='frame'></div><div id='menu'>{words('menu', 20)}</div><div id='seen'>{words('seen', 20)}</div><p>{' '.join(half.split()[:14])}</p><div>{words('secret', 40)}</div><script>var d = '{words('script', 20)}'</script></body>"
+    schema = f"scan_id long, region_ord long, selector string, name string, text string, box {scoring.BOX}, flags {scoring.FLAGS}, links {scoring.LINKS}"
+    captures = spark.createDataFrame([(1, i, s, s, t, (0, i, 100, 100), tuple(f.values()), links) for i, (s, t, f, links, _) in enumerate(regions, 1)], schema)
+    pages = spark.createDataFrame([(1, "https://page.example/x", raw), (2, "https://page.example/none", "")], "scan_id long, url string, html string")
+    hidden = spark.createDataFrame([(1, 1, "#secret", words("secret", 40)), (1, 2, "#other", words("other", 40)), (1, 3, "#void", " ")], "scan_id long, block_ord long, selector string, text string")
+    for status, url, menu in ((200, "https://page.example/x#/a", "client_side_routes"), (200, "https://other.example/a", "client_side_routes")):
+        probes = spark.createDataFrame([(1, url, status)], "scan_id long, url string, status long")
+        rows = {r["selector"]: r for r in scan.scanned(pages, captures, hidden, probes).collect()}
+        want = {s: c for s, _, _, _, c in regions if c} | {"#menu": menu, "#secret": "hidden_but_present"}
+        assert {s: r["issue_type"] for s, r in rows.items()} == want
+    assert rows["#secret"]["weight"] == 0 and abs(sum(r["weight"] for r in rows.values()) - 1) < 1e-9 and rows["#secret"]["rank"] == len(rows)
+    assert "is absent from the raw response" in rows["#canvas"]["evidence"] and "is absent from the raw response" in rows["#late"]["evidence"]
+    javascript = captures.withColumn("links", F.when(F.size("links") > 0, F.array(F.struct(F.lit("javascript:go").alias("href"), F.lit(True).alias("is_client_route")), F.struct(F.lit("#/b").alias("href"), F.lit(True).alias("is_client_route")))).otherwise(F.col("links")))
+    probes = spark.createDataFrame([(1, "javascript:go", 204)], "scan_id long, url string, status long")
+    assert {r["selector"]: r["issue_type"] for r in scan.scanned(pages, javascript, hidden, probes).collect()}["#menu"] == "fully_visible"
+    assert scan.scanned(pages, captures.limit(0)).count() == 0
