@@ -9,12 +9,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlvis.functions import text as T
 from crawlvis.functions import urls
+from crawlvis.sources.shared import written
 
 # Requests per window and address, and scans that run at once.
 LIMIT, WINDOW_MS, SLOTS = 10, 60_000, 2
-#: Pieces of a log that one call folds.
-PIECES = 512
+#: Time by which a log is dealt to find where it pauses.
+BUCKET_MS = 3_600_000
 
 
 def admit(stamps: list[int], now: int, limit: int = LIMIT, window_ms: int = WINDOW_MS) -> tuple[bool, int]:
@@ -34,13 +36,24 @@ def rate_limited(requests: DataFrame) -> DataFrame:
     """ip, req_id, ts_ms, allowed, retry_after of requests (req_id, ip, ts), in order of time and id.
 
     Each decision depends on the ones before, so requests are folded in order. After a window without requests nothing
-    is left to remember: an address's log is cut there, and runs of its pieces are folded by different tasks.
+    is left to remember, and an address's log is cut there. Requests are dealt by address and ``BUCKET_MS`` of time to find
+    the gaps; where a bucket's first request follows on the bucket before, buckets' ends tell, of which there is a row each.
+    The pieces that begin in a bucket are folded together, so an address of many requests is dealt over many tasks; only one
+    that never pauses for a window is a single sequence.
     """
-    rows = requests.select("ip", "req_id", F.unix_millis("ts").alias("ts_ms"))
-    order = Window.partitionBy("ip").orderBy("ts_ms", "req_id")
-    apart = F.coalesce(F.col("ts_ms") - F.lag("ts_ms").over(order) >= WINDOW_MS, F.lit(True))
-    piece = F.sum(apart.cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    pieces = rows.withColumn("run", F.floor(piece / PIECES))
+    rows = requests.select("ip", "req_id", F.unix_millis("ts").alias("ts_ms")).withColumn("bucket", F.floor(F.col("ts_ms") / BUCKET_MS))
+    buckets = Window.partitionBy("ip").orderBy("bucket")
+    inside = Window.partitionBy("ip", "bucket").orderBy("ts_ms", "req_id")
+    ends = rows.groupBy("ip", "bucket").agg(F.max("ts_ms").alias("end")).select("ip", "bucket", F.lag("end").over(buckets).alias("before"))
+    known = lambda right: (F.col("l.ip").eqNullSafe(F.col(f"{right}.ip"))) & (F.col("l.bucket") == F.col(f"{right}.bucket"))
+    near = rows.alias("l").join(ends.alias("e"), known("e")).select("l.*", "e.before")
+    previous = F.coalesce(F.lag("ts_ms").over(inside), F.col("before"))
+    opens = F.when(previous.isNull() | (F.col("ts_ms") - previous >= WINDOW_MS), F.col("ts_ms"))
+    cut = near.withColumn("opens", opens)
+    # The last piece that begins in a bucket goes on into the next ones, up to one in which another begins.
+    last = cut.groupBy("ip", "bucket").agg(F.max("opens").alias("last")).select("ip", "bucket", F.last("last", ignorenulls=True).over(buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
+    own = F.last("opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    pieces = cut.withColumn("own", own).alias("l").join(last.alias("c"), known("c")).select("l.ip", "l.req_id", "l.ts_ms", F.floor(F.coalesce("l.own", "c.carried") / BUCKET_MS).alias("run"))
     ip, req = (dict(rows.dtypes)[c] for c in ("ip", "req_id"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -85,9 +98,19 @@ def queued(requests: DataFrame, queue: str = "queue") -> DataFrame:
 
 
 def queue_positions(scans: DataFrame) -> DataFrame:
-    """Scans (scan_id, state running or waiting or other, enqueued_at) with position: 0 if running, the place in line if waiting, else null."""
-    line = F.row_number().over(Window.partitionBy("state").orderBy("enqueued_at", "scan_id"))
-    return scans.withColumn("position", F.when(F.col("state") == "running", F.lit(0)).when(F.col("state") == "waiting", line).cast("long"))
+    """Scans (scan_id, state running or waiting or other, enqueued_at) with position: 0 if running, the place in line if waiting, else null.
+
+    The line is sorted in ranges, which are counted; a place is that in its range after all that stands in the ranges before.
+    """
+    parts = int(scans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    line = scans.where("state = 'waiting'").repartitionByRange(parts, "enqueued_at", "scan_id").withColumn("_range", F.spark_partition_id())
+    line = written(line, "line")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = line.groupBy("_range").agg(F.count("*").alias("n")).select("_range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))  # a row for each range
+    place = F.row_number().over(Window.partitionBy("_range").orderBy("enqueued_at", "scan_id"))
+    waiting = line.join(F.broadcast(counts), "_range").withColumn("position", (F.col("_before") + place).cast("long")).drop("_range", "_before")
+    others = scans.where("state != 'waiting' OR state IS NULL").withColumn("position", F.when(F.col("state") == "running", F.lit(0)).cast("long"))
+    return waiting.unionByName(others)
 
 
 def valid_requests(requests: DataFrame) -> DataFrame:

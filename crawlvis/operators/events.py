@@ -50,6 +50,16 @@ def frame(event: Column, seq: Column) -> Column:
     return F.concat(F.lit("id: "), seq.cast("string"), F.lit("\ndata: "), F.to_json(event), F.lit("\n\n"))
 
 
+def frames(events: DataFrame, clients: DataFrame) -> DataFrame:
+    """client_id, scan_id, seq, frame: what goes over the wire to each client (client_id, scan_id, last_event_id), in order of seq.
+
+    Events up to the last one that a client has are left out, and so are those after the first that ends the scan. events:
+    scan_id, seq, status and, optionally, further columns, which go along.
+    """
+    told = [c for c in events.columns if c not in ("scan_id", "seq")]
+    return replayed(events, clients).select("client_id", "scan_id", "seq", frame(F.struct(*told), F.col("seq")).alias("frame"))
+
+
 def phase_line(status: Column, telemetry: Column) -> Column:
     """What a phase tells: struct telemetry of url, status_code, bytes, blocked, request_count, region_count."""
     t = lambda name: telemetry[name].cast("string")
@@ -76,4 +86,4 @@ def skeleton_verdict(verdicts: Column, i: Column) -> Column:
     return F.coalesce(F.get(verdicts, F.pmod(i, n)), F.lit("ok"))
 
 
-__all__ = ["PROGRESS", "TERMINAL", "finished_events", "frame", "kept_log", "latest_status", "numbered", "phase_line", "phase_text", "replayed", "skeleton_verdict"]
+__all__ = ["PROGRESS", "TERMINAL", "finished_events", "frame", "frames", "kept_log", "latest_status", "numbered", "phase_line", "phase_text", "replayed", "skeleton_verdict"]

@@ -119,6 +119,25 @@ def render_error(message: Column) -> Column:
     )
 
 
+def scan_error(error_type: Column, message: Column) -> Column:
+    """struct<error_type, error_message> of a failed scan: the engine's own error, or the general one for any other failure (a null type)."""
+    own = error_type.isNotNull()
+    return F.struct(F.when(own, error_type).otherwise(F.lit(W.UNEXPECTED[0])).alias("error_type"), F.when(own, message).otherwise(F.lit(W.UNEXPECTED[1])).alias("error_message"))
+
+
+def telemetry(pairs: DataFrame, renders: DataFrame) -> DataFrame:
+    """scan_id and the struct ``telemetry`` of paired responses and of renders (scan_id, render_duration_ms, request_count).
+
+    A scan without a control has nulls there; one that wasn't rendered has nulls for its render.
+    """
+    found = pairs.join(renders.select("scan_id", "render_duration_ms", "request_count"), "scan_id", "left")
+    fields = {
+        "crawler_status": "status", "crawler_bytes": "bytes", "control_status": "control_status", "control_bytes": "control_bytes",
+        "fetch_duration_ms": "duration_ms", "render_duration_ms": "render_duration_ms", "request_count": "request_count",
+    }
+    return found.select("scan_id", F.struct(*[F.col(c).alias(n) for n, c in fields.items()]).alias("telemetry"))
+
+
 def capped_body(body: Column) -> Column:
     """struct<text, bytes> of a binary body, read up to the cap in bytes.
 

@@ -381,9 +381,10 @@ SELECT a.pair_id, a.region_ord AS prev_ord, b.region_ord AS next_ord FROM a JOIN
     "time_ago": """WITH t AS (SELECT event_id, event_id * 37 AS s, floor(event_id * 37 / 60.0 + 0.5) AS m FROM events), h AS (SELECT *, floor(m / 60 + 0.5) AS h FROM t)
 SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN m < 60 THEN CAST(m AS BIGINT) || ' min ago' WHEN h < 24 THEN CAST(h AS BIGINT) || ' h ago' ELSE CAST(floor(h / 24 + 0.5) AS BIGINT) || ' d ago' END AS told, CAST(m AS BIGINT) AS age_minutes FROM h""",
     "error_screens": rows([(e, *W.ERROR_COPY.get(e, W.ERROR_COPY[None])) for e in X.ERROR_TYPES], "error_type, title, what, next"),
-    "passage_coverage": f"""WITH b AS (SELECT item_id, {shing('t')} AS s FROM (SELECT item_id, {toks('text')} AS t FROM benchmark)), n AS (SELECT item_id, len(s) AS n, unnest(s) AS g FROM b),
-h AS (SELECT DISTINCT doc_id, unnest({shing('t')}) AS g FROM (SELECT doc_id, {toks('text')} AS t FROM documents))
-SELECT item_id, doc_id, round(count(*)::DOUBLE / n, 9) AS coverage FROM n JOIN h USING (g) GROUP BY item_id, doc_id, n""",
+    "passage_coverage": f"""WITH b AS (SELECT item_id, {toks('text')} AS t FROM benchmark), s AS (SELECT item_id, CASE WHEN len(t) >= 12 THEN {shing('t')} WHEN len({distinct_words('t')}) > 0 THEN {distinct_words('t')} ELSE t END AS s, len(t) >= 12 AS by_shingle FROM b),
+n AS (SELECT item_id, by_shingle, len(s) AS n, unnest(s) AS g FROM s), d AS (SELECT doc_id, {toks('text')} AS t FROM documents),
+h AS (SELECT DISTINCT doc_id, TRUE AS by_shingle, unnest({shing('t')}) AS g FROM d UNION ALL SELECT DISTINCT doc_id, FALSE, unnest(t) FROM d)
+SELECT item_id, doc_id, round(count(*)::DOUBLE / n, 9) AS coverage FROM n JOIN h USING (by_shingle, g) GROUP BY item_id, doc_id, n""",
 }
 _n_links = f"least({_links}, 60)"
 _captured_values = {**_values, "iframe_src": "'https://maps.example.com/embed'", "carrier": f"CASE kind WHEN 0 THEN {q(W.CARRIER[0])} ELSE {filled(W.CARRIER[1], images='2')} END", "routes": "n_routes", "links": "n_links"}
@@ -445,6 +446,17 @@ _article = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
 SQL["parsed_pages"] = f"SELECT page_id, {raw_text('html')} AS raw_text, {scripts('html')} AS scripts, TRUE AS has_article, FALSE AS has_missing, CAST(len({toks(decoded(replaced(_article, TAG, "''")))}) AS BIGINT) AS article_words FROM pages"
 #: Of the pages' elements only list items and paragraphs have others of their kind beside them.
 SQL["node_table"] = "WITH t AS (SELECT page_id, unnest(regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1)) AS tag FROM pages) SELECT page_id, tag, count(*) AS n, CASE WHEN tag IN ('li', 'p') THEN count(*) ELSE 1 END AS most FROM t GROUP BY page_id, tag"
+SQL["stream_reuse"] = SQL["dedupe_cached"]
+SQL["event_frames"] = f"WITH x AS ({SQL['event_replay']}) SELECT client_id, scan_id, seq, 'id: ' || seq || chr(10) || 'data: {{\"status\":\"' || status || '\"}}' || chr(10) || chr(10) AS frame FROM x"
+SQL["stream_frames"] = f"""WITH l AS (SELECT conv_id, turn + 1 AS seq, CASE WHEN turn >= 5 THEN 'done' ELSE 'fetching' END AS status FROM conversations)
+SELECT conv_id AS client_id, conv_id AS scan_id, seq, 'id: ' || seq || chr(10) || 'data: {{"status":"' || status || '"}}' || chr(10) || chr(10) AS frame FROM l WHERE seq > conv_id % 3 AND seq <= 6"""
+SQL["scan_telemetry"] = """WITH p AS (SELECT page_id AS scan_id, page_id % 5 AS k, html FROM pages)
+SELECT scan_id, CASE k WHEN 1 THEN 403 ELSE 200 END AS crawler_status, crawler_bytes, CASE WHEN scan_id % 11 = 10 THEN 500 ELSE 200 END AS control_status, octet_length(encode(html)) AS control_bytes, scan_id * 7 % 1000 AS fetch_duration_ms,
+  CASE WHEN scan_id % 4 <> 3 THEN scan_id * 31 % 5000 END AS render_duration_ms, CASE WHEN scan_id % 4 <> 3 THEN len(string_split(html, '<')) END AS request_count FROM p JOIN (""" + f"""
+  SELECT page_id AS scan_id, octet_length(encode(CASE page_id % 5 WHEN 1 THEN 'Forbidden' WHEN 2 THEN '<html><body><h1>Just a moment...</h1><p>Checking your browser</p></body></html>'
+    WHEN 3 THEN '<html><body><p>' || substring({raw_text('html')}, 1, 60) || '</p></body></html>' ELSE html END)) AS crawler_bytes FROM pages) USING (scan_id)"""
+SQL["scan_errors"] = """SELECT event_id AS scan_id, ['timeout', 'dns_or_network', 'ssrf_blocked', 'render_failed'][event_id % 4 + 1] AS error_type,
+  CASE WHEN event_id % 4 = 3 THEN 'The scan failed unexpectedly. Try again.' ELSE 'failed at ' || event_id END AS error_message FROM events WHERE event_type = 'error'"""
 ESC = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _when = "strftime(make_timestamp((1700000000000 + raw.scan_id * 3600000) * 1000), '%a, %d %b %Y %H:%M:%S') || ' GMT'"
 SQL["html_report"] = f"""{FULL}, {SCORE}, {PROMPTED},

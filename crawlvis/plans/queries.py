@@ -104,6 +104,78 @@ def distinctive_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("distinctive"))
 
 
+#: Needles that are handed to every task; more are joined by a shuffle.
+FEW_NEEDLES = 500_000
+
+
+def _covered(passages, docs, needles, hay):
+    """item_id, doc_id, coverage of passages by the documents that have any of their needles (arrays of passages and of documents)."""
+    parts = passages.select("item_id", needles.alias("s")).where("size(s) > 0")
+    each = parts.select("item_id", F.size("s").alias("n"), F.explode("s").alias("needle")).groupBy("item_id", "n", "needle").agg(F.count("*").alias("times"))
+    each = F.broadcast(each) if (parts.agg(F.sum(F.size("s"))).first()[0] or 0) <= FEW_NEEDLES else each
+    found = docs.select("doc_id", F.explode(F.array_distinct(hay)).alias("needle")).join(each, "needle").groupBy("item_id", "doc_id", "n").agg(F.sum("times").alias("found"))
+    return found.select("item_id", "doc_id", F.round(F.col("found") / F.col("n"), 9).alias("coverage"))
+
+
+@query
+def passage_coverage(spark, sf_dir):
+    """Benchmark passages as regions and documents as pages: pairs that share a shingle or, for short passages, a telling word."""
+    words = T.tokens(F.col("text"))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where("size(w) > 0")
+    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    short, told = F.size("w") < T.SHORT_TOKENS, T.distinctive(F.col("w"))
+    long = _covered(passages.where(~short), docs, T.shingles(F.col("w")), T.shingles(F.col("w")))
+    few = passages.where(short)
+    return long if few.isEmpty() else long.unionByName(_covered(few, docs, F.when(F.size(told) == 0, F.col("w")).otherwise(told), F.col("w")))
+
+
+def _segmented(spark, sf_dir):
+    """A row for each region of each page's source."""
+    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return segmentation.read_pages(rows, raw="html").select("page_id", "url", F.explode("regions").alias("r"))
+
+
+@query
+def resolved_links(spark, sf_dir):
+    rows = _segmented(spark, sf_dir).select("page_id", "url", "r.region_ord", F.posexplode("r.links").alias("link_ord", "link"))
+    return rows.select("page_id", "region_ord", F.col("link_ord").cast("long").alias("link_ord"), F.col("link.href").alias("href"), urls.resolved(F.col("link.href"), F.col("url")).alias("resolved"), F.col("link.is_client_route").alias("is_client_route"))
+
+
+@query
+def raw_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", T.raw_text(F.col("html")).alias("raw_text"))
+
+
+@query
+def inline_scripts(spark, sf_dir):
+    raw = scan.raw_and_rendered(table(spark, sf_dir, "pages"))
+    scripts = T.inline_scripts(F.col("raw_html"))
+    return raw.select("scan_id", scripts.alias("scripts"), T.unescaped(scripts).alias("unescaped"))
+
+
+@query
+def script_unescape(spark, sf_dir):
+    return fixtures.escaped_scripts(spark).select("script", T.unescaped(F.col("script")).alias("unescaped"))
+
+
+@query
+def tokens(spark, sf_dir):
+    words = T.tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.md5(F.array_join(words, " ")).alias("tokens_md5"))
+
+
+@query
+def shingles(spark, sf_dir):
+    found = T.shingles(T.tokens(F.col("text")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.size(found).cast("long").alias("n_shingles"), F.md5(F.array_join(found, "|")).alias("shingles_md5"))
+
+
+@query
+def distinctive_tokens(spark, sf_dir):
+    words = T.distinctive(T.tokens(F.col("text")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("distinctive"))
+
+
 @query
 def passage_coverage(spark, sf_dir):
     """Benchmark passages as regions and documents as pages: pairs of which a shingle is shared, through a join on shingles."""
@@ -148,7 +220,7 @@ def issue_order(spark, sf_dir):
 
 @query
 def hidden_blocks(spark, sf_dir):
-    """Each passage as a hidden block of the documents of equal number modulo the passages' count: found where the document has it."""
+    """Each passage as a hidden block of the documents that have half of it: found where a document has nearly all."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("scan_id"), F.col("text").alias("raw_text"), F.lit("").alias("scripts"))
     pairs = passage_coverage(spark, sf_dir).where("coverage > 0.5").select(F.col("doc_id").alias("scan_id"), "item_id")
     blocks = table(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("#block-"), F.col("item_id").cast("string")).alias("selector"), "text")
@@ -253,6 +325,22 @@ def bot_block(spark, sf_dir):
     return rows.select("scan_id", "blocked_reason", "blocked_evidence", F.md5(prompt).alias("prompt_md5"), T.word_count(F.col("raw_text")).alias("analyzed_words"))
 
 
+@query
+def scan_telemetry(spark, sf_dir):
+    """What is told of each scan's fetches and render."""
+    rows = _responses(spark, sf_dir).withColumn("duration_ms", F.col("scan_id") * 7 % 1000)
+    renders = table(spark, sf_dir, "pages").where("page_id % 4 != 3").select(F.col("page_id").alias("scan_id"), (F.col("page_id") * 31 % 5000).alias("render_duration_ms"), F.size(F.split("html", "<")).cast("long").alias("request_count"))
+    return responses.telemetry(responses.paired(rows), renders).select("scan_id", "telemetry.*")
+
+
+@query
+def scan_errors(spark, sf_dir):
+    """Errors of finished scans: those that the engine knows, and all others as one."""
+    known = F.element_at(F.array(F.lit("timeout"), F.lit("dns_or_network"), F.lit("ssrf_blocked"), F.lit(None).cast("string")), (F.col("event_id") % 4 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").where("event_type = 'error'").select(F.col("event_id").alias("scan_id"), responses.scan_error(known, F.concat(F.lit("failed at "), F.col("event_id").cast("string"))).alias("e"))
+    return rows.select("scan_id", "e.error_type", "e.error_message")
+
+
 @query
 def typed_errors(spark, sf_dir):
     rows = fixtures.responses(spark).withColumn("error_type", responses.typed_error())
@@ -493,6 +581,31 @@ def stream_event_log(spark, sf_dir):
     return streams.completed(streams.event_log(rows, forget=False), "event-log")
 
 
+@query
+def event_frames(spark, sf_dir):
+    log = events.numbered(_log(spark, sf_dir), "turn")
+    clients = log.select("scan_id").distinct().select(F.col("scan_id").alias("client_id"), "scan_id", F.pmod("scan_id", F.lit(3)).alias("last_event_id"))
+    return events.frames(log.select("scan_id", "seq", "status"), clients)
+
+
+@query
+def stream_frames(spark, sf_dir):
+    """Events of a stream, numbered by their turn, written to each client once."""
+    log = streams.table_stream(spark, sf_dir, "conversations")
+    status = F.when(F.col("turn") >= 5, F.lit("done")).otherwise(F.lit("fetching"))
+    rows = log.select(F.col("conv_id").alias("scan_id"), (F.col("turn") + 1).cast("long").alias("seq"), status.alias("status"))
+    clients = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("client_id"), F.col("conv_id").alias("scan_id"), F.pmod("conv_id", F.lit(3)).cast("long").alias("last_event_id"))
+    return streams.delivered(rows, lambda out: streams.frames_sink(clients, out), "frames").select("client_id", "scan_id", "seq", "frame")
+
+
+@query
+def stream_reuse(spark, sf_dir):
+    """Requests of a stream with the scans that they may reuse."""
+    asked = streams.table_stream(spark, sf_dir, "events").where("event_id % 3 = 0").select(F.col("event_id").alias("req_id"), F.col("user_id").cast("string").alias("normalized_url"), F.col("ts").cast("timestamp").alias("ts"), (F.col("event_id") % 2 == 0).alias("force"))
+    done = table(spark, sf_dir, "events").where("event_id % 3 != 0").select(F.col("event_id").alias("scan_id"), F.col("user_id").cast("string").alias("normalized_url"), F.col("ts").cast("timestamp").alias("finished_at"))
+    return streams.delivered(asked, lambda out: streams.reuse(done, out), "reuse").select("req_id", "normalized_url", "cached_scan_id", "age_seconds")
+
+
 @query
 def stream_rate_limit(spark, sf_dir):
     rows = streams.table_stream(spark, sf_dir, "events").select(F.col("event_id").alias("req_id"), F.col("event_type").alias("ip"), F.col("ts").cast("timestamp").alias("ts"))

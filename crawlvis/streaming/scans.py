@@ -84,11 +84,39 @@ def reuse(scans: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
     """A sink for ``foreachBatch`` that writes each batch of requests with the scan it may reuse."""
 
     def write(batch: DataFrame, epoch: int) -> None:
-        cached_scans(batch, scans).withColumn("epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+        cached_scans(batch, scans).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
 
     return write
 
 
+def frames_sink(clients: DataFrame, out: str) -> Callable[[DataFrame, int], None]:
+    """A sink for ``foreachBatch`` that writes frames of numbered events to ``out``, each to every client once.
+
+    What has been written tells what a client has: events up to its last are left out, also if a batch comes again after
+    a failure, whose own output is replaced.
+    """
+    from crawlvis.operators.events import frames
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        asked = clients
+        if epoch:
+            sent = spark.read.parquet(*[f"{out}/epoch={e}" for e in range(epoch)]).groupBy("client_id").agg(F.max("seq").alias("_sent"))
+            asked = clients.join(sent, "client_id", "left").withColumn("last_event_id", F.greatest("last_event_id", "_sent")).drop("_sent")
+        frames(batch, asked).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    return write
+
+
+def delivered(stream: DataFrame, sink: Callable[[str], Callable[[DataFrame, int], None]], name: str) -> DataFrame:
+    """Runs a stream over all that is there now into a sink that is made for a folder, and reads what the sink wrote there."""
+    spark = stream.sparkSession
+    path = new_path(spark, name)
+    query = stream.writeStream.foreachBatch(sink(path)).option("checkpointLocation", f"{path}-log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(f"{path}/epoch=*")
+
+
 def completed(stream: DataFrame, name: str) -> DataFrame:
     """Runs a stream over all that is there now, into a table in the shared folder, and reads it."""
     spark = stream.sparkSession
