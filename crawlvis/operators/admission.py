@@ -17,6 +17,8 @@ from crawlvis.sources.shared import written
 LIMIT, WINDOW_MS, SLOTS = 10, 60_000, 2
 #: Time by which a log is dealt to find where it pauses.
 BUCKET_MS = 3_600_000
+#: Requests of an address that a task folds, about.
+ROWS_PER_RUN = 100_000
 
 
 def admit(stamps: list[int], now: int, limit: int = LIMIT, window_ms: int = WINDOW_MS) -> tuple[bool, int]:
@@ -43,17 +45,18 @@ def rate_limited(requests: DataFrame) -> DataFrame:
     """
     rows = requests.select("ip", "req_id", F.unix_millis("ts").alias("ts_ms")).withColumn("bucket", F.floor(F.col("ts_ms") / BUCKET_MS))
     buckets = Window.partitionBy("ip").orderBy("bucket")
+    earlier = buckets.rowsBetween(Window.unboundedPreceding, -1)
     inside = Window.partitionBy("ip", "bucket").orderBy("ts_ms", "req_id")
-    ends = rows.groupBy("ip", "bucket").agg(F.max("ts_ms").alias("end")).select("ip", "bucket", F.lag("end").over(buckets).alias("before"))
+    run = F.floor(F.coalesce(F.sum("n").over(earlier), F.lit(0)) / ROWS_PER_RUN)  # of buckets, so that a task folds about as many rows as another
+    ends = rows.groupBy("ip", "bucket").agg(F.max("ts_ms").alias("end"), F.count("*").alias("n")).select("ip", "bucket", F.lag("end").over(buckets).alias("before"), run.alias("run"))
     known = lambda right: (F.col("l.ip").eqNullSafe(F.col(f"{right}.ip"))) & (F.col("l.bucket") == F.col(f"{right}.bucket"))
-    near = rows.alias("l").join(ends.alias("e"), known("e")).select("l.*", "e.before")
+    near = rows.alias("l").join(ends.alias("e"), known("e")).select("l.*", "e.before", "e.run")
     previous = F.coalesce(F.lag("ts_ms").over(inside), F.col("before"))
-    opens = F.when(previous.isNull() | (F.col("ts_ms") - previous >= WINDOW_MS), F.col("ts_ms"))
-    cut = near.withColumn("opens", opens)
+    cut = near.withColumn("opens", previous.isNull() | (F.col("ts_ms") - previous >= WINDOW_MS))
     # The last piece that begins in a bucket goes on into the next ones, up to one in which another begins.
-    last = cut.groupBy("ip", "bucket").agg(F.max("opens").alias("last")).select("ip", "bucket", F.last("last", ignorenulls=True).over(buckets.rowsBetween(Window.unboundedPreceding, -1)).alias("carried"))
-    own = F.last("opens", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    pieces = cut.withColumn("own", own).alias("l").join(last.alias("c"), known("c")).select("l.ip", "l.req_id", "l.ts_ms", F.floor(F.coalesce("l.own", "c.carried") / BUCKET_MS).alias("run"))
+    last = cut.groupBy("ip", "bucket").agg(F.max(F.when(F.col("opens"), F.col("run"))).alias("last")).select("ip", "bucket", F.last("last", ignorenulls=True).over(earlier).alias("carried"))
+    begun = F.max("opens").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    pieces = cut.withColumn("begun", begun).alias("l").join(last.alias("c"), known("c")).select("l.ip", "l.req_id", "l.ts_ms", F.when(F.col("begun"), F.col("l.run")).otherwise(F.col("c.carried")).alias("run"))
     ip, req = (dict(rows.dtypes)[c] for c in ("ip", "req_id"))
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:

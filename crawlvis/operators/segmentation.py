@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlvis.sources.html import SILENT, Tree, count_words
+from crawlvis.sources.shared import spread
 
 # Elements by their part in a page, least heights, and how much is kept.
 SEMANTIC = frozenset("header nav footer aside article section table form figure ul ol".split())
@@ -261,7 +262,7 @@ def read_pages(pages: DataFrame, *, html: str = "html", raw: str = "raw_html") -
     from pyspark.sql.pandas.types import to_arrow_schema
 
     columns = [c for c in pages.columns if c not in ("raw_text", "scripts", "regions", "hidden")]
-    rows = pages.select(*columns)
+    rows = spread(pages.select(*columns))
     schema = rows.select("*", *[F.lit(None).cast(t).alias(n) for n, t in (("raw_text", "string"), ("scripts", "string"), ("regions", REGIONS), ("hidden", HIDDEN))]).schema
     kinds = list(to_arrow_schema(schema))[len(columns) :]
     at = (columns.index(html), columns.index(raw))

@@ -12,6 +12,7 @@ from crawlvis.functions import text as T
 from crawlvis.operators import admission, events, history, pages, reporting, responses, robots, scoring, segmentation
 from crawlvis.plans import fixtures, oracle, scan
 from crawlvis.sources import html as trees
+from crawlvis.sources.shared import spread
 from crawlvis.sources.tables import table
 from crawlvis.streaming import scans as streams
 
@@ -71,7 +72,7 @@ def resolved_links(spark, sf_dir):
 
 @query
 def raw_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.raw_text(F.col("html")).alias("raw_text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.raw_text(F.col("html")).alias("raw_text"))
 
 
 @query
@@ -122,7 +123,7 @@ def passage_coverage(spark, sf_dir):
     """Benchmark passages as regions and documents as pages: pairs that share a shingle or, for short passages, a telling word."""
     words = T.tokens(F.col("text"))
     passages = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where("size(w) > 0")
-    docs = table(spark, sf_dir, "documents").select("doc_id", words.alias("w"))
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("w"))
     short, told = F.size("w") < T.SHORT_TOKENS, T.distinctive(F.col("w"))
     long = _covered(passages.where(~short), docs, T.shingles(F.col("w")), T.shingles(F.col("w")))
     few = passages.where(short)
@@ -143,7 +144,7 @@ def resolved_links(spark, sf_dir):
 
 @query
 def raw_text(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", T.raw_text(F.col("html")).alias("raw_text"))
+    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.raw_text(F.col("html")).alias("raw_text"))
 
 
 @query
@@ -307,7 +308,7 @@ def probe_outcomes(spark, sf_dir):
 
 def _responses(spark, sf_dir):
     """A crawler's and a browser's response for each page; every fifth crawler is refused, challenged, given half, or given another text."""
-    rows = table(spark, sf_dir, "pages").select(F.col("page_id").alias("scan_id"), F.col("url").alias("requested_url"), "html")
+    rows = spread(table(spark, sf_dir, "pages")).select(F.col("page_id").alias("scan_id"), F.col("url").alias("requested_url"), "html")
     k = F.pmod(F.col("scan_id"), F.lit(5))
     challenge = F.lit("<html><body><h1>Just a moment...</h1><p>Checking your browser</p></body></html>")
     short = F.concat(F.lit("<html><body><p>"), F.substring(T.raw_text(F.col("html")), 1, 60), F.lit("</p></body></html>"))
@@ -564,14 +565,14 @@ def error_screens(spark, sf_dir):
 def parsed_pages(spark, sf_dir):
     """The parser's text, scripts and containers beside the fast reader's."""
     names = F.array(*[F.lit(s) for s in ("nav", "article", "footer", "#missing")])
-    rows = table(spark, sf_dir, "pages").select("page_id", trees.read_pages(F.col("html"), names).alias("r"))
+    rows = spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", trees.read_pages(F.col("html"), names).alias("r"))
     c = lambda i, field: F.get("r.containers", F.lit(i))[field]
     return rows.select("page_id", F.col("r.raw_text").alias("raw_text"), F.col("r.scripts").alias("scripts"), c(1, "present").alias("has_article"), c(3, "present").alias("has_missing"), c(1, "words").alias("article_words"))
 
 
 @query
 def node_table(spark, sf_dir):
-    rows = trees.node_table(table(spark, sf_dir, "pages"))
+    rows = trees.node_table(spread(table(spark, sf_dir, "pages")))
     return rows.groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.max("nth_of_type").alias("most"))
 
 

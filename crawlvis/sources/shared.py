@@ -53,6 +53,16 @@ def dropped(*tables: DataFrame | None) -> None:
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+#: An input below this size, in bytes, comes in so few row groups that most cores would be idle.
+SMALL = 64 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small input dealt evenly over all cores, before work that takes long for each row; a larger one as it is."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, unless the environment lets them import it from where it is."""
     package = Path(__file__).resolve().parents[1]
