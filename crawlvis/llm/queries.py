@@ -8,13 +8,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from crawlvis.llm import attribution, codec, extraction, language, licenses, near_duplicates, packing, quality, topk, warc
+from crawlvis.llm.store import spread
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; a small one, which is a row group or two, dealt over all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
