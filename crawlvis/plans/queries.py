@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from crawlvis.functions import net, urls
 from crawlvis.functions import text as T
+from crawlvis.functions.fence import fenced
 from crawlvis.operators import admission, events, history, pages, reporting, responses, robots, scoring, segmentation
 from crawlvis.plans import fixtures, oracle, scan
 from crawlvis.sources import html as trees
@@ -122,71 +123,15 @@ def _covered(passages, docs, needles, hay):
 def passage_coverage(spark, sf_dir):
     """Benchmark passages as regions and documents as pages: pairs that share a shingle or, for short passages, a telling word."""
     words = T.tokens(F.col("text"))
-    passages = table(spark, sf_dir, "benchmark").select("item_id", words.alias("w")).where("size(w) > 0")
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", words.alias("w"))
+    passages = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    passages = fenced(passages, {"w": words}, drop=("text",)).where("size(w) > 0")
+    docs = fenced(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), {"w": words}, drop=("text",))
     short, told = F.size("w") < T.SHORT_TOKENS, T.distinctive(F.col("w"))
     long = _covered(passages.where(~short), docs, T.shingles(F.col("w")), T.shingles(F.col("w")))
     few = passages.where(short)
     return long if few.isEmpty() else long.unionByName(_covered(few, docs, F.when(F.size(told) == 0, F.col("w")).otherwise(told), F.col("w")))
 
 
-def _segmented(spark, sf_dir):
-    """A row for each region of each page's source."""
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    return segmentation.read_pages(rows, raw="html").select("page_id", "url", F.explode("regions").alias("r"))
-
-
-@query
-def resolved_links(spark, sf_dir):
-    rows = _segmented(spark, sf_dir).select("page_id", "url", "r.region_ord", F.posexplode("r.links").alias("link_ord", "link"))
-    return rows.select("page_id", "region_ord", F.col("link_ord").cast("long").alias("link_ord"), F.col("link.href").alias("href"), urls.resolved(F.col("link.href"), F.col("url")).alias("resolved"), F.col("link.is_client_route").alias("is_client_route"))
-
-
-@query
-def raw_text(spark, sf_dir):
-    return spread(table(spark, sf_dir, "pages").select("page_id", "html")).select("page_id", T.raw_text(F.col("html")).alias("raw_text"))
-
-
-@query
-def inline_scripts(spark, sf_dir):
-    raw = scan.raw_and_rendered(table(spark, sf_dir, "pages"))
-    scripts = T.inline_scripts(F.col("raw_html"))
-    return raw.select("scan_id", scripts.alias("scripts"), T.unescaped(scripts).alias("unescaped"))
-
-
-@query
-def script_unescape(spark, sf_dir):
-    return fixtures.escaped_scripts(spark).select("script", T.unescaped(F.col("script")).alias("unescaped"))
-
-
-@query
-def tokens(spark, sf_dir):
-    words = T.tokens(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(words).cast("long").alias("n_tokens"), F.md5(F.array_join(words, " ")).alias("tokens_md5"))
-
-
-@query
-def shingles(spark, sf_dir):
-    found = T.shingles(T.tokens(F.col("text")))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.size(found).cast("long").alias("n_shingles"), F.md5(F.array_join(found, "|")).alias("shingles_md5"))
-
-
-@query
-def distinctive_tokens(spark, sf_dir):
-    words = T.distinctive(T.tokens(F.col("text")))
-    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("distinctive"))
-
-
-@query
-def passage_coverage(spark, sf_dir):
-    """Benchmark passages as regions and documents as pages: pairs of which a shingle is shared, through a join on shingles."""
-    parts = table(spark, sf_dir, "benchmark").select("item_id", T.shingles(T.tokens(F.col("text"))).alias("s")).where("size(s) > 0")
-    needles = parts.select("item_id", F.size("s").alias("n"), F.explode("s").alias("shingle")).groupBy("item_id", "n", "shingle").agg(F.count("*").alias("times"))
-    hay = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(T.shingles(T.tokens(F.col("text"))))).alias("shingle"))
-    pairs = hay.join(needles, "shingle").groupBy("item_id", "doc_id", "n").agg(F.sum("times").alias("found"))
-    return pairs.select("item_id", "doc_id", F.round(F.col("found") / F.col("n"), 9).alias("coverage"))
-
-
 @query
 def static_regions(spark, sf_dir):
     return _segmented(spark, sf_dir).select("page_id", "r.region_ord", "r.selector", "r.name", "r.text", "r.word_count", F.col("r.box.y").alias("y"), F.col("r.box.height").alias("height"), F.size("r.links").cast("long").alias("n_links"))
