@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from crawlvis.llm import language, near_duplicates, packing, quality
-from crawlvis.llm.store import written
+from crawlvis.llm.store import dropped, written
 
 VOCABULARY = "byte_bpe_50k.json"
 CAPACITY = 2048
@@ -39,7 +39,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token pieces of the documents that all stages keep.
+
+    Null and empty texts go with the first stage, of rows that repeat one stays, an empty table gives an empty result, and
+    further columns, whatever their names, go along up to the last stage.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -27,3 +27,21 @@ def test_stages_work_on_what_is_kept(spark, tmp_path):
     assert kept["near_duplicate_join"] == kept["quality_rules"] - {100, 101}
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {x["doc_id"] for x in out} == kept["near_duplicate_join"]
+
+
+def test_empty_tables_and_columns_of_any_name(spark, tmp_path):
+    clashing = ["row", "node", "rank", "keys", "family", "w", "t", "lang_pred", "score", "kept", "failures", "sequence_id", "offset", "length", "piece", "n", "least", "label", "signature"]
+    base = "doc_id long, text string, lang string, source string, n_chars long"
+    r = random.Random(3)
+    words = "the of and to in that it was for on with his they be at one have this from".split()
+    text = lambda: " ".join(r.choice(words) + r.choice(("", "s", "ed", "ing")) for _ in range(90))
+    rows = [(i, text(), "en", "s", 1) for i in range(20)] + [(None, text(), None, None, None), (None, None, "en", None, None)]
+    rows += [rows[3], rows[3]]
+    for name, some in (("full", rows), ("none", [])):
+        docs = spark.createDataFrame(some, base).selectExpr("*", *(f"'x' AS `{c}`" for c in clashing))
+        docs.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        docs = spark.read.parquet(f"{tmp_path}/{name}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            assert stage(spark, docs, "").columns == docs.columns
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert sorted(str(x["doc_id"]) for x in out) == (sorted(map(str, [*range(20), None])) if some else [])

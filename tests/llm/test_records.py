@@ -215,3 +215,17 @@ def test_a_cut_archive_is_an_error():
     file = pd.DataFrame([("f", 0, 0, 0, 0, None, None, None, ""), ("f", 0, 1, 47, 43, 10, head, None, head + "\r\n\r\nabcd")], columns=["file", "block", "seq", "size", "head_size", "declared", "head", "digest", "value"])
     with pytest.raises(ValueError, match="cut off"):
         warc._records(file)
+
+
+def test_lengths_in_payloads_carry_no_text_along(spark):
+    """A payload that declares a huge record: only its own record's text goes to verification; rows without an id are responses."""
+    lie = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: 99999999\r\n\r\n" + "z" * 1100
+    rows = [(0, "a" * 1500), (1, "start " + lie), *((i, f"page {i} " * 200) for i in range(2, 40)), (None, "a" * 1500), (50, "a" * 1500)]
+    pages = spark.createDataFrame([(i, None, p) for i, p in rows], "page_id long, url string, html string")
+    path = new_path(spark, "test-warc")
+    warc.write_archives(pages.coalesce(1), path)
+    found = warc.candidates(warc.read_text(spark, path)).collect()
+    assert sum(len(x["value"] or "") for x in found) < 2 * len(lie) + 1000
+    got = [tuple(x) for x in warc.read_archives(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()]
+    want = [(i, len(p), hashlib.sha1(p.encode()).hexdigest(), "revisit" if i == 0 else "response", 50 if i == 0 else None) for i, p in rows]
+    assert sorted(map(str, got)) == sorted(map(str, want))
