@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from crawlvis.functions import text as T
 from crawlvis.functions import wording as W
 from crawlvis.functions.template import looked_up
+from crawlvis.operators.asof import last_before
 
 # The window of reuse, the recent list, the likeness of names, and states of a scan.
 DEDUPE_MS = 600_000
@@ -28,9 +29,8 @@ def score_deltas(scans: DataFrame) -> DataFrame:
 
     scans: scan_id, normalized_url, status, score, finished_at. The first scan of a URL has nulls.
     """
-    order = Window.partitionBy("normalized_url").orderBy("finished_at", "scan_id")
-    before = F.lag(F.struct("scan_id", "score")).over(order)
-    done = scans.where("status = 'done' and finished_at is not null").withColumn("_before", before)
+    done = scans.where("status = 'done' and finished_at is not null")
+    done = last_before(done, "normalized_url", milliseconds(F.col("finished_at")), ("finished_at", "scan_id"), F.struct("scan_id", "score"), "_before")
     return done.withColumns({"prev_scan_id": F.col("_before.scan_id"), "prev_score": F.col("_before.score"), "score_delta": F.col("score") - F.col("_before.score")}).drop("_before")
 
 
@@ -44,12 +44,11 @@ def cached_scans(requests: DataFrame, scans: DataFrame) -> DataFrame:
     """Requests with the scan they may reuse, cached_scan_id, and its age_seconds; null where there is none or reuse is refused.
 
     requests: req_id, normalized_url, ts, force. scans: scan_id, normalized_url, finished_at of done scans. An as-of join as a union and a
-    running last value, so a URL with very many rows is read in order and never paired.
+    running last value, so a URL with very many rows is never paired, and is sorted day by day.
     """
     asked = requests.select("normalized_url", F.col("ts").alias("at"), F.lit(1).alias("side"), F.struct("req_id", "force").alias("req"), F.lit(None).cast("struct<scan_id:bigint,finished_at:timestamp>").alias("scan"))
     made = scans.where("finished_at is not null").select("normalized_url", F.col("finished_at").alias("at"), F.lit(0).alias("side"), F.lit(None).cast(asked.schema["req"].dataType).alias("req"), F.struct(F.col("scan_id").cast("long").alias("scan_id"), F.col("finished_at").cast("timestamp").alias("finished_at")).alias("scan"))
-    order = Window.partitionBy("normalized_url").orderBy("at", "side", "scan").rowsBetween(Window.unboundedPreceding, 0)
-    rows = asked.unionByName(made).withColumn("last", F.last("scan", ignorenulls=True).over(order)).where("side = 1")
+    rows = last_before(asked.unionByName(made), "normalized_url", milliseconds(F.col("at")), ("at", "side", "scan"), F.col("scan"), "last").where("side = 1")
     good = ~F.coalesce("req.force", F.lit(False)) & is_recent(F.col("last.finished_at"), F.col("at"))
     age = F.floor((milliseconds(F.col("at")) - milliseconds(F.col("last.finished_at"))) / 1000 + 0.5).cast("long")
     return rows.select("req.req_id", "normalized_url", F.when(good, F.col("last.scan_id")).alias("cached_scan_id"), F.when(good, age).alias("age_seconds"))

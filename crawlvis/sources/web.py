@@ -1,70 +1,112 @@
-"""Live fetching as a data source: ``spark.read.format("guarded_http")``. Responses are normally read from captured tables."""
+"""Live fetching: of a table of addresses, or as a data source, ``spark.read.format("guarded_http")``. Responses are normally read from captured tables."""
 
 from __future__ import annotations
 
+import http.client
+import ipaddress
+import socket
+import ssl
 import time
-import urllib.error
-import urllib.request
+from collections.abc import Iterator
 from urllib.parse import urljoin, urlsplit
 
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from crawlvis.functions.net import BLOCKED_V4
 from crawlvis.operators.responses import FETCH_MS, MAX_BODY_BYTES, MAX_REDIRECTS, REDIRECTS
 
 SCHEMA = "requested_url string, final_url string, status int, content_type string, bytes long, html string, redirects array<string>, duration_ms long, error_type string"
-
-
-class _Stay(urllib.request.HTTPRedirectHandler):
-    def redirect_request(self, *args):
-        return None
+BLOCKED = [ipaddress.ip_network(f"{base}/{bits}") for base, bits in BLOCKED_V4]
+#: Addresses that a partition of the data source asks for, one after another.
+URLS_PER_PARTITION = 20
+
+
+def is_private(address: ipaddress.IPv4Address | ipaddress.IPv6Address) -> bool:
+    """As ``functions.net.is_private``: the blocked IPv4 ranges, also inside IPv6, and loopback, unique local, link local and NAT64 addresses."""
+    if address.version == 4:
+        return any(address in network for network in BLOCKED)
+    n = int(address)
+    if n in (0, 1):
+        return True
+    if n >> 32 in (0, 0xFFFF):
+        return is_private(ipaddress.IPv4Address(n & 0xFFFFFFFF))
+    first = n >> 112
+    return 0xFC00 <= first <= 0xFDFF or 0xFE80 <= first <= 0xFEBF or n >> 96 == 0x0064FF9B
+
+
+def _asked(parts, address: str, agent: str, timeout: float) -> http.client.HTTPResponse:
+    """The response of the host at just that address, so that its name isn't looked up again."""
+    port = parts.port or (443 if parts.scheme == "https" else 80)
+    link = http.client.HTTPConnection(parts.hostname, port, timeout=timeout)
+    link.sock = socket.create_connection((address, port), timeout=timeout)
+    if parts.scheme == "https":
+        link.sock = ssl.create_default_context().wrap_socket(link.sock, server_hostname=parts.hostname)
+    target = (parts.path or "/") + (f"?{parts.query}" if parts.query else "")
+    link.request("GET", target, headers={"Host": parts.netloc.rpartition("@")[2], "User-Agent": agent, "Accept": "text/html,*/*", "Connection": "close"})
+    return link.getresponse()
 
 
 def fetch(url: str, agent: str, budget_ms: int = FETCH_MS, allow_local: bool = False) -> tuple:
-    """One response as a row; what goes wrong is its error_type. Every hop's host is checked before it is asked."""
-    import ipaddress
-    import socket
+    """One response as a row; what goes wrong is its error_type.
 
+    Every hop's addresses are checked before it is asked, and it is asked at one that was checked. All hops and the
+    body share one budget of time.
+    """
     began, redirects, at = time.monotonic(), [], url
-    opener = urllib.request.build_opener(_Stay)
 
     def row(status=None, kind=None, body=b"", error=None):
         return url, at, status, kind, len(body), body.decode("utf-8", "replace"), redirects, int((time.monotonic() - began) * 1000), error
 
+    def left() -> float:
+        rest = budget_ms / 1000 - (time.monotonic() - began)
+        if rest <= 0:
+            raise TimeoutError
+        return rest
+
     while True:
-        parts = urlsplit(at)
-        if parts.scheme not in ("http", "https"):
-            return row(error="ssrf_blocked")
-        try:
-            found = {ipaddress.ip_address(a[4][0]) for a in socket.getaddrinfo(parts.hostname, None)}
-        except (OSError, ValueError):
-            return row(error="dns_or_network")
-        if not allow_local and any(not a.is_global for a in found):
-            return row(error="ssrf_blocked")
-        left = budget_ms / 1000 - (time.monotonic() - began)
-        if left <= 0:
-            return row(error="timeout")
         try:
-            answer = opener.open(urllib.request.Request(at, headers={"User-Agent": agent}), timeout=left)
-        except urllib.error.HTTPError as error:
-            answer = error
+            parts = urlsplit(at)
+            if parts.scheme not in ("http", "https") or not parts.hostname:
+                return row(error="ssrf_blocked" if parts.scheme not in ("http", "https") else "dns_or_network")
+            found = sorted({a[4][0].partition("%")[0] for a in socket.getaddrinfo(parts.hostname, None)}, key=lambda a: ":" in a)
+            if not found or not allow_local and any(is_private(ipaddress.ip_address(a)) for a in found):
+                return row(error="ssrf_blocked" if found else "dns_or_network")
+            with _asked(parts, found[0], agent, left()) as answer:
+                target = answer.headers.get("location")
+                if answer.status in REDIRECTS and target:
+                    if len(redirects) >= MAX_REDIRECTS:
+                        return row(error="dns_or_network")
+                    redirects.append(at)
+                    at = urljoin(at, target)
+                    continue
+                body = b""
+                while len(body) < MAX_BODY_BYTES and (piece := answer.read1(min(65536, MAX_BODY_BYTES - len(body)))):
+                    body += piece
+                    left()
+                return row(answer.status, answer.headers.get("content-type"), body)
         except TimeoutError:
             return row(error="timeout")
-        except OSError as error:
-            return row(error="timeout" if isinstance(getattr(error, "reason", None), TimeoutError) else "dns_or_network")
-        with answer:
-            target = answer.headers.get("location")
-            if answer.status in REDIRECTS and target:
-                if len(redirects) >= MAX_REDIRECTS:
-                    return row(error="dns_or_network")
-                redirects.append(at)
-                at = urljoin(at, target)
-                continue
-            return row(answer.status, answer.headers.get("content-type"), answer.read(MAX_BODY_BYTES))
+        except (OSError, ValueError, http.client.HTTPException):
+            return row(error="dns_or_network")
+
+
+def fetched(requests: DataFrame, *, allow_local: bool = False) -> DataFrame:
+    """The responses of a table of url and agent, asked for where its rows lie: partitions of the table are the scans that run at once."""
+    names = [part.split()[0] for part in SCHEMA.split(", ")]
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for url, agent in zip(batch.url, batch.agent, strict=True):
+                yield pd.DataFrame([fetch(url, agent, allow_local=allow_local)], columns=names)
+
+    return requests.select("url", "agent").mapInPandas(ask, SCHEMA)
 
 
-class _Url(InputPartition):
-    def __init__(self, url: str):
-        self.url = url
+class _Urls(InputPartition):
+    def __init__(self, urls: list[str]):
+        self.urls = urls
 
 
 class _Reader(DataSourceReader):
@@ -72,10 +114,12 @@ class _Reader(DataSourceReader):
         self.options = options
 
     def partitions(self):
-        return [_Url(u) for u in self.options["urls"].split("\n") if u]
+        urls = [u for u in self.options["urls"].split("\n") if u]
+        return [_Urls(urls[i : i + URLS_PER_PARTITION]) for i in range(0, len(urls), URLS_PER_PARTITION)]
 
     def read(self, partition):
-        yield fetch(partition.url, self.options.get("agent", "GPTBot/1.0"), allow_local=self.options.get("allowLocal", "false") == "true")
+        for url in partition.urls:
+            yield fetch(url, self.options.get("agent", "GPTBot/1.0"), allow_local=self.options.get("allowLocal", "false") == "true")
 
 
 class GuardedHttp(DataSource):

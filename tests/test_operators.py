@@ -1,7 +1,10 @@
 """Operators on small cases."""
 
+import http.server
+import ipaddress
 import json
 import random
+import threading
 
 import numpy as np
 import pandas as pd
@@ -11,12 +14,14 @@ from pyspark.sql import functions as F
 from crawlvis.functions import text as T
 from crawlvis.functions import urls
 from crawlvis.functions import wording as W
-from crawlvis.operators import admission, events, history, reporting, responses, scoring
+from crawlvis.operators import admission, asof, events, history, reporting, responses, scoring
 from crawlvis.operators.segmentation import SourcePage, segmented
 from crawlvis.plans import scan
 from crawlvis.sources.html import Tree
 from crawlvis.sources.tables import Settings, append, cli_json, jpeg_dimensions, jpeg_size, parsed_comparison, parsed_result
+from crawlvis.sources import web
 from crawlvis.sources.web import GuardedHttp, fetch
+from crawlvis.streaming import scans as streams
 
 
 def one(spark, column, **values):
@@ -339,3 +344,88 @@ def test_captured_scans_reach_every_class(spark):
     probes = spark.createDataFrame([(1, "javascript:go", 204)], "scan_id long, url string, status long")
     assert {r["selector"]: r["issue_type"] for r in scan.scanned(pages, javascript, hidden, probes).collect()}["#menu"] == "fully_visible"
     assert scan.scanned(pages, captures.limit(0)).count() == 0
+
+
+def test_last_before_equals_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(asof, "BUCKET_MS", 7)
+    r = random.Random(4)
+    rows = [(r.choice(("a", "b", None)), r.randrange(60) if r.random() < 0.95 else None, i, r.randrange(100) if r.random() < 0.4 else None) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, at long, n long, v long")
+    got = {x["n"]: x["before"] for x in asof.last_before(df, "key", F.col("at"), ("at", "n"), F.col("v"), "before").collect()}
+    want = {}
+    for key in ("a", "b", None):
+        last = None
+        for _, at, n, v in sorted((x for x in rows if x[0] == key), key=lambda x: (x[1] is not None, x[1], x[2])):
+            want[n] = last
+            last = v if v is not None else last
+    assert got == want
+
+
+def test_a_limiters_log_equals_a_plain_loop(spark, monkeypatch):
+    monkeypatch.setattr(admission, "BUCKET_MS", 90_000)
+    monkeypatch.setattr(admission, "ROWS_PER_RUN", 5)
+    r = random.Random(6)
+    rows, at = [], {"a": 0, "b": 0, None: 0}
+    for i in range(400):
+        ip = r.choice(("a", "a", "b", None))
+        at[ip] += r.choice((0, 500, 3000, 9000, 59_999, 60_000, 400_000)) if r.random() < 0.5 else 1000
+        rows.append((i, ip, at[ip]))
+    df = spark.createDataFrame(rows, "req_id long, ip string, ms long").select("req_id", "ip", F.timestamp_millis("ms").alias("ts"))
+    got = {x["req_id"]: (x["allowed"], x["retry_after"]) for x in admission.rate_limited(df).collect()}
+    stamps = {ip: [] for ip in at}
+    assert got == {i: admission.admit(stamps[ip], ms) for i, ip, ms in rows}
+
+
+def test_places_in_line(spark):
+    rows = [(i, ("waiting", "running", "done", None)[i * 7 % 4], (i * 37) % 50) for i in range(200)]
+    got = {x["scan_id"]: x["position"] for x in admission.queue_positions(spark.createDataFrame(rows, "scan_id long, state string, enqueued_at long")).collect()}
+    line = [i for _, i in sorted((at, i) for i, s, at in rows if s == "waiting")]
+    assert got == {i: line.index(i) + 1 if s == "waiting" else 0 if s == "running" else None for i, s, _ in rows}
+
+
+def test_live_fetching_of_a_local_server(spark):
+    class Site(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):
+            n = int(self.path.strip("/").split("?")[0] or 0)
+            self.send_response(302 if n else 200)
+            self.send_header(*(("Location", f"/{n - 1}") if n else ("Content-Type", "text/html")))
+            self.end_headers()
+            if not n:
+                self.wfile.write(f"<p>{self.headers['Host']} {self.headers['User-Agent']}</p>".encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Site)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://localhost:{server.server_port}"
+    requests = spark.createDataFrame([(f"{base}/{n}", "bot") for n in (0, 2, 5, 6)] + [("ftp://x/", "bot"), ("http://", "bot"), ("nonsense", "bot")], "url string, agent string")
+    got = {x["requested_url"]: x for x in web.fetched(requests, allow_local=True).collect()}
+    assert [got[f"{base}/{n}"]["error_type"] for n in (0, 2, 5, 6)] == [None, None, None, "dns_or_network"]
+    assert got[f"{base}/2"]["redirects"] == [f"{base}/2", f"{base}/1"] and got[f"{base}/2"]["final_url"] == f"{base}/0" and got[f"{base}/2"]["status"] == 200
+    assert got[f"{base}/0"]["html"] == f"<p>localhost:{server.server_port} bot</p>" and got["ftp://x/"]["error_type"] == got["nonsense"]["error_type"] == "ssrf_blocked" and got["http://"]["error_type"] == "dns_or_network"
+    assert {x["error_type"] for x in web.fetched(requests.limit(1)).collect()} == {"ssrf_blocked"}
+    server.shutdown()
+
+
+def test_addresses_are_judged_alike_on_columns_and_in_fetching(spark):
+    from crawlvis.plans import fixtures
+
+    for address, private in (*fixtures.V4, *fixtures.V6):
+        if address.strip("[]").count(".") == 3 or ":" in address:
+            try:
+                parsed = ipaddress.ip_address(address.strip("[]"))
+            except ValueError:
+                continue
+            assert web.is_private(parsed) == private, address
+
+
+def test_frames_are_written_once_per_client(spark, tmp_path):
+    clients = spark.createDataFrame([(1, 7, 0), (2, 7, 2)], "client_id long, scan_id long, last_event_id long")
+    sink = streams.frames_sink(clients, str(tmp_path))
+    event = lambda *seqs: spark.createDataFrame([(7, s, "done" if s == 4 else "fetching") for s in seqs], "scan_id long, seq long, status string")
+    for epoch, seqs in enumerate(((1, 2), (2, 3), (3, 4))):
+        sink(event(*seqs), epoch)
+    sink(event(3, 4), 2)  # again, after a failure
+    got = sorted((x["client_id"], x["seq"]) for x in spark.read.parquet(f"{tmp_path}/epoch=*").collect())
+    assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
