@@ -38,6 +38,20 @@ def latest_status(events: DataFrame) -> DataFrame:
     return last.withColumn("progress", progress(F.col("status")))
 
 
+def status_json() -> Column:
+    """What a client that polls gets of a scan's row, as JSON; what is null is left out.
+
+    Needs scan_id, input_url, normalized_url, status, queue_position, error_type, error_message, score, created_at, finished_at.
+    """
+    c = F.col
+    stamp = lambda ts: F.date_format(ts.cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    return F.to_json(F.struct(
+        c("scan_id").cast("string").alias("id"), c("input_url").alias("url"), c("normalized_url").alias("normalizedUrl"), c("status").alias("status"), progress(c("status")).alias("progress"),
+        F.when(c("status") == "queued", c("queue_position")).alias("queuePosition"), c("error_type").alias("errorType"), c("error_message").alias("message"), c("score").alias("score"),
+        stamp(c("created_at")).alias("createdAt"), stamp(c("finished_at")).alias("finishedAt"),
+    ))
+
+
 def kept_log(events: DataFrame, now: Column) -> DataFrame:
     """Events of scans that haven't ended, or that ended within the time a log is kept."""
     ended = events.where(F.col("status").isin(*TERMINAL)).groupBy("scan_id").agg(F.min("ts").alias("_ended"))
@@ -86,4 +100,4 @@ def skeleton_verdict(verdicts: Column, i: Column) -> Column:
     return F.coalesce(F.get(verdicts, F.pmod(i, n)), F.lit("ok"))
 
 
-__all__ = ["PROGRESS", "TERMINAL", "finished_events", "frame", "frames", "kept_log", "latest_status", "numbered", "phase_line", "phase_text", "replayed", "skeleton_verdict"]
+__all__ = ["PROGRESS", "TERMINAL", "finished_events", "frame", "frames", "kept_log", "latest_status", "numbered", "phase_line", "phase_text", "replayed", "skeleton_verdict", "status_json"]

@@ -138,16 +138,17 @@ def telemetry(pairs: DataFrame, renders: DataFrame) -> DataFrame:
     return found.select("scan_id", F.struct(*[F.col(c).alias(n) for n, c in fields.items()]).alias("telemetry"))
 
 
-def capped_body(body: Column) -> Column:
+def capped_body(body: Column, cap: int | None = None) -> Column:
     """struct<text, bytes> of a binary body, read up to the cap in bytes.
 
     Bytes that aren't UTF-8 become U+FFFD; a character that the cap cuts off is left out.
     """
-    kept = F.substring(body, 1, MAX_BODY_BYTES)
+    cap = MAX_BODY_BYTES if cap is None else cap
+    kept = F.substring(body, 1, cap)
     tail = F.hex(F.substring(kept, F.greatest(F.octet_length(kept) - 2, F.lit(1)), F.lit(3)))
     more = lambda pattern: F.rlike(tail, F.lit(pattern))
     cut = F.when(more("(C[2-9A-F]|D.|E.|F[0-4])$"), 1).when(more("(E.|F[0-4])[89AB].$"), 2).when(more("F[0-4]([89AB].){2}$"), 3).otherwise(0)
-    whole = F.when(F.octet_length(body) > MAX_BODY_BYTES, F.substring(kept, F.lit(1), F.octet_length(kept) - cut)).otherwise(kept)
+    whole = F.when(F.octet_length(body) > cap, F.substring(kept, F.lit(1), F.octet_length(kept) - cut)).otherwise(kept)
     return F.struct(F.make_valid_utf8(whole.cast("string")).alias("text"), F.octet_length(kept).cast("long").alias("bytes"))
 
 

@@ -457,6 +457,30 @@ SELECT scan_id, CASE k WHEN 1 THEN 403 ELSE 200 END AS crawler_status, crawler_b
     WHEN 3 THEN '<html><body><p>' || substring({raw_text('html')}, 1, 60) || '</p></body></html>' ELSE html END)) AS crawler_bytes FROM pages) USING (scan_id)"""
 SQL["scan_errors"] = """SELECT event_id AS scan_id, ['timeout', 'dns_or_network', 'ssrf_blocked', 'render_failed'][event_id % 4 + 1] AS error_type,
   CASE WHEN event_id % 4 = 3 THEN 'The scan failed unexpectedly. Try again.' ELSE 'failed at ' || event_id END AS error_message FROM events WHERE event_type = 'error'"""
+_headlines = {"queued": "Waiting for a scanner slot…", "fetching": "Fetching raw HTML…", "rendering": "Rendering in headless browser…", "diffing": "Diffing crawler view vs rendered DOM…", "classifying": "Classifying regions…", "done": "Working…"}
+SQL |= {
+    "request_validation": """WITH r AS (SELECT event_id AS req_id, CASE event_id % 6 WHEN 3 THEN 'https://e.example/' || event_id WHEN 5 THEN repeat('y', 2048) END AS url, event_id % 4 = 0 AS force FROM events)
+SELECT req_id, length(url) AS n_chars, md5(url) AS url_md5, force FROM r WHERE url IS NOT NULL""",
+    "client_addresses": "SELECT event_id, CASE event_id % 4 WHEN 2 THEN '10.0.0.' || event_id WHEN 3 THEN '9.9.9.9' ELSE 'local' END AS ip FROM events",
+    "allowed_requests": "SELECT event_id AS request_id, event_type <> 'error' AND user_id % 3 <> 0 AS allowed FROM events",
+    "transport_errors": "SELECT event_id, CASE event_id % 3 WHEN 2 THEN 'dns_or_network' ELSE 'timeout' END AS fetch_error, ['timeout', 'dns_or_network', 'dns_or_network', 'dns_or_network', 'render_failed'][event_id % 5 + 1] AS render_error FROM events",
+    "capped_bodies": """WITH c AS (SELECT doc_id, text, octet_length(encode(text)) AS n, CASE WHEN octet_length(encode(text)) <= 1000 THEN length(text) ELSE (SELECT max(k) FROM unnest(range(200, 1001)) AS u(k) WHERE octet_length(encode(substring(text, 1, k))) <= 1000) END AS k FROM documents)
+SELECT doc_id, least(n, 1000) AS bytes, k AS n_chars, md5(substring(text, 1, k)) AS text_md5 FROM c""",
+    "blocked_scores": f"{FULL}, {SCORE} SELECT page_id AS scan_id, page_id % 3 = 0 AS blocked, CASE WHEN page_id % 3 = 0 THEN least(10, coalesce(score, 0)) ELSE coalesce(score, 0) END AS score, coalesce(n_regions, 0) AS n_regions FROM pages LEFT JOIN sc ON sc.scan_id = page_id",
+    "phase_lines": f"""WITH e AS (SELECT event_id AS n, ['queued', 'fetching', 'rendering', 'diffing', 'classifying', 'done'][event_id % 6 + 1] AS s FROM events)
+SELECT n AS event_id, CASE WHEN n % 7 = 0 THEN '' WHEN s = 'fetching' THEN 'u' || n WHEN s = 'rendering' THEN 'HTTP ' || (n % 500) || ' · ' || n || ' bytes' || CASE WHEN n % 5 = 0 THEN ' · crawler blocked — using browser view' ELSE '' END
+  WHEN s = 'diffing' THEN (n % 40) || ' requests · ' || (n % 24) || ' regions captured' WHEN s = 'classifying' THEN (n % 24) || ' regions · applying issue taxonomy' ELSE '' END AS line,
+  CASE WHEN s = 'queued' AND n % 3 > 0 THEN 'Waiting — #' || (n % 3) || ' in line' ELSE {case(_headlines, 's')} END AS headline FROM e""",
+    "kept_events": f"""WITH {LOG}, x AS (SELECT *, 1700000000000 + scan_id * 10000 + seq * 1000 AS ms FROM lg), z AS (SELECT scan_id, min(ms) FILTER (status = 'done') AS ended FROM x GROUP BY scan_id)
+SELECT scan_id, seq, status FROM x JOIN z USING (scan_id) WHERE ended IS NULL OR 1700000700000 - ended < 300000""",
+    "skeleton_bars": "SELECT event_id, bar, CASE WHEN event_id % 4 = 0 THEN 'ok' ELSE ['ok', 'warn', 'bad'][bar % (event_id % 4) + 1] END AS verdict FROM events, range(5) AS b(bar)",
+    "status_documents": """WITH e AS (SELECT event_id AS n, event_id % 4 AS k FROM events)
+SELECT n AS scan_id, '{"id":"' || n || '","url":"https://e.example/?a=\\"' || n || '","normalizedUrl":"https://e.example/","status":"' || ['queued', 'rendering', 'done', 'error'][k + 1] || '","progress":' || ['0.0', '0.45', '1.0', '1.0'][k + 1]
+  || CASE k WHEN 0 THEN ',"queuePosition":' || (n % 9) WHEN 2 THEN ',"score":' || (n % 101) WHEN 3 THEN ',"errorType":"timeout","message":"too late"' ELSE '' END
+  || ',"createdAt":"' || strftime(make_timestamp(n * 1000000 + 7000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z"' || CASE WHEN k > 1 THEN ',"finishedAt":"' || strftime(make_timestamp(n * 2000000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z"' ELSE '' END || '}' AS json FROM e""",
+    "screenshot_sizes": "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN event_id % 1280 + 1 END AS width, CASE WHEN event_id % 5 <> 0 THEN event_id % 7000 + 1 END AS height FROM events",
+    "stored_results": "SELECT event_id, event_id % 11 <> 0 AND event_id % 3 <> 0 AND event_id % 4 <> 3 AS readable FROM events",
+}
 ESC = lambda x: f"replace(replace(replace(replace({x}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;')"
 _when = "strftime(make_timestamp((1700000000000 + raw.scan_id * 3600000) * 1000), '%a, %d %b %Y %H:%M:%S') || ' GMT'"
 SQL["html_report"] = f"""{FULL}, {SCORE}, {PROMPTED},

@@ -14,7 +14,7 @@ from crawlvis.operators import admission, events, history, pages, reporting, res
 from crawlvis.plans import fixtures, oracle, scan
 from crawlvis.sources import html as trees
 from crawlvis.sources.shared import spread
-from crawlvis.sources.tables import table
+from crawlvis.sources.tables import jpeg_dimensions, parsed_result, table
 from crawlvis.streaming import scans as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -287,6 +287,111 @@ def scan_errors(spark, sf_dir):
     return rows.select("scan_id", "e.error_type", "e.error_message")
 
 
+def _picked(id_col, *values):
+    """One of the values, by the id."""
+    return F.element_at(F.array(*[F.lit(v) for v in values]), (F.col(id_col) % len(values) + 1).cast("int"))
+
+
+@query
+def request_validation(spark, sf_dir):
+    key = F.col("event_id").cast("string")
+    url = F.element_at(F.array(F.lit(""), F.lit(" \n "), F.lit(None).cast("string"), F.concat(F.lit(" https://e.example/"), key, F.lit("\t")), F.repeat(F.lit("x"), F.lit(2049)), F.repeat(F.lit("y"), F.lit(2048))), (F.col("event_id") % 6 + 1).cast("int"))
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("req_id"), url.alias("url"), F.when(F.col("event_id") % 4 < 2, F.col("event_id") % 4 == 0).alias("force"))
+    return admission.valid_requests(rows).select("req_id", F.length("url").cast("long").alias("n_chars"), F.md5("url").alias("url_md5"), "force")
+
+
+@query
+def client_addresses(spark, sf_dir):
+    forwarded = F.element_at(F.array(F.lit(None).cast("string"), F.lit(""), F.concat(F.lit(" 10.0.0."), F.col("event_id").cast("string"), F.lit(" , 1.1.1.1")), F.lit("9.9.9.9")), (F.col("event_id") % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", admission.requested_by(forwarded).alias("ip"))
+
+
+@query
+def allowed_requests(spark, sf_dir):
+    """Requests of renders: media and hosts with an error are not let through."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_id").alias("request_id"), F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"), F.when(F.col("event_type") == "error", F.lit("media")).otherwise(F.lit("script")).alias("resource_type"))
+    users = table(spark, sf_dir, "events").select("user_id").distinct()
+    verdicts = users.select(F.concat(F.lit("h"), F.col("user_id").cast("string")).alias("host"), F.when(F.col("user_id") % 3 == 0, F.lit("ssrf_blocked")).alias("error_type"))
+    return responses.allowed_requests(rows, verdicts).select("request_id", "allowed")
+
+
+@query
+def transport_errors(spark, sf_dir):
+    """Error types of failed fetches and renders."""
+    name = _picked("event_id", "TimeoutError", "AbortError", "TypeError")
+    message = _picked("event_id", "Timeout 15000ms exceeded.", "net::ERR_NAME_NOT_RESOLVED at x", "net::ERR_CONNECTION_REFUSED", "net::ERR_INTERNET_DISCONNECTED", "Target closed")
+    return table(spark, sf_dir, "events").select("event_id", responses.fetch_error(name).alias("fetch_error"), responses.render_error(message).alias("render_error"))
+
+
+@query
+def capped_bodies(spark, sf_dir):
+    """Texts as bodies, read up to 1000 bytes."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", responses.capped_body(F.encode("text", "UTF-8"), 1000).alias("b"))
+    return rows.select("doc_id", "b.bytes", F.length("b.text").cast("long").alias("n_chars"), F.md5("b.text").alias("text_md5"))
+
+
+@query
+def blocked_scores(spark, sf_dir):
+    """Scores of scans of which every third is blocked."""
+    heads = table(spark, sf_dir, "pages").select(F.col("page_id").alias("scan_id"), (F.col("page_id") % 3 == 0).alias("blocked"))
+    return scoring.scores(_results(spark, sf_dir), heads)
+
+
+@query
+def phase_lines(spark, sf_dir):
+    """What is told of each phase."""
+    n = F.col("event_id")
+    status = _picked("event_id", "queued", "fetching", "rendering", "diffing", "classifying", "done")
+    facts = F.struct(F.concat(F.lit("u"), n.cast("string")).alias("url"), (n % 500).alias("status_code"), n.alias("bytes"), (n % 5 == 0).alias("blocked"), (n % 40).alias("request_count"), (n % 24).alias("region_count"))
+    return table(spark, sf_dir, "events").select("event_id", events.phase_line(status, F.when(n % 7 != 0, facts)).alias("line"), events.phase_text(status, n % 3).alias("headline"))
+
+
+@query
+def kept_events(spark, sf_dir):
+    """Logs of scans that go on, or ended less than some minutes ago."""
+    log = events.numbered(_log(spark, sf_dir), "turn").withColumn("ts", F.timestamp_millis(F.lit(1_700_000_000_000) + F.col("scan_id") * 10_000 + F.col("seq") * 1000))
+    return events.kept_log(log, F.timestamp_millis(F.lit(1_700_000_700_000))).select("scan_id", "seq", "status")
+
+
+@query
+def skeleton_bars(spark, sf_dir):
+    """The verdicts that tint the bars of a scan that isn't done."""
+    known = F.slice(F.array(F.lit("ok"), F.lit("warn"), F.lit("bad")), F.lit(1), (F.col("event_id") % 4).cast("int"))
+    return table(spark, sf_dir, "events").select("event_id", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: events.skeleton_verdict(known, i))).alias("bar", "verdict")).select("event_id", F.col("bar").cast("long").alias("bar"), "verdict")
+
+
+@query
+def status_documents(spark, sf_dir):
+    """What clients that poll get, field by field."""
+    n = F.col("event_id")
+    status = _picked("event_id", "queued", "rendering", "done", "error")
+    rows = table(spark, sf_dir, "events").select(
+        n.alias("scan_id"), F.concat(F.lit("https://e.example/?a=\""), n.cast("string")).alias("input_url"), F.lit("https://e.example/").alias("normalized_url"), status.alias("status"), (n % 9).alias("queue_position"),
+        F.when(n % 4 == 3, F.lit("timeout")).alias("error_type"), F.when(n % 4 == 3, F.lit("too late")).alias("error_message"), F.when(n % 4 == 2, n % 101).alias("score"), F.timestamp_millis(n * 1000 + 7).alias("created_at"), F.when(n % 4 > 1, F.timestamp_millis(n * 2000)).alias("finished_at"),
+    )
+    return rows.select("scan_id", events.status_json().alias("json"))
+
+
+@query
+def screenshot_sizes(spark, sf_dir):
+    """Width and height of made JPEG headers, every fifth of which is cut."""
+    h = lambda v, n: F.lpad(F.hex(v), n, "0")
+    n = F.col("event_id")
+    header = F.unhex(F.concat(F.lit("FFD8FFE00004ABCDFFC0001108"), h(n % 7000 + 1, 4), h(n % 1280 + 1, 4), F.lit("0311")))
+    rows = table(spark, sf_dir, "events").select("event_id", jpeg_dimensions(F.when(n % 5 == 0, F.substring(header, 1, 9)).otherwise(header)).alias("d"))
+    return rows.select("event_id", F.col("d.width").cast("long").alias("width"), F.col("d.height").cast("long").alias("height"))
+
+
+@query
+def stored_results(spark, sf_dir):
+    """Which stored results can be read: verdicts must be known and no required field missing."""
+    n = F.col("event_id")
+    box = F.struct(*[F.lit(1).alias(x) for x in ("x", "y", "width", "height")])
+    region = F.struct(F.lit("#a").alias("selector"), F.lit("A").alias("name"), _picked("event_id", "ok", "warn", "bad", "odd").alias("status"), F.lit("i").alias("issueType"), F.lit(1.0).alias("coverage"), F.lit("e").alias("evidence"), box.alias("boundingBox"), F.lit(1.0).alias("weight"), F.lit(3).alias("wordCount"))
+    blob = F.to_json(F.struct(F.lit("u").alias("url"), F.lit("u").alias("finalUrl"), F.lit("t").alias("scannedAt"), F.when(n % 3 != 0, n).alias("score"), F.array(region).alias("regions"), F.lit("r").alias("rawText"), F.lit(1).alias("pageHeight"), F.lit(1).alias("viewportWidth"), n.alias("more")))
+    return table(spark, sf_dir, "events").select("event_id", parsed_result(F.when(n % 11 != 0, blob).otherwise(F.lit("{"))).isNotNull().alias("readable"))
+
+
 @query
 def typed_errors(spark, sf_dir):
     rows = fixtures.responses(spark).withColumn("error_type", responses.typed_error())

@@ -105,6 +105,16 @@ def screenshots(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)\.jpg$", 1).alias("scan_id"), F.col("content").alias("data"))
 
 
+def save_screenshots(captures: DataFrame, path: str) -> DataFrame:
+    """scan_id, saved: appends the captures (scan_id, data) that are readable JPEG files to a table of screenshots.
+
+    What isn't one is left out and told so; it never fails a scan.
+    """
+    judged = captures.select("scan_id", "data", jpeg_dimensions(F.col("data"))["width"].isNotNull().alias("saved"))
+    judged.where("saved").select("scan_id", "data").write.mode("append").parquet(path)
+    return judged.select("scan_id", "saved")
+
+
 def safe_id(scan_id: Column) -> Column:
     return F.regexp_replace(scan_id, "[^a-zA-Z0-9_-]", "")
 
