@@ -238,6 +238,22 @@ def segmented(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     return nodes.groupBy(key).applyInPandas(segment, f"{key} {kind}, {OUT}")
 
 
+def source_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
+    """The nodes of sources as ``segmented`` takes them, with the boxes that stand in for captured ones."""
+    kind = dict(pages.dtypes)[key]
+    names = [key, "node_id", "parent_id", "tag", "attrs", "x", "y", "width", "height", "text", "hidden"]
+
+    def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for page_id, source in zip(batch[key], batch[html], strict=True):
+                page = SourcePage(Tree(source or ""))
+                boxes = zip(page.x.tolist(), page.y.tolist(), page.width.tolist(), page.height.tolist(), strict=True)
+                rows = [(page_id, i, int(page.parents[i]), page.tags[i], page.attributes[i], *box, page.text(i), bool(page.hidden[i])) for i, box in enumerate(boxes)]
+                yield pd.DataFrame(rows, columns=names)
+
+    return spread(pages.select(key, html)).mapInPandas(nodes, f"{key} {kind}, node_id long, parent_id long, tag string, attrs map<string,string>, x double, y double, width double, height double, text string, hidden boolean")
+
+
 CONTAINER = "struct<present:boolean,empty:boolean,words:bigint>"
 REGIONS = f"array<struct<region_ord:bigint,selector:string,name:string,text:string,word_count:bigint,box:{BOX},flags:{FLAGS},links:{LINKS},container:{CONTAINER},outer_html:string>>"
 HIDDEN = "array<struct<block_ord:bigint,selector:string,text:string,word_count:bigint>>"

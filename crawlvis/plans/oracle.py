@@ -457,6 +457,7 @@ SELECT scan_id, CASE k WHEN 1 THEN 403 ELSE 200 END AS crawler_status, crawler_b
     WHEN 3 THEN '<html><body><p>' || substring({raw_text('html')}, 1, 60) || '</p></body></html>' ELSE html END)) AS crawler_bytes FROM pages) USING (scan_id)"""
 SQL["scan_errors"] = """SELECT event_id AS scan_id, ['timeout', 'dns_or_network', 'ssrf_blocked', 'render_failed'][event_id % 4 + 1] AS error_type,
   CASE WHEN event_id % 4 = 3 THEN 'The scan failed unexpectedly. Try again.' ELSE 'failed at ' || event_id END AS error_message FROM events WHERE event_type = 'error'"""
+SQL["rendered_regions"] = SQL["static_regions"].replace(f"len({toks('text')}) AS word_count, ", "")
 _headlines = {"queued": "Waiting for a scanner slot…", "fetching": "Fetching raw HTML…", "rendering": "Rendering in headless browser…", "diffing": "Diffing crawler view vs rendered DOM…", "classifying": "Classifying regions…", "done": "Working…"}
 SQL |= {
     "request_validation": """WITH r AS (SELECT event_id AS req_id, CASE event_id % 6 WHEN 3 THEN 'https://e.example/' || event_id WHEN 5 THEN repeat('y', 2048) END AS url, event_id % 4 = 0 AS force FROM events)

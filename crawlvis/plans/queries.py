@@ -137,6 +137,13 @@ def static_regions(spark, sf_dir):
     return _segmented(spark, sf_dir).select("page_id", "r.region_ord", "r.selector", "r.name", "r.text", "r.word_count", F.col("r.box.y").alias("y"), F.col("r.box.height").alias("height"), F.size("r.links").cast("long").alias("n_links"))
 
 
+@query
+def rendered_regions(spark, sf_dir):
+    """Regions from a table of nodes with boxes, as a browser would capture it."""
+    rows = segmentation.segmented(segmentation.source_nodes(table(spark, sf_dir, "pages"))).where("kind = 'region'")
+    return rows.select("page_id", "region_ord", "selector", "name", "text", F.col("box.y").alias("y"), F.col("box.height").alias("height"), F.size("links").cast("long").alias("n_links"))
+
+
 @query
 def region_coverage(spark, sf_dir):
     return _regions(spark, sf_dir).select("scan_id", "region_ord", F.round("coverage", 9).alias("coverage"), F.round("found_in_scripts", 9).alias("found_in_scripts"))
