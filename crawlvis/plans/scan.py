@@ -55,11 +55,12 @@ def captured_regions(pages_raw: DataFrame, region_captures: DataFrame, hidden_bl
 
     pages_raw: scan_id, url, html (the raw response that is analyzed, one a scan). region_captures: scan_id, region_ord,
     selector, name, text, box, flags, links. hidden_blocks: scan_id, block_ord, selector, text. A scan's captures, which
-    segmentation bounds, are gathered to its page; a scan without captures has no rows.
+    segmentation bounds, are gathered to its page; a scan without captures and hidden blocks has no rows.
     """
     row = F.struct(*[F.col(c).alias(c) for c in ("region_ord", "selector", "name", "text", "box", "flags", "links")])
     shown = region_captures.groupBy("scan_id").agg(F.collect_list(row).alias("regions"))
-    pages = pages_raw.select("scan_id", "url", F.col("html").alias("raw_html")).join(shown, "scan_id")
+    pages = pages_raw.select("scan_id", "url", F.col("html").alias("raw_html")).join(shown, "scan_id", "left")
+    pages = pages.withColumn("regions", F.coalesce("regions", F.array().cast(shown.schema["regions"].dataType)))
     pages = pages.withColumn("regions", F.array_sort("regions", lambda a, b: F.signum(a["region_ord"] - b["region_ord"]).cast("int")))
     if hidden_blocks is None:
         pages = pages.withColumn("hidden", F.lit(None).cast(segmentation.HIDDEN))

@@ -344,6 +344,7 @@ def test_captured_scans_reach_every_class(spark):
     probes = spark.createDataFrame([(1, "javascript:go", 204)], "scan_id long, url string, status long")
     assert {r["selector"]: r["issue_type"] for r in scan.scanned(pages, javascript, hidden, probes).collect()}["#menu"] == "fully_visible"
     assert scan.scanned(pages, captures.limit(0)).count() == 0
+    assert [r["issue_type"] for r in scan.scanned(pages, captures.limit(0), hidden).collect()] == ["hidden_but_present"]
 
 
 def test_last_before_equals_a_plain_loop(spark, monkeypatch):
