@@ -39,7 +39,8 @@ class Tree(HTMLParser):
         self.events: list[tuple[str, int]] = []  # what opens and closes, and texts by number, in order
         self.held: list[list[int]] = [[0, 0, 0, 0]]  # of each node, the range of its events and of its texts
         self.open = [0]
-        self.feed(page)
+        # A marked section is a comment up to the next bracket, and the standard parser gives up on most.
+        self.feed(page.replace("<![", "<!x"))
         self.close()
         while self.open:
             self._end(len(page))

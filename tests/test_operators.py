@@ -430,3 +430,20 @@ def test_frames_are_written_once_per_client(spark, tmp_path):
     sink(event(3, 4), 2)  # again, after a failure
     got = sorted((x["client_id"], x["seq"]) for x in spark.read.parquet(f"{tmp_path}/epoch=*").collect())
     assert got == [(1, 1), (1, 2), (1, 3), (1, 4), (2, 3), (2, 4)]
+
+
+def test_no_source_stops_the_parser():
+    bits = "< </ > <! <![ <![if <![CDATA[ ]]> <!-- --> <? ?> <p> <p a=' \" ' = <script> </script> <style> </style <title> </title> <textarea> & &# &#x &#xD800; &#99999999999; x é \x00 <table> <tr> <td> <li> <ul> </ul> <body> <html> <head> <svg> <br/> /> <nav> <main> <h1> <noscript> <template> <plaintext> <select> <option> <iframe> <!DOCTYPE hidden".split(" ")
+    r = random.Random(1)
+    for _ in range(2000):
+        source = "".join(r.choice(bits) for _ in range(r.randrange(30)))
+        tree = Tree(source)
+        shown, _ = SourcePage(tree).rows()
+        assert isinstance(tree.raw_text() + tree.inline_scripts(), str)
+        assert all(0 <= a <= b <= len(source) for a, b in tree.spans)
+
+
+def test_hostile_sources_do_not_exhaust_the_reader(spark):
+    cases = ["<p " + "a='b' " * 20_000 + ">y", "<p " + "a'" * 20_001 + ">y", "<" * 50_000, "<div>" * 20_000 + "y", "<script " + "a='b' " * 20_000 + ">x</script>y", "\\ud83d" * 10_000 + "y"]
+    rows = spark.createDataFrame([(x,) for x in cases], "h string").select(T.raw_text(F.col("h")).alias("t"), T.unescaped(T.inline_scripts(F.col("h"))).alias("s")).collect()
+    assert [r["t"][-1:] for r in rows] == ["y", "y", "<", "y", "y", "y"]
