@@ -7,10 +7,12 @@ Parquet below ``spark.checkpoint.dir``: the lineage ends there, so a lost execut
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -53,6 +55,15 @@ def dropped(*tables: DataFrame | None) -> None:
             place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
+def written_bytes(spark: SparkSession, name: str, data: bytes) -> str:
+    """A file of that name in a folder of its own in the shared folder, and its path."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{new_path(spark, 'file')}/{name}")
+    out = place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(place)
+    out.write(bytearray(data))
+    out.close()
+    return place.toString()
+
+
 #: An input below this size, in bytes, comes in so few row groups that most cores would be idle.
 SMALL = 64 << 20
 
@@ -68,7 +79,9 @@ def ship(spark: SparkSession) -> None:
     package = Path(__file__).resolve().parents[1]
     if str(package.parent) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(spark.sparkContext, "_crawlvis_shipped", False):
         return
-    folder = tempfile.mkdtemp(prefix="crawlvis-code-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/crawlvis-code", "zip", package.parent, package.name))
+    code = io.BytesIO()
+    with zipfile.ZipFile(code, "w") as archive:
+        for file in sorted(package.rglob("*.py")):
+            archive.write(file, file.relative_to(package.parent))
+    spark.sparkContext.addPyFile(written_bytes(spark, "crawlvis-code.zip", code.getvalue()))
     spark.sparkContext._crawlvis_shipped = True
