@@ -6,11 +6,7 @@ vocabulary's own whole words. Words outside it are merged exactly. Lexicon or no
 
 from __future__ import annotations
 
-import atexit
 import hashlib
-import os
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,8 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from crawlvis.llm.bpe import Vocabulary
-from crawlvis.llm.store import dropped, written
-from crawlvis.llm.transducer import Transducer, compile_words, save
+from crawlvis.llm.store import dropped, written, written_bytes
+from crawlvis.llm.transducer import Transducer, compile_words, packed
 
 
 @lru_cache(maxsize=4)
@@ -70,13 +66,10 @@ def frequent_words(docs: DataFrame, most: int, *, text_col: str = "text") -> lis
 
 
 def lexicon_file(docs: DataFrame, vocabulary: Vocabulary, frequent: list[str] = ()) -> str:
-    """Compiles the lexicon, hands the file to every executor, and gives its name there."""
-    folder = tempfile.mkdtemp(prefix="lexicon-")  # from which the driver hands it out as long as it runs
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    arrays = compile_words(lexicon_words(vocabulary, frequent))
+    """Compiles the lexicon to a file in the shared folder, which every executor fetches once and maps, and gives its name there."""
+    spark = docs.sparkSession
     name = f"lexicon-{uuid.uuid4().hex}"  # Spark refuses a file of a name that it has met
-    save(arrays, os.path.join(folder, name))
-    docs.sparkSession.sparkContext.addFile(os.path.join(folder, name))
+    spark.sparkContext.addFile(written_bytes(spark, name, packed(compile_words(lexicon_words(vocabulary, frequent)))))
     return name
 
 

@@ -83,18 +83,20 @@ def compile_words(words: dict[bytes, list[int]]) -> dict[str, np.ndarray]:
     }
 
 
-def save(arrays: dict[str, np.ndarray], path: str) -> None:
-    """One file: a line of JSON with the arrays' types and places, then the arrays, each at a multiple of 8 bytes."""
-    head, at = {}, 4096
+def packed(arrays: dict[str, np.ndarray]) -> bytes:
+    """A line of JSON with the arrays' types and places, then the arrays, each at a multiple of 8 bytes."""
+    head, parts, at = {}, [], 4096
     for name in ARRAYS:
         a = arrays[name]
         head[name] = [a.dtype.str, len(a), at]
-        at += -(-a.nbytes // 8) * 8
+        parts.append(a.tobytes().ljust(-(-a.nbytes // 8) * 8, b"\0"))
+        at += len(parts[-1])
+    return json.dumps(head).encode().ljust(4096) + b"".join(parts)
+
+
+def save(arrays: dict[str, np.ndarray], path: str) -> None:
     with open(path, "wb") as file:
-        file.write(json.dumps(head).encode().ljust(4096))
-        for name in ARRAYS:
-            file.seek(head[name][2])
-            file.write(arrays[name].tobytes())
+        file.write(packed(arrays))
 
 
 class Transducer:
