@@ -19,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlvis.llm.store import new_path
+from crawlvis.llm.store import new_path, written
 
 # The format's version line and separators.
 MAGIC, BREAK = "WARC/1.1\r\n", "\r\n\r\n"
 #: Payloads of fewer bytes are always written in full.
 LEAST_BYTES = 1000
-#: Rows of equal payload are dealt over so many groups.
-SALTS = 64
+#: Rows of equal payload are dealt over so many groups; and digests that rows share, up to which they are handed to every task.
+SALTS, FEW_DIGESTS = 64, 100_000
 RECORDS_PER_FILE = 4000
 LENGTH = re.compile(rb"(?i)\r\nContent-Length:[ \t]*(\d{1,15})[ \t]*\r\n")
 CANDIDATE = (("file", pa.string()), ("block", pa.int64()), ("seq", pa.int64()), ("size", pa.int64()), ("head_size", pa.int64()), ("declared", pa.int64()), ("head", pa.string()), ("digest", pa.string()), ("value", pa.string()))
@@ -37,16 +37,20 @@ def decisions(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url"
     """page_id, url, payload, digest (bare lower-case hex SHA-1), n_bytes, and refers_to: null for a response.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes that with the largest id is the response; rows of
-    that id that repeat are responses as well. Null payloads are empty. Equal payloads are met through counts made
-    before the shuffle, and a payload that many rows share is spread over salted groups.
+    that id that repeat are responses as well. Null payloads are empty. Which digests rows share is told by counts that are
+    made before the shuffle, of ids and digests alone. If they are few, every task gets them and no payload is moved; else
+    payloads meet them by digest, one that many rows share being spread over salted groups.
     """
     payload = F.coalesce(F.col(payload_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"), F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).cast("long").alias("n_bytes"))
     long = rows.where(F.col("n_bytes") >= least_bytes)
-    shared = long.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1")
-    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
-    spread = shared.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = rows.withColumn("salt", salt).join(spread, ["digest", "salt"], "left")
+    shared = written(long.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1"), "shared").select("digest", "first_id")
+    if shared.count() <= FEW_DIGESTS:
+        joined = rows.join(F.broadcast(shared), "digest", "left")
+    else:
+        salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")
+        spread = shared.select("digest", "first_id", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        joined = rows.withColumn("salt", salt).join(spread, ["digest", "salt"], "left")
     refers = F.when((F.col("n_bytes") >= least_bytes) & (F.col("first_id") != F.col("page_id")), F.col("first_id"))
     return joined.select("page_id", "url", "payload", "digest", "n_bytes", refers.alias("refers_to"))
 

@@ -179,8 +179,9 @@ def expected_records(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("compression", "split"), [("gzip", "128m"), ("none", "700b")])
-def test_archives_round_trip(spark, compression, split):
+@pytest.mark.parametrize(("compression", "split", "few"), [("gzip", "128m", 100), ("none", "700b", 100), ("gzip", "128m", 0)])
+def test_archives_round_trip(spark, monkeypatch, compression, split, few):
+    monkeypatch.setattr(warc, "FEW_DIGESTS", few)
     rows = list(enumerate(PAYLOADS))
     pages = spark.createDataFrame([(i, "http://x/\n" if i % 2 else None, p) for i, p in rows], "page_id long, url string, html string").selectExpr("*", "'q' as digest", "1 as salt")
     path = new_path(spark, "test-warc")
