@@ -62,12 +62,11 @@ def diffed(regions: DataFrame, text: str = "text") -> DataFrame:
 
 def _measured(text: Column, raw: Column, raw_shingles: Column, script: Column, script_shingles: Column) -> Column:
     """struct<coverage, found_in_scripts> of a text. What is used more than once is bound once."""
+
     def of(words: Column, needles: Column) -> Column:
         told = F.when(F.size(needles) == 0, words).otherwise(needles)
-        both = let(F.struct(T.shingles(words).alias("s"), told.alias("t")), lambda n: F.struct(
-            coverage_of(words, n["t"], n["s"], raw, raw_shingles).alias("coverage"), coverage_of(words, n["t"], n["s"], script, script_shingles).alias("found_in_scripts"),
-        ))
-        return both
+        share = lambda n, hay, hay_shingles: coverage_of(words, n["told"], n["shingles"], hay, hay_shingles)
+        return let(F.struct(T.shingles(words).alias("shingles"), told.alias("told")), lambda n: F.struct(share(n, raw, raw_shingles).alias("coverage"), share(n, script, script_shingles).alias("found_in_scripts")))
 
     return let(T.tokens(text), lambda words: let(T.distinctive(words), lambda needles: of(words, needles)))
 
