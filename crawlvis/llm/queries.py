@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from crawlvis.llm import attribution, codec, extraction, language, licenses, near_duplicates, packing, quality, topk, warc
+from crawlvis.llm import attribution, audit, codec, extraction, language, licenses, manifest, near_duplicates, oracles, packing, quality, topk, warc
 from crawlvis.llm.store import spread
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -61,6 +62,16 @@ def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(table(spark, sf_dir, "documents"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return manifest.tamper_test(table(spark, sf_dir, "documents"), third, lowered)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_language_id": op2_language_id,
@@ -72,7 +83,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_license_scan": op9_license_scan,
     "op10_warc_round_trip": op10_warc_round_trip,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
+
+
 def licenses_sql() -> str:
     """The license scan without filters: every window against every template, every phrase at every word."""
     least, templates = licenses.THRESHOLD, licenses.templates_of()
@@ -154,4 +169,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_license_scan": licenses_sql(), "op10_warc_round_trip": OP10_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_license_scan": licenses_sql(), "op10_warc_round_trip": OP10_SQL, "op11_filter_audit": oracles.OP11_SQL, "op12_merkle_manifest": oracles.manifest_sql()}
