@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from crawlvis.llm import attribution, audit, codec, extraction, language, licenses, manifest, near_duplicates, oracles, packing, quality, topk, warc
+from crawlvis.llm import attribution, audit, codec, disclosure, extraction, language, licenses, manifest, near_duplicates, oracles, packing, quality, topk, warc
 from crawlvis.llm.store import spread
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
@@ -72,6 +72,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.tamper_test(table(spark, sf_dir, "documents"), third, lowered)
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disclosure.spans_and_digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_top_k": op1_top_k,
     "op2_language_id": op2_language_id,
@@ -85,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc_round_trip": op10_warc_round_trip,
     "op11_filter_audit": op11_filter_audit,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_personal_data": op13_personal_data,
 }
 
 
