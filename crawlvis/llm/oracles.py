@@ -77,3 +77,58 @@ m AS MATERIALIZED (SELECT c.doc_id, c.leaf, u.hash AS subroot, u.grp, u.i, c.pro
 {_climb("m", "b", "high", crown)}
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = root AS verified FROM high_{crown - 1}, root
 """
+
+
+def personal_sql(near: int, least: int, support: int, slack: float, prefixes: tuple[int, ...]) -> str:
+    """Spans by the plain forms, and the terms that disclose them, word by word without buckets or chunks."""
+    lens = ", ".join(map(str, prefixes))
+    # Matches and the text between them: a match begins after all that lies before it.
+    found = lambda kind, pattern, good: (
+        f"{kind}m AS (SELECT doc_id, t, regexp_extract_all(t, '{pattern}') AS m, string_split_regex(t, '{pattern}') AS p FROM d WHERE regexp_matches(t, '{pattern}')),\n"
+        f"{kind}a AS (SELECT doc_id, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS k, m, p FROM {kind}m),\n"
+        f"{kind} AS (SELECT doc_id, '{kind}' AS kind, v, length(array_to_string(p[:k], '')) + length(array_to_string(m[:k - 1], '')) AS s FROM {kind}a WHERE {good})"
+    )
+    digits = "regexp_replace(v, '[^0-9]+', '', 'g')"
+    luhn = f"list_sum(list_transform(string_split(reverse({digits}), ''), lambda c, i: CASE WHEN i % 2 = 1 THEN CAST(c AS INTEGER) WHEN CAST(c AS INTEGER) > 4 THEN 2 * CAST(c AS INTEGER) - 9 ELSE 2 * CAST(c AS INTEGER) END)) % 10 = 0"
+    email, ip = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)+", "[0-9]+(?:\\.[0-9]+)(?:\\.[0-9]+)(?:\\.[0-9]+)"
+    card, phone = "[0-9](?:[\\x20-]?[0-9])+", "\\+[0-9][\\x20().0-9-]+[0-9]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+{found("email", email, "true")},
+{found("ip", ip, "len(list_filter(string_split(v, '.'), lambda x: CAST(x AS HUGEINT) > 255)) = 0")},
+{found("card", card, f"length({digits}) BETWEEN 16 AND 19 AND {luhn}")},
+{found("phone", phone, f"length({digits}) BETWEEN 8 AND 15")},
+base AS (SELECT *, s + length(v) AS e FROM (SELECT * FROM email UNION ALL SELECT * FROM ip UNION ALL SELECT * FROM card UNION ALL SELECT * FROM phone)),
+blank AS (
+  SELECT d.doc_id, d.t, CASE WHEN m IS NULL THEN d.t ELSE array_to_string(list_transform(p, lambda x, i: x || coalesce(repeat(' ', length(m[i])), '')), '') END AS b
+  FROM d LEFT JOIN emailm USING (doc_id)
+),
+wm AS (SELECT doc_id, t, regexp_extract_all(b, '[\\p{{L}}\\p{{M}}]+') AS m, string_split_regex(b, '[\\p{{L}}\\p{{M}}]+') AS p FROM blank),
+wl AS (SELECT doc_id, t, unnest(m) AS v, unnest(range(1, len(m) + 1)) AS k, unnest(p[:len(m)]) AS gap FROM wm),
+w AS (
+  SELECT doc_id, t, lower(v) AS term, sum(length(gap) + length(v)) OVER (PARTITION BY doc_id ORDER BY k) - length(v) AS s, length(v) AS n FROM wl
+),
+words AS (SELECT doc_id, t, term, s, s + n AS e FROM w WHERE n >= {least}),
+pairs AS (
+  SELECT DISTINCT w.doc_id, w.t, b.kind || ':' || b.v AS entity, w.term, w.s FROM base b JOIN words w USING (doc_id)
+  WHERE (w.s >= b.s - {near} AND w.e <= b.s) OR (w.s >= b.e AND w.e <= b.e + {near})
+),
+forms AS (
+  SELECT DISTINCT term, unnest(list_concat([term], list_transform(list_filter([{lens}], lambda n: length(term) > n), lambda n: substring(term, 1, n) || '*'))) AS form FROM words
+),
+near AS (SELECT entity, form, count(*) AS n_near FROM pairs JOIN forms USING (term) GROUP BY ALL HAVING count(DISTINCT t) >= {support}),
+most AS (SELECT form, max(n_near) AS n_near FROM near GROUP BY form),
+total AS (SELECT form, count(*) AS n FROM words JOIN forms USING (term) SEMI JOIN most USING (form) GROUP BY form),
+told AS (SELECT form FROM most JOIN total USING (form) WHERE n_near >= n * pow(2, -{slack})),
+spans AS (
+  SELECT doc_id, CASE kind WHEN 'email' THEN 1 WHEN 'ip' THEN 2 WHEN 'card' THEN 3 ELSE 4 END AS o, kind, s, e FROM base
+  UNION ALL SELECT doc_id, 5, 'term', s, e FROM words SEMI JOIN told ON told.form = words.term
+),
+lists AS (
+  SELECT doc_id, count(*) FILTER (o = 1) AS n_email, count(*) FILTER (o = 2) AS n_ip, count(*) FILTER (o = 3) AS n_card, count(*) FILTER (o = 4) AS n_phone, count(*) FILTER (o = 5) AS n_terms,
+    coalesce(string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY o, s) FILTER (o < 5), '') AS base, string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY o, s) AS spans
+  FROM spans GROUP BY doc_id
+)
+SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coalesce(n_card, 0) AS n_card, coalesce(n_phone, 0) AS n_phone, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_terms, 0) AS n_terms
+FROM d LEFT JOIN lists USING (doc_id)
+"""

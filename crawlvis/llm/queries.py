@@ -174,4 +174,4 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_license_scan": licenses_sql(), "op10_warc_round_trip": OP10_SQL, "op11_filter_audit": oracles.OP11_SQL, "op12_merkle_manifest": oracles.manifest_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_license_scan": licenses_sql(), "op10_warc_round_trip": OP10_SQL, "op11_filter_audit": oracles.OP11_SQL, "op12_merkle_manifest": oracles.manifest_sql(), "op13_personal_data": oracles.personal_sql(disclosure.NEAR, disclosure.LEAST, disclosure.SUPPORT, disclosure.SLACK, disclosure.PREFIXES)}
