@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from html.entities import html5
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlvis.functions import markup
 from crawlvis.functions.fence import let
 
 # White space, the shortest text that is compared by shingles, and their length.
@@ -17,22 +16,6 @@ STOPWORDS = (
     "about above after again their there these thing think those through under until where which while would could should "
     "other every first because between being before during since still without"
 ).split()
-# Elements that break lines, and elements whose content isn't text.
-BLOCK_TAGS = "p|h[1-6]|li|ul|ol|div|section|article|aside|header|footer|nav|main|table|tr|td|th|caption|blockquote|pre|figure|figcaption|dl|dt|dd|br|hr"
-SILENT_TAGS = ("script", "style", "noscript", "template", "head", "title")
-#: Characters by the names of HTML's references, as text that Spark turns into one constant map.
-NAMED = "\x01".join(f"{name[:-1]}\x02{text}" for name, text in sorted(html5.items()) if name.endswith(";"))
-#: What references to the control characters from 128 on have always stood for.
-WINDOWS = {n: bytes([n]).decode("cp1252", "replace") for n in range(0x80, 0xA0)}
-REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,31});"
-
-#: What stands in a tag after its name: quoted values may hold what else would end it.
-INSIDE = r"(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+(?=>)|[^>]*)"
-COMMENT = r"(?s)<!--.*?(?:-->|\z)"
-SILENT = "(?is)" + "|".join(rf"<{t}\b{INSIDE}>.*?</{t}\s*>" for t in SILENT_TAGS)
-BLOCK = rf"(?i)</?(?:{BLOCK_TAGS})\b{INSIDE}>"
-TAG = rf"</?[a-zA-Z!]{INSIDE}>"
-SCRIPT = rf"(?is)<script\b({INSIDE})>(.*?)</script\s*>"
 
 
 def trimmed(x: Column) -> Column:
@@ -79,50 +62,18 @@ def collapse_blocks(x: Column) -> Column:
     return F.array_join(lines, "\n")
 
 
-def decoded(x: Column) -> Column:
-    """Text with its character references resolved: named, decimal and hexadecimal ones that end in a semicolon. Unknown names stay."""
-    names = F.str_to_map(F.lit(NAMED), F.lit("\x01"), F.lit("\x02"))
-    controls = F.array(*[F.lit(c) for c in WINDOWS.values()])
-
-    def point(digits: Column, base: int) -> Column:
-        def character(n: Column) -> Column:
-            there = n.between(1, 0x10FFFF) & ~n.between(0xD800, 0xDFFF)
-            return F.when(n.between(0x80, 0x9F), F.get(controls, (n - 0x80).cast("int"))).when(there, F.decode(F.unhex(F.lpad(F.hex(n), 8, "0")), "UTF-32")).otherwise(F.lit("\ufffd"))
-
-        return let(F.conv(digits, base, 10).cast("long"), character)
-
-    def one(reference: Column) -> Column:
-        name = F.substring(reference, F.lit(2), F.length(reference) - 2)
-        return (
-            F.when(F.rlike(name, F.lit("^#[xX]")), point(F.substring(name, F.lit(3), F.length(name)), 16))
-            .when(F.startswith(name, F.lit("#")), point(F.substring(name, F.lit(2), F.length(name)), 10))
-            .otherwise(F.coalesce(F.try_element_at(names, name), reference))
-        )
-
-    def whole(x: Column) -> Column:
-        found = F.concat(F.transform(F.regexp_extract_all(x, F.lit(f"({REFERENCE})"), F.lit(1)), one), F.array(F.lit("")))
-        return F.array_join(F.zip_with(F.split(x, REFERENCE), found, lambda a, b: F.concat(a, b)), "")
-
-    return let(x, lambda t: F.when(F.contains(t, F.lit("&")), whole(t)).otherwise(t))
-
-
 def raw_text(html: Column) -> Column:
     """The readable text of a page's source: what stands in elements that aren't code, one line for each block.
 
-    A cascade of replacements that stays in generated code. Pages that need a parser go through ``crawlvis.sources.html``.
+    Read in columns, for tables of responses. ``crawlvis.sources.html`` reads the same text off a tree; there alone an end tag that
+    closes nothing breaks no line.
     """
-    x = F.regexp_replace(F.coalesce(html, F.lit("")), COMMENT, "")
-    x = F.regexp_replace(x, SILENT, "")
-    x = F.regexp_replace(x, BLOCK, "\n")
-    return collapse_blocks(decoded(F.regexp_replace(x, TAG, "")))
+    return collapse_blocks(let(markup.pieces(html), markup.shown))
 
 
 def inline_scripts(html: Column) -> Column:
     """The contents of scripts without a source, in order, one below the other; blank ones are left out."""
-    html = F.coalesce(html, F.lit(""))
-    heads, bodies = F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(1)), F.regexp_extract_all(html, F.lit(SCRIPT), F.lit(2))
-    found = F.filter(F.arrays_zip(heads.alias("head"), bodies.alias("body")), lambda s: ~F.rlike(s["head"], F.lit(r"(?i)\bsrc\s*=|\bsrc\s*$")) & (trimmed(s["body"]) != ""))
-    return F.array_join(F.transform(found, lambda s: s["body"]), "\n")
+    return F.array_join(let(markup.pieces(html), markup.scripts), "\n")
 
 
 def unescaped(script: Column) -> Column:

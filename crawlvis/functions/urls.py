@@ -5,9 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from crawlvis.functions import hosts
+from crawlvis.functions.fence import let
+
+#: The order of parameters.
+COLLATION = "UNICODE"
 # Query parameters that only track visits.
 TRACKING = r"(?i)^(utm_\w+|gclid|fbclid|msclkid|mc_cid|mc_eid)$"
-PARTS = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#@]*@)?(\[[0-9a-fA-F:.]+\]|[^/?#:@\s\[\]]+)(?::(\d*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
+PARTS = r"(?s)^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:[^/?#]*@)?(\[[0-9a-fA-F:.]+\]|[^/?#:@\s\[\]]+)(?::(\d*))?(/[^?#]*)?(?:\?([^#]*))?(?:#.*)?$"
+# Ports that schemes stand for.
+PORTS = {"https": "443", "http": "80", "wss": "443", "ws": "80", "ftp": "21"}
+MOST_PORT = 65535
 
 
 def part(url: Column, n: int) -> Column:
@@ -19,8 +27,24 @@ def with_scheme(url: Column) -> Column:
     return F.when(F.rlike(url, F.lit(r"^[a-zA-Z][a-zA-Z0-9+.-]*://")), url).otherwise(F.concat(F.lit("https://"), url))
 
 
+def cleaned(url: Column) -> Column:
+    """An address as it is parsed: with a scheme, without line ends, with slashes for backslashes ahead of the query."""
+
+    def slashed(x: Column) -> Column:
+        head = F.regexp_extract(x, "^[^?#]*", 0)
+        return F.concat(F.regexp_replace(F.replace(head, F.lit("\\"), F.lit("/")), r"^([a-zA-Z][a-zA-Z0-9+.-]*:)/{3,}", "$1//"), F.substring(x, F.length(head) + 1, F.length(x)))
+
+    return let(F.regexp_replace(with_scheme(F.regexp_replace(url, r"^[\x00-\x20\x{a0}\x{feff}]+|[\x00-\x20\x{a0}\x{feff}]+$", "")), r"[\t\n\r]", ""), slashed)
+
+
+def _port(x: Column) -> Column:
+    """The port without leading zeros, nothing if there is none; null beyond the last one."""
+    return let(F.regexp_replace(part(x, 3), "^0+(?=[0-9])", ""), lambda p: F.when((F.length(p) <= 5) & (F.coalesce(p.try_cast("int"), F.lit(0)) <= MOST_PORT), p))
+
+
 def is_valid(url: Column) -> Column:
-    return F.rlike(with_scheme(url), F.lit(PARTS)) & ~F.rlike(with_scheme(url), F.lit(r"^[^/]*//(?:[^/?#@]*@)?[^/?#]*[\s<>^|%]"))
+    """Whether an address can be parsed: its host is one and its port, if any, a number that ports go up to."""
+    return let(cleaned(url), lambda x: F.rlike(x, F.lit(PARTS)) & hosts.canonical(part(x, 2)).isNotNull() & _port(x).isNotNull())
 
 
 def _encoded(text: Column, characters: str) -> Column:
@@ -42,32 +66,40 @@ def _steps(path: Column) -> Column:
     return F.when(F.rlike(path, F.lit(r"(?i)/(?:\.|%2e){1,2}(?:/|$)")), F.concat(F.lit("/"), F.array_join(kept, "/"), end)).otherwise(path)
 
 
+def _query(text: Column) -> Column:
+    """Parameters as a form writes them, without those that only track, sorted by name in the order of the root collation; equal names keep theirs."""
+    plain = lambda p: F.try_url_decode(F.regexp_replace(p, "%(?![0-9a-fA-F]{2})", "%25"))
+    name = lambda p: F.substring_index(p, "=", 1)
+    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substring(p, F.length(name(p)) + 2, F.length(p))).otherwise(F.lit(""))
+    read = F.transform(F.filter(F.split(text, "&"), lambda p: p != ""), lambda p: F.struct(plain(name(p)).alias("n"), plain(value(p)).alias("v")))
+    kept = F.filter(read, lambda p: ~F.rlike(p["n"], F.lit(TRACKING)))
+    placed = F.array_sort(F.transform(kept, lambda p, i: F.struct(F.collate(p["n"], COLLATION).alias("n"), i.alias("i"), F.concat(F.url_encode(p["n"]), F.lit("="), F.url_encode(p["v"])).alias("p"))))
+    return F.array_join(F.transform(placed, lambda s: s["p"]), "&")
+
+
 def normalized(url: Column) -> Column:
     """The key under which scans of a URL are kept; null where it can't be parsed.
 
     Scheme and host in lower case, no default port, fragment or tracking parameter, the other parameters sorted by
     name, and no slash at the end of a path but the root's. Names and values of parameters are decoded and encoded anew as
     a form does, a parameter without ``=`` gets one. Paths lose their dot segments and have blanks and other letters
-    encoded. Hosts beyond ASCII are taken as they are, in lower case.
+    encoded. Hosts are in the form of ``hosts.canonical``: names in ASCII, numeric addresses as four numbers.
     """
-    x = F.regexp_replace(F.replace(F.regexp_replace(with_scheme(F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$", "")), r"[\t\n\r]", ""), F.lit("\\"), F.lit("/")), r"^([a-zA-Z][a-zA-Z0-9+.-]*:)/{3,}", "$1//")
-    scheme, host = F.lower(part(x, 1)), F.lower(part(x, 2))
-    user = F.regexp_replace(F.regexp_extract(x, r"^[^/]*//([^/?#@]*@)", 1), "^:?@$", "")
-    port = F.regexp_replace(part(x, 3), "^0+(?=[0-9])", "")
-    shown = F.when((port == "") | ((scheme == "https") & (port == "443")) | ((scheme == "http") & (port == "80")), F.lit("")).otherwise(F.concat(F.lit(":"), port))
-    pairs = F.filter(F.split(part(x, 5), "&"), lambda p: p != "")
-    plain = lambda p: F.try_url_decode(F.regexp_replace(p, "%(?![0-9a-fA-F]{2})", "%25"))
-    name = lambda p: F.substring_index(p, "=", 1)
-    value = lambda p: F.when(F.contains(p, F.lit("=")), F.substring(p, F.length(name(p)) + 2, F.length(p))).otherwise(F.lit(""))
-    read = F.transform(pairs, lambda p: F.struct(plain(name(p)).alias("n"), plain(value(p)).alias("v")))
-    kept = F.filter(read, lambda p: ~F.rlike(p["n"], F.lit(TRACKING)))
-    placed = F.array_sort(F.transform(kept, lambda p, i: F.struct(F.lower(p["n"]).alias("l"), p["n"].alias("n"), i.alias("i"), F.concat(F.url_encode(p["n"]), F.lit("="), F.url_encode(p["v"])).alias("p"))))
-    query = F.array_join(F.transform(placed, lambda s: s["p"]), "&")
-    path = _steps(_encoded(part(x, 4), ' "<>`{}'))
-    path = F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
-    path = F.when(path == "", F.lit("/")).otherwise(path)
-    whole = F.concat(scheme, F.lit("://"), user, host, shown, path, F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
-    return F.when(is_valid(url), whole)
+
+    def parsed(x: Column) -> Column:
+        scheme = F.lower(part(x, 1))
+        user = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract(x, r"^[^/]*//([^/?#]*@)", 1), "@(?=.*@)", "%40"), ":@$", "@"), "^@$", "")
+        usual = F.lit(False)
+        for name, number in PORTS.items():
+            usual = usual | ((scheme == name) & (_port(x) == number))
+        shown = F.when((_port(x) == "") | usual, F.lit("")).otherwise(F.concat(F.lit(":"), _port(x)))
+        path = _steps(_encoded(part(x, 4), ' "<>`{}'))
+        path = F.when(path.isin("", "/"), F.lit("/")).otherwise(F.regexp_replace(path, "/+$", ""))
+        path = F.when(path == "", F.lit("/")).otherwise(path)
+        query = let(_query(part(x, 5)), lambda q: F.when(q == "", F.lit("")).otherwise(F.concat(F.lit("?"), q)))
+        return F.when(F.rlike(x, F.lit(PARTS)), F.concat(scheme, F.lit("://"), user, hosts.canonical(part(x, 2)), shown, path, query))
+
+    return let(cleaned(url), parsed)
 
 
 def pathname(url: Column) -> Column:
@@ -77,7 +109,8 @@ def pathname(url: Column) -> Column:
 
 
 def host_of(url: Column) -> Column:
-    return F.when(F.rlike(url, F.lit(PARTS)), F.lower(part(url, 2))).otherwise(url)
+    """The host in its one form; the address itself where it has none."""
+    return F.when(F.rlike(url, F.lit(PARTS)), F.coalesce(hosts.canonical(part(url, 2)), F.lower(part(url, 2)))).otherwise(url)
 
 
 def resolved(href: Column, base: Column) -> Column:

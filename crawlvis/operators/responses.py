@@ -9,6 +9,7 @@ from crawlvis.functions import net, urls
 from crawlvis.functions import text as T
 from crawlvis.functions import wording as W
 from crawlvis.functions.fence import fenced
+from crawlvis.functions.hosts import canonical
 from crawlvis.functions.template import chosen, filled
 
 # What tells that a crawler is blocked.
@@ -176,16 +177,17 @@ def followed(hops: DataFrame) -> DataFrame:
 
 
 def host_verdicts(hosts: DataFrame, dns: DataFrame) -> DataFrame:
-    """host, error_type: dns_or_network where a name has no address, ssrf_blocked where any is private or the name is local, else null.
+    """host, error_type: dns_or_network where a name has no address or can't be one, ssrf_blocked where any is private or the name is local, else null.
 
-    hosts: host. dns: host, address, family. Literal addresses are judged as they are.
+    hosts: host. dns: host, address, family. Literal addresses, in whatever spelling, are judged as they are.
     """
-    literal = F.rlike("host", F.lit(r"^\[.*\]$")) | F.contains("host", F.lit(":")) | F.rlike("host", F.lit(net.DOTTED))
-    local = F.rlike("host", F.lit(r"(?i)^(.*\.)?localhost$"))
-    found = dns.groupBy(F.lower("host").alias("_host")).agg(F.bool_or(net.is_private(F.col("address"), F.col("family"))).alias("_private"))
-    rows = hosts.withColumn("_host", F.lower("host")).join(found, "_host", "left")
-    own = net.is_private(F.regexp_replace("host", r"^\[|\]$", ""), F.lit(4))
-    error = F.when(literal, F.when(own, F.lit("ssrf_blocked"))).when(local, F.lit("ssrf_blocked")).when(F.col("_private").isNull(), F.lit("dns_or_network")).when(F.col("_private"), F.lit("ssrf_blocked"))
+    known = dns.groupBy(canonical(F.col("host")).alias("_host")).agg(F.bool_or(net.is_private(F.col("address"), F.col("family"))).alias("_private"))
+    rows = fenced(hosts, {"_host": canonical(F.col("host"))}).join(known, "_host", "left")
+    literal = F.startswith("_host", F.lit("[")) | F.rlike("_host", F.lit(net.DOTTED))
+    local = F.rlike("_host", F.lit(r"^(.*\.)?localhost$"))
+    own = net.is_private(F.regexp_replace("_host", r"^\[|\]$", ""), F.lit(4))
+    lost = F.lit("dns_or_network")
+    error = F.when(F.col("_host").isNull(), lost).when(literal, F.when(own, F.lit("ssrf_blocked"))).when(local, F.lit("ssrf_blocked")).when(F.col("_private").isNull(), lost).when(F.col("_private"), F.lit("ssrf_blocked"))
     return rows.select("host", error.alias("error_type"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from crawlvis.functions.fence import let
+
 # The crawlers of the grid.
 CRAWLERS = ("GPTBot", "ClaudeBot", "PerplexityBot", "Google-Extended", "CCBot")
 
@@ -34,57 +36,73 @@ def parsed_lines(files: DataFrame, key: str = "host") -> DataFrame:
     return rows.where("kind is not null and (kind = 'sitemap' or grp > 0)")
 
 
-def groups(lines: DataFrame, key: str = "host") -> DataFrame:
-    """key, grp, agents, rules: array<struct<line_no, allow, path>>, in the file's order."""
-    line = F.struct("line_no", (F.col("kind") == "allow").alias("allow"), F.col("value").alias("path"))
-    made = lines.where("grp is not null").groupBy(key, "grp").agg(
-        F.array_sort(F.collect_list(F.when(F.col("kind") == "agent", F.struct("line_no", "value")))).alias("agents"), F.array_sort(F.collect_list(F.when(F.col("kind") != "agent", line))).alias("rules")
-    )
-    return made.select(key, "grp", F.transform("agents", lambda a: a["value"]).alias("agents"), "rules")
+def chosen_groups(lines: DataFrame, key: str = "host") -> DataFrame:
+    """key, groups: array<struct<crawler, grp>>: the first group that names a crawler, else the first of whose agents one is part of its name, else the first for all."""
+    agents = lines.where("kind = 'agent'")
 
+    def group_for(crawler: str) -> Column:
+        name, agent = crawler.lower(), F.col("value")
+        tier = F.when(agent == name, 1).when((agent != "*") & F.contains(F.lit(name), agent), 2).when(agent == "*", 3)
+        return F.struct(F.lit(crawler).alias("crawler"), F.min(F.when(tier.isNotNull(), F.struct(tier.alias("tier"), "grp")))["grp"].alias("grp"))
+
+    return agents.groupBy(key).agg(F.array(*[group_for(c) for c in CRAWLERS]).alias("groups"))
 
-def files_by_group(files: DataFrame, key: str = "host") -> DataFrame:
-    """key, groups: array<struct<grp, agents, rules>> and sitemaps, one row per file: a file is parsed once for all pages and crawlers."""
-    lines = parsed_lines(files, key)
-    grouped = groups(lines, key).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("grp", "agents", "rules"))).alias("groups"))
-    maps = lines.where("kind = 'sitemap'").groupBy(key).agg(F.array_sort(F.collect_list(F.struct("line_no", "value"))).alias("maps"))
-    every = files.select(key, F.col("content").isNotNull().alias("present")).join(grouped, key, "left").join(maps, key, "left")
-    return every.select(key, "present", "groups", F.coalesce(F.transform("maps", lambda m: m["value"]), F.array().cast("array<string>")).alias("sitemaps"))
 
+def compiled(lines: DataFrame, key: str = "host") -> DataFrame:
+    """key, grp, prefix, size, allow, anchored, parts of every rule, once.
 
-def rule_pattern(path: Column) -> Column:
-    """The regular expression of a rule: ``*`` is anything, a final ``$`` the end, the rest is literal."""
-    literal = F.regexp_replace(path, r"([.+?^${}()|\[\]\\])", r"\\$1")
-    whole = F.concat(F.lit("^"), F.regexp_replace(literal, r"\*", ".*"))
-    return F.when(F.endswith(path, F.lit("$")), F.concat(F.substring(whole, F.lit(1), F.length(whole) - 2), F.lit("$"))).otherwise(whole)
+    ``*`` is anything, a final ``$`` the end. parts: what stands between the stars; prefix: the first of them, which a path
+    must begin with, so rules are found by equality and not by trying each.
+    """
+    rules = lines.where("kind in ('allow', 'disallow') and value <> ''").select(key, "grp", (F.col("kind") == "allow").alias("allow"), F.col("value").alias("rule")).distinct()
+    anchored = F.endswith("rule", F.lit("$"))
+    body = F.when(anchored, F.substring("rule", F.lit(1), F.length("rule") - 1)).otherwise(F.col("rule"))
+    rows = rules.withColumns({"size": F.length("rule"), "anchored": anchored, "parts": F.split(body, r"\*")})
+    return rows.select(key, "grp", F.get("parts", F.lit(0)).alias("prefix"), "size", "allow", "anchored", "parts")
 
 
-def group_for(found: Column, crawler: str) -> Column:
-    """The first group that names the crawler, else the first whose agent is part of its name, else the first for all."""
-    name = crawler.lower()
-    tiers = (
-        lambda a: a == name,
-        lambda a: (a != "*") & F.contains(F.lit(name), a),
-        lambda a: a == "*",
-    )
-    return F.coalesce(*[_first(found, tier) for tier in tiers])
+def matches(path: Column, parts: Column, anchored: Column) -> Column:
+    """Whether a path that begins with the first of ``parts`` has the others behind it in order, the last at its end if ``anchored``.
 
+    Each part is looked for from where the one before it ended, so a path is read once.
+    """
+    first, last = F.get(parts, F.lit(0)), F.element_at(parts, -1)
+    between = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1 - anchored.cast("int"), F.lit(0)))
+    found = lambda at, part: F.when(at == 0, at).otherwise(let(F.position(part, path, at), lambda i: F.when(i == 0, i).otherwise(i + F.length(part))))
+    reached = F.aggregate(between, F.length(first) + 1, found)
+    ends = F.when(F.size(parts) == 1, path == first).otherwise(let(reached, lambda at: (at > 0) & F.endswith(path, last) & (F.length(path) - F.length(last) + 1 >= at)))
+    return F.when(anchored, ends).otherwise(reached > 0)
 
-def _first(found: Column, matches) -> Column:
-    return F.get(F.filter(found, lambda g: F.exists(g["agents"], matches)), F.lit(0))
 
+def verdicts(paths: DataFrame, lines: DataFrame, key: str = "host") -> DataFrame:
+    """key, path, rules: array<struct<grp, allow>> of the groups of which some rule matches: the longest decides, an allowing one on a tie.
 
-def is_allowed(found: Column, crawler: str, path: Column) -> Column:
-    """Whether the crawler may fetch the path: the longest rule that matches decides, an allowing one on a tie. No rule allows."""
-    rules = group_for(found, crawler)["rules"]
-    hits = F.filter(rules, lambda r: (r["path"] != "") & F.rlike(path, rule_pattern(r["path"])))
-    best = F.array_max(F.transform(hits, lambda r: F.struct(F.length(r["path"]).alias("size"), r["allow"].alias("allow"))))
-    return F.coalesce(best["allow"], F.lit(True))
+    All rules of a file meet all paths of its host in one join, of paths' beginnings with rules' literal ones; only the
+    lengths that a host's rules have are tried. Groups that no crawler goes by are left out.
+    """
+    groups = chosen_groups(lines, key).select(key, F.explode("groups").alias("g")).select(key, "g.grp").where("grp is not null").distinct()
+    rules = compiled(lines, key).join(groups, [key, "grp"], "left_semi")
+    sizes = rules.groupBy(key).agg(F.collect_set(F.length("prefix")).alias("sizes"))
+    each = paths.select(key, "path").where(F.col(key).isNotNull() & F.col("path").isNotNull()).distinct().join(sizes, key)
+    each = each.select(key, "path", F.explode(F.filter("sizes", lambda n: n <= F.length("path"))).alias("n")).select(key, "path", F.substring("path", F.lit(1), F.col("n")).alias("prefix"))
+    hits = each.join(rules, [key, "prefix"]).where(matches(F.col("path"), F.col("parts"), F.col("anchored")))
+    best = hits.groupBy(key, "path", "grp").agg(F.max(F.struct("size", "allow"))["allow"].alias("allow"))
+    return best.groupBy(key, "path").agg(F.collect_list(F.struct("grp", "allow")).alias("rules"))
 
 
 def grid(pages: DataFrame, files: DataFrame, key: str = "host") -> DataFrame:
-    """pages with robots_grid: array<struct<crawler, allowed>>, robots_present and sitemaps. pages: key, path, …"""
-    rows = pages.join(files_by_group(files, key), key, "left")
-    cells = F.array(*[F.struct(F.lit(c).alias("crawler"), is_allowed(F.col("groups"), c, F.col("path")).alias("allowed")) for c in CRAWLERS])
+    """pages with robots_grid: array<struct<crawler, allowed>>, robots_present and sitemaps. pages: key, path, …
+
+    A file is parsed once for all pages and crawlers. No rule allows, nor does a missing file forbid.
+    """
+    lines = parsed_lines(files, key)
+    maps = lines.where("kind = 'sitemap'").groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "value"))), lambda m: m["value"]).alias("sitemaps"))
+    known = files.select(key, F.col("content").isNotNull().alias("robots_present")).join(chosen_groups(lines, key), key, "left").join(maps, key, "left")
+    rows = pages.join(known, key, "left").join(verdicts(pages, lines, key), [key, "path"], "left")
+
+    def cell(crawler: str) -> Column:
+        grp = F.get(F.filter("groups", lambda g: g["crawler"] == crawler), F.lit(0))["grp"]
+        return F.struct(F.lit(crawler).alias("crawler"), F.coalesce(F.get(F.filter("rules", lambda r: r["grp"] == grp), F.lit(0))["allow"], F.lit(True)).alias("allowed"))
+
     none = F.array().cast("array<string>")
-    return rows.withColumns({"robots_grid": cells, "robots_present": F.coalesce("present", F.lit(False)), "sitemaps": F.coalesce("sitemaps", none)}).drop("groups", "present")
+    return rows.withColumns({"robots_grid": F.array(*[cell(c) for c in CRAWLERS]), "robots_present": F.coalesce("robots_present", F.lit(False)), "sitemaps": F.coalesce("sitemaps", none)}).drop("groups", "rules")

@@ -30,7 +30,7 @@ URL_CASES = (
     ("https://example.com/a/%2E%2e/b/.", "https://example.com/b", False),
     ("https://example.com/a..b/.c/...", "https://example.com/a..b/.c/...", False),
     ("https://example.com/a b/é", "https://example.com/a%20b/%C3%A9", False),
-    ("https://example.com/?q=a%20b&é=1", "https://example.com/?q=a+b&%C3%A9=1", False),
+    ("https://example.com/?q=a%20b&é=1", "https://example.com/?%C3%A9=1&q=a+b", False),
     ("https://example.com/?b=100%&a=x+y&c", "https://example.com/?a=x+y&b=100%25&c=", False),
     ("https://example.com/?z=1&utm%5Fsource=x&y=~", "https://example.com/?y=%7E&z=1", False),
     ("  https://example.com/a\n  ", "https://example.com/a", False),

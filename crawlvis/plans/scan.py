@@ -11,6 +11,8 @@ from crawlvis.functions.fence import fenced
 from crawlvis.operators import pages as P
 from crawlvis.operators import reporting, scoring, segmentation
 
+#: Tags of the pages that raw responses are made from.
+TAG = r"</?[a-zA-Z!][^>]*>"
 ARTICLE = r"(?is)(<article\b[^>]*>)(.*?)(</article\s*>)"
 
 
@@ -20,7 +22,7 @@ def thinned(html: Column, key: Column) -> Column:
     Captured pairs of raw and rendered pages aren't among the tables; this gives every class of region something to find.
     """
     inner = F.regexp_extract(html, ARTICLE, 2)
-    plain = F.regexp_replace(inner, T.TAG, " ")
+    plain = F.regexp_replace(inner, TAG, " ")
     quoted = F.replace(F.replace(F.replace(plain, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
     before, after = F.substring_index(html, "<article>", 1), F.regexp_extract(html, r"(?is)</article\s*>(.*)$", 1)
     wrap = lambda x: F.concat(before, F.lit("<article>"), x, F.lit("</article>"))

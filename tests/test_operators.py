@@ -291,7 +291,7 @@ def test_choosing_regions_equals_pairwise_tests():
 
 def test_readers_of_sources(spark):
     cases = [
-        ("<p title='a>b'>t</p>", "t"), ("<title>T</title><p>body", "body"), ("<p>caf&eacute; &#233;&#xE9; &#150; &notanentity; &amp;lt; a&b &#0;", "café éé – &notanentity; &lt; a&b �"),
+        ("<p title='a>b'>t</p>", "t"), ("<title>T</title><p>body", "body"), ("<p>caf&eacute; &#233;&#xE9; &#150; &notanentity; &nosuch; &amp;lt; a&b &#0;", "café éé – ¬anentity; &nosuch; &lt; a&b �"),
         ("<head><style>x</style></head><body>a<!-- > --><br>b<noscript>no</noscript>", "a\nb"), ("a<script>var x = '<p>';</script>b", "ab"), ("<div>a</div>tail<", "a\ntail<"), (None, ""), ("", ""),
         ("x" * 200_000 + "<p " + "a='b' " * 2000 + ">y", "x" * 200_000 + "\ny"),
     ]
