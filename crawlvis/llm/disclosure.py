@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from crawlvis.functions.arrays import running_sums
+from crawlvis.functions.fence import let
 from crawlvis.llm.quality import fenced
 from crawlvis.llm.store import written
 
@@ -36,25 +38,6 @@ BUCKETS = 1 << 20
 CHUNK = 1024
 
 
-def let(value: Column, then) -> Column:
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
-def running_sums(x: Column) -> Column:
-    """The sums of an array's values up to each place. In blocks of the root of its length, since appending copies."""
-
-    def plain(values: Column) -> Column:
-        return F.aggregate(values, F.array().cast("array<long>"), lambda a, v: F.concat(a, F.array(v + F.coalesce(F.get(a, F.size(a) - 1), F.lit(0)))))
-
-    def whole(x: Column) -> Column:
-        width = F.ceil(F.sqrt(F.size(x))).cast("int")
-        inner = F.transform(F.sequence(F.lit(1), F.size(x), width), lambda i: plain(F.slice(x, i, width)))
-        shifted = lambda parts, ends: F.flatten(F.transform(parts, lambda p, k: F.transform(p, lambda v: v + F.coalesce(F.get(ends, k - 1), F.lit(0)))))
-        return let(inner, lambda parts: let(plain(F.transform(parts, lambda p: F.element_at(p, -1))), lambda ends: shifted(parts, ends)))
-
-    return let(F.transform(x, lambda v: v.cast("long")), lambda x: F.when(F.size(x) > 0, whole(x)).otherwise(F.array().cast("array<long>")))
-
-
 SPANS = "array<struct<start:long,end:long,value:string>>"
 
 
