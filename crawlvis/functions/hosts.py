@@ -10,6 +10,8 @@ from crawlvis.functions.fence import let
 
 # The parameters of the coding of names beyond ASCII, and what a host can't hold.
 BASE, T_MIN, T_MAX, SKEW, DAMP, FIRST_BIAS, FIRST_POINT = 36, 1, 26, 38, 700, 72, 128
+#: More digits than any number has that fits 64 bits.
+MOST_DIGITS = 20
 DIGITS = "abcdefghijklmnopqrstuvwxyz0123456789"
 FORBIDDEN = r"[\x00-\x20#/:<>?@\[\\\]^|%\x7f]"
 # Dots of other scripts, characters that are left out of names, and full-width forms with what they stand for.
@@ -21,34 +23,24 @@ def _digit(n: Column) -> Column:
     return F.substring(F.lit(DIGITS), n + 1, F.lit(1))
 
 
-def _threshold(k: int, bias: Column) -> Column:
-    return F.least(F.greatest(F.lit(k) - bias, F.lit(T_MIN)), F.lit(T_MAX))
-
+def _varied(delta: Column, bias: Column) -> Column:
+    """A number in digits of growing weight, least first."""
 
-def _one_digit(k: int, bias: Column):
-    def step(s: Column) -> Column:
-        t = _threshold(k, bias)
+    def step(s: Column, i: Column) -> Column:
+        t = F.least(F.greatest(i * BASE - bias, F.lit(T_MIN)), F.lit(T_MAX))
         rest = s["q"] - t
         last = F.struct(s["q"].alias("q"), F.concat(s["out"], _digit(s["q"].cast("int"))).alias("out"), F.lit(True).alias("done"))
         more = F.struct(F.floor(rest / (F.lit(BASE) - t)).alias("q"), F.concat(s["out"], _digit((t + rest % (F.lit(BASE) - t)).cast("int"))).alias("out"), F.lit(False).alias("done"))
         return F.when(s["done"], s).when(s["q"] < t, last).otherwise(more)
 
-    return step
-
-
-def _varied(delta: Column, bias: Column) -> Column:
-    """A number in digits of growing weight, least first."""
-    state = F.struct(delta.alias("q"), F.lit("").alias("out"), F.lit(False).alias("done"))
-    for k in range(BASE, 8 * BASE, BASE):
-        state = let(state, _one_digit(k, bias))
-    return state["out"]
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MOST_DIGITS)), F.struct(delta.alias("q"), F.lit("").alias("out"), F.lit(False).alias("done")), step)["out"]
 
 
 def _adapted(delta: Column, length: Column, first: Column) -> Column:
-    state = let(F.floor(F.when(first, delta / DAMP).otherwise(delta / 2)), lambda d: F.struct((d + F.floor(d / length)).alias("d"), F.lit(0).alias("k")))
-    for _ in range(6):
-        state = let(state, lambda s: F.when(s["d"] > ((BASE - T_MIN) * T_MAX) // 2, F.struct(F.floor(s["d"] / (BASE - T_MIN)).alias("d"), (s["k"] + BASE).alias("k"))).otherwise(s))
-    return let(state, lambda s: (s["k"] + F.floor((BASE - T_MIN + 1) * s["d"] / (s["d"] + SKEW))).cast("int"))
+    start = let(F.floor(F.when(first, delta / DAMP).otherwise(delta / 2)), lambda d: F.struct((d + F.floor(d / length)).alias("d"), F.lit(0).alias("k")))
+    halved = lambda s, i: F.when(s["d"] > ((BASE - T_MIN) * T_MAX) // 2, F.struct(F.floor(s["d"] / (BASE - T_MIN)).alias("d"), (s["k"] + BASE).alias("k"))).otherwise(s)
+    end = F.aggregate(F.sequence(F.lit(1), F.lit(MOST_DIGITS)), start, halved)
+    return let(end, lambda s: (s["k"] + F.floor((BASE - T_MIN + 1) * s["d"] / (s["d"] + SKEW))).cast("int"))
 
 
 def punycode(label: Column) -> Column:

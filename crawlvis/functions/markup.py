@@ -45,10 +45,16 @@ def piece(end: str) -> str:
     return f"(?i){raw}|{tag}|{comment}|{other}|[^<]++|<"
 
 
+def attribute(end: str) -> str:
+    """The pattern of one attribute: its name and, by what stands around it, its value."""
+    value = rf"(?:\"([^\"]*+)(?:\"|{end})|'([^']*+)(?:'|{end})|([^\t\n\f\r >\"'][^\t\n\f\r >]*+))?+"
+    return rf"([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:{GAP}*+={GAP}*+{value})?+"
+
+
 END = r"\z"
 PIECE = piece(END)
 CONTENT = rf"(?i)\A<([a-z]+)(?={APART}){attributes(END)}>((?s:.*?))(?:</\1(?={APART}){attributes(END)}>?)?\z"
-ATTRIBUTE = rf"([^\t\n\f\r />][^\t\n\f\r />=]*+)(?:{GAP}*+={GAP}*+(?:\"([^\"]*+)(?:\"|\z)|'([^']*+)(?:'|\z)|([^\t\n\f\r >\"'][^\t\n\f\r >]*+))?+)?+"
+ATTRIBUTE = attribute(END)
 
 
 def decoded(x: Column) -> Column:

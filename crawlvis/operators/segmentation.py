@@ -61,6 +61,10 @@ class Page:
     def hidden_text(self, i: int) -> str:
         return self.text(i).strip()
 
+    def filled(self, i: int) -> bool:
+        """Whether any text shows of a node that shows itself."""
+        return bool(self.text(i).strip())
+
     def tagged(self, names) -> np.ndarray:
         return np.array([t in names for t in self.tags], dtype=bool)
 
@@ -87,7 +91,7 @@ class Page:
         semantic, container = self.tagged(SEMANTIC), self.tagged(CONTAINERS)
         good = able & np.where(semantic, self.height >= TALL_SEMANTIC, self.height >= TALL_CONTAINER)
         for i in np.flatnonzero(good & ~semantic & ~container):
-            good[i] = bool(self.text(i).strip())
+            good[i] = self.filled(i)
         return good
 
     def regions(self) -> list[int]:
@@ -213,10 +217,19 @@ class SourcePage(Page):
         boxes = np.column_stack((np.zeros(len(spans)), spans[:, 0], np.full(len(spans), float(WIDTH)), spans[:, 1] - spans[:, 0]))
         styles = [a.get("style", "").replace(" ", "").lower() for a in tree.attributes]
         gone = np.array(["hidden" in a or "display:none" in s for a, s in zip(tree.attributes, styles, strict=True)], dtype=bool)
+        end = -1  # of what is gone already
         for i in np.flatnonzero(gone | np.array([t in SILENT or t == "head" for t in tree.tags])):
-            boxes[i : tree.last[i] + 1, 2:] = 0
+            if i > end:
+                end = tree.last[i]
+                boxes[i : end + 1, 2:] = 0
         self.gone = frozenset(np.flatnonzero(gone).tolist())
         super().__init__(tree.tags, tree.parents, tree.last, tree.attributes, boxes, gone | np.array(["visibility:hidden" in s for s in styles], dtype=bool))
+        seen = np.array([bool(t.strip()) for t in tree.texts], dtype=bool) & self.shown[tree.text_nodes] if tree.texts else np.zeros(0, dtype=bool)
+        self.texts_before = np.concatenate(([0], np.cumsum(seen)))
+
+    def filled(self, i: int) -> bool:
+        begin, end = self.tree.held[i][2:]
+        return bool(self.texts_before[end] > self.texts_before[begin])
 
     def text(self, i: int) -> str:
         return self.tree.shown(i, self.gone)

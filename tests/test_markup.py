@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from crawlvis.functions import text as T
 from crawlvis.functions.arrays import running_least, running_sums
+from crawlvis.operators.segmentation import SourcePage
+from crawlvis.sources.html import Tree
 
 CASES = (
     ("<p class=a don't>First.</p><p>It's second.</p>", "First.\nIt's second."),
@@ -68,3 +70,23 @@ def test_running_values(spark):
     for n in range(len(values) + 1):
         row = spark.range(1).select(running_sums(F.array(*map(F.lit, values[:n])).cast("array<int>")).alias("s"), running_least(F.array(*map(F.lit, values[:n])).cast("array<int>")).alias("m")).first()
         assert row["s"] == [sum(values[: i + 1]) for i in range(n)] and row["m"] == [min(values[: i + 1]) for i in range(n)]
+
+
+def test_trees_read_the_same_text():
+    for source, text in CASES:
+        assert "\r" in (source or "") or Tree(source or "").raw_text() == text
+    assert Tree("foo</div>bar").raw_text() == "foobar" and Tree("a</p>b").raw_text() == "a\nb"
+
+
+DEEP = {
+    "spans": "<span>x" * 120_000, "items": "<ul><li>" + "<div>" * 60_000 + "<li></li>" * 40_000, "bodies": "<body>" * 160_000, "paragraphs": "<p>" + "<i>" * 100_000 + "<p>" * 100_000,
+    "siblings": "<b></b>" * 140_000, "hidden": "<div hidden>a b c" * 60_000, "attributes": "<p " + "a=1 " * 250_000 + ">", "names": "<p id=a>" * 110_000,
+}
+
+
+@pytest.mark.parametrize("name", [*HOSTILE, *DEEP])
+def test_trees_of_a_megabyte_take_linear_time(name):
+    began = time.monotonic()
+    tree = Tree({**HOSTILE, **DEEP}[name])
+    tree.raw_text(), tree.inline_scripts(), SourcePage(tree).rows(), tree.find("body > b:nth-of-type(77) > i")
+    assert time.monotonic() - began < 10
