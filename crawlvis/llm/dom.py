@@ -8,10 +8,13 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_left
 from dataclasses import dataclass, field
 
 import numpy as np
 
+from crawlvis.functions import markup
+
 # HTML elements by how they are parsed.
 RAW = ("script", "style", "template", "iframe", "textarea", "title")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -25,12 +28,13 @@ ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("td", "th"
 # What an ended element must not be looked for beyond.
 BOUNDS = {"li": ("ul", "ol", "menu", "nav"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "tbody": ("table",), "tfoot": ("table",), "option": ("datalist",)}
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>|<(" + "|".join(RAW) + r")\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>(?:(?<=/>)|.*?(?:</\1\s*>|(?=<body\b)|$))"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
-    re.S | re.I,
-)
-ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+INSIDE = markup.attributes(r"\Z")
+#: A piece of a source: a comment, what is neither tag nor text, or a tag with its slash, name and attributes. None goes back.
+PIECE = re.compile(rf"<!--(?:-?>|(?s:.*?)(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|</(?:>|[^a-zA-Z>][^>]*+(?:>|\Z))|<(/?)([a-zA-Z][^\t\n\f\r />]*+)({INSIDE})(>|\Z)")
+RAW_END = re.compile(rf"(?i)</({'|'.join(RAW)})(?={markup.APART})")
+BODY = re.compile(rf"(?i)<body(?={markup.APART})")
+ATTRIBUTE = re.compile(markup.attribute(r"\Z"))
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SPACE = re.compile(r"[\t-\r \x85\xa0  -     　﻿]+")
 SEPARATOR = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[0-9])")
 
@@ -66,54 +70,100 @@ class Node:
     label: bool = False  # for training: whether it holds main text
 
 
+class _Open:
+    """What is open: nodes with their tags, and of each tag where the last one stands, so that none is looked for along the way."""
+
+    def __init__(self):
+        self.stack: list[tuple[int, str]] = [(0, "html")]
+        self.depths: dict[str, list[int]] = {}
+
+    def deepest(self, tags) -> int:
+        return max((self.depths[t][-1] for t in tags if self.depths.get(t)), default=0)
+
+    def push(self, node: int, tag: str) -> None:
+        self.depths.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((node, tag))
+
+    def cut(self, depth: int) -> None:
+        """Ends what stands at ``depth`` and in it."""
+        while depth and len(self.stack) > depth:
+            self.depths[self.stack.pop()[1]].pop()
+
+    def end(self, tags, bounds=()) -> None:
+        """Ends the innermost of ``tags``, if none of ``bounds`` lies in it."""
+        depth = self.deepest(tags)
+        if depth > self.deepest(bounds):
+            self.cut(depth)
+
+
 def parse(page: str) -> list[Node]:
-    """The page's nodes in page order; the first is the root. Never fails: what can't be a tag is text.
+    """The page's nodes in page order; the first is the root. Never fails, and takes time in proportion to the page.
 
-    A button or list of options that a page leaves open ends at the next block.
+    What can't be a tag is text. A quote opens a value only behind ``=``. A slash closes no element of code: it goes on to its end
+    tag, or, where it has none, to the body or the end of the page, unless its slash may stand for that. A
+    button or list of options that a page leaves open ends at the next block.
     """
     small = page.lower()
     left_open = tuple(t for t in ("button", "select") if small.count(f"<{t}") > small.count(f"</{t}"))
+    ends: dict[str, list[int]] = {t: [] for t in RAW}
+    for m in RAW_END.finditer(page):
+        ends[m[1].lower()].append(m.start())
+    bodies, last_section = [m.start() for m in BODY.finditer(page)], page.rfind("]]>")
     nodes = [Node("html", -1, 0, ())]
-    stack, in_link, at = [(0, "html")], 0, 0
+    open_, in_link, at = _Open(), 0, 0
 
     def text(piece: str) -> None:
         if piece:
-            node = nodes[stack[-1][0]]
+            node = nodes[open_.stack[-1][0]]
             piece = entities.unescape(piece) if "&" in piece else piece
             node.parts.append(piece)
             if in_link:
                 node.linked += len(piece)
 
-    def end(tags: tuple[str, ...], bounds: tuple[str, ...]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][1] in tags:
-                del stack[i:]
-                return
-            if stack[i][1] in bounds:
-                return
+    def after(places: list[int], begin: int) -> int | None:
+        i = bisect_left(places, begin)
+        return places[i] if i < len(places) else None
 
-    for m in TOKEN.finditer(page):
-        text(page[at : m.start()])
+    while at < len(page):
+        begin = page.find("<", at)
+        m = PIECE.match(page, begin) if begin >= 0 else None
+        if begin < 0:
+            text(page[at:])
+            break
+        if m is None:
+            follows = page.find("<", begin + 1)
+            text(page[at : follows if follows >= 0 else len(page)])
+            at = follows if follows >= 0 else len(page)
+            continue
+        text(page[at:begin])
         at = m.end()
-        name = m[4]
-        if name is None:
-            if m[1] is None and m[0].startswith("<![CDATA["):
-                text(m[0][9:-3])
+        if m[2] is None:
+            if page.startswith("<![CDATA[", begin) and begin < last_section:
+                at = page.index("]]>", begin) + 3
+                text(page[begin + 9 : at - 3])
+            continue
+        if not m[4]:
+            break  # a tag that the page ends in is none
+        name = m[2].lower()
+        if name in ends and not m[1]:
+            closed = after(ends[name], at)
+            if closed is not None:
+                at = closed  # its end tag is a piece of its own
+            elif not m[3].endswith("/"):
+                body = after(bodies, at)
+                at = len(page) if body is None else body
+        elif name in ends:
             continue
-        name = name.lower()
-        if name == "br":
+        elif name == "br":
             text(" ")
         elif name == "a":
-            in_link = 0 if m[3] else 1
+            in_link = 0 if m[1] else 1
         elif name in INLINE or name in VOID and name != "hr":
             continue
-        elif m[3]:
+        elif m[1]:
             if name in ("html", "body"):
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][1] == name:
-                    del stack[i:]
-                    break
+            open_.cut(open_.deepest((name,)))
             in_link = 0
         elif name == "html":
             continue
@@ -121,37 +171,36 @@ def parse(page: str) -> list[Node]:
             in_link = 0
             if name in CLOSES_P:
                 if left_open:
-                    end(left_open, ())
-                end(("p",), ("td", "th", "li", "div", "section", "article", "body", "blockquote", "table"))
-                if re.fullmatch("h[1-6]", name):
-                    end(("h1", "h2", "h3", "h4", "h5", "h6"), tuple(t for _, t in stack[-1:] if not re.fullmatch("h[1-6]", t)))
+                    open_.end(left_open)
+                open_.end(("p",), ("td", "th", "li", "div", "section", "article", "body", "blockquote", "table"))
+                if name in HEADINGS and open_.stack[-1][1] in HEADINGS:
+                    open_.cut(len(open_.stack) - 1)
             if name in ENDS:
-                end(ENDS[name], BOUNDS[name])
+                open_.end(ENDS[name], BOUNDS[name])
             if name == "hr":
-                nodes[stack[-1][0]].parts.append(None)
+                nodes[open_.stack[-1][0]].parts.append(None)
                 continue
-            if name == "body" and any(t == "body" for _, t in stack):
+            if name == "body" and open_.depths.get("body"):
                 continue
-            parent = stack[-1][0]
-            words, hidden = _told(m[5]) if m[5] and "=" in m[5] else ((), bool(m[5]) and bool(re.search(r"(?i)\bhidden\b", m[5])))
-            node = Node(name, parent, nodes[parent].depth + 1, words, hidden)
+            parent = open_.stack[-1][0]
+            node = Node(name, parent, nodes[parent].depth + 1, *_told(m[3]))
             nodes[parent].children.append(len(nodes))
             nodes[parent].parts.append(len(nodes))
-            stack.append((len(nodes), name))
+            open_.push(len(nodes), name)
             nodes.append(node)
-    text(page[at:])
     return nodes
 
 
 def _told(attributes: str) -> tuple[tuple[int, ...], bool]:
-    kinds, hidden = [], bool(re.search(r"(?i)\bhidden\b(?!\s*=)", attributes))
-    for name, *values in ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
+    """The kinds that an element's attributes tell of, and whether they hide it."""
+    kinds, hidden = [], False
+    for m in ATTRIBUTE.finditer(attributes):
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id", "itemprop"):
             kinds += [WORD_KIND[w] for w in SEPARATOR.split(value) if w in WORD_KIND]
         elif name == "role" and value in ROLES:
             kinds.append(KINDS.index(ROLES[value]))
-        elif name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+        elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             hidden = True
     return tuple(kinds), hidden
 
