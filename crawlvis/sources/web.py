@@ -7,19 +7,20 @@ import ipaddress
 import socket
 import ssl
 import time
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
 
 from crawlvis.functions.net import BLOCKED_V4
 from crawlvis.operators.responses import FETCH_MS, MAX_BODY_BYTES, MAX_REDIRECTS, REDIRECTS
 
-SCHEMA = "requested_url string, final_url string, status int, content_type string, bytes long, html string, redirects array<string>, duration_ms long, error_type string"
+SCHEMA = "requested_url string, host string, final_url string, status int, content_type string, bytes long, html string, redirects array<string>, duration_ms long, error_type string"
 BLOCKED = [ipaddress.ip_network(f"{base}/{bits}") for base, bits in BLOCKED_V4]
-#: Addresses that a partition of the data source asks for, one after another.
+#: Addresses of a host that a partition of the data source asks for, one after another.
 URLS_PER_PARTITION = 20
 
 
@@ -48,16 +49,38 @@ def _asked(parts, address: str, agent: str, timeout: float) -> http.client.HTTPR
     return link.getresponse()
 
 
-def fetch(url: str, agent: str, budget_ms: int = FETCH_MS, allow_local: bool = False) -> tuple:
+def resolved(host: str) -> list[str]:
+    """The addresses of a host, those of IPv4 first."""
+    return sorted({a[4][0].partition("%")[0] for a in socket.getaddrinfo(host, None)}, key=lambda a: ":" in a)
+
+
+class Names:
+    """Addresses of hosts, each looked up once; a failure is kept as well."""
+
+    def __init__(self, lookup: Callable[[str], list[str]] = resolved):
+        self.lookup, self.known = lookup, {}
+
+    def __call__(self, host: str) -> list[str]:
+        if host not in self.known:
+            try:
+                self.known[host] = self.lookup(host)
+            except OSError as error:
+                self.known[host] = error
+        if isinstance(self.known[host], OSError):
+            raise self.known[host]
+        return self.known[host]
+
+
+def fetch(url: str, agent: str, budget_ms: int = FETCH_MS, allow_local: bool = False, names: Callable[[str], list[str]] = resolved, wanted: Callable[[int], bool] = lambda status: True) -> tuple:
     """One response as a row; what goes wrong is its error_type.
 
     Every hop's addresses are checked before it is asked, and it is asked at one that was checked. All hops and the
-    body share one budget of time.
+    body share one budget of time. The body of a response whose status isn't ``wanted`` is not read.
     """
     began, redirects, at = time.monotonic(), [], url
 
     def row(status=None, kind=None, body=b"", error=None):
-        return url, at, status, kind, len(body), body.decode("utf-8", "replace"), redirects, int((time.monotonic() - began) * 1000), error
+        return url, host_of(url), at, status, kind, len(body), body.decode("utf-8", "replace"), redirects, int((time.monotonic() - began) * 1000), error
 
     def left() -> float:
         rest = budget_ms / 1000 - (time.monotonic() - began)
@@ -70,7 +93,7 @@ def fetch(url: str, agent: str, budget_ms: int = FETCH_MS, allow_local: bool = F
             parts = urlsplit(at)
             if parts.scheme not in ("http", "https") or not parts.hostname:
                 return row(error="ssrf_blocked" if parts.scheme not in ("http", "https") else "dns_or_network")
-            found = sorted({a[4][0].partition("%")[0] for a in socket.getaddrinfo(parts.hostname, None)}, key=lambda a: ":" in a)
+            found = names(parts.hostname)
             if not found or not allow_local and any(is_private(ipaddress.ip_address(a)) for a in found):
                 return row(error="ssrf_blocked" if found else "dns_or_network")
             with _asked(parts, found[0], agent, left()) as answer:
@@ -82,7 +105,7 @@ def fetch(url: str, agent: str, budget_ms: int = FETCH_MS, allow_local: bool = F
                     at = urljoin(at, target)
                     continue
                 body = b""
-                while len(body) < MAX_BODY_BYTES and (piece := answer.read1(min(65536, MAX_BODY_BYTES - len(body)))):
+                while wanted(answer.status) and len(body) < MAX_BODY_BYTES and (piece := answer.read1(min(65536, MAX_BODY_BYTES - len(body)))):
                     body += piece
                     left()
                 return row(answer.status, answer.headers.get("content-type"), body)
@@ -92,38 +115,73 @@ def fetch(url: str, agent: str, budget_ms: int = FETCH_MS, allow_local: bool = F
             return row(error="dns_or_network")
 
 
+def host_of(url: str) -> str | None:
+    """The host that an address names; null where it can't be read."""
+    try:
+        return urlsplit(url).hostname
+    except ValueError:
+        return None
+
+
 def fetched(requests: DataFrame, *, allow_local: bool = False) -> DataFrame:
     """The responses of a table of url and agent, asked for where its rows lie: partitions of the table are the scans that run at once."""
     names = [part.split()[0] for part in SCHEMA.split(", ")]
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known = Names()
         for batch in batches:
             for url, agent in zip(batch.url, batch.agent, strict=True):
-                yield pd.DataFrame([fetch(url, agent, allow_local=allow_local)], columns=names)
+                yield pd.DataFrame([fetch(url, agent, allow_local=allow_local, names=known)], columns=names)
 
     return requests.select("url", "agent").mapInPandas(ask, SCHEMA)
 
 
-class _Urls(InputPartition):
-    def __init__(self, urls: list[str]):
-        self.urls = urls
-
+@dataclass
+class Asked(InputPartition):
+    """Addresses of one host."""
 
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.options = options
+    urls: list[str]
 
-    def partitions(self):
-        urls = [u for u in self.options["urls"].split("\n") if u]
-        return [_Urls(urls[i : i + URLS_PER_PARTITION]) for i in range(0, len(urls), URLS_PER_PARTITION)]
 
-    def read(self, partition):
+class Reader(DataSourceReader):
+    def __init__(self, options: dict):
+        self.urls = [u for u in options["urls"].split("\n") if u]
+        self.agent, self.allow_local = options.get("agent", "GPTBot/1.0"), options.get("allowLocal", "false") == "true"
+        self.statuses: list[list[int]] = []
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        """Hosts that aren't wanted aren't asked, and of responses with other statuses no body is read. What isn't pushed goes back to Spark."""
+        for f in filters:
+            column, values = getattr(f, "attribute", ()), [f.value] if isinstance(f, EqualTo) else f.value if isinstance(f, In) else None
+            if values is not None and column == ("host",):
+                self.urls = [u for u in self.urls if host_of(u) in values]
+            elif values is not None and column == ("status",):
+                self.statuses.append(list(values))
+            else:
+                yield f
+
+    def wanted(self, status: int | None) -> bool:
+        return all(status in values for values in self.statuses)
+
+    def partitions(self) -> list[Asked]:
+        hosts: dict[str | None, list[str]] = {}
+        for u in self.urls:
+            hosts.setdefault(host_of(u), []).append(u)
+        return [Asked(urls[i : i + URLS_PER_PARTITION]) for urls in hosts.values() for i in range(0, len(urls), URLS_PER_PARTITION)] or [Asked([])]
+
+    def read(self, partition: Asked) -> Iterator[tuple]:
+        names = Names()
         for url in partition.urls:
-            yield fetch(url, self.options.get("agent", "GPTBot/1.0"), allow_local=self.options.get("allowLocal", "false") == "true")
+            row = fetch(url, self.agent, allow_local=self.allow_local, names=names, wanted=self.wanted)
+            if self.wanted(row[3]):
+                yield row
 
 
 class GuardedHttp(DataSource):
-    """Options: urls, one on each line; agent; allowLocal."""
+    """Options: urls, one on each line; agent; allowLocal. A partition holds addresses of one host, which it looks up once.
+
+    With ``spark.sql.python.filterPushdown.enabled``, equalities of host and status go to the source.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -132,5 +190,5 @@ class GuardedHttp(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+    def reader(self, schema) -> Reader:
+        return Reader(self.options)
