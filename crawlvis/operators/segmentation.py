@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from crawlvis.sources.html import SILENT, Tree, count_words
+from crawlvis.sources.html import BLOCKS, SILENT, SPACE, Tree, count_words
 from crawlvis.sources.shared import spread
 
 # Elements by their part in a page, least heights, and how much is kept.
@@ -36,6 +36,9 @@ BOX = "struct<x:bigint,y:bigint,width:bigint,height:bigint>"
 FLAGS = "struct<has_canvas:boolean,canvas_dominant:boolean,has_iframe:boolean,iframe_dominant:boolean,iframe_src:string,has_table:boolean,img_count:bigint,img_without_alt_count:bigint,image_dominant:boolean>"
 LINKS = "array<struct<href:string,is_client_route:boolean>>"
 OUT = f"kind string, region_ord long, selector string, name string, text string, box {BOX}, flags {FLAGS}, links {LINKS}"
+TEXTS = "array<struct<at:bigint,text:string,seen:boolean,breaks:boolean>>"
+#: Nodes that are handed over together.
+NODES_PER_BATCH = 10_000
 #: The width of a page without captured boxes.
 WIDTH = 1280
 
@@ -61,6 +64,10 @@ class Page:
     def hidden_text(self, i: int) -> str:
         return self.text(i).strip()
 
+    def told(self, i: int) -> str:
+        """The text that names are taken from: what shows of a node, all that it holds if nothing shows."""
+        return (self.text(i) if self.shown[i] else self.hidden_text(i)).strip()
+
     def filled(self, i: int) -> bool:
         """Whether any text shows of a node that shows itself."""
         return bool(self.text(i).strip())
@@ -140,10 +147,10 @@ class Page:
         label = self.attributes[i].get("aria-label", "").strip()
         if not label and self.attributes[i].get("aria-labelledby"):
             wanted = self.attributes[i]["aria-labelledby"].split()[:1]
-            label = next((self.text(j).strip() for j, a in enumerate(self.attributes) if wanted and a.get("id") == wanted[0]), "")
+            label = next((self.told(j) for j, a in enumerate(self.attributes) if wanted and a.get("id") == wanted[0]), "")
         for names in (HEADINGS, CAPTIONS):
             found = [] if label else self.below(i, names)[:1]
-            label = label or (self.text(found[0]).strip() if found else "")
+            label = label or (self.told(found[0]) if found else "")
         return label[:NAME_LENGTH] if label else NAMES.get(self.tags[i], f"Section {number}")
 
     def flags(self, i: int) -> dict:
@@ -190,7 +197,7 @@ class Page:
 
 
 class RenderedPage(Page):
-    """A page of captured nodes: node_id in document order, parent_id, tag, attrs, x, y, width, height, text (as rendered, with what is below), hidden."""
+    """A page of captured nodes: node_id in document order, parent_id, tag, attrs, x, y, width, height, hidden, and either text (as rendered, with what is below) or texts (their own, with places)."""
 
     def __init__(self, nodes: pd.DataFrame):
         nodes = nodes.sort_values("node_id")
@@ -202,10 +209,36 @@ class RenderedPage(Page):
                 last[parents[i]] = max(last[parents[i]], last[i])
         boxes = nodes[["x", "y", "width", "height"]].to_numpy(dtype=np.float64)
         super().__init__([t.lower() for t in nodes.tag], parents, last, [dict(a) if a is not None else {} for a in nodes["attrs"]], boxes, nodes.hidden.fillna(False).astype(bool).to_numpy())
-        self.texts = [t or "" for t in nodes.text]
+        self.whole = [t or "" for t in nodes.text] if "text" in nodes else None
+        if self.whole is None:
+            self._place([list(t) if t is not None else [] for t in nodes.texts])
+
+    def _place(self, own: list[list]) -> None:
+        """Own texts in the page's order, and of each node the range of those in it."""
+        self.pieces = sorted(((t["at"], t) for some in own for t in some), key=lambda x: x[0])
+        place = {at: n for n, (at, _) in enumerate(self.pieces)}
+        self.first = [min((place[t["at"]] for t in some), default=len(place)) for some in own]
+        self.end = [max((place[t["at"]] + 1 for t in some), default=0) for some in own]
+        for i in range(len(own) - 1, 0, -1):
+            if self.parents[i] >= 0:
+                self.first[self.parents[i]], self.end[self.parents[i]] = min(self.first[self.parents[i]], self.first[i]), max(self.end[self.parents[i]], self.end[i])
+        self.seen_before = np.concatenate(([0], np.cumsum([bool(t["seen"] and t["text"].strip()) for _, t in self.pieces], dtype=np.int64)))
+
+    def filled(self, i: int) -> bool:
+        if self.whole is not None:
+            return super().filled(i)
+        return self.first[i] < self.end[i] and bool(self.seen_before[self.end[i]] > self.seen_before[self.first[i]])
 
     def text(self, i: int) -> str:
-        return self.texts[i]
+        if self.whole is not None:
+            return self.whole[i]
+        shown = "".join(("\n" if t["breaks"] else "") + t["text"] for _, t in self.pieces[self.first[i] : self.end[i]] if t["seen"])
+        return "\n".join(line for line in (SPACE.sub(" ", x).strip(" ") for x in shown.split("\n")) if line)
+
+    def hidden_text(self, i: int) -> str:
+        if self.whole is not None:
+            return super().hidden_text(i)
+        return "".join(t["text"] for _, t in self.pieces[self.first[i] : self.end[i]]).strip()
 
 
 class SourcePage(Page):
@@ -234,6 +267,19 @@ class SourcePage(Page):
     def text(self, i: int) -> str:
         return self.tree.shown(i, self.gone)
 
+    def own_texts(self) -> list[list[dict]]:
+        """Each node's own texts: their place on the page, whether they show, and whether a block begins or ends ahead of them."""
+        found: list[list[dict]] = [[] for _ in self.tags]
+        breaks = False
+        for kind, i in self.tree.events:
+            if kind == "text":
+                node = self.tree.text_nodes[i]
+                found[node].append({"at": i, "text": self.tree.texts[i], "seen": bool(self.shown[node]) and node not in self.tree.ahead, "breaks": breaks})
+                breaks = False
+            else:
+                breaks = breaks or self.tags[i] in BLOCKS
+        return found
+
     def hidden_text(self, i: int) -> str:
         return self.tree.text_of(i).strip()
 
@@ -252,19 +298,25 @@ def segmented(nodes: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def source_nodes(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:
-    """The nodes of sources as ``segmented`` takes them, with the boxes that stand in for captured ones."""
+    """The nodes of sources as ``segmented`` and ``operators.regions`` take them, with the boxes that stand in for captured ones and their own texts alone."""
     kind = dict(pages.dtypes)[key]
-    names = [key, "node_id", "parent_id", "tag", "attrs", "x", "y", "width", "height", "text", "hidden"]
+    names = [key, "node_id", "parent_id", "last_id", "tag", "attrs", "x", "y", "width", "height", "hidden", "texts"]
 
     def nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
         for batch in batches:
             for page_id, source in zip(batch[key], batch[html], strict=True):
                 page = SourcePage(Tree(source or ""))
-                boxes = zip(page.x.tolist(), page.y.tolist(), page.width.tolist(), page.height.tolist(), strict=True)
-                rows = [(page_id, i, int(page.parents[i]), page.tags[i], page.attributes[i], *box, page.text(i), bool(page.hidden[i])) for i, box in enumerate(boxes)]
-                yield pd.DataFrame(rows, columns=names)
-
-    return spread(pages.select(key, html)).mapInPandas(nodes, f"{key} {kind}, node_id long, parent_id long, tag string, attrs map<string,string>, x double, y double, width double, height double, text string, hidden boolean")
+                columns = (page.parents, page.last, page.tags, page.attributes, page.x, page.y, page.width, page.height, page.hidden, page.own_texts())
+                for i, (parent, last, tag, attributes, *box, hidden, own) in enumerate(zip(*(x.tolist() if isinstance(x, np.ndarray) else x for x in columns), strict=True)):
+                    rows.append((page_id, i, parent, last, tag, attributes, *box, hidden, own))
+                    if len(rows) == NODES_PER_BATCH:
+                        yield pd.DataFrame(rows, columns=names)
+                        rows.clear()
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
+
+    return spread(pages.select(key, html)).mapInPandas(nodes, f"{key} {kind}, node_id long, parent_id long, last_id long, tag string, attrs map<string,string>, x double, y double, width double, height double, hidden boolean, texts {TEXTS}")
 
 
 CONTAINER = "struct<present:boolean,empty:boolean,words:bigint>"

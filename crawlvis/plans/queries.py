@@ -11,15 +11,15 @@ from crawlvis.functions import net, urls
 from crawlvis.functions import text as T
 from crawlvis.functions.fence import fenced
 from crawlvis.operators import admission, events, history, pages, reporting, responses, robots, scoring, segmentation
-from crawlvis.plans import fixtures, oracle, scan, state_queries, web_queries
+from crawlvis.plans import fixtures, oracle, region_queries, scan, state_queries, web_queries
 from crawlvis.sources import html as trees
 from crawlvis.sources.shared import spread
 from crawlvis.sources.tables import jpeg_dimensions, parsed_result, table
 from crawlvis.streaming import scans as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {**web_queries.QUERIES, **state_queries.QUERIES}
-ORACLE_SQL: dict[str, str] = {**oracle.SQL, **web_queries.SQL, **state_queries.SQL}
+QUERIES: dict[str, Query] = {**web_queries.QUERIES, **state_queries.QUERIES, **region_queries.QUERIES}
+ORACLE_SQL: dict[str, str] = {**oracle.SQL, **web_queries.SQL, **state_queries.SQL, **region_queries.SQL}
 
 
 def query(function: Query) -> Query:

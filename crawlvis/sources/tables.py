@@ -10,6 +10,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from crawlvis.sources.shared import written
+from crawlvis.sources.store import Store
+
 BOX = "struct<x:double,y:double,width:double,height:double>"
 RESULT = (
     f"struct<url:string,finalUrl:string,scannedAt:string,score:double,regions:array<struct<selector:string,name:string,status:string,issueType:string,coverage:double,"
@@ -105,16 +108,23 @@ def screenshots(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.regexp_extract("path", r"([^/]+)\.jpg$", 1).alias("scan_id"), F.col("content").alias("data"))
 
 
-def save_screenshots(captures: DataFrame, path: str) -> DataFrame:
-    """scan_id, saved: appends the captures (scan_id, data) that are readable JPEG files to a table of screenshots.
+def save_screenshots(captures: DataFrame, store: Store) -> DataFrame:
+    """scan_id, saved: adds the captures (scan_id, version, data) that are readable JPEG files to a store by safe id, where the newest version counts.
 
-    What isn't one is left out and told so; it never fails a scan.
+    What isn't one, or has no id that a file could be named by, is left out and told so; it never fails a scan.
     """
-    judged = captures.select("scan_id", "data", jpeg_dimensions(F.col("data"))["width"].isNotNull().alias("saved"))
-    judged.where("saved").select("scan_id", "data").write.mode("append").parquet(path)
+    name = safe_id(F.col("scan_id"))
+    good = (F.coalesce(name, F.lit("")) != "") & jpeg_dimensions(F.col("data"))["width"].isNotNull()
+    judged = written(captures.select("scan_id", name.alias("file"), "version", "data", good.alias("saved")), "screenshots")
+    store.append(judged.where("saved").select(F.col("file").alias("scan_id"), "version", "data"))
     return judged.select("scan_id", "saved")
 
 
+def screenshot_store(spark: SparkSession) -> Store:
+    """An empty store of screenshots by safe id."""
+    return Store.made(spark.createDataFrame([], "scan_id string, version long, data binary"), "screenshots")
+
+
 def safe_id(scan_id: Column) -> Column:
     return F.regexp_replace(scan_id, "[^a-zA-Z0-9_-]", "")
 
