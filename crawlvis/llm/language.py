@@ -16,18 +16,24 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from crawlvis.llm.scan import LETTER, ranges, scans
+from crawlvis.llm.store import new_path
 
 #: About how many labelled rows of a language the model is fit on: they are taken by a hash of their id, so the sample is the same each time.
 MAX_ROWS_PER_LANGUAGE = 5_000
 LENGTHS = (5, 4, 3, 2, 1)
+#: Files that a model is dealt over.
+FILES = 8
 #: Log frequency of what a language lacks while another has it.
 MISSING = 0.5
 MIN_SCORE = 0.5
@@ -172,11 +178,11 @@ def training_sample(docs: DataFrame, *, id_col: str = "doc_id", lang_col: str =
     return labelled.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) < share * (1 << 30)), sorted(rows)
 
 
-def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", max_rows: int = MAX_ROWS_PER_LANGUAGE) -> Fitted:
     """A model from text and language of labelled rows that aren't held out: of rows with a null id none.
 
     Words and n-grams are counted by Spark, which combines the counts of a task before they are dealt by language and
-    string; hash, language and count of each come to the driver. Rows that repeat count again. Without labelled rows,
+    string; hash, language and count of each go to files, dealt by hash, that tasks write and workers read. Rows that repeat count again. Without labelled rows,
     or with empty texts alone, there are no languages.
     """
     sample, languages = training_sample(docs, id_col=id_col, lang_col=lang_col, max_rows=max_rows)
@@ -191,52 +197,81 @@ def fit(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang
     grams = F.flatten(F.array(*[F.when(F.length(marked) >= n, of_length(n)).otherwise(F.array().cast("array<string>")) for n in LENGTHS]))
     counted = words.select("lang", "c", F.explode(grams).alias("w")).where(~F.col("w").isin("\x02", "\x03")).groupBy("lang", "w").agg(F.sum("c").alias("c"))  # every word has both marks
 
-    def gathered(table: DataFrame) -> list[np.ndarray]:
-        found = table.select(F.length("w").alias("n"), F.xxhash64("w").alias("h"), "lang", "c").toArrow()
-        return [found[c].to_numpy() for c in ("n", "h", "lang", "c")]
+    entry = lambda table, n: table.select(n.cast("int").alias("n"), F.xxhash64("w").alias("h"), "lang", "c")
+    entries = entry(words, F.lit(0)).unionByName(entry(counted, F.length("w")))
+    path = new_path(docs.sparkSession, "language")
+    entries.repartitionByRange(FILES, "n", "h").write.parquet(path)
+    files = sorted(docs.sparkSession.read.parquet(path).inputFiles())
+    for file in files:
+        docs.sparkSession.sparkContext.addFile(file)
+    return Fitted(tuple(f.rsplit("/", 1)[1] for f in files), tuple(languages))
 
-    _, h, lang, c = gathered(words)
+
+@dataclass(frozen=True)
+class Fitted:
+    """A model in files of the shared folder, which every executor fetches once: tasks wrote them, and the driver has only their names."""
+
+    files: tuple[str, ...]
+    labelled: tuple[str, ...]
+
+    def load(self) -> Model:
+        return _loaded(self.files, self.labelled)
+
+    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+        return self.load().predict(texts)
+
+    @property
+    def languages(self) -> list[str]:
+        return self.load().languages
+
+    @property
+    def grams(self) -> dict[int, Lexicon]:
+        return self.load().grams
+
+
+@lru_cache(maxsize=2)
+def _loaded(files: tuple[str, ...], labelled: tuple[str, ...]) -> Model:
+    """The model of a process's own, read from the files that its executor fetched."""
+    tables = [pq.read_table(SparkFiles.get(f), partitioning=None) for f in files]
+    n, h, lang, c = (np.concatenate([t[name].to_numpy() for t in tables] or [np.zeros(0, dtype=np.int64)]) for name in ("n", "h", "lang", "c"))
     # A language of empty texts alone is none.
     there = np.unique(lang)
-    names, n_langs = [languages[i] for i in there], len(there)
+    names, n_langs = [labelled[i] for i in there], len(there)
     lang = np.searchsorted(there, lang)
     # As many of a new text's words are unknown as words that occur once are of the sample's.
-    totals = np.bincount(lang, weights=c, minlength=n_langs)
-    again = np.bincount(lang, weights=c * (c > 1), minlength=n_langs)
-    n, gh, glang, gc = gathered(counted)
-    glang = np.searchsorted(there, glang)
-    lexicon = lambda h, lang, c: Lexicon.of(h.view(np.uint64), lang, c, n_langs)
-    parts = {k: lexicon(gh[n == k], glang[n == k], gc[n == k]) for k in LENGTHS}
-    return Model(names, lexicon(h, lang, c), parts, again / np.maximum(totals, 1))
+    word = n == 0
+    totals = np.bincount(lang[word], weights=c[word], minlength=n_langs)
+    again = np.bincount(lang[word], weights=c[word] * (c[word] > 1), minlength=n_langs)
+    lexicon = lambda some: Lexicon.of(h[some].view(np.uint64), lang[some], c[some], n_langs)
+    return Model(names, lexicon(word), {k: lexicon(n == k) for k in LENGTHS}, again / np.maximum(totals, 1))
 
 
-def predictions(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def predictions(docs: DataFrame, model: Fitted, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row, from its whole text alone.
 
     A null text, or one without a letter, is ``und`` with score 0, as is any text if the model knows no language.
     Equal languages go to the first by name. Rows that repeat are predicted again.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = dict(docs.dtypes)[id_col]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lang, score = zip(*shared.value.predict([t or "" for t in batch.column(1).to_pylist()]), strict=True) if len(batch) else ((), ())
+            lang, score = zip(*model.load().predict([t or "" for t in batch.column(1).to_pylist()]), strict=True) if len(batch) else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(predict, f"doc_id {kind}, lang_pred string, score double")
 
 
-def kept_documents(docs: DataFrame, model: Model, *, text_col: str = "text", least: float = MIN_SCORE) -> DataFrame:
+def kept_documents(docs: DataFrame, model: Fitted, *, text_col: str = "text", least: float = MIN_SCORE) -> DataFrame:
     """The rows of ``docs`` whose text is in a language of the model, with a score of at least ``least``.
 
     Null and empty texts go; rows that repeat stay or go together, and all columns stay as they are.
     """
-    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+    at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = shared.value.judged([t or "" for t in batch.column(at).to_pylist()])
+            found = model.load().judged([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([fits and score >= least for _, score, fits in found], pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
