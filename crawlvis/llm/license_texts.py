@@ -16,6 +16,34 @@ NOTICES = (
     ("licensed under the bsd 3 clause license", "bsd-3"),
     ("subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("all rights reserved", "all-rights-reserved"),
+    ("not all rights reserved", ""),
+    ("licensed under a creative commons attribution noncommercial sharealike 4 0 international license", "cc-by-nc-sa"),
+    ("licensed under a creative commons attribution noncommercial noderivatives 4 0 international license", "cc-by-nc-nd"),
+    ("licensed under a creative commons attribution noderivatives 4 0 international license", "cc-by-nd"),
+    ("licensed under cc by 4 0", "cc-by"),
+    ("licensed under cc by sa 4 0", "cc-by-sa"),
+    ("licensed under cc by nc sa 4 0", "cc-by-nc-sa"),
+    ("the mit license mit", "mit"),
+    ("apache license version 2 0 january 2004", "apache-2"),
+    ("gnu general public license version 3 29 june 2007", "gpl-3"),
+    ("gnu general public license version 2 june 1991", "gpl-2"),
+    ("gnu lesser general public license version 3 29 june 2007", "lgpl"),
+    ("gnu affero general public license version 3 19 november 2007", "agpl-3"),
+    ("licensed under the gnu affero general public license", "agpl-3"),
+    ("spdx license identifier mit", "mit"),
+    ("spdx license identifier isc", "isc"),
+    ("spdx license identifier apache 2 0", "apache-2"),
+    ("spdx license identifier gpl 2 0", "gpl-2"),
+    ("spdx license identifier gpl 3 0", "gpl-3"),
+    ("spdx license identifier lgpl", "lgpl"),
+    ("spdx license identifier agpl 3 0", "agpl-3"),
+    ("spdx license identifier bsd 2 clause", "bsd-2"),
+    ("spdx license identifier bsd 3 clause", "bsd-3"),
+    ("spdx license identifier mpl 2 0", "mpl-2"),
+    ("spdx license identifier cc by 4 0", "cc-by"),
+    ("spdx license identifier cc by sa 4 0", "cc-by-sa"),
+    ("spdx license identifier cc by nc 4 0", "cc-by-nc"),
+    ("spdx license identifier cc by nc sa 4 0", "cc-by-nc-sa"),
 )
 
 # License texts, and the notices of a paragraph that licenses ask for. Names and years are left out.

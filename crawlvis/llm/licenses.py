@@ -32,8 +32,10 @@ THRESHOLD = 0.9
 #: Characters between words, and between words of a text whose capitals still stand.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Words of a token; and sizes of templates in words, each of which has windows of its own.
+#: Words of a token; and sizes of templates in words, each of which has windows of its own. Longer templates have sizes of their own, which double.
 TOKEN, SIZES = 3, (16, 64, 512)
+#: The label of templates that name no license, and only take from others what reads like them.
+NONE = ""
 #: What a text may have more of than its template, and still lies in one window for sure.
 ROOM = 1.25
 
@@ -43,22 +45,35 @@ class Template:
     number: int
     label: str
     tokens: tuple[str, ...]  # distinct, in order
-    size: int  # of SIZES
+    size: int
 
     def least(self, threshold: float) -> int:
         """Tokens that a block must share."""
         return max(1, math.ceil(threshold * len(self.tokens) - 1e-9))
 
 
+def size_of(words: int) -> int:
+    """The size of a template of so many words: the least that leaves it some room, doubled from the largest on as often as it takes."""
+    for size in SIZES:
+        if size >= ROOM * words:
+            return size
+    while size < ROOM * words:
+        size *= 2
+    return size
+
+
+def sizes_of(templates: list[Template]) -> list[int]:
+    return sorted({t.size for t in templates})
+
+
 def templates_of(texts=NOTICES + TEXTS) -> list[Template]:
-    """Templates of texts and their labels. A text has at least three words and at most the largest size's, less some room."""
+    """Templates of texts, of three words at least, and their labels."""
     out = []
     for i, (text, label) in enumerate(texts):
         words = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), text))
-        size = next((n for n in SIZES if n >= ROOM * len(words)), None)
-        if size is None or len(words) < TOKEN:
-            raise ValueError(f"a template must have from {TOKEN} to {int(SIZES[-1] / ROOM)} words")
-        out.append(Template(i, label, tuple(dict.fromkeys(" ".join(words[k : k + TOKEN]) for k in range(len(words) - TOKEN + 1))), size))
+        if len(words) < TOKEN:
+            raise ValueError(f"a template must have {TOKEN} words")
+        out.append(Template(i, label, tuple(dict.fromkeys(" ".join(words[k : k + TOKEN]) for k in range(len(words) - TOKEN + 1))), size_of(len(words))))
     return out
 
 
@@ -111,10 +126,8 @@ def candidates(s: str, templates: list[Template], threshold: float) -> Column:
 def blocks_of(templates: list[Template], threshold: float) -> Column:
     """array<struct<size, b>>: the windows of the words in a row ``tri`` that are long enough for a template of their size, as the template tokens that they hold."""
     parts = []
-    for size in SIZES:
+    for size in sizes_of(templates):
         mine = [t for t in templates if t.size == size]
-        if not mine:
-            continue
         known, least = F.expr("array(" + ", ".join(f"'{w}'" for w in sorted({w for t in mine for w in t.tokens})) + ")"), min(t.least(threshold) for t in mine)
         starts = F.sequence(F.lit(1), F.greatest(F.size("tri") + TOKEN - 1 - size, F.lit(1)), F.lit(size))
         held = _held(starts, 2 * size - TOKEN + 1, known)
@@ -198,7 +211,7 @@ def scan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", phr
     measured = split.select("doc_id", F.monotonically_increasing_id().alias("row"), n_words.cast("long").alias("n_words"), phrase_places(F.col("s"), phrases).alias("places"), blocks.alias("blocks"))
     book = written(measured, "licenses")  # one pass over the texts; what follows reads small columns, and row numbers hold
     each = book.select("row", F.posexplode("blocks").alias("block", "x")).select(F.struct("row", "block").alias("key"), "x.size", "x.b")
-    matches = block_matches(each, templates, threshold, frequencies(each, universe))
+    matches = block_matches(each, templates, threshold, frequencies(each, universe)).where(F.col("label") != NONE)
     found = matches.groupBy(F.col("key.row").alias("row")).agg(F.collect_set("label").alias("found"), F.max("containment").alias("most"))
     named = F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"])))
     is_base = F.size("places") > 0

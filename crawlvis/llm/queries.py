@@ -101,7 +101,7 @@ def licenses_sql() -> str:
         f"({t.number}, '{t.label}', {t.size}, {strings(t.tokens)}, {t.least(least)}, CAST([{', '.join(strings(x) for x in licenses.telling(t, templates, least))}] AS VARCHAR[][]), CAST([{', '.join(str(u.number) for u in licenses.fuller(t, templates, least))}] AS INTEGER[]))"
         for t in templates
     )
-    sizes = ", ".join(f"({n})" for n in licenses.SIZES)
+    sizes = ", ".join(f"({n})" for n in licenses.sizes_of(templates))
     phrases = ", ".join(f"([{', '.join(repr(w) for w in p.split())}], '{label}')" for p, label in licenses.PHRASES)
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -116,7 +116,7 @@ l AS (SELECT doc_id, size, unnest(list_transform(range(1, 1 + greatest(len(w) -
 m AS (SELECT doc_id, place, l.size, number, label, fuller, len(list_intersect(tokens, g)) / len(tokens) AS share FROM l JOIN t USING (size)
       WHERE list_has_any(tokens, g) AND len(list_intersect(tokens, g)) >= least AND len(list_filter(telling, lambda x: 2 * len(list_intersect(x, g)) < len(x))) = 0),
 k AS (SELECT doc_id, place, size, list(number) AS numbers FROM m GROUP BY ALL),
-f AS (SELECT doc_id, list_distinct(list(label)) AS found, max(share) AS most FROM m JOIN k USING (doc_id, place, size) WHERE NOT list_has_any(fuller, numbers) GROUP BY doc_id)
+f AS (SELECT doc_id, list_distinct(list(label)) AS found, max(share) AS most FROM m JOIN k USING (doc_id, place, size) WHERE NOT list_has_any(fuller, numbers) AND label <> '' GROUP BY doc_id)
 SELECT w.doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
   array_to_string(list_sort(coalesce(names, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(names, []), coalesce(found, [])))), ',') AS labels,
