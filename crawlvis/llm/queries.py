@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from crawlvis.llm import attribution, audit, codec, disclosure, extraction, language, licenses, manifest, near_duplicates, oracles, packing, quality, topk, warc
-from crawlvis.llm.store import spread
+from crawlvis.llm.store import spread, written
 
 BYTE_VOCABULARY = "byte_bpe_50k.json"
 WORD_VOCABULARY = "word_bpe_49k.json"
@@ -38,6 +39,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failures")
 
 
+def op4_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each version of the policy rejects, alone and beside others, from the bits of one ledger."""
+    book = written(quality.ledger(table(spark, sf_dir, "documents")).select("failures"), "ledger")
+    parts = [quality.ablations(book, version).withColumn("version", F.lit(version)) for version in quality.POLICIES]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return attribution.section_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_VOCABULARY))
 
@@ -90,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_filter_audit": op11_filter_audit,
     "op12_merkle_manifest": op12_merkle_manifest,
     "op13_personal_data": op13_personal_data,
+    "op4_rule_ablations": op4_rule_ablations,
 }
 
 
@@ -174,4 +183,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM f
 """
 
-ORACLE_SQL: dict[str, str] = {"op1_top_k": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_license_scan": licenses_sql(), "op10_warc_round_trip": OP10_SQL, "op11_filter_audit": oracles.OP11_SQL, "op12_merkle_manifest": oracles.manifest_sql(), "op13_personal_data": oracles.personal_sql(disclosure.NEAR, disclosure.LEAST, disclosure.SUPPORT, disclosure.SLACK, disclosure.PREFIXES)}
+_rules = ", ".join(f"({v}, '{r.name}', {1 << r.bit}, {quality.mask(v)})" for v in quality.POLICIES for r in quality.RULES if r.name in quality.POLICIES[v])
+ABLATIONS_SQL = f"""WITH b AS ({OP4_SQL}), r(version, rule, bit, mask) AS (VALUES {_rules})
+SELECT version, rule, count(*) FILTER (failures & bit <> 0) AS n_failed, count(*) FILTER (failures & mask = bit) AS n_only FROM r, b GROUP BY ALL"""
+
+ORACLE_SQL: dict[str, str] = {"op4_rule_ablations": ABLATIONS_SQL, "op1_top_k": OP1_SQL, "op4_quality_rules": OP4_SQL, "op9_license_scan": licenses_sql(), "op10_warc_round_trip": OP10_SQL, "op11_filter_audit": oracles.OP11_SQL, "op12_merkle_manifest": oracles.manifest_sql(), "op13_personal_data": oracles.personal_sql(disclosure.NEAR, disclosure.LEAST, disclosure.SUPPORT, disclosure.SLACK, disclosure.PREFIXES)}
