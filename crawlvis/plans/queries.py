@@ -13,8 +13,9 @@ from crawlvis.functions.fence import fenced
 from crawlvis.operators import admission, events, history, pages, reporting, responses, robots, scoring, segmentation
 from crawlvis.plans import fixtures, oracle, region_queries, scan, state_queries, web_queries
 from crawlvis.sources import html as trees
-from crawlvis.sources.shared import spread
+from crawlvis.sources.shared import new_path, spread
 from crawlvis.sources.tables import jpeg_dimensions, parsed_result, table
+from crawlvis.streaming import delivery, stateful
 from crawlvis.streaming import scans as streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,16 +107,21 @@ def distinctive_tokens(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(words, " ").alias("distinctive"))
 
 
-#: Needles that are handed to every task; more are joined by a shuffle.
-FEW_NEEDLES = 500_000
+#: Needles that are handed to every task; more are joined by a shuffle, in which a needle's documents are dealt over so many tasks.
+FEW_NEEDLES, SALTS = 500_000, 16
 
 
 def _covered(passages, docs, needles, hay):
     """item_id, doc_id, coverage of passages by the documents that have any of their needles (arrays of passages and of documents)."""
     parts = passages.select("item_id", needles.alias("s")).where("size(s) > 0")
     each = parts.select("item_id", F.size("s").alias("n"), F.explode("s").alias("needle")).groupBy("item_id", "n", "needle").agg(F.count("*").alias("times"))
-    each = F.broadcast(each) if (parts.agg(F.sum(F.size("s"))).first()[0] or 0) <= FEW_NEEDLES else each
-    found = docs.select("doc_id", F.explode(F.array_distinct(hay)).alias("needle")).join(each, "needle").groupBy("item_id", "doc_id", "n").agg(F.sum("times").alias("found"))
+    rows, on = docs.select("doc_id", F.explode(F.array_distinct(hay)).alias("needle")), ["needle"]
+    if (parts.agg(F.sum(F.size("s"))).first()[0] or 0) <= FEW_NEEDLES:
+        each = F.broadcast(each)
+    else:
+        each, on = each.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["needle", "salt"]
+        rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
+    found = rows.join(each, on).groupBy("item_id", "doc_id", "n").agg(F.sum("times").alias("found"))
     return found.select("item_id", "doc_id", F.round(F.col("found") / F.col("n"), 9).alias("coverage"))
 
 
@@ -653,7 +659,8 @@ def stream_frames(spark, sf_dir):
     status = F.when(F.col("turn") >= 5, F.lit("done")).otherwise(F.lit("fetching"))
     rows = log.select(F.col("conv_id").alias("scan_id"), (F.col("turn") + 1).cast("long").alias("seq"), status.alias("status"))
     clients = table(spark, sf_dir, "conversations").select("conv_id").distinct().select(F.col("conv_id").alias("client_id"), F.col("conv_id").alias("scan_id"), F.pmod("conv_id", F.lit(3)).cast("long").alias("last_event_id"))
-    return streams.delivered(rows, lambda out: streams.frames_sink(clients, out), "frames").select("client_id", "scan_id", "seq", "frame")
+    with stateful.rocks(spark):
+        return delivery.drained(stateful.delivered(rows, clients), new_path(spark, "frames")).select("client_id", "scan_id", "seq", "frame")
 
 
 @query

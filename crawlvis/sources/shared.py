@@ -64,14 +64,15 @@ def written_bytes(spark: SparkSession, name: str, data: bytes) -> str:
     return place.toString()
 
 
-#: An input below this size, in bytes, comes in so few row groups that most cores would be idle.
-SMALL = 64 << 20
+#: The option that says, in bytes, below which size an input comes in so few row groups that most cores would be idle; and its default.
+SPREAD_BELOW, SMALL = "spark.crawlvis.spreadBelow", 64 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """A small input dealt evenly over all cores, before work that takes long for each row; a larger one as it is."""
+    """A small input dealt evenly over all cores, before work that takes long for each row; a larger one as it is. Rows are the same either way."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
+    least = int(df.sparkSession.conf.get(SPREAD_BELOW, str(SMALL)))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < least else df
 
 
 def ship(spark: SparkSession) -> None:

@@ -48,6 +48,26 @@ def test_streams_equal_batches(spark):
         assert some.sort_values(["ts_ms", "event_id"]).seq.tolist() == list(range(1, len(some) + 1))
 
 
+def test_needles_are_found_on_either_way(spark, monkeypatch):
+    from crawlvis.plans import queries
+
+    rows = lambda: sorted(map(tuple, QUERIES["passage_coverage"](spark, DATA).collect()))
+    handed_out = rows()
+    monkeypatch.setattr(queries, "FEW_NEEDLES", 0)
+    assert rows() == handed_out and handed_out
+
+
+def test_small_inputs_are_dealt_as_the_option_says(spark):
+    from crawlvis.sources.shared import SPREAD_BELOW, spread
+
+    pages = spark.read.parquet(f"{DATA}/pages.parquet")
+    dealt = spread(pages)
+    assert dealt.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    spark.conf.set(SPREAD_BELOW, "0")
+    assert spread(pages) is pages
+    spark.conf.unset(SPREAD_BELOW)
+
+
 def test_parser_and_fast_reader_agree(spark):
     fast = {r["page_id"]: r["raw_text"] for r in QUERIES["raw_text"](spark, DATA).collect()}
     slow = {r["page_id"]: r["raw_text"] for r in QUERIES["parsed_pages"](spark, DATA).collect()}
