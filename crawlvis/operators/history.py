@@ -92,18 +92,23 @@ def _greedy(group: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=[group.columns[0], "prev_ord", "next_ord"])
 
 
+def name_pairs(prev: DataFrame, next_: DataFrame, pair: str = "pair_id") -> DataFrame:
+    """pair, prev_ord, next_ord, similarity of the regions of two scans whose names have a word in common; others are never paired."""
+    words = lambda df, name: df.select(pair, F.col("region_ord").alias(name), F.array_distinct(T.tokens(F.col("name"))).alias("w"))
+    a, b = words(prev, "prev_ord"), words(next_, "next_ord")
+    parts = lambda df, name: df.select(pair, name, F.size("w").alias(f"n_{name}"), F.explode("w").alias("word"))
+    common = parts(a, "prev_ord").join(parts(b, "next_ord"), [pair, "word"]).groupBy(pair, "prev_ord", "next_ord", "n_prev_ord", "n_next_ord").agg(F.count("*").alias("common"))
+    return common.select(pair, "prev_ord", "next_ord", (F.col("common") / (F.col("n_prev_ord") + F.col("n_next_ord") - F.col("common"))).alias("similarity"))
+
+
 def name_matches(prev: DataFrame, next_: DataFrame, pair: str = "pair_id") -> DataFrame:
     """Likeness matches of regions that are left: pair, prev_ord, next_ord. Candidates share a word of their names within a pair.
 
     A scan has few regions, so a pair's candidates fit one task; pairs are dealt over all.
     """
-    words = lambda df, name: df.select(pair, F.col("region_ord").alias(name), F.array_distinct(T.tokens(F.col("name"))).alias("w"))
-    a, b = words(prev, "prev_ord"), words(next_, "next_ord")
-    parts = lambda df, name: df.select(pair, name, F.size("w").alias(f"n_{name}"), F.explode("w").alias("word"))
-    common = parts(a, "prev_ord").join(parts(b, "next_ord"), [pair, "word"]).groupBy(pair, "prev_ord", "next_ord", "n_prev_ord", "n_next_ord").agg(F.count("*").alias("common"))
-    scored = common.withColumn("similarity", F.col("common") / (F.col("n_prev_ord") + F.col("n_next_ord") - F.col("common"))).where(F.col("similarity") >= SIMILAR_NAMES)
     kind = dict(prev.dtypes)[pair]
-    return scored.select(pair, "prev_ord", "next_ord", "similarity").groupBy(pair).applyInPandas(_greedy, f"{pair} {kind}, prev_ord long, next_ord long")
+    scored = name_pairs(prev, next_, pair).where(F.col("similarity") >= SIMILAR_NAMES)
+    return scored.groupBy(pair).applyInPandas(_greedy, f"{pair} {kind}, prev_ord long, next_ord long")
 
 
 def region_changes(prev: DataFrame, next_: DataFrame, pair: str = "pair_id") -> DataFrame:

@@ -514,11 +514,7 @@ def rescan_selector(spark, sf_dir):
 @query
 def rescan_similarity(spark, sf_dir):
     """Likeness of the names of all pairs of regions with a common word."""
-    prev, next_ = _halves(spark, sf_dir)
-    a = prev.select("pair_id", F.col("region_ord").alias("prev_ord"), F.col("name").alias("prev_name"))
-    b = next_.select("pair_id", F.col("region_ord").alias("next_ord"), F.col("name").alias("next_name"))
-    likeness = F.round(history.name_similarity(F.col("prev_name"), F.col("next_name")), 9)
-    return a.join(b, "pair_id").select("pair_id", "prev_ord", "next_ord", likeness.alias("similarity")).where("similarity > 0")
+    return history.name_pairs(*_halves(spark, sf_dir)).withColumn("similarity", F.round("similarity", 9))
 
 
 @query
