@@ -447,3 +447,12 @@ def test_hostile_sources_do_not_exhaust_the_reader(spark):
     cases = ["<p " + "a='b' " * 20_000 + ">y", "<p " + "a'" * 20_001 + ">y", "<" * 50_000, "<div>" * 20_000 + "y", "<script " + "a='b' " * 20_000 + ">x</script>y", "\\ud83d" * 10_000 + "y"]
     rows = spark.createDataFrame([(x,) for x in cases], "h string").select(T.raw_text(F.col("h")).alias("t"), T.unescaped(T.inline_scripts(F.col("h"))).alias("s")).collect()
     assert [r["t"][-1:] for r in rows] == ["y", "y", "<", "y", "y", "y"]
+
+
+def test_pairs_by_words_have_the_likeness_of_their_names(spark):
+    r = random.Random(3)
+    rows = lambda: spark.createDataFrame([(p, i, " ".join(r.choice("Alpha beta GAMMA delta epsilon".split()) for _ in range(r.randint(0, 4)))) for p in range(3) for i in range(12)], "pair_id long, region_ord long, name string")
+    prev, next_ = rows(), rows()
+    every = prev.alias("a").join(next_.alias("b"), "pair_id").select("pair_id", F.col("a.region_ord"), F.col("b.region_ord"), F.round(history.name_similarity(F.col("a.name"), F.col("b.name")), 9).alias("s")).where("s > 0")
+    got = history.name_pairs(prev, next_).withColumn("similarity", F.round("similarity", 9))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, every.collect()))
