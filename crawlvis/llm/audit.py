@@ -45,8 +45,8 @@ def measured(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(part_col).cast("string"), F.lit("")).alias("part"), text.alias("t"))
     words = F.filter(F.split("t", SPLIT), lambda x: x != "")
     rows = fenced(
-        base, ["doc_id", "part"], digest=F.unhex(F.sha2("t", 256)), w=words, n_points=F.length("t"),
-        n_capitals=F.length(F.regexp_replace("t", "[^A-Z]+", "")), n_symbols=F.rlike(F.col("t"), F.lit("[#$%&*|]")).cast("int"),
+        base, ["doc_id", "part"], digest=F.unhex(F.sha2("t", 256)), w=words, n_points=F.length("t").cast("long"),
+        n_capitals=F.length(F.regexp_replace("t", "[^A-Z]+", "")).cast("long"), n_symbols=F.rlike(F.col("t"), F.lit("[#$%&*|]")).cast("int"),
     )
     rows = fenced(rows, ["doc_id", "part", "digest", "n_points", "n_capitals", "n_symbols"], n_words=F.size("w").cast("long"), n_distinct=F.size(F.array_distinct("w")).cast("long"))
     bits = F.lit(0)

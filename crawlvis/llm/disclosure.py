@@ -117,12 +117,13 @@ def forms(term: Column) -> Column:
 
 
 def book(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, digest, spans by kind, and ``near``: the words beside each value, once for each place. Written, so the texts are scanned once for it."""
+    """doc_id, digest, spans by kind, and ``near``: the words beside each value, once for each place, as strings of value, place and word, which are told apart by hashing. Written, so the texts are scanned once for it."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     found = fenced(base, ["doc_id", "t"], digest=F.unhex(F.sha2("t", 256)), **protected(F.col("t")))
     every = F.concat(*[F.transform(k, lambda s, k=k: F.struct(F.xxhash64(F.lit(k), s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
     cut = fenced(found, ["doc_id", "digest", *KINDS], every=every, chunks=F.when(F.size(every) > 0, F.regexp_extract_all(blanked(F.col("t")), F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))))
-    beside = F.flatten(F.transform("every", lambda s: F.transform(nearby(F.col("chunks"), s), lambda w: F.struct(s["entity"].alias("entity"), w["start"].alias("start"), w["value"].alias("term")))))
+    told = lambda s, w: F.concat_ws(" ", s["entity"].cast("string"), w["start"].cast("string"), w["value"])
+    beside = F.flatten(F.transform("every", lambda s: F.transform(nearby(F.col("chunks"), s), lambda w: told(s, w))))
     return written(cut.select("doc_id", "digest", *KINDS, F.array_distinct(beside).alias("near")), "personal")
 
 
@@ -138,7 +139,8 @@ def disclosing(pages: DataFrame, counts: DataFrame, *, support: int = SUPPORT, s
     pages: from ``book``. counts: from ``occurrences``. A value or text that repeats without end is counted by text first, so no task
     holds its rows.
     """
-    near = pages.select("digest", F.explode("near").alias("w")).select("digest", "w.entity", F.explode(forms(F.col("w.term"))).alias("form"))
+    words = pages.select("digest", F.explode("near").alias("w")).withColumn("w", F.split("w", " "))
+    near = words.select("digest", F.get("w", F.lit(0)).alias("entity"), F.explode(forms(F.get("w", F.lit(2)))).alias("form"))
     by_text = near.groupBy("entity", "form", "digest").agg(F.count("*").alias("n"))
     pairs = by_text.groupBy("entity", "form").agg(F.sum("n").alias("n_near"), F.count("*").alias("texts")).where(F.col("texts") >= support)
     most = pairs.groupBy("form").agg(F.max("n_near").alias("n_near"))  # the value that it tells most of

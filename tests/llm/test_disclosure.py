@@ -135,3 +135,12 @@ def test_a_megabyte_takes_linear_time(spark, text):
     assert time.monotonic() - began < 20
     n = Counter(k for k, *_ in base(text)) if text[0] == "a" and "b" in text else None
     assert n is None or row["email"] == n["email"]
+
+
+def test_many_values_in_a_text(spark):
+    """Words beside ten thousands of values of one text, in time that goes with their number."""
+    texts = ["some words a@b.cc more terms +1 (555) 123-4567 " * 8_000, "a@b.cc " * 20_000]
+    began = time.monotonic()
+    rows = disclosure.spans_and_digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["n_email"], r["n_phone"], r["n_terms"]) for r in rows] == [(8_000, 8_000, 0), (20_000, 0, 0)]
+    assert time.monotonic() - began < 90
