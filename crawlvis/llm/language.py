@@ -32,8 +32,8 @@ from crawlvis.llm.store import new_path
 #: About how many labelled rows of a language the model is fit on: they are taken by a hash of their id, so the sample is the same each time.
 MAX_ROWS_PER_LANGUAGE = 5_000
 LENGTHS = (5, 4, 3, 2, 1)
-#: Files that a model is dealt over.
-FILES = 8
+#: Files that a model is dealt over, and rows that are judged together.
+FILES, ROWS = 8, 500
 #: Log frequency of what a language lacks while another has it.
 MISSING = 0.5
 MIN_SCORE = 0.5
@@ -229,11 +229,18 @@ class Fitted:
         return self.load().grams
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _loaded(files: tuple[str, ...], labelled: tuple[str, ...]) -> Model:
     """The model of a process's own, read from the files that its executor fetched."""
-    tables = [pq.read_table(SparkFiles.get(f), partitioning=None) for f in files]
-    n, h, lang, c = (np.concatenate([t[name].to_numpy() for t in tables] or [np.zeros(0, dtype=np.int64)]) for name in ("n", "h", "lang", "c"))
+    columns: dict[str, list[np.ndarray]] = {name: [np.zeros(0, dtype=kind)] for name, kind in (("n", np.int8), ("h", np.int64), ("lang", np.int32), ("c", np.int64))}
+    for file in files:
+        table = pq.read_table(SparkFiles.get(file), partitioning=None, memory_map=True)
+        for name, parts in columns.items():
+            parts.append(table[name].to_numpy().astype(parts[0].dtype))
+        del table
+    n, h, lang, c = (np.concatenate(parts) for parts in columns.values())
+    del columns
+    pa.default_memory_pool().release_unused()
     # A language of empty texts alone is none.
     there = np.unique(lang)
     names, n_langs = [labelled[i] for i in there], len(there)
@@ -246,6 +253,13 @@ def _loaded(files: tuple[str, ...], labelled: tuple[str, ...]) -> Model:
     return Model(names, lexicon(word), {k: lexicon(n == k) for k in LENGTHS}, again / np.maximum(totals, 1))
 
 
+def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches in parts of ``ROWS``, so that few texts at a time are also Python's own."""
+    for batch in batches:
+        for begin in range(0, len(batch), ROWS):
+            yield batch.slice(begin, ROWS)
+
+
 def predictions(docs: DataFrame, model: Fitted, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, lang_pred, score for every row, from its whole text alone.
 
@@ -255,7 +269,7 @@ def predictions(docs: DataFrame, model: Fitted, *, id_col: str = "doc_id", text_
     kind = dict(docs.dtypes)[id_col]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             lang, score = zip(*model.load().predict([t or "" for t in batch.column(1).to_pylist()]), strict=True) if len(batch) else ((), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
@@ -270,7 +284,7 @@ def kept_documents(docs: DataFrame, model: Fitted, *, text_col: str = "text", le
     at = docs.columns.index(text_col)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             found = model.load().judged([t or "" for t in batch.column(at).to_pylist()])
             yield batch.filter(pa.array([fits and score >= least for _, score, fits in found], pa.bool_()))
 
