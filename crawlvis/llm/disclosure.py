@@ -29,8 +29,9 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 PART = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 WORD = r"[\p{L}\p{M}]+"
 APART = r"[^\p{L}\p{M}]+"
-#: Characters beside a value that count as near, the least length of a term, different texts that must agree, and bits.
-NEAR, LEAST, SUPPORT, SLACK = 64, 4, 3, 1
+#: Characters beside a value that count as near, the least length of a term, different texts that must agree, and bits. Without
+#: slack a term must tell all that the value does, so none of its occurrences is in a text that hasn't got the value.
+NEAR, LEAST, SUPPORT, SLACK = 64, 4, 3, 0
 #: Lengths of prefixes that a term may be generalised to, longest first.
 PREFIXES = (6, 4, 2)
 #: Buckets of hashes that are handed to every task, to pass over what can't match: at most so many numbers, whatever the input.
