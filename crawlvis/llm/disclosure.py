@@ -117,11 +117,16 @@ def forms(term: Column) -> Column:
     return F.concat(F.array(term), F.array_compact(F.array(*[F.when(F.length(term) > n, F.concat(F.substring(term, 1, n), F.lit("*"))) for n in PREFIXES])))
 
 
+def _entities(kind: str):
+    """Spans with a number for kind and value, the same wherever the value stands."""
+    return lambda s: F.struct(F.xxhash64(F.lit(kind), s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))
+
+
 def book(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, digest, spans by kind, and ``near``: the words beside each value, once for each place, as strings of value, place and word, which are told apart by hashing. Written, so the texts are scanned once for it."""
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     found = fenced(base, ["doc_id", "t"], digest=F.unhex(F.sha2("t", 256)), **protected(F.col("t")))
-    every = F.concat(*[F.transform(k, lambda s, k=k: F.struct(F.xxhash64(F.lit(k), s["value"]).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS])
+    every = F.concat(*[F.transform(k, _entities(k)) for k in KINDS])
     cut = fenced(found, ["doc_id", "digest", *KINDS], every=every, chunks=F.when(F.size(every) > 0, F.regexp_extract_all(blanked(F.col("t")), F.lit(rf"(?s).{{1,{CHUNK}}}"), F.lit(0))))
     told = lambda s, w: F.concat_ws(" ", s["entity"].cast("string"), w["start"].cast("string"), w["value"])
     beside = F.flatten(F.transform("every", lambda s: F.transform(nearby(F.col("chunks"), s), lambda w: told(s, w))))
