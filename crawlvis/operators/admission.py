@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import heapq
 import math
+from array import array
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,6 +22,8 @@ BUCKET_MS = 3_600_000
 #: Requests of an address that a task folds, about.
 ROWS_PER_RUN = 100_000
 
+Step = Callable[[list[bool], pd.DataFrame], pd.DataFrame]
+
 
 def admit(stamps: list[int], now: int, limit: int = LIMIT, window_ms: int = WINDOW_MS) -> tuple[bool, int]:
     """Whether a request at ``now`` passes, and seconds to wait if not. stamps: those that passed; changed in place.
@@ -34,6 +38,24 @@ def admit(stamps: list[int], now: int, limit: int = LIMIT, window_ms: int = WIND
     return True, 0
 
 
+def in_turn(rows: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], fold: Callable[[], Step], schema: str) -> DataFrame:
+    """Rows of each key in their order, a batch at a time: Spark sorts them, so that a task holds a batch and not a key's rows.
+
+    ``fold`` makes a task's step, which takes a batch and, of each of its rows, whether a key begins with it.
+    """
+    dealt = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        step, last = fold(), None
+        for batch in batches:
+            if len(batch):
+                held = list(zip(*(batch[k].astype(object).where(batch[k].notna(), None).tolist() for k in keys), strict=True))
+                yield step([a != b for a, b in zip(held, [last, *held], strict=False)], batch)
+                last = held[-1]
+
+    return dealt.mapInPandas(run, schema)
+
+
 def rate_limited(requests: DataFrame) -> DataFrame:
     """ip, req_id, ts_ms, allowed, retry_after of requests (req_id, ip, ts), in order of time and id.
 
@@ -41,7 +63,7 @@ def rate_limited(requests: DataFrame) -> DataFrame:
     is left to remember, and an address's log is cut there. Requests are dealt by address and ``BUCKET_MS`` of time to find
     the gaps; where a bucket's first request follows on the bucket before, buckets' ends tell, of which there is a row each.
     The pieces that begin in a bucket are folded together, so an address of many requests is dealt over many tasks; only one
-    that never pauses for a window is a single sequence.
+    that never pauses for a window is a single sequence, which its task reads batch by batch.
     """
     rows = requests.select("ip", "req_id", F.unix_millis("ts").alias("ts_ms")).withColumn("bucket", F.floor(F.col("ts_ms") / BUCKET_MS))
     buckets = Window.partitionBy("ip").orderBy("bucket")
@@ -59,45 +81,78 @@ def rate_limited(requests: DataFrame) -> DataFrame:
     pieces = cut.withColumn("begun", begun).alias("l").join(last.alias("c"), known("c")).select("l.ip", "l.req_id", "l.ts_ms", F.when(F.col("begun"), F.col("l.run")).otherwise(F.col("c.carried")).alias("run"))
     ip, req = (dict(rows.dtypes)[c] for c in ("ip", "req_id"))
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
+    def limiter() -> Step:
         stamps: list[int] = []
-        group = group.sort_values(["ts_ms", "req_id"])
-        decided = [admit(stamps, int(t)) for t in group.ts_ms]
-        return group[["ip", "req_id", "ts_ms"]].assign(allowed=[a for a, _ in decided], retry_after=[w for _, w in decided])
 
-    return pieces.groupBy("ip", "run").applyInPandas(fold, f"ip {ip}, req_id {req}, ts_ms long, allowed boolean, retry_after long")
+        def step(opens: list[bool], batch: pd.DataFrame) -> pd.DataFrame:
+            allowed, wait = [], []
+            for new, at in zip(opens, batch.ts_ms.tolist(), strict=True):
+                if new:
+                    stamps.clear()
+                passes, seconds = admit(stamps, at)
+                allowed.append(passes)
+                wait.append(seconds)
+            return batch[["ip", "req_id", "ts_ms"]].assign(allowed=allowed, retry_after=wait)
 
+        return step
 
-def simulate(arrivals: list[tuple[int, int]], slots: int = SLOTS) -> list[tuple[int, int, int]]:
-    """Start, end and position on arrival (0: runs at once) of scans that arrive in order with (arrival, duration), first come first served."""
-    running: list[int] = []
-    waiting: list[int] = []  # starts of scans that haven't begun yet
-    out = []
-    for at, lasts in arrivals:
-        waiting = [s for s in waiting if s > at]
-        while running and running[0] <= at and len(running) >= slots:
-            heapq.heappop(running)
-        start = at if len(running) < slots else max(at, heapq.heappop(running))
-        heapq.heappush(running, start + lasts)
+    return in_turn(pieces, ("ip", "run"), ("ts_ms", "req_id"), limiter, f"ip {ip}, req_id {req}, ts_ms long, allowed boolean, retry_after long")
+
+
+class Line:
+    """Slots, and the line before them, of scans that come in order of arrival and are served first come first.
+
+    Starts never go back, so what has begun by an arrival stands at the head of the line: each scan joins and leaves it once.
+    """
+
+    def __init__(self, slots: int = SLOTS, ends: Iterable[int] = ()):
+        self.slots, self.ends = slots, sorted(ends)  # of what runs
+        self.starts, self.begun = array("q"), 0  # of scans that had to wait, and how many of those have begun
+
+    def come(self, at: int, lasts: int) -> tuple[int, int, int]:
+        """Start, end and position on arrival (0: runs at once)."""
+        starts = self.starts
+        while self.begun < len(starts) and starts[self.begun] <= at:
+            self.begun += 1
+        if self.begun > len(starts) // 2:
+            del starts[: self.begun]
+            self.begun = 0
+        start = at if len(self.ends) < self.slots else max(at, heapq.heappop(self.ends))
+        heapq.heappush(self.ends, start + lasts)
         if start > at:
-            waiting.append(start)
-        out.append((start, start + lasts, len(waiting) if start > at else 0))
-    return out
+            starts.append(start)
+        return start, start + lasts, len(starts) - self.begun if start > at else 0
+
+
+def simulate(arrivals: Iterable[tuple[int, int]], slots: int = SLOTS) -> list[tuple[int, int, int]]:
+    """Start, end and position on arrival (0: runs at once) of scans that arrive in order with (arrival, duration), first come first served."""
+    line = Line(slots)
+    return [line.come(*scan) for scan in arrivals]
 
 
 def queued(requests: DataFrame, queue: str = "queue") -> DataFrame:
     """queue, scan_id, arrival_ms, start_ms, end_ms, position of scans (queue, scan_id, arrival_ms, duration_ms) on two slots for each queue.
 
-    A queue is one sequence by nature: queues are dealt over tasks, a queue isn't.
+    A queue is one sequence by nature: queues are dealt over tasks, a queue isn't. A task holds the line, eight bytes a scan.
     """
     kind = dict(requests.dtypes)[queue]
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["arrival_ms", "scan_id"])
-        done = simulate(list(zip(group.arrival_ms.astype(int), group.duration_ms.astype(int), strict=True)))
-        return group[[queue, "scan_id", "arrival_ms"]].assign(start_ms=[d[0] for d in done], end_ms=[d[1] for d in done], position=[d[2] for d in done])
+    def served() -> Step:
+        line = Line()
+
+        def step(opens: list[bool], batch: pd.DataFrame) -> pd.DataFrame:
+            nonlocal line
+            done = []
+            for new, at, lasts in zip(opens, batch.arrival_ms.tolist(), batch.duration_ms.tolist(), strict=True):
+                line = Line() if new else line
+                done.append(line.come(at, lasts))
+            start, end, position = zip(*done, strict=True)
+            return batch[[queue, "scan_id", "arrival_ms"]].assign(start_ms=start, end_ms=end, position=position)
+
+        return step
 
-    return requests.select(queue, "scan_id", "arrival_ms", "duration_ms").groupBy(queue).applyInPandas(run, f"{queue} {kind}, scan_id long, arrival_ms long, start_ms long, end_ms long, position long")
+    rows = requests.select(queue, "scan_id", F.col("arrival_ms").cast("long"), F.col("duration_ms").cast("long"))
+    return in_turn(rows, (queue,), ("arrival_ms", "scan_id"), served, f"{queue} {kind}, scan_id long, arrival_ms long, start_ms long, end_ms long, position long")
 
 
 def queue_positions(scans: DataFrame) -> DataFrame:
