@@ -67,3 +67,26 @@ def test_a_part_has_no_more_than_a_batch_may_bring(spark, hours):
     batches = [tuple(b) for b in batches]
     assert len(batches) == 8 and sum(n for n, _, _ in batches) == 3600 and max(n for n, _, _ in batches) <= 500
     assert all(a[2] < b[1] for a, b in zip(batches, batches[1:], strict=False))
+
+
+def test_pages_are_read_few_at_a_time():
+    import pyarrow as pa
+
+    from crawlvis.operators import segmentation
+
+    pages = [None if k == 3 else "x" * (5 << 20 if k == 7 else 10) for k in range(450)]
+    batch = pa.RecordBatch.from_pydict({"page_id": pa.array(range(450)), "html": pa.array(pages)})
+    parts = list(segmentation.few(iter([batch, batch.slice(0, 0)]), 1))
+    assert [i for part in parts for i in part.column(0).to_pylist()] == list(range(450))
+    assert [p.num_rows for p in parts] == [7, 1, 200, 200, 42, 0]
+
+
+def test_nodes_are_handed_over_in_pieces(spark, monkeypatch):
+    from crawlvis.sources import html
+
+    pages = spark.createDataFrame([(1, "<ul>" + "<li>a<b>c</b>d" * 40 + "</ul>"), (2, None), (3, "<p>x<p>y")], "page_id long, html string").coalesce(1)
+    whole = html.node_table(pages).collect()
+    monkeypatch.setattr(html, "NODES_PER_BATCH", 7)
+    assert html.node_table(pages).collect() == whole and len(whole) == 83
+    assert [(r["tag"], r["nth_of_type"], r["text"]) for r in whole if r["page_id"] == 3] == [("p", 1, "x"), ("p", 2, "y")]
+    assert max(r["nth_of_type"] for r in whole) == 40 and [r["text"] for r in whole[:3]] == ["", "ad", "c"]
