@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from crawlvis.functions import text as T
 from crawlvis.functions import wording as W
 from crawlvis.functions.template import looked_up
+from crawlvis.operators.admission import Step, in_turn
 from crawlvis.operators.asof import last_before
+from crawlvis.sources.shared import written
 
 # The window of reuse, the recent list, the likeness of names, and states of a scan.
 DEDUPE_MS = 600_000
@@ -80,16 +82,30 @@ def selector_matches(prev: DataFrame, next_: DataFrame, pair: str = "pair_id") -
     return nth(prev, "prev_ord").join(nth(next_, "next_ord"), [pair, "selector", "k"]).select(pair, "prev_ord", "next_ord")
 
 
+def _taking(pair: str) -> Step:
+    """Of candidates in order of the next region, their likeness and the previous region, those of which neither region is taken."""
+    prev_taken, next_taken = set(), set()
+
+    def step(opens: list[bool], batch: pd.DataFrame) -> pd.DataFrame:
+        kept = []
+        for new, before, after in zip(opens, batch.prev_ord.tolist(), batch.next_ord.tolist(), strict=True):
+            if new:
+                prev_taken.clear()
+                next_taken.clear()
+            free = before not in prev_taken and after not in next_taken
+            kept.append(free)
+            if free:
+                prev_taken.add(before)
+                next_taken.add(after)
+        return batch.loc[kept, [pair, "prev_ord", "next_ord"]]
+
+    return step
+
+
 def _greedy(group: pd.DataFrame) -> pd.DataFrame:
-    """Each next region in order takes the likest region that is left; the first of several that are alike."""
-    taken, out = set(), []
-    for at, rows in group.sort_values(["next_ord", "prev_ord"]).groupby("next_ord", sort=True):
-        free = rows[~rows.prev_ord.isin(taken)]
-        if len(free):
-            best = free.loc[free.similarity.idxmax()]
-            taken.add(best.prev_ord)
-            out.append((group.iloc[0, 0], int(best.prev_ord), int(at)))
-    return pd.DataFrame(out, columns=[group.columns[0], "prev_ord", "next_ord"])
+    """The candidates of one pair that are taken."""
+    rows = group.assign(unlike=-group.similarity).sort_values(["next_ord", "unlike", "prev_ord"])
+    return _taking(group.columns[0])([False] * len(rows), rows)
 
 
 def name_pairs(prev: DataFrame, next_: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -104,11 +120,13 @@ def name_pairs(prev: DataFrame, next_: DataFrame, pair: str = "pair_id") -> Data
 def name_matches(prev: DataFrame, next_: DataFrame, pair: str = "pair_id") -> DataFrame:
     """Likeness matches of regions that are left: pair, prev_ord, next_ord. Candidates share a word of their names within a pair.
 
-    A scan has few regions, so a pair's candidates fit one task; pairs are dealt over all.
+    Each next region in order takes the likest region that is left, the first of several that are alike. Candidates come
+    in that order, so what a task holds of a pair is which regions are taken.
     """
     kind = dict(prev.dtypes)[pair]
-    scored = name_pairs(prev, next_, pair).where(F.col("similarity") >= SIMILAR_NAMES)
-    return scored.groupBy(pair).applyInPandas(_greedy, f"{pair} {kind}, prev_ord long, next_ord long")
+    scored = name_pairs(prev, next_, pair).where(F.col("similarity") >= SIMILAR_NAMES).withColumn("unlike", -F.col("similarity"))
+
+    return in_turn(scored, (pair,), ("next_ord", "unlike", "prev_ord"), lambda: _taking(pair), f"{pair} {kind}, prev_ord long, next_ord long")
 
 
 def region_changes(prev: DataFrame, next_: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -119,7 +137,7 @@ def region_changes(prev: DataFrame, next_: DataFrame, pair: str = "pair_id") ->
     by_selector = selector_matches(prev, next_, pair)
     left_prev = prev.join(by_selector.select(pair, F.col("prev_ord").alias("region_ord")), [pair, "region_ord"], "left_anti")
     left_next = next_.join(by_selector.select(pair, F.col("next_ord").alias("region_ord")), [pair, "region_ord"], "left_anti")
-    by_name = name_matches(left_prev, left_next, pair)
+    by_name = written(name_matches(left_prev, left_next, pair), "name_matches")  # read three times
     matched = by_selector.withColumn("part", F.lit(0)).unionByName(by_name.withColumn("part", F.lit(1)))
     fields = ("selector", "name", "status", "issue_type")
     side = lambda df, name: df.select(pair, F.col("region_ord").alias(f"{name}_ord"), F.struct(*fields).alias(name))

@@ -90,3 +90,23 @@ def test_nodes_are_handed_over_in_pieces(spark, monkeypatch):
     assert html.node_table(pages).collect() == whole and len(whole) == 83
     assert [(r["tag"], r["nth_of_type"], r["text"]) for r in whole if r["page_id"] == 3] == [("p", 1, "x"), ("p", 2, "y")]
     assert max(r["nth_of_type"] for r in whole) == 40 and [r["text"] for r in whole[:3]] == ["", "ad", "c"]
+
+
+def test_likest_regions_are_taken_in_turn_in_any_batches(spark):
+    from crawlvis.operators import history
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        side = lambda first: spark.createDataFrame([(pair, 2 * k + first, " ".join(f"w{(k * j + pair + first * k) % 3}" for j in range(3))) for pair in range(6) for k in range(7)], "pair_id long, region_ord long, name string")
+        prev, next_ = side(0), side(1)
+        pairs = [tuple(r) for r in history.name_pairs(prev, next_).collect() if r["similarity"] >= history.SIMILAR_NAMES]
+        expected, taken = [], set()
+        for pair, after in sorted({(p[0], p[2]) for p in pairs}):
+            free = [p for p in pairs if (p[0], p[2]) == (pair, after) and (pair, p[1]) not in taken]
+            if free:
+                best = min(free, key=lambda p: (-p[3], p[1]))
+                taken.add((pair, best[1]))
+                expected.append(best[:3])
+        assert sorted(tuple(r) for r in history.name_matches(prev, next_).collect()) == expected and len(expected) > 20
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
