@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from crawlvis.functions import text as T
 from crawlvis.functions import urls
+from crawlvis.functions.fence import fenced
 from crawlvis.sources.shared import written
 
 # Requests per window and address, and scans that run at once.
@@ -173,8 +174,8 @@ def queue_positions(scans: DataFrame) -> DataFrame:
 
 def valid_requests(requests: DataFrame) -> DataFrame:
     """Requests whose trimmed url has 1 to 2048 characters, with force false where it is not given."""
-    url = T.trimmed(F.col("url"))
-    return requests.where(F.coalesce(F.length(url).between(1, 2048), F.lit(False))).withColumns({"url": url, "force": F.coalesce("force", F.lit(False))})
+    rows = fenced(requests, {"url": T.trimmed(F.col("url")), "force": F.coalesce("force", F.lit(False))})
+    return rows.where(F.length("url").between(1, 2048))
 
 
 def requested_by(forwarded: Column) -> Column:

@@ -110,3 +110,17 @@ def test_likest_regions_are_taken_in_turn_in_any_batches(spark):
         assert sorted(tuple(r) for r in history.name_matches(prev, next_).collect()) == expected and len(expected) > 20
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_urls_are_trimmed_once_for_each_request(spark):
+    import re
+
+    from crawlvis.functions import text as T
+
+    rows = spark.createDataFrame([(1, " 　a b﻿\x0b", None), (2, "​", True), (3, "  ", True), (4, None, False), (5, "x" * 2049 + " ", None)], "req_id long, url string, force boolean")
+    found = admission.valid_requests(rows)
+    assert sorted(map(tuple, found.collect())) == [(1, "a b", False), (2, "​", True)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("trim(") == 1 and "regexp_replace" not in plan
+    blank = re.compile(T.WS.replace("\\x{feff}", "﻿").replace("\\x{a0}", "\xa0").replace("\\x{", "\\u").replace("}", ""))
+    assert {c for c in map(chr, range(0x10000)) if blank.fullmatch(c)} == set(T.BLANKS)
