@@ -124,3 +124,24 @@ def test_urls_are_trimmed_once_for_each_request(spark):
     assert plan.count("trim(") == 1 and "regexp_replace" not in plan
     blank = re.compile(T.WS.replace("\\x{feff}", "﻿").replace("\\x{a0}", "\xa0").replace("\\x{", "\\u").replace("}", ""))
     assert {c for c in map(chr, range(0x10000)) if blank.fullmatch(c)} == set(T.BLANKS)
+
+
+def test_pages_of_one_row_group_are_read_by_many_tasks(spark, tmp_path, monkeypatch):
+    from crawlvis.operators import segmentation
+    from crawlvis.sources import shared
+
+    rows = spark.range(400).select(F.col("id").alias("page_id"), F.concat(F.lit("<p>"), F.expr("repeat(uuid(), 40)")).alias("html"), F.lit("<p>x").alias("raw_html"))
+    rows.coalesce(1).write.parquet(f"{tmp_path}/pages")
+    pages = spark.read.parquet(f"{tmp_path}/pages")
+    monkeypatch.setattr(segmentation, "EACH", 2_000)
+    spark.conf.set(shared.SPREAD_BELOW, "1000")  # the table counts as a larger one
+    try:
+        read = segmentation.read_pages(pages)
+        sizes = [len(part) for part in read.select("page_id").rdd.glom().collect()]
+        nodes = segmentation.source_nodes(pages)
+        assert len(sizes) > 8 and max(sizes) < 100 and sum(sizes) == 400
+        assert nodes.rdd.getNumPartitions() > 8 and nodes.select("page_id").distinct().count() == 400
+        spark.conf.set(shared.SPREAD_BELOW, "0")
+        assert shared.spread(pages, 1000) is pages
+    finally:
+        spark.conf.unset(shared.SPREAD_BELOW)
