@@ -64,3 +64,27 @@ def test_clients_of_a_bucket_get_their_own_events(spark, few):
     clients = spark.createDataFrame([(f"c{k}", k % 60, k % 4) for k in range(150)], "client_id string, scan_id long, last_event_id long")
     got = scans.completed(stateful.delivered(stream(spark, "scan_id long, seq long, status string, ms long", rows, 4).drop("ts"), clients), "buckets-frames").collect()
     assert sorted((r["client_id"], r["seq"]) for r in got) == sorted((f"c{k}", seq) for k in range(150) for seq in range(k % 4 + 1, 5 + k % 60 % 3))
+
+
+def test_a_stream_opens_few_partitions_of_state_a_batch(spark, tmp_path, monkeypatch):
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    monkeypatch.setattr(stateful, "PARTITIONS", 3, raising=False)
+    try:
+        spark.conf.set(name, "2")  # fewer stay
+        with stateful.rocks(spark):
+            assert spark.conf.get(name) == "2"
+        spark.conf.set(name, "40")
+        with stateful.rocks(spark):
+            rows = [(scan, seq, "done" if seq == 5 else "fetching", seq * 1000) for scan in range(50) for seq in range(1, 8)]
+            clients = spark.createDataFrame([(k, k, k % 3) for k in range(50)], "client_id long, scan_id long, last_event_id long")
+            got = stateful.delivered(stream(spark, "scan_id long, seq long, status string, ms long", rows, 3).drop("ts"), clients)
+            query = got.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start(f"{tmp_path}/out")
+            query.awaitTermination()
+        assert spark.conf.get(name) == "40"
+    finally:
+        spark.conf.set(name, before)
+    kept = spark.read.format("state-metadata").load(f"{tmp_path}/state").select("numPartitions").distinct().collect()
+    assert [r[0] for r in kept] == [3]
+    sent = spark.read.parquet(f"{tmp_path}/out").collect()
+    assert sorted((r["client_id"], r["seq"]) for r in sent) == [(k, seq) for k in range(50) for seq in range(k % 3 + 1, 6)]
